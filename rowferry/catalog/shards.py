@@ -118,16 +118,19 @@ def batch_manifest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_manifest(_sharded_events(spark, sf_dir), "event_id", 500)
 
 
+_HOT = "CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_orderkey END"
+
+
 @query(
     "SELECT shard_id, batch_id, count(*) AS n_rows, min(k) AS first_key, max(k) AS checkpoint FROM ("
-    "SELECT l_suppkey AS k, l_suppkey % 8 AS shard_id, "
-    "(row_number() OVER (PARTITION BY l_suppkey % 8 ORDER BY l_suppkey) - 1) // 700 AS batch_id FROM lineitem"
-    ") GROUP BY shard_id, batch_id"
+    "SELECT k, k % 8 AS shard_id, (row_number() OVER (PARTITION BY k % 8 ORDER BY k) - 1) // 700 AS batch_id "
+    f"FROM (SELECT {_HOT} AS k FROM lineitem)) GROUP BY shard_id, batch_id"
 )
-def batch_manifest_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A key with many rows each, cut into small groups; one supplier spans batches."""
-    rows = with_shards(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k")), "k", 8)
-    return batch_manifest(rows, "k", 700, rows_per_group=200)
+def batch_manifest_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key holds about a third of all rows and spans many batches of its shard."""
+    key = F.when(F.col("l_returnflag") == "R", F.lit(0)).otherwise(F.col("l_orderkey")).cast("bigint")
+    rows = with_shards(table(spark, sf_dir, "lineitem").select(key.alias("k")), "k", 8)
+    return batch_manifest(rows, "k", 700, rows_per_group=2_000)
 
 
 # Checkpoint of a shard: the last key of its batch number ``shard_id + 1``.

@@ -81,7 +81,7 @@ def shard_count_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "SELECT run_id, duration_ms, processed_records, duration_ms / 60000.0::DOUBLE AS duration_minutes, "
     "CASE WHEN duration_ms > 0 THEN processed_records / (duration_ms / 1000.0::DOUBLE) END AS rows_per_second FROM ("
-    "SELECT user_id AS run_id, max(epoch_ms(ts)) - min(epoch_ms(ts)) AS duration_ms, "
+    "SELECT user_id AS run_id, max((epoch_us(ts) // 1000)) - min((epoch_us(ts) // 1000)) AS duration_ms, "
     "count(*) AS processed_records FROM events GROUP BY user_id)"
 )
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +96,8 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BATCH_LOG = (
-    "SELECT user_id % 32 AS shard_id, event_id AS batch_id, epoch_ms(ts) AS start_ms, "
-    "epoch_ms(ts) + CAST(floor(value * 100) AS BIGINT) AS end_ms FROM events"
+    "SELECT user_id % 32 AS shard_id, event_id AS batch_id, (epoch_us(ts) // 1000) AS start_ms, "
+    "(epoch_us(ts) // 1000) + CAST(floor(value * 100) AS BIGINT) AS end_ms FROM events"
 )
 _TIMES = (
     "SELECT shard_id, max(end_ms) - min(start_ms) AS duration_ms, "

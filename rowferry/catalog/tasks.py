@@ -152,7 +152,7 @@ def _stats_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ledger_task_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics lines written, read back, newest per task; the task id is filled in."""
     book = ledger.Ledger(spark, new_folder(spark, "ledger"))
-    book.append(_stats_lines(spark, sf_dir))
+    book.append(_stats_lines(spark, sf_dir), many=True)
     return book.stats().select(
         F.col("taskId").alias("task_id"),
         F.col("syncStats.status").alias("status"),
@@ -196,7 +196,7 @@ def ledger_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
         },
     )
     book = ledger.Ledger(spark, new_folder(spark, "ledger"))
-    book.append(lines, datetime(2024, 1, 2, 3, 4, 5))
+    book.append(lines, datetime(2024, 1, 2, 3, 4, 5), many=True)
     return book.tasks().select(
         F.col("taskId").alias("task_id"),
         F.col("sourceConfig")["url"].alias("url"),

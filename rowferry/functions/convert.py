@@ -91,7 +91,7 @@ def _to_integral(col: Column, src: T.DataType, name: str, rules: Rules) -> Colum
     to = spark_type(name, extra=True)
     bits = _BITS[name]
     if isinstance(src, T.StringType):
-        return dates.java_trim(col).try_cast(to)
+        return dates.whole_number(dates.java_trim(col), to.simpleString())
     if isinstance(src, _INT_TYPES):
         if _WIDTH[type(src)] <= bits:
             return col.cast(to)
@@ -123,13 +123,15 @@ def _to_floating(col: Column, src: T.DataType, to: T.DataType) -> Column:
     if isinstance(src, _NUMERIC):
         return col.cast(to)
     if isinstance(src, T.StringType):
-        return dates.java_trim(col).try_cast(to)
+        text = dates.java_trim(col)
+        return F.when(text.rlike(dates.FLOATING), text.try_cast(to))
     return _null(to)
 
 
 def _to_decimal(col: Column, src: T.DataType, to: T.DataType) -> Column:
     if isinstance(src, T.StringType):
-        return dates.java_trim(col).try_cast(to)
+        text = dates.java_trim(col)
+        return F.when(text.rlike(dates.DECIMAL), text.try_cast(to))
     if isinstance(src, _NUMERIC):
         return col.try_cast(to)
     return _null(to)
@@ -144,8 +146,7 @@ def _to_big_integer(col: Column, src: T.DataType) -> Column:
     if isinstance(src, _INT_TYPES):
         return col.cast(to)
     if isinstance(src, T.StringType):
-        text = dates.java_trim(col)
-        return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast(to))
+        return dates.whole_number(dates.java_trim(col), to.simpleString())
     return _null(to)
 
 
@@ -220,7 +221,7 @@ def convert(
         message = F.concat(
             F.lit(f"cannot convert {label} '"), col.cast("string"), F.lit(f"' from {src.simpleString()} to {to}")
         )
-        out = F.when(col.isNotNull() & out.isNull(), F.raise_error(message).cast(target)).otherwise(out)
+        out = F.coalesce(out, F.when(col.isNotNull(), F.raise_error(message).cast(target)))
     if primitive:
         out = F.when(col.isNull(), zero_of(to)).otherwise(out)
     return out
@@ -242,4 +243,4 @@ def enum_of(col: Column, values: Sequence[str], *, mode: str = "strict") -> Colu
     if mode == "lenient":
         return known
     message = F.concat(F.lit("no such value: '"), col, F.lit("'"))
-    return F.when(col.isNotNull() & known.isNull(), F.raise_error(message).cast("string")).otherwise(known)
+    return F.coalesce(known, F.when(col.isNotNull(), F.raise_error(message).cast("string")))

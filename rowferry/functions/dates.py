@@ -25,6 +25,11 @@ COMPACT_FORMATS = (
 
 _ISO_LOCAL = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)(?:Z|[+-]\d{2}:\d{2}(?::\d{2})?)?(?:\[[^\]]*\])?$"
 _ISO_DATE = r"^(\d{4}-\d{2}-\d{2})(?:Z|[+-]\d{2}:\d{2}(?::\d{2})?)?$"
+# Texts that are numbers.
+WHOLE = r"^[+-]?[0-9]+$"
+DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+FLOATING = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[dDfF]?|NaN|Infinity)$"
+
 _BLANKS = "".join(map(chr, range(33)))
 _MAX_MILLIS = (2**63 - 1) // 1000
 
@@ -40,6 +45,16 @@ def from_millis(col: Column) -> Column:
     return F.when(ms.between(-_MAX_MILLIS, _MAX_MILLIS), F.timestamp_millis(ms))
 
 
+def whole_number(text: Column, to: str = "bigint") -> Column:
+    """Trimmed text as an integer. The pattern is checked first: a failing
+    ``try_cast`` costs far more than a match."""
+    return F.when(text.rlike(WHOLE), text.try_cast(to))
+
+
+def _epoch_text(text: Column) -> Column:
+    return F.when(text.rlike(WHOLE), from_millis(text.try_cast("bigint")))
+
+
 def _parsed(text: Column, formats) -> list[Column]:
     """One candidate instant per format: cut the matching start, then parse it."""
     out = []
@@ -47,16 +62,22 @@ def _parsed(text: Column, formats) -> list[Column]:
         start = F.regexp_extract(text, pattern, 0)
         if " +" in pattern:
             start = F.regexp_replace(start, " +", " ")
-        out.append(F.when(start != F.lit(""), F.try_to_timestamp(start, F.lit(fmt)).cast("timestamp")))
+        out.append(F.when(text.rlike(pattern), F.try_to_timestamp(start, F.lit(fmt)).cast("timestamp")))
     return out
 
 
+def _iso(text: Column, pattern: str, to: str) -> Column:
+    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1).try_cast(to))
+
+
+def _compact(text: Column, digits: str) -> list[Column]:
+    return _parsed(text, COMPACT_FORMATS) if digits == "pattern" else []
+
+
 def text_to_instant(col: Column, digits: str) -> Column:
     """Text to an instant: digit-only text first, then the known formats."""
     text = java_trim(col)
-    epoch = from_millis(text.try_cast("bigint"))
-    compact = _parsed(text, COMPACT_FORMATS) if digits == "pattern" else []
-    return F.coalesce(*compact, epoch, *_parsed(text, DATE_FORMATS))
+    return F.coalesce(*_compact(text, digits), _epoch_text(text), *_parsed(text, DATE_FORMATS))
 
 
 def to_instant(col: Column, src: T.DataType, digits: str, *, millis: bool = False) -> Column:
@@ -79,13 +100,8 @@ def to_local_datetime(col: Column, src: T.DataType, digits: str) -> Column:
         return from_millis(col).cast("timestamp_ntz")
     if isinstance(src, T.StringType):
         text = java_trim(col)
-        compact = _parsed(text, COMPACT_FORMATS) if digits == "pattern" else []
-        return F.coalesce(
-            *[c.cast("timestamp_ntz") for c in compact],
-            from_millis(text.try_cast("bigint")).cast("timestamp_ntz"),
-            F.regexp_extract(text, _ISO_LOCAL, 1).try_cast("timestamp_ntz"),
-            *[c.cast("timestamp_ntz") for c in _parsed(text, DATE_FORMATS[:1])],
-        )
+        instants = [*_compact(text, digits), _epoch_text(text), *_parsed(text, DATE_FORMATS[:1])]
+        return F.coalesce(_iso(text, _ISO_LOCAL, "timestamp_ntz"), F.coalesce(*instants).cast("timestamp_ntz"))
     return F.lit(None).cast("timestamp_ntz")
 
 
@@ -96,13 +112,8 @@ def to_local_date(col: Column, src: T.DataType, digits: str) -> Column:
         return from_millis(col).cast("date")
     if isinstance(src, T.StringType):
         text = java_trim(col)
-        compact = _parsed(text, COMPACT_FORMATS) if digits == "pattern" else []
-        return F.coalesce(
-            *[c.cast("date") for c in compact],
-            from_millis(text.try_cast("bigint")).cast("date"),
-            F.regexp_extract(text, _ISO_DATE, 1).try_cast("date"),
-            *[c.cast("date") for c in _parsed(text, DATE_FORMATS[1:2])],
-        )
+        instants = [*_compact(text, digits), _epoch_text(text), *_parsed(text, DATE_FORMATS[1:2])]
+        return F.coalesce(_iso(text, _ISO_DATE, "date"), F.coalesce(*instants).cast("date"))
     return F.lit(None).cast("date")
 
 

@@ -13,33 +13,44 @@ BUFFER_COPIES = 2
 MAX_CPU_SHARDS = 256
 
 
-def shard_count(total: Column, options: SyncOptions, cores: int, heap_bytes: int) -> Column:
-    """Adaptive shard count of a table with ``total`` rows.
-
-    Enough shards for the rows or for the cores, whichever is more, but no more
-    than memory allows, and never outside ``min_shards`` .. ``max_shards`` as far
-    as the row count is concerned. The CPU and memory terms depend on the machine
-    only, so they fold to literals.
-    """
+def _limits(options: SyncOptions, cores: int, heap_bytes: int) -> tuple[int, int, int]:
+    """(fewest shards, shards the cores want, shards the memory allows)."""
     low = max(1, options.min_shards)
     high = max(low, options.max_shards)
     by_cpu = min(max(1, min(cores * 2, MAX_CPU_SHARDS)), high)
     buffered = max(1, options.batch_size) * ROW_BYTES * BUFFER_COPIES
     by_memory = min(max(1, (heap_bytes // 2) // buffered), high)
-    by_rows = F.ceil(total / F.lit(max(1, options.records_per_shard)))
-    wanted = F.greatest(by_rows.cast("bigint"), F.lit(by_cpu).cast("bigint"))
-    return F.greatest(F.lit(low).cast("bigint"), F.least(wanted, F.lit(by_memory).cast("bigint")))
+    return low, by_cpu, by_memory
+
+
+def shard_count(total: Column, options: SyncOptions, cores: int, heap_bytes: int) -> Column:
+    """Adaptive shard count of a table with ``total`` rows.
+
+    Enough shards for the rows or for the cores, whichever is more, but no more
+    than memory allows and at least ``min_shards``. The CPU and memory terms depend
+    on the machine only, so they are literals.
+    """
+    low, by_cpu, by_memory = (F.lit(n).cast("bigint") for n in _limits(options, cores, heap_bytes))
+    by_rows = F.ceil(total / F.lit(max(1, options.records_per_shard))).cast("bigint")
+    return F.greatest(low, F.least(F.greatest(by_rows, by_cpu), by_memory))
+
+
+def shard_count_of(total: int, options: SyncOptions, cores: int, heap_bytes: int) -> int:
+    """The same for one known total."""
+    low, by_cpu, by_memory = _limits(options, cores, heap_bytes)
+    by_rows = -(-total // max(1, options.records_per_shard))
+    return max(low, min(max(by_rows, by_cpu), by_memory))
 
 
 def run_status(total: Column, failed: Column, skipped: Column, timed_out: Column | None = None) -> Column:
     """Final status: an empty table is COMPLETED, any failure FAILED, any skip PARTIAL."""
-    status = F.when(total == 0, F.lit("COMPLETED")).when(failed > 0, F.lit("FAILED")).when(
-        skipped > 0, F.lit("PARTIAL")
+    status = (
+        F.when(total == 0, F.lit("COMPLETED"))
+        .when(failed > 0, F.lit("FAILED"))
+        .when(skipped > 0, F.lit("PARTIAL"))
+        .otherwise(F.lit("COMPLETED"))
     )
-    if timed_out is not None:
-        status = F.when(timed_out, F.lit("TIMEOUT")).otherwise(status.otherwise(F.lit("COMPLETED")))
-        return status
-    return status.otherwise(F.lit("COMPLETED"))
+    return status if timed_out is None else F.when(timed_out, F.lit("TIMEOUT")).otherwise(status)
 
 
 def run_status_compat(total: Column, failed: Column, timed_out: Column | None = None) -> Column:

@@ -23,6 +23,7 @@ from rowferry.sources.registry import open_source
 from rowferry.spec import SyncSpec
 from rowferry.state.checkpoints import CheckpointLog
 from rowferry.state.ledger import LINE, Ledger
+from rowferry.storage import control_rows
 
 # What a task request must bring, and what is said when it does not.
 REQUIRED = (
@@ -94,8 +95,7 @@ def machine(spark: SparkSession) -> tuple[int, int]:
 def planned_shards(spark: SparkSession, total: int, spec: SyncSpec) -> int:
     """Adaptive shard count for a source of ``total`` rows."""
     cores, heap = machine(spark)
-    expr = sizing.shard_count(F.lit(total).cast("bigint"), spec.options, cores, heap)
-    return int(spark.range(1).select(expr.alias("n")).first()["n"])
+    return sizing.shard_count_of(total, spec.options, cores, heap)
 
 
 def _slices(low: int, high: int, parts: int) -> list[tuple[int | None, int]]:
@@ -110,7 +110,7 @@ def _stats_line(spark: SparkSession, task: SyncTask, stats: Mapping[str, Any]) -
         "taskName": task.task_name or task.task_id,
         "syncStats": {**stats, "taskId": task.task_id},
     }
-    return spark.createDataFrame([row], LINE)
+    return control_rows(spark, [row], LINE)
 
 
 def _config_line(spark: SparkSession, task: SyncTask) -> DataFrame:
@@ -146,7 +146,7 @@ def _config_line(spark: SparkSession, task: SyncTask) -> DataFrame:
             for f in task.spec.fields
         ],
     }
-    return spark.createDataFrame([row], LINE)
+    return control_rows(spark, [row], LINE)
 
 
 def run(

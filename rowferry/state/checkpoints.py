@@ -16,6 +16,7 @@ from pyspark.sql.utils import AnalysisException
 
 from rowferry.operators.records import latest_per_key
 from rowferry.operators.sharding import SHARD
+from rowferry.storage import control_rows, no_rows
 
 SCHEMA = (
     "task_id string, shard_id bigint, shard_count bigint, checkpoint string, run_id string, ts timestamp_ntz"
@@ -62,9 +63,9 @@ class CheckpointLog:
         self, task_id: str, shards: int, checkpoints: Mapping[int, int | str | None], run_id: str, ts: datetime
     ) -> None:
         """Append the given shard -> checkpoint entries, one file."""
-        rows = [(s, None if c is None else str(c)) for s, c in sorted(checkpoints.items())]
-        frame = self.spark.createDataFrame(rows, f"{SHARD} bigint, checkpoint string")
-        self.append(as_rows(frame.coalesce(1), task_id, shards, run_id, ts))
+        rows = [{SHARD: s, "checkpoint": None if c is None else str(c)} for s, c in sorted(checkpoints.items())]
+        frame = control_rows(self.spark, rows, f"{SHARD} bigint, checkpoint string")
+        self.append(as_rows(frame, task_id, shards, run_id, ts))
 
     def delete(self, task_id: str, shard_id: int, shards: int, run_id: str, ts: datetime) -> None:
         """Forget a shard: a row without a checkpoint."""
@@ -76,7 +77,7 @@ class CheckpointLog:
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], SCHEMA)
+            return no_rows(self.spark, SCHEMA)
 
     def load(self, task_id: str) -> DataFrame:
         """Current checkpoints of one task; reads that task's folder only."""

@@ -16,6 +16,7 @@ from pyspark.sql.utils import AnalysisException
 
 from rowferry.functions.encode import ledger_time, redact_map
 from rowferry.operators.records import first_failure, is_empty, is_empty_map, latest_per_key
+from rowferry.storage import no_rows
 
 # The envelope of a ledger line.
 SYNC_CONFIG = (
@@ -145,8 +146,12 @@ class Ledger:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def append(self, lines: DataFrame, at: datetime | None = None) -> None:
-        """Add the valid lines, masked, recorded ``at`` a time or at their own ``recordedAt``."""
+    def append(self, lines: DataFrame, at: datetime | None = None, *, many: bool = False) -> None:
+        """Add the valid lines, masked, recorded ``at`` a time or at their own ``recordedAt``.
+
+        ``many`` rebalances them first, so that a day is a few files and a long day
+        more than one task.
+        """
         if at is not None:
             lines = lines.withColumn("recordedAt", F.lit(at.strftime(RECORDED_PY)))
         valid = redacted(checked(lines).where(F.col("error").isNull()).drop("error"))
@@ -156,10 +161,11 @@ class Ledger:
             F.date_format(when, "yyyyMMdd").alias("dt"),
             F.when(F.col("syncStats").isNotNull(), F.lit(STATISTICS)).otherwise(F.lit(CONFIG)).alias("kind"),
         )
-        # Rebalanced, so a day is a few files and a long day more than one task.
-        placed.hint("rebalance", "dt", "kind").write.mode("append").partitionBy("dt", "kind").option(
-            "maxRecordsPerFile", LINES_PER_FILE
-        ).json(self.path)
+        if many:
+            placed = placed.hint("rebalance", "dt", "kind")
+        placed.write.mode("append").partitionBy("dt", "kind").option("maxRecordsPerFile", LINES_PER_FILE).json(
+            self.path
+        )
 
     def read(self) -> DataFrame:
         """All lines with their day and kind."""
@@ -169,7 +175,7 @@ class Ledger:
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], schema)
+            return no_rows(self.spark, schema)
 
     def _latest(self, kind: str, since: datetime | None) -> DataFrame:
         lines = self.read().where(F.col("kind") == kind)

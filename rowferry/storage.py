@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -40,3 +44,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def control_rows(spark: SparkSession, rows: Sequence[Mapping[str, Any]], schema: str) -> DataFrame:
+    """A few driver-made rows as one partition, without a Python worker."""
+    text = F.lit(json.dumps([dict(r) for r in rows]))
+    listed = spark.range(0, 1, 1, 1).select(F.explode(F.from_json(text, f"array<struct<{schema}>>")).alias("r"))
+    return listed.select("r.*")
+
+
+def no_rows(spark: SparkSession, schema: str) -> DataFrame:
+    """An empty table of a schema."""
+    return spark.range(0).select(F.from_json(F.lit("{}"), schema).alias("r")).select("r.*")
