@@ -58,7 +58,8 @@ _STATUS = "CASE event_type WHEN 'view' THEN 'RUNNING' WHEN 'click' THEN 'COMPLET
 
 
 @query(
-    "SELECT c.c_custkey AS task_id, CASE WHEN s.status = 'RUNNING' THEN 'already running' "
+    "SELECT c.c_custkey AS task_id, CASE WHEN s.status = 'RUNNING' "
+    "AND s.ts >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY THEN 'already running' "
     "WHEN s.status = 'COMPLETED' AND s.ts >= (SELECT max(ts) FROM events) - INTERVAL 3 DAY THEN 'already completed' "
     f"END AS reason FROM customer c LEFT JOIN (SELECT user_id, {_STATUS} AS status, ts FROM ("
     "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1"

@@ -94,12 +94,14 @@ def points_only(cuts: list[int]) -> list[int]:
     return sorted(set(cuts))
 
 
-def segment_starts(segmented: DataFrame) -> DataFrame:
-    """Rows of every (shard, segment) and the rank its first row has in the shard.
+def segment_starts(segmented: DataFrame, key: str) -> DataFrame:
+    """Rows and last key of every (shard, segment) and the rank its first row has.
 
     The running sum sees one row per segment, a few per cut.
     """
-    sizes = segmented.groupBy(SHARD, *_SEGMENT).agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = segmented.groupBy(SHARD, *_SEGMENT).agg(
+        F.count(F.lit(1)).alias("_rows"), F.max(F.col(f"`{key}`")).alias("_last_key")
+    )
     before = Window.partitionBy(SHARD).orderBy(*_SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
     return sizes.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0).cast("bigint")))
 
@@ -176,7 +178,7 @@ def assign_batches(
         number = (F.row_number().over(order) - 1).cast("bigint")
         return df.withColumn("_rank", number).withColumn(BATCH, _div(F.col("_rank"), batch_size)).drop("_rank")
     segmented = with_segments(df, key, cuts)
-    starts = segment_starts(with_segments(df.select(SHARD, key), key, cuts))
+    starts = segment_starts(with_segments(df.select(SHARD, F.col(f"`{key}`")), key, cuts), key)
     plain = _sorted_ranks(segmented, starts, key).withColumn(BATCH, _div(F.col("_rank"), batch_size))
     columns = [F.col(f"`{c}`") for c in df.columns]
     out = plain.select(*columns, BATCH)
@@ -196,7 +198,7 @@ def batch_manifest(
         )
     else:
         segmented = with_segments(keyed, "_k", cuts)
-        starts = segment_starts(segmented)
+        starts = segment_starts(segmented, "_k")
         plain = _sorted_ranks(segmented, starts, "_k").select(
             SHARD,
             _div(F.col("_rank"), batch_size).alias(BATCH),
@@ -205,12 +207,7 @@ def batch_manifest(
             F.col("_k").alias("hi"),
         )
         # A hot segment holds one key, so its size and start say all.
-        hot = (
-            segmented.where(F.col("_place") % 2 == 1)
-            .groupBy(SHARD, *_SEGMENT)
-            .agg(F.count(F.lit(1)).alias("_rows"), F.max("_k").alias("_k"))
-            .join(starts.drop("_rows"), [SHARD, *_SEGMENT])
-        )
+        hot = starts.where(F.col("_place") % 2 == 1)
         end = F.col("_start") + F.col("_rows") - 1
         cut = _batch_pieces(_div(F.col("_start"), batch_size), _div(end, batch_size), hot)
         parts = plain.unionByName(
@@ -218,8 +215,8 @@ def batch_manifest(
                 SHARD,
                 BATCH,
                 _overlap(F.col("_start"), F.col("_rows"), batch_size).alias("n"),
-                F.col("_k").alias("lo"),
-                F.col("_k").alias("hi"),
+                F.col("_last_key").alias("lo"),
+                F.col("_last_key").alias("hi"),
             )
         )
     return parts.groupBy(SHARD, BATCH).agg(

@@ -6,7 +6,7 @@ import time
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timedelta
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,18 +104,28 @@ def _slices(low: int, high: int, parts: int) -> list[tuple[int | None, int]]:
     return [(None if a is None else a - 1, high if b is None else b - 1) for a, b in bounds]
 
 
-def _stats_line(spark: SparkSession, task: SyncTask, stats: Mapping[str, Any]) -> DataFrame:
-    row = {
-        "taskId": task.task_id,
-        "taskName": task.task_name or task.task_id,
-        "syncStats": {**stats, "taskId": task.task_id},
+def _new_stats(spec: SyncSpec, started: float) -> dict[str, Any]:
+    """Statistics of a run that has just begun."""
+    counters = (
+        "totalRecords shardCount scannedRecords filteredRecords processedRecords "
+        "completedShards failedShards skippedShards retryCount version"
+    ).split()
+    return {
+        "status": "RUNNING",
+        "startTime": int(started * 1000),
+        "maxFailedBatches": spec.options.max_failed_batches,
+        "failedBatches": [],
+        **dict.fromkeys(counters, 0),
     }
-    return control_rows(spark, [row], LINE)
 
 
-def _config_line(spark: SparkSession, task: SyncTask) -> DataFrame:
+def _stats_line(task: SyncTask, stats: Mapping[str, Any]) -> dict[str, Any]:
+    return {"taskId": task.task_id, "taskName": task.task_name, "syncStats": {**stats, "taskId": task.task_id}}
+
+
+def _config_line(task: SyncTask) -> dict[str, Any]:
     o = task.spec.options
-    row = {
+    return {
         "taskId": task.task_id,
         "taskName": task.task_name,
         "sourceType": task.source_type,
@@ -146,7 +156,6 @@ def _config_line(spark: SparkSession, task: SyncTask) -> DataFrame:
             for f in task.spec.fields
         ],
     }
-    return control_rows(spark, [row], LINE)
 
 
 def run(
@@ -175,7 +184,8 @@ def run(
     now = now or datetime.now()
     ledger, log = Ledger(spark, f"{state_path}/ledger"), CheckpointLog(spark, f"{state_path}/checkpoints")
     if guard:
-        reason = ledger.blocked(now).where(F.col("task_id") == task.task_id).first()
+        blocked = ledger.blocked(now, task.spec.options.global_timeout_s)
+        reason = blocked.where(F.col("task_id") == task.task_id).first()
         if reason is not None:
             raise TaskRejected(f"{reason['reason']}: {task.task_id}")
     for target in task.targets():
@@ -185,43 +195,34 @@ def run(
     spec = task.spec
     key = spec.checkpoint.source
     source = open_source(spark, task.source_type, spec, task.source_config)
-    ledger.append(_config_line(spark, task), now)
-    counts = source_counts(source, key)
-    stats: dict[str, Any] = {
-        "status": "COMPLETED",
-        "startTime": int(started * 1000),
-        "totalRecords": counts.total,
-        "shardCount": 0,
-        "maxFailedBatches": spec.options.max_failed_batches,
-        "scannedRecords": 0,
-        "filteredRecords": 0,
-        "processedRecords": 0,
-        "completedShards": 0,
-        "failedShards": 0,
-        "skippedShards": 0,
-        "retryCount": 0,
-        "failedBatches": [],
-        "persisted": True,
-        "version": 1,
-    }
-    error = None
-    if counts.total:
-        error = _deliver_slices(
-            spark, task, log, source, counts, stats, run_id, now, filter_key, mode, rules, slices, state_path
-        )
-    stats["duration"] = int((time.time() - started) * 1000)
-    line = _stats_line(spark, task, stats)
-    ledger.append(line, now)
-    if error is not None:
-        raise SyncFailed(error)
+    stats = _new_stats(spec, started)
+    ledger.append(control_rows(spark, [_config_line(task), _stats_line(task, stats)], LINE), now)
+    try:
+        counts = source_counts(source, key)
+        stats["totalRecords"], stats["status"] = counts.total, "COMPLETED"
+        if counts.total:
+            _deliver_slices(
+                spark, task, log, source, counts, stats, run_id, filter_key, mode, rules, slices, state_path
+            )
+    except Exception as e:
+        stats["status"] = "FAILED"
+        if not stats["failedBatches"]:
+            stats["failedBatches"] = [f"{run_id}: {type(e).__name__}: {e}"[:2000]]
+        raise
+    finally:
+        took = time.time() - started
+        stats["duration"], stats["persisted"], stats["version"] = int(took * 1000), True, 1
+        line = control_rows(spark, [_stats_line(task, stats)], LINE)
+        ledger.append(line, now + timedelta(seconds=took))
     return line.withColumn("syncStats", F.col("syncStats").dropFields("taskId")).select(
         "taskId", "taskName", "syncStats.*"
     )
 
 
 def _deliver_slices(
-    spark, task, log, source, counts, stats, run_id, now, filter_key, mode, rules, slices, state_path
-) -> str | None:
+    spark, task, log, source, counts, stats, run_id, filter_key, mode, rules, slices, state_path
+) -> None:
+    """Write what is pending, slice by slice, and note how far every shard got."""
     spec = task.spec
     key = spec.checkpoint.source
     shards = planned_shards(spark, counts.total, spec)
@@ -232,7 +233,7 @@ def _deliver_slices(
     per_shard = shard_counters(
         with_shards(pending, key, shards).select(
             SHARD,
-            F.col(f"`{key}`").alias("_k"),
+            F.col(f"`{key}`").cast("bigint").alias("_k"),
             (filter_key if filter_key is not None else F.lit("")).alias("_f"),
         ),
         F.col("_f"),
@@ -240,7 +241,7 @@ def _deliver_slices(
     ).collect()
     if not per_shard:
         stats["completedShards"] = shards
-        return None
+        return
     low = point.floor + 1 if point.floor is not None else None
     cuts: list[tuple[int | None, int | None]] = [(None, counts.high)]
     if slices > 1 and counts.high is not None:
@@ -257,25 +258,24 @@ def _deliver_slices(
         slice_id = f"{run_id}-{number}"
         if mode == "lenient":
             good, bad = split_bad_rows(part, spec, rules=rules)
-            bad.select(
-                F.lit(task.task_id).alias("task_id"), F.lit(slice_id).alias("run_id"), "*"
-            ).write.mode("overwrite").parquet(f"{state_path}/dead_letters/run_id={slice_id}")
+            bad.withColumn("task_id", F.lit(task.task_id)).write.mode("overwrite").parquet(
+                f"{state_path}/dead_letters/run_id={slice_id}"
+            )
         else:
             good = map_columns(part, spec, rules=rules)
         outcomes = fan_out(good, spec, task.targets(), run_id=slice_id)
         stats["retryCount"] += sum(o.attempts - 1 for o in outcomes)
         failed = [o for o in outcomes if not o.delivered]
         if failed:
-            stats["status"], stats["failedShards"] = "FAILED", shards
+            stats["failedShards"] = shards
             stats["failedBatches"] = [f"{slice_id}: {o.name}: {o.error}"[:2000] for o in failed]
-            return failed[0].error
+            raise SyncFailed(failed[0].error)
         last = number == len(cuts) - 1
         log.save(task.task_id, shards, _progress(point, shards, per_shard, upto, last), slice_id, datetime.now())
     stats["completedShards"] = shards
     stats["scannedRecords"] = sum(r["scanned_records"] for r in per_shard)
     stats["filteredRecords"] = sum(r["filtered_records"] for r in per_shard)
     stats["processedRecords"] = sum(r["processed_records"] for r in per_shard)
-    return None
 
 
 def _progress(point: ResumePoint, shards: int, per_shard, upto: int | None, last: bool) -> dict[int, int | None]:

@@ -111,6 +111,7 @@ class SyncOptions:
     max_shards: int = 64
     records_per_shard: int = 1_000_000
     max_failed_batches: int = 1_000
+    global_timeout_s: int = 86_400
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,7 @@ newest line per task. Secrets are masked before anything is written.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,8 +43,10 @@ LINE = (
 RECORDED, RECORDED_PY = "yyyy-MM-dd HH:mm:ss.SSSSSS", "%Y-%m-%d %H:%M:%S.%f"
 CONFIG, STATISTICS = "config", "stats"
 
-# Days a finished task stays known, and messages of line checks.
+# How long a finished task stays known and a silent run counts as
+# alive, and the messages of line checks.
 COMPLETED_DAYS = 3
+RUN_TIMEOUT_S = 86_400
 NO_TASK, NO_SOURCE, NO_TARGET, NO_TYPE = (
     "taskId is empty",
     "sourceConfig is empty",
@@ -123,13 +125,17 @@ def mark_persisted(stats: DataFrame, at: datetime | Column) -> DataFrame:
     )
 
 
-def blocked_tasks(stats: DataFrame, now: Column, days: int = COMPLETED_DAYS) -> DataFrame:
+def blocked_tasks(
+    stats: DataFrame, now: Column, days: int = COMPLETED_DAYS, timeout_s: int = RUN_TIMEOUT_S
+) -> DataFrame:
     """Tasks that may not start: running, or completed within the last ``days``.
 
-    ``stats``: one row per task with task_id, status and ts.
+    ``stats``: one row per task with task_id, status and ts. A run that has not
+    reported for ``timeout_s`` counts as dead, not as running.
     """
     recent = F.col("ts") >= now - F.make_dt_interval(F.lit(days))
-    reason = F.when(F.col("status") == "RUNNING", F.lit("already running")).when(
+    alive = F.col("ts") >= now - F.make_dt_interval(secs=F.lit(timeout_s))
+    reason = F.when((F.col("status") == "RUNNING") & alive, F.lit("already running")).when(
         (F.col("status") == "COMPLETED") & recent, F.lit("already completed")
     )
     return stats.select("task_id", reason.alias("reason")).where(F.col("reason").isNotNull())
@@ -200,12 +206,13 @@ class Ledger:
             raise LookupError(f"no such task: {task_id}")
         return found
 
-    def blocked(self, now: datetime) -> DataFrame:
-        """Tasks that may not start at ``now``."""
-        recent = self.stats().select(
+    def blocked(self, now: datetime, timeout_s: int = RUN_TIMEOUT_S) -> DataFrame:
+        """Tasks that may not start at ``now``; older days cannot block any more."""
+        since = now - timedelta(days=COMPLETED_DAYS, seconds=timeout_s)
+        recent = self.stats(since).select(
             F.col("taskId").alias("task_id"),
             F.col("syncStats.status").alias("status"),
             F.to_timestamp_ntz("recordedAt", F.lit(RECORDED)).alias("ts"),
         )
-        return blocked_tasks(recent, F.lit(now).cast("timestamp_ntz"))
+        return blocked_tasks(recent, F.lit(now).cast("timestamp_ntz"), timeout_s=timeout_s)
 
