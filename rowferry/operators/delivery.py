@@ -8,10 +8,12 @@ Delivery is at least once; a lost executor re-sends the batches of its task.
 
 from __future__ import annotations
 
+import sys
 import time
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ from rowferry.operators.sharding import SHARD
 from rowferry.spec import SyncOptions
 from rowferry.storage import materialize
 
+# Delivery code travels with the job, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+
 OUTCOME = (
     "shard_id bigint, batch_id bigint, n_rows bigint, attempts int, retries int, waited_ms bigint, "
     "start_ms bigint, end_ms bigint, delivered boolean, error string"

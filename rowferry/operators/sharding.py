@@ -14,7 +14,7 @@ def shard_of(key: str | Column, shards: int, *, how: str = "pmod") -> Column:
     pmod:   every key has a shard; NULL keys go to shard 0 (default)
     signed: remainder with the sign of the key; negative keys with a remainder
             and NULL keys belong to no shard (older behaviour)
-    abs:    remainder of the absolute key
+    abs:    remainder of the absolute key; NULL keys belong to no shard
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
@@ -33,7 +33,7 @@ def shard_of(key: str | Column, shards: int, *, how: str = "pmod") -> Column:
 def with_shards(df: DataFrame, key: str, shards: int, *, how: str = "pmod") -> DataFrame:
     """Add ``shard_id``; rows that belong to no shard are not part of any scan."""
     out = df.withColumn(SHARD, shard_of(key, shards, how=how))
-    return out.where(F.col(SHARD).isNotNull()) if how == "signed" else out
+    return out if how == "pmod" else out.where(F.col(SHARD).isNotNull())
 
 
 def one_shard(df: DataFrame, key: str, shards: int, shard: int, *, how: str = "pmod") -> DataFrame:

@@ -107,7 +107,7 @@ def mod_predicates(
         if high is not None:
             limits.append(f"{k} <= {high}")
         condition = " AND ".join([test, *limits])
-        if shard == 0 and how != "signed" and bound is None:
+        if shard == 0 and how == "pmod" and bound is None:
             condition = f"({condition}) OR {k} IS NULL"
         out.append(condition)
     return out
