@@ -19,11 +19,11 @@ from rowferry.operators.mapping import map_columns, split_bad_rows
 from rowferry.operators.resume import ResumePoint, resume_filter, resume_point
 from rowferry.operators.sharding import SHARD, stride_bounds, with_shards
 from rowferry.sinks.registry import Target, fan_out, find_sink
-from rowferry.sources.registry import open_source
+from rowferry.sources.registry import DATABASES, open_source
 from rowferry.spec import SyncSpec
 from rowferry.state.checkpoints import CheckpointLog
 from rowferry.state.ledger import LINE, Ledger
-from rowferry.storage import control_rows
+from rowferry.storage import control_rows, materialize
 
 # What a task request must bring, and what is said when it does not.
 REQUIRED = (
@@ -167,6 +167,7 @@ def run(
     mode: str = "strict",
     rules: Rules = DEFAULT_RULES,
     slices: int = 1,
+    stage: bool | None = None,
     guard: bool = True,
     now: datetime | None = None,
 ) -> DataFrame:
@@ -175,8 +176,10 @@ def run(
     The largest key is fixed before anything is read, so rows that arrive later
     belong to the next run. Rows are written from natural scan partitions; shards
     only label checkpoints and counters, so the run needs no shuffle. ``slices``
-    cuts the key range so that a failure costs one slice. In ``lenient`` mode rows
-    that cannot be converted go to ``<state>/dead_letters``.
+    cuts the key range so that a failure costs one slice. ``stage`` lands the mapped
+    rows once for all targets; left open, that is done for several targets fed from
+    a database, while files are simply read again. In ``lenient`` mode rows that
+    cannot be converted go to ``<state>/dead_letters``.
     """
     problem = task.error()
     if problem:
@@ -195,6 +198,8 @@ def run(
     spec = task.spec
     key = spec.checkpoint.source
     source = open_source(spark, task.source_type, spec, task.source_config)
+    if stage is None:
+        stage = len(task.targets()) > 1 and task.source_type.strip().lower() in DATABASES
     stats = _new_stats(spec, started)
     ledger.append(control_rows(spark, [_config_line(task), _stats_line(task, stats)], LINE), now)
     try:
@@ -202,7 +207,7 @@ def run(
         stats["totalRecords"], stats["status"] = counts.total, "COMPLETED"
         if counts.total:
             _deliver_slices(
-                spark, task, log, source, counts, stats, run_id, filter_key, mode, rules, slices, state_path
+                spark, task, log, source, counts, stats, run_id, filter_key, mode, rules, slices, stage, state_path
             )
     except Exception as e:
         stats["status"] = "FAILED"
@@ -220,7 +225,7 @@ def run(
 
 
 def _deliver_slices(
-    spark, task, log, source, counts, stats, run_id, filter_key, mode, rules, slices, state_path
+    spark, task, log, source, counts, stats, run_id, filter_key, mode, rules, slices, stage, state_path
 ) -> None:
     """Write what is pending, slice by slice, and note how far every shard got."""
     spec = task.spec
@@ -247,6 +252,7 @@ def _deliver_slices(
     if slices > 1 and counts.high is not None:
         first = source.agg(F.min(F.col(f"`{key}`").cast("bigint"))).first()[0] if low is None else low
         cuts = _slices(first, counts.high, slices)
+    set_aside = 0
     for number, (after, upto) in enumerate(cuts):
         k = F.col(f"`{key}`").cast("bigint")
         part = pending
@@ -258,11 +264,13 @@ def _deliver_slices(
         slice_id = f"{run_id}-{number}"
         if mode == "lenient":
             good, bad = split_bad_rows(part, spec, rules=rules)
-            bad.withColumn("task_id", F.lit(task.task_id)).write.mode("overwrite").parquet(
-                f"{state_path}/dead_letters/run_id={slice_id}"
-            )
+            folder = f"{state_path}/dead_letters/run_id={slice_id}"
+            bad.withColumn("task_id", F.lit(task.task_id)).write.mode("overwrite").parquet(folder)
+            set_aside += spark.read.schema(bad.schema).parquet(folder).count()
         else:
             good = map_columns(part, spec, rules=rules)
+        if stage:
+            good = materialize(good, "stage")
         outcomes = fan_out(good, spec, task.targets(), run_id=slice_id)
         stats["retryCount"] += sum(o.attempts - 1 for o in outcomes)
         failed = [o for o in outcomes if not o.delivered]
@@ -275,7 +283,7 @@ def _deliver_slices(
     stats["completedShards"] = shards
     stats["scannedRecords"] = sum(r["scanned_records"] for r in per_shard)
     stats["filteredRecords"] = sum(r["filtered_records"] for r in per_shard)
-    stats["processedRecords"] = sum(r["processed_records"] for r in per_shard)
+    stats["processedRecords"] = sum(r["processed_records"] for r in per_shard) - set_aside
 
 
 def _progress(point: ResumePoint, shards: int, per_shard, upto: int | None, last: bool) -> dict[int, int | None]:

@@ -18,30 +18,53 @@ from rowferry.operators.resume import ResumePoint
 DEFAULT_FETCH_SIZE = 1_000
 
 
-def quoted(name: str) -> str:
-    """Delimited identifier; Spark quotes column names the same way by default."""
+def _is(url: str, *kinds: str) -> bool:
+    return any(url.lower().startswith(f"jdbc:{kind}:") for kind in kinds)
+
+
+def quoted(name: str, url: str = "") -> str:
+    """Delimited identifier in the database's own style."""
+    if _is(url, "mysql", "mariadb"):
+        return "`" + name.replace("`", "``") + "`"
     return '"' + name.replace('"', '""') + '"'
 
 
+def modulo(value: str, n: int, url: str = "") -> str:
+    """Remainder with the sign of ``value``."""
+    return f"({value} % {n})" if _is(url, "sqlserver") else f"MOD({value}, {n})"
+
+
 def jdbc_options(config: Mapping[str, Any], table: str, *, fetch_size: int = DEFAULT_FETCH_SIZE) -> dict[str, str]:
-    """Reader options from a source config (``url``, ``username``, ``password``, ``driver``...)."""
+    """Reader options from a source config (``url``, ``username``, ``password``, ``driver``...).
+
+    MySQL hands out rows in fetch-size steps only through a cursor; without one its
+    driver would load a whole partition into memory.
+    """
     known = {"username": "user"}
     out = {known.get(k, k): str(v) for k, v in config.items() if v is not None}
     out["dbtable"] = table
     out.setdefault("fetchsize", str(fetch_size))
+    if _is(out.get("url", ""), "mysql"):
+        out.setdefault("useCursorFetch", "true")
     return out
 
 
-def bounds_query(table: str, key: str) -> str:
+def bounds_query(table: str, key: str, url: str = "") -> str:
     """Row count and key range in one statement."""
-    k = quoted(key)
+    k = quoted(key, url)
     return f"SELECT COUNT(*) AS n_rows, MIN({k}) AS low, MAX({k}) AS high FROM {table}"
 
 
-def max_key_query(table: str, key: str, shards: int) -> str:
+def max_key_query(table: str, key: str, shards: int, url: str = "") -> str:
     """Largest key of every shard in one grouped scan."""
-    k = quoted(key)
-    return f"SELECT MOD({k}, {shards}) AS shard_id, MAX({k}) AS max_key FROM {table} GROUP BY MOD({k}, {shards})"
+    k = quoted(key, url)
+    shard = modulo(k, shards, url)
+    return f"SELECT {shard} AS shard_id, MAX({k}) AS max_key FROM {table} GROUP BY {shard}"
+
+
+def column_name(df: DataFrame, name: str) -> str:
+    """The column's own spelling; names match without regard to case."""
+    return next((c for c in df.columns if c.lower() == name.lower()), name)
 
 
 def query(spark: SparkSession, options: Mapping[str, str], sql: str) -> DataFrame:
@@ -72,10 +95,10 @@ def read_ranges(
     return spark.read.format("jdbc").options(**options, **range_options(key, low, high, partitions)).load()
 
 
-def range_predicates(key: str, cuts: Sequence[int]) -> list[str]:
+def range_predicates(key: str, cuts: Sequence[int], url: str = "") -> list[str]:
     """One condition per key range between sorted ``cuts``, for keys that are not
     spread evenly (cuts can be quantiles). Rows without a key go to the first."""
-    k = quoted(key)
+    k = quoted(key, url)
     points = sorted(set(cuts))
     if not points:
         return ["1 = 1"]
@@ -85,23 +108,29 @@ def range_predicates(key: str, cuts: Sequence[int]) -> list[str]:
 
 
 def mod_predicates(
-    key: str, shards: int, *, how: str = "pmod", point: ResumePoint | None = None, high: int | None = None
+    key: str,
+    shards: int,
+    *,
+    how: str = "pmod",
+    point: ResumePoint | None = None,
+    high: int | None = None,
+    url: str = "",
 ) -> list[str]:
     """One condition per modulo shard, with the resume bounds of the shard.
 
     Every condition makes the database test each row, so prefer ranges unless
     shard numbers must line up with older checkpoints.
     """
-    k, out = quoted(key), []
+    k, out = quoted(key, url), []
+    remainders = {
+        "signed": modulo(k, shards, url),
+        "abs": modulo(f"ABS({k})", shards, url),
+        "pmod": modulo(f"({modulo(k, shards, url)} + {shards})", shards, url),
+    }
+    if how not in remainders:
+        raise ValueError("how must be 'pmod', 'signed' or 'abs'")
     for shard in range(shards):
-        if how == "signed":
-            test = f"MOD({k}, {shards}) = {shard}"
-        elif how == "abs":
-            test = f"MOD(ABS({k}), {shards}) = {shard}"
-        elif how == "pmod":
-            test = f"MOD(MOD({k}, {shards}) + {shards}, {shards}) = {shard}"
-        else:
-            raise ValueError("how must be 'pmod', 'signed' or 'abs'")
+        test = f"{remainders[how]} = {shard}"
         bound = point.bounds.get(shard) if point else None
         limits = [f"{k} > {bound}"] if bound is not None else []
         if high is not None:

@@ -17,6 +17,7 @@ Source = Callable[[SparkSession, SyncSpec, Mapping[str, Any]], DataFrame]
 
 # Database kinds all read through JDBC.
 DATABASES = ("jdbc", "mysql", "postgresql", "oracle", "sqlserver")
+DEFAULT_PARTITIONS = 64
 FILES = ("parquet", "json", "csv", "orc")
 
 _sources: dict[str, Source] = {}
@@ -44,15 +45,17 @@ def open_source(spark: SparkSession, kind: str, spec: SyncSpec, config: Mapping[
 def _database(spark: SparkSession, spec: SyncSpec, config: Mapping[str, Any]) -> DataFrame:
     """Range-strided scan over the key, or one connection when asked for one partition."""
     config = dict(config)
-    partitions = int(config.pop("partitions", 64))
-    options = jdbc.jdbc_options(config, spec.source_table, fetch_size=spec.options.batch_size)
-    key = spec.checkpoint.source
+    partitions = int(config.pop("partitions", DEFAULT_PARTITIONS))
+    table = spec.source_table
+    options = jdbc.jdbc_options(config, table, fetch_size=spec.options.batch_size)
+    whole = jdbc.read_table(spark, options)
     if partitions <= 1:
-        return jdbc.read_table(spark, options)
-    found = jdbc.query(spark, options, jdbc.bounds_query(spec.source_table, key)).first()
-    if found is None or found[1] is None:
-        return jdbc.read_table(spark, options)
-    return jdbc.read_ranges(spark, options, key, int(found[1]), int(found[2]), partitions)
+        return whole
+    key, url = jdbc.column_name(whole, spec.checkpoint.source), options["url"]
+    _, low, high = jdbc.query(spark, options, jdbc.bounds_query(table, key, url)).first()
+    if low is None:
+        return whole
+    return jdbc.read_ranges(spark, options, key, int(low), int(high), partitions)
 
 
 def _files(fmt: str) -> Source:

@@ -128,7 +128,8 @@ def test_lenient_run(spark, tmp_path):
     land(spark, tmp_path / "source", 0, 60, bad=(7, 33))
     with pytest.raises(SyncFailed, match="cannot convert"):
         run(spark, task(tmp_path), str(tmp_path / "strict"), now=DAY)
-    run(spark, task(tmp_path), str(tmp_path / "state"), mode="lenient", now=DAY)
+    out = run(spark, task(tmp_path), str(tmp_path / "state"), mode="lenient", now=DAY).first()
+    assert (out["scannedRecords"], out["processedRecords"]) == (60, 58)
     assert target_ids(spark, tmp_path) == [i for i in range(60) if i not in (7, 33)]
     dead = spark.read.parquet(str(tmp_path / "state" / "dead_letters")).collect()
     assert {(r["record_id"], r["reason"], r["task_id"]) for r in dead} == {
@@ -140,7 +141,7 @@ def test_lenient_run(spark, tmp_path):
 def test_two_targets(spark, tmp_path):
     land(spark, tmp_path / "source", 0, 30)
     both = task(tmp_path, more_targets=(Target("json", {"path": str(tmp_path / "second")}),))
-    run(spark, both, str(tmp_path / "state"))
+    run(spark, both, str(tmp_path / "state"), stage=True)
     assert spark.read.json(str(tmp_path / "second")).count() == len(target_ids(spark, tmp_path)) == 30
 
 

@@ -161,3 +161,6 @@ def test_jdbc_options():
         'SELECT COUNT(*) AS n_rows, MIN("time") AS low, MAX("time") AS high FROM log'
     )
     assert jdbc.max_key_query("log", "id", 3).endswith('GROUP BY MOD("id", 3)')
+    assert jdbc.jdbc_options({"url": "jdbc:mysql://h/d"}, "log")["useCursorFetch"] == "true"
+    assert jdbc.bounds_query("log", "time", "jdbc:mysql://h/d").startswith("SELECT COUNT(*) AS n_rows, MIN(`time`)")
+    assert jdbc.mod_predicates("id", 2, how="signed", url="jdbc:sqlserver://h") == ['("id" % 2) = 0', '("id" % 2) = 1']
