@@ -91,7 +91,7 @@ def _to_integral(col: Column, src: T.DataType, name: str, rules: Rules) -> Colum
     to = spark_type(name, extra=True)
     bits = _BITS[name]
     if isinstance(src, T.StringType):
-        return dates.whole_number(dates.java_trim(col), to.simpleString())
+        return dates.number_text(col, dates.WHOLE, to.simpleString())
     if isinstance(src, _INT_TYPES):
         if _WIDTH[type(src)] <= bits:
             return col.cast(to)
@@ -123,15 +123,13 @@ def _to_floating(col: Column, src: T.DataType, to: T.DataType) -> Column:
     if isinstance(src, _NUMERIC):
         return col.cast(to)
     if isinstance(src, T.StringType):
-        text = dates.java_trim(col)
-        return F.when(text.rlike(dates.FLOATING), text.try_cast(to))
+        return dates.number_text(col, dates.FLOATING, to.simpleString())
     return _null(to)
 
 
 def _to_decimal(col: Column, src: T.DataType, to: T.DataType) -> Column:
     if isinstance(src, T.StringType):
-        text = dates.java_trim(col)
-        return F.when(text.rlike(dates.DECIMAL), text.try_cast(to))
+        return dates.number_text(col, dates.DECIMAL, to.simpleString())
     if isinstance(src, _NUMERIC):
         return col.try_cast(to)
     return _null(to)
@@ -146,7 +144,7 @@ def _to_big_integer(col: Column, src: T.DataType) -> Column:
     if isinstance(src, _INT_TYPES):
         return col.cast(to)
     if isinstance(src, T.StringType):
-        return dates.whole_number(dates.java_trim(col), to.simpleString())
+        return dates.number_text(col, dates.WHOLE, to.simpleString())
     return _null(to)
 
 
