@@ -106,11 +106,24 @@ def segment_starts(segmented: DataFrame, key: str) -> DataFrame:
     return sizes.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0).cast("bigint")))
 
 
+def _row_hash(df: DataFrame, columns: list[str]) -> Column:
+    """Content of a row as a number, to order rows that share a key the same way
+    whenever a task runs again. Map columns cannot be hashed and are left out."""
+    hashed = [c for c in columns if "map<" not in df.schema[c].dataType.simpleString()]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in hashed]) if hashed else F.lit(0).cast("bigint")
+
+
+def _order(df: DataFrame, key: str) -> list[Column]:
+    """Key order, made total by the other columns."""
+    rest = [c for c in df.columns if c not in (key, SHARD, *_SEGMENT)]
+    return [F.col(f"`{key}`"), _row_hash(df, rest)] if rest else [F.col(f"`{key}`")]
+
+
 def _sorted_ranks(segmented: DataFrame, starts: DataFrame, key: str) -> DataFrame:
     """Rank in the shard of rows outside hot segments."""
     plain = segmented.where(F.col("_place") % 2 == 0)
     at = starts.where(F.col("_place") % 2 == 0).select(SHARD, *_SEGMENT, "_start")
-    order = Window.partitionBy(SHARD, *_SEGMENT).orderBy(F.col(f"`{key}`"))
+    order = Window.partitionBy(SHARD, *_SEGMENT).orderBy(*_order(segmented, key))
     return plain.join(at, [SHARD, *_SEGMENT]).withColumn("_rank", F.col("_start") + F.row_number().over(order) - 1)
 
 
@@ -144,7 +157,7 @@ def _hot_rows(segmented: DataFrame, starts: DataFrame, columns: list[str], batch
     distinct = hot.groupBy(SHARD, *_SEGMENT, *[F.col(f"`{c}`") for c in held]).agg(
         F.count(F.lit(1)).alias("_copies")
     )
-    distinct = distinct.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in held]))
+    distinct = distinct.withColumn("_tie", _row_hash(distinct, held))
     spread = distinct.join(subs, [SHARD, *_SEGMENT]).withColumn("_sub", F.pmod("_tie", "_subs"))
     sub_rows = spread.groupBy(SHARD, *_SEGMENT, "_sub").agg(F.sum("_copies").alias("_sub_rows"))
     before = Window.partitionBy(SHARD, *_SEGMENT).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
@@ -174,7 +187,7 @@ def assign_batches(
     """Add ``batch_id`` to a frame that has ``shard_id``. Pass ``rows`` if already counted."""
     cuts = _plan_cuts(df, key, rows, rows_per_group)
     if cuts is None:
-        order = Window.partitionBy(SHARD).orderBy(F.col(f"`{key}`"))
+        order = Window.partitionBy(SHARD).orderBy(*_order(df, key))
         number = (F.row_number().over(order) - 1).cast("bigint")
         return df.withColumn("_rank", number).withColumn(BATCH, _div(F.col("_rank"), batch_size)).drop("_rank")
     segmented = with_segments(df, key, cuts)

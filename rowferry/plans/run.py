@@ -19,8 +19,8 @@ from rowferry.operators.mapping import map_columns, split_bad_rows
 from rowferry.operators.resume import ResumePoint, resume_filter, resume_point
 from rowferry.operators.sharding import SHARD, stride_bounds, with_shards
 from rowferry.sinks.registry import Target, fan_out, find_sink
-from rowferry.sources.registry import DATABASES, open_source
-from rowferry.spec import SyncSpec
+from rowferry.sources.registry import DATABASES, known_counts, open_source
+from rowferry.spec import OPTION_NAMES, SyncOptions, SyncSpec
 from rowferry.state.checkpoints import CheckpointLog
 from rowferry.state.ledger import LINE, Ledger
 from rowferry.storage import control_rows, materialize
@@ -57,6 +57,25 @@ class SyncTask:
     spec: SyncSpec
     more_targets: Sequence[Target] = field(default_factory=tuple)
 
+    @classmethod
+    def from_request(cls, request: Mapping[str, Any]) -> SyncTask:
+        """From the body of a task request (``taskId``, ``sourceConfig``, ``fields``, ...)."""
+        spec = SyncSpec.from_fields(
+            request.get("fields") or (),
+            source_table=request.get("sourceFieldName") or "",
+            target_table=request.get("targetFieldName") or "",
+            options=SyncOptions.from_config(request.get("syncConfig")),
+        )
+        return cls(
+            task_id=request.get("taskId"),
+            task_name=request.get("taskName"),
+            source_type=request.get("sourceType"),
+            destination_type=request.get("destinationType"),
+            source_config=request.get("sourceConfig"),
+            destination_config=request.get("destinationConfig"),
+            spec=spec,
+        )
+
     def error(self) -> str | None:
         """First missing entry, in the order of ``REQUIRED``."""
         for name, message in REQUIRED:
@@ -124,7 +143,6 @@ def _stats_line(task: SyncTask, stats: Mapping[str, Any]) -> dict[str, Any]:
 
 
 def _config_line(task: SyncTask) -> dict[str, Any]:
-    o = task.spec.options
     return {
         "taskId": task.task_id,
         "taskName": task.task_name,
@@ -132,15 +150,7 @@ def _config_line(task: SyncTask) -> dict[str, Any]:
         "destinationType": task.destination_type,
         "sourceConfig": {k: str(v) for k, v in task.source_config.items()},
         "desConfig": {k: str(v) for k, v in task.destination_config.items()},
-        "syncConfig": {
-            "batchSize": o.batch_size,
-            "maxRetries": o.max_retries,
-            "retryInitialDelay": o.retry_initial_delay_ms,
-            "retryBackoffFactor": o.retry_backoff_factor,
-            "minShards": o.min_shards,
-            "maxShards": o.max_shards,
-            "recordsPerShard": o.records_per_shard,
-        },
+        "syncConfig": {name: getattr(task.spec.options, option) for name, option in OPTION_NAMES.items()},
         "sourceFieldName": task.spec.source_table,
         "targetFieldName": task.spec.target_table,
         "fields": [
@@ -203,7 +213,8 @@ def run(
     stats = _new_stats(spec, started)
     ledger.append(control_rows(spark, [_config_line(task), _stats_line(task, stats)], LINE), now)
     try:
-        counts = source_counts(source, key)
+        known = known_counts(spark, task.source_type, spec, task.source_config)
+        counts = Counts(*known) if known else source_counts(source, key)
         stats["totalRecords"], stats["status"] = counts.total, "COMPLETED"
         if counts.total:
             _deliver_slices(

@@ -76,13 +76,66 @@ def write_jdbc(mapped: DataFrame, spec: SyncSpec, config: Mapping[str, Any]) ->
     mapped.write.format("jdbc").mode("append").options(**options).save()
 
 
+# Names of producer settings in a target config, what they are called
+# as writer options, and their defaults.
+PRODUCER = {
+    "bootstrapServers": "kafka.bootstrap.servers",
+    "producer-batch-size": "kafka.batch.size",
+    "producer-linger-ms": "kafka.linger.ms",
+    "producer-acks": "kafka.acks",
+    "producer-retries": "kafka.retries",
+    "producer-enable-idempotence": "kafka.enable.idempotence",
+}
+PRODUCER_DEFAULTS = {
+    "kafka.batch.size": "16384",
+    "kafka.linger.ms": "5",
+    "kafka.acks": "all",
+    "kafka.retries": "3",
+    "kafka.enable.idempotence": "true",
+}
+PRODUCER_SECURITY = {
+    "security-protocol": "kafka.security.protocol",
+    "sasl-mechanism": "kafka.sasl.mechanism",
+    "sasl-jaas-config": "kafka.sasl.jaas.config",
+    "ssl-truststore-location": "kafka.ssl.truststore.location",
+    "ssl-truststore-password": "kafka.ssl.truststore.password",
+    "ssl-keystore-location": "kafka.ssl.keystore.location",
+    "ssl-keystore-password": "kafka.ssl.keystore.password",
+    "ssl-endpoint-identification-algorithm": "kafka.ssl.endpoint.identification.algorithm",
+}
+
+
+def kafka_options(config: Mapping[str, Any]) -> dict[str, str]:
+    """Writer options of a message target: named settings are translated, ``kafka.*``
+    entries pass through, security settings count under SASL_SSL only."""
+    names = dict(PRODUCER)
+    out = dict(PRODUCER_DEFAULTS)
+    if config.get("security-protocol") == "SASL_SSL":
+        names.update(PRODUCER_SECURITY)
+        out |= {"kafka.sasl.mechanism": "PLAIN", "kafka.ssl.endpoint.identification.algorithm": ""}
+    out |= {names[k]: str(v) for k, v in config.items() if k in names and v is not None}
+    return out | {k: str(v) for k, v in config.items() if k.startswith("kafka.")}
+
+
+def index_options(config: Mapping[str, Any]) -> dict[str, str]:
+    """Connector options of a search-index target (``clusterNodes``, ``username``, ...)."""
+    names = {
+        "clusterNodes": "es.nodes",
+        "username": "es.net.http.auth.user",
+        "password": "es.net.http.auth.pass",
+    }
+    out = {"es.nodes": "localhost:9200"}
+    out |= {names[k]: str(v) for k, v in config.items() if k in names and v}
+    return out | {k: str(v) for k, v in config.items() if k.startswith("es.")}
+
+
 def write_kafka(mapped: DataFrame, spec: SyncSpec, config: Mapping[str, Any]) -> None:
-    """Message records to Kafka (``kafka.*`` options pass through) or to JSON files."""
+    """Message records to Kafka, or to JSON files when the config names a ``path``."""
     records = frames.kafka_records(mapped, spec, config.get("topic"))
     if config.get("path"):
         records.write.mode("append").json(config["path"])
     else:
-        records.write.format("kafka").options(**_rest(config)).save()
+        records.write.format("kafka").options(**kafka_options(config)).save()
 
 
 def write_index(mapped: DataFrame, spec: SyncSpec, config: Mapping[str, Any]) -> None:
@@ -91,7 +144,7 @@ def write_index(mapped: DataFrame, spec: SyncSpec, config: Mapping[str, Any]) ->
     if config.get("path"):
         frames.bulk_lines(documents).write.mode("append").text(config["path"])
         return
-    options = _rest(config)
+    options = index_options(config)
     if spec.id_field:
         options["es.mapping.id"] = spec.id_field.target
     index = config.get("index") or spec.target_table

@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rowferry.operators.resume import ResumePoint
 
-# Fixed value: rows fetched per round trip when nothing else is said.
+# Rows fetched per round trip when nothing else is said, and config
+# entries that belong to other kinds of target.
 DEFAULT_FETCH_SIZE = 1_000
+OTHER_TARGETS = ("bootstrapServers", "clusterNodes", "disableSslVerification")
 
 
 def _is(url: str, *kinds: str) -> bool:
@@ -41,7 +43,7 @@ def jdbc_options(config: Mapping[str, Any], table: str, *, fetch_size: int = DEF
     driver would load a whole partition into memory.
     """
     known = {"username": "user"}
-    out = {known.get(k, k): str(v) for k, v in config.items() if v is not None}
+    out = {known.get(k, k): str(v) for k, v in config.items() if v is not None and k not in OTHER_TARGETS}
     out["dbtable"] = table
     out.setdefault("fetchsize", str(fetch_size))
     if _is(out.get("url", ""), "mysql"):

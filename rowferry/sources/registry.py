@@ -43,21 +43,36 @@ def open_source(spark: SparkSession, kind: str, spec: SyncSpec, config: Mapping[
 
 
 def _database(spark: SparkSession, spec: SyncSpec, config: Mapping[str, Any]) -> DataFrame:
-    """Range-strided scan over the key, or one connection when asked for one partition."""
-    config = dict(config)
-    partitions = int(config.pop("partitions", DEFAULT_PARTITIONS))
-    table = spec.source_table
+    """Range-strided scan over the key. ``partitions`` sets the number of ranges (one
+    connection each); ``shards`` asks for modulo shards instead."""
+    config, table = dict(config), spec.source_table
+    partitions, shards = int(config.pop("partitions", DEFAULT_PARTITIONS)), int(config.pop("shards", 0))
     options = jdbc.jdbc_options(config, table, fetch_size=spec.options.batch_size)
-    whole = jdbc.read_table(spark, options)
+    whole, url = jdbc.read_table(spark, options), options["url"]
+    key = jdbc.column_name(whole, spec.checkpoint.source)
+    if shards:
+        return jdbc.read_shards(spark, options, jdbc.mod_predicates(key, shards, url=url))
     if partitions <= 1:
         return whole
-    key, url = jdbc.column_name(whole, spec.checkpoint.source), options["url"]
     _, low, high = jdbc.query(spark, options, jdbc.bounds_query(table, key, url)).first()
     if low is None:
         return whole
     return jdbc.read_ranges(spark, options, key, int(low), int(high), partitions)
 
 
+def known_counts(
+    spark: SparkSession, kind: str, spec: SyncSpec, config: Mapping[str, Any]
+) -> tuple[int, int | None] | None:
+    """(rows, largest key) as the database itself counts them; None for other sources."""
+    if _sources.get(kind.strip().lower()) is not _database:
+        return None
+    table = spec.source_table
+    options = jdbc.jdbc_options({k: v for k, v in config.items() if k not in ("partitions", "shards")}, table)
+    key = jdbc.column_name(jdbc.read_table(spark, options), spec.checkpoint.source)
+    rows, _, high = jdbc.query(spark, options, jdbc.bounds_query(table, key, options["url"])).first()
+    return int(rows), None if high is None else int(high)
+
+
 def _files(fmt: str) -> Source:
     def read(spark: SparkSession, spec: SyncSpec, config: Mapping[str, Any]) -> DataFrame:
         options = {k: str(v) for k, v in config.items() if k != "path"}

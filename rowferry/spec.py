@@ -114,6 +114,26 @@ class SyncOptions:
     global_timeout_s: int = 86_400
 
 
+    @classmethod
+    def from_config(cls, config: Mapping[str, Any] | None) -> SyncOptions:
+        """From the ``syncConfig`` of a task request; other entries do not apply here."""
+        given = {OPTION_NAMES[k]: v for k, v in (config or {}).items() if k in OPTION_NAMES and v is not None}
+        return cls(**given)
+
+
+# Entries of a request's ``syncConfig`` and the options they set.
+OPTION_NAMES = {
+    "batchSize": "batch_size",
+    "maxRetries": "max_retries",
+    "retryInitialDelay": "retry_initial_delay_ms",
+    "retryBackoffFactor": "retry_backoff_factor",
+    "minShards": "min_shards",
+    "maxShards": "max_shards",
+    "recordsPerShard": "records_per_shard",
+    "globalTimeout": "global_timeout_s",
+}
+
+
 @dataclass(frozen=True)
 class SyncSpec:
     """Field list plus table names. Exactly one field is the checkpoint."""

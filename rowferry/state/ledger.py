@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from rowferry.functions.encode import ledger_time, redact_map
+from rowferry.functions.encode import ledger_time, redact_map, redact_url
 from rowferry.operators.records import first_failure, is_empty, is_empty_map, latest_per_key
 from rowferry.storage import no_rows
 
 # The envelope of a ledger line.
 SYNC_CONFIG = (
     "struct<batchSize int, maxRetries int, retryInitialDelay bigint, retryBackoffFactor double, "
-    "minShards int, maxShards int, recordsPerShard bigint>"
+    "minShards int, maxShards int, recordsPerShard bigint, globalTimeout int>"
 )
 FIELDS = (
     "array<struct<javaField string, sourceType string, targetType string, sourceField string, "
@@ -75,9 +75,13 @@ def as_lines(df: DataFrame, values: Mapping[str, Column], stats: Mapping[str, Co
 
 
 def redacted(lines: DataFrame) -> DataFrame:
-    """Lines with the secrets of both connection configs masked."""
-    return lines.withColumn("sourceConfig", redact_map(F.col("sourceConfig"))).withColumn(
-        "desConfig", redact_map(F.col("desConfig"))
+    """Lines with the secrets of both connection configs and of error texts masked."""
+    stats = F.col("syncStats")
+    failures = F.transform(stats["failedBatches"], redact_url)
+    return (
+        lines.withColumn("sourceConfig", redact_map(F.col("sourceConfig")))
+        .withColumn("desConfig", redact_map(F.col("desConfig")))
+        .withColumn("syncStats", F.when(stats.isNotNull(), stats.withField("failedBatches", failures)))
     )
 
 

@@ -3,7 +3,7 @@
 Each run takes the files that arrived since the last one, writes them and stops.
 The stream's own checkpoint is the resume point; every micro-batch owns a
 ``batch_id`` partition of the target and replaces it when it is replayed, so the
-target holds each source row once.
+target holds each source row once. A target belongs to one stream.
 """
 
 from __future__ import annotations
@@ -26,11 +26,16 @@ def _pattern(path: str) -> str:
 
 
 def write_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """Sink for ``foreachBatch``: the batch replaces its own partition."""
+    """Sink for ``foreachBatch``: a batch replaces its own partition.
+
+    Batch 0 replaces the whole target: a stream that starts over delivers every file
+    again, perhaps in other batches than before.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        replaced = "static" if batch_id == 0 else "dynamic"
         batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
+            "partitionOverwriteMode", replaced
         ).partitionBy("batch_id").parquet(path)
 
     return write

@@ -14,7 +14,7 @@ from rowferry.operators import delivery
 from rowferry.operators.batches import assign_batches, batch_manifest
 from rowferry.operators.sharding import with_shards
 from rowferry.sinks import frames
-from rowferry.sinks.registry import find_sink, sink_names, write_files
+from rowferry.sinks.registry import find_sink, index_options, kafka_options, sink_names, write_files
 
 # Test classes run in Python workers, which cannot import this file.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -204,3 +204,22 @@ def test_run_folder_is_replaced(spark, mapped, tmp_path):
     for run in ("r1", "r1", "r2"):
         write_files(mapped, SPEC, {"path": path, "run_id": run})
     assert spark.read.parquet(path).groupBy("run_id").count().orderBy("run_id").collect() == [("r1", 2), ("r2", 2)]
+
+
+def test_target_options():
+    plain = kafka_options({"bootstrapServers": "h:1", "producer-acks": "1", "password": "x", "sasl-mechanism": "Z"})
+    assert plain == {
+        "kafka.bootstrap.servers": "h:1",
+        "kafka.batch.size": "16384",
+        "kafka.linger.ms": "5",
+        "kafka.acks": "1",
+        "kafka.retries": "3",
+        "kafka.enable.idempotence": "true",
+    }
+    secure = kafka_options({"security-protocol": "SASL_SSL", "sasl-jaas-config": "j", "kafka.client.id": "c"})
+    assert secure["kafka.security.protocol"] == "SASL_SSL"
+    assert (secure["kafka.sasl.mechanism"], secure["kafka.sasl.jaas.config"], secure["kafka.client.id"]) == ("PLAIN", "j", "c")
+    assert index_options({"clusterNodes": "a:9200,b:9200", "username": "u", "password": ""}) == {
+        "es.nodes": "a:9200,b:9200",
+        "es.net.http.auth.user": "u",
+    }

@@ -150,8 +150,15 @@ def test_no_secret_reaches_the_ledger(spark, tmp_path):
     config = {"path": str(tmp_path / "target"), "apiToken": "s3cret", "url": "jdbc:mysql://bob:s3cret@db/x?user=bob&pw=s3cret"}
     register_sink("plain", lambda mapped, spec, c: mapped.write.mode("append").parquet(c["path"]))
     run(spark, task(tmp_path, destination_type="plain", destination_config=config), str(tmp_path / "state"))
+    def leaks(mapped, spec, c) -> None:
+        raise OSError(f"cannot reach {c['url']}")
+
+    register_sink("leaks", leaks)
+    with pytest.raises(SyncFailed):
+        run(spark, task(tmp_path, task_id="t2", destination_type="leaks", destination_config=config), str(tmp_path / "state"))
     text = "".join(p.read_text() for p in Path(tmp_path / "state" / "ledger").rglob("*.json"))
     assert "t1" in text
+    assert "cannot reach" in text
     assert "s3cret" not in text
     assert "hunter2" not in text
 
@@ -305,6 +312,8 @@ def test_stream_two_drops_and_replay(spark, tmp_path):
     sync("cp")
     sync("cp")
     assert sorted(r["id"] for r in read_target(spark, target).collect()) == list(range(100))
+    sync("started over")
+    assert sorted(r["id"] for r in read_target(spark, target).collect()) == list(range(100))
 
 
 def test_stream_in_small_batches(spark, tmp_path):
@@ -318,3 +327,30 @@ def test_stream_in_small_batches(spark, tmp_path):
         sync_new_files(spark, str(source), schema, lambda rows: rows, target, str(tmp_path / checkpoint), max_files=1)
         assert sorted(r["id"] for r in read_target(spark, target).collect()) == list(range(30))
     assert spark.read.parquet(target).select("batch_id").distinct().count() == 3
+
+
+def test_task_from_request(spark, tmp_path):
+    land(spark, tmp_path / "source", 0, 25)
+    request = {
+        "taskId": "r1",
+        "taskName": "from a request",
+        "sourceType": "parquet",
+        "destinationType": "PARQUET",
+        "sourceConfig": {"path": str(tmp_path / "source")},
+        "destinationConfig": {"path": str(tmp_path / "target")},
+        "syncConfig": {"batchSize": 10, "maxShards": 3, "corePoolSize": 4, "lockTimeout": 9},
+        "sourceFieldName": "log",
+        "targetFieldName": "users",
+        "fields": [
+            {"javaField": "id", "sourceType": "Long", "targetType": "Long", "checkpoint": True, "role": "id"},
+            {"javaField": "text", "sourceType": "String", "targetType": "Integer", "targetField": "n", "role": "data"},
+        ],
+    }
+    given = SyncTask.from_request(request)
+    assert (given.spec.options.batch_size, given.spec.options.max_shards) == (10, 3)
+    out = run(spark, given, str(tmp_path / "state")).first()
+    assert (out["processedRecords"], out["shardCount"]) == (25, 3)
+    assert spark.read.parquet(str(tmp_path / "target")).agg(F.sum("n")).first()[0] == 300
+    line = ledger.Ledger(spark, str(tmp_path / "state" / "ledger")).tasks().first()
+    assert (line["sourceFieldName"], line["targetFieldName"], line["syncConfig"]["batchSize"]) == ("log", "users", 10)
+    assert [f["targetField"] for f in line["fields"]] == ["id", "n"]
