@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowferry.operators.sharding import SHARD
+from rowferry.storage import control_rows
 
 BATCH = "batch_id"
 
@@ -55,45 +56,40 @@ def key_cuts(df: DataFrame, key: str, rows: int, rows_per_group: int) -> list[in
 def with_segments(df: DataFrame, key: str, cuts: list[int]) -> DataFrame:
     """Add the segment (``_bucket``, ``_place``) of every row; odd places hold one key.
 
-    Segments follow key order. ``_bucket`` comes from a binary search over the
-    cuts; the search runs on doubles, which is monotone, and exact comparisons
-    with the hot keys of the bucket give ``_place``. NULL keys come first.
+    Segments follow key order. ``_bucket`` comes from a binary search over the cuts,
+    ``_place`` from exact comparisons with the hot keys of the bucket. NULL keys
+    come first. Quantiles and search work on doubles, which keep the order of keys;
+    beyond 2^53 they tell apart steps of up to 1,024 keys, far less than a group.
     """
-    points = sorted({float(c) for c in cuts})
     hot = sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b})
     k = F.col(f"`{key}`").cast("bigint")
-    out = df.withColumn("_kd", k.cast("double"))
-    if points:
-        found = Bucketizer(
-            splits=[-math.inf, *points, math.inf], inputCol="_kd", outputCol="_bucket", handleInvalid="keep"
-        ).transform(out)
+    if cuts:
+        points = sorted({float(c) for c in cuts})
+        search = Bucketizer(
+            splits=[-math.inf, *points, math.inf], inputCol="_double", outputCol="_bucket", handleInvalid="keep"
+        )
+        found = search.transform(df.withColumn("_double", k.cast("double"))).drop("_double")
     else:
-        found = out.withColumn("_bucket", F.lit(0.0))
-    bucket = F.when(k.isNull(), F.lit(-1)).otherwise(F.col("_bucket").cast("int"))
-    found = found.withColumn("_bucket", bucket).drop("_kd")
+        found = df.withColumn("_bucket", F.lit(0.0))
+    found = found.withColumn("_bucket", F.when(k.isNull(), F.lit(-1)).otherwise(F.col("_bucket").cast("int")))
     if not hot:
         return found.withColumn("_place", F.when(k.isNull(), 1).otherwise(0))
     # One row per cut at most, and there are at most MAX_CUTS cuts.
-    spark = df.sparkSession
-    keys = spark.createDataFrame([(h,) for h in hot], "_hot bigint")
     hot_of = (
-        with_segments(keys, "_hot", points_only(cuts))
+        with_segments(control_rows(df.sparkSession, [{"_hot": h} for h in hot], "_hot bigint"), "_hot", sorted(set(cuts)))
         .groupBy("_bucket")
         .agg(F.sort_array(F.collect_list("_hot")).alias("_hots"))
     )
     joined = found.join(F.broadcast(hot_of), "_bucket", "left")
     below = F.size(F.filter("_hots", lambda h: h < k))
-    place = F.when(k.isNull(), 1).when(F.col("_hots").isNull(), 0).otherwise(
-        2 * below + F.when(F.array_contains("_hots", k), 1).otherwise(0)
+    place = (
+        F.when(k.isNull(), 1)
+        .when(F.col("_hots").isNull(), 0)
+        .otherwise(2 * below + F.when(F.array_contains("_hots", k), 1).otherwise(0))
     )
     return joined.withColumn("_place", place.cast("int")).drop("_hots")
 
 
-def points_only(cuts: list[int]) -> list[int]:
-    """The cuts without repeats: same buckets, no hot keys."""
-    return sorted(set(cuts))
-
-
 def segment_starts(segmented: DataFrame, key: str) -> DataFrame:
     """Rows and last key of every (shard, segment) and the rank its first row has.
 

@@ -89,13 +89,14 @@ def test_copies_of_one_row(spark):
     assert {k: v for k, v in sizes.items() if v != 64} == {(0, 0): 25, (1, 16): 1028 - 16 * 64}
 
 
-def test_groups_stay_small(spark):
+@pytest.mark.parametrize("make", [keys_unique, keys_hot])
+def test_groups_stay_small(spark, make):
     """No window group is much larger than asked for, whatever the key spread."""
     from pyspark.sql import functions as F
 
     from rowferry.operators.batches import with_segments
 
-    df = frame(spark, keys_hot())
+    df = frame(spark, make())
     cuts = key_cuts(df, "k", df.count(), 100)
     sizes = with_segments(df, "k", cuts).where(F.col("_place") % 2 == 0).groupBy("_bucket", "_place").count()
     assert sizes.agg(F.max("count")).first()[0] <= 300
