@@ -5,7 +5,7 @@ from rowferry.operators.batches import assign_batches, batch_manifest
 from rowferry.operators.mapping import map_columns, split_bad_rows
 from rowferry.operators.resume import resume_filter, resume_point
 from rowferry.operators.sharding import with_shards
-from rowferry.plans.run import SyncTask, run
+from rowferry.plans.run import SyncTask, run, run_batches
 from rowferry.sinks.registry import Target, fan_out, register_sink
 from rowferry.sources.registry import open_source, register_source
 from rowferry.spec import FieldSpec, SpecError, SyncOptions, SyncSpec
@@ -30,6 +30,7 @@ __all__ = [
     "resume_filter",
     "resume_point",
     "run",
+    "run_batches",
     "split_bad_rows",
     "try_convert",
     "with_shards",

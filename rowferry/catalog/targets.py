@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowferry.catalog.registry import EVENT_MESSAGES, EVENTS, query, table
+from rowferry.catalog.registry import EVENT_MESSAGES, EVENTS, query, table, table_path
 from rowferry.operators import delivery
-from rowferry.operators.batches import BATCH, assign_batches, batch_manifest
+from rowferry.operators.batches import BATCH, assign_batches
 from rowferry.operators.mapping import map_columns
 from rowferry.operators.records import capped
 from rowferry.operators.sharding import SHARD, with_shards
+from rowferry.plans.run import SyncFailed, SyncTask, run_batches
 from rowferry.sinks import frames
 from rowferry.sinks.registry import Target, fan_out, register_sink, write_files
-from rowferry.spec import SyncOptions
+from rowferry.spec import FieldSpec, SyncOptions, SyncSpec
+from rowferry.state.checkpoints import CheckpointLog
+from rowferry.state.ledger import Ledger
 from rowferry.storage import new_folder
 
 _JSON = "'{\"event_id\":' || event_id || ',\"user\":' || user_id || ',\"type\":\"' || event_type || '\"}'"
@@ -145,7 +150,7 @@ _MANIFEST = (
 def _delivered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     events = table(spark, sf_dir, "events").select("event_id", "user_id")
     rows = assign_batches(with_shards(events, "event_id", 4), "event_id", _RETRY.batch_size)
-    return rows, delivery.deliver(rows, FaultySend(), _RETRY)
+    return rows, delivery.deliver(rows, FaultySend(), _RETRY, key="event_id")
 
 
 @query(
@@ -177,9 +182,72 @@ def delivery_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def delivery_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each shard may resume after such a run."""
-    rows, outcomes = _delivered(spark, sf_dir)
-    manifest = batch_manifest(rows.select(SHARD, "event_id"), "event_id", _RETRY.batch_size)
-    return delivery.delivered_checkpoints(manifest, outcomes)
+    return delivery.delivered_checkpoints(_delivered(spark, sf_dir)[1])
+
+
+_FOUR_SHARDS = SyncSpec(
+    fields=(
+        FieldSpec("event_id", "Long", checkpoint=True, role="id"),
+        FieldSpec("user", "Long", source="user_id", target="user_id"),
+    ),
+    options=replace(_RETRY, min_shards=4, max_shards=4),
+)
+
+
+def _batch_run(spark: SparkSession, sf_dir: str) -> str:
+    """Run into the faulty target; the state folder of the failed run."""
+    state = new_folder(spark, "run-batches")
+    task = SyncTask(
+        "events-push", "push events", "parquet", "parquet", {"path": table_path(sf_dir, "events")}, {"path": state}, _FOUR_SHARDS
+    )
+    try:
+        run_batches(spark, task, FaultySend(), state)
+    except SyncFailed:
+        return state
+    raise RuntimeError("the faulty target took everything")
+
+
+@query(
+    f"WITH m AS ({_MANIFEST}), bad AS (SELECT shard_id, min(batch_id) AS bad FROM m WHERE first_key % 3 = 0 GROUP BY 1) "
+    "SELECT m.shard_id, CAST(max(CASE WHEN bad IS NULL OR batch_id < bad THEN checkpoint END) AS VARCHAR) AS checkpoint "
+    "FROM m LEFT JOIN bad ON m.shard_id = bad.shard_id GROUP BY m.shard_id"
+)
+def run_batches_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpoints a run into a faulty target leaves behind."""
+    log = CheckpointLog(spark, f"{_batch_run(spark, sf_dir)}/checkpoints")
+    return log.load("events-push").select(SHARD, "checkpoint")
+
+
+@query(
+    f"WITH m AS ({_MANIFEST}), b AS (SELECT count(DISTINCT shard_id) AS n FROM m WHERE first_key % 3 = 0) "
+    "SELECT 'FAILED' AS status, CAST(sum(n_rows) AS BIGINT) AS total, "
+    "CAST(sum(n_rows) FILTER (WHERE first_key % 3 <> 0) AS BIGINT) AS processed, "
+    "CAST(sum(CASE first_key % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END) AS BIGINT) AS retries, "
+    "4 - max(b.n) AS completed, max(b.n) AS failed FROM m, b"
+)
+def run_batches_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of that run: its shards and retries."""
+    stats = Ledger(spark, f"{_batch_run(spark, sf_dir)}/ledger").task_stats("events-push")
+    return stats.select(
+        "status",
+        F.col("totalRecords").alias("total"),
+        F.col("processedRecords").alias("processed"),
+        F.col("retryCount").alias("retries"),
+        F.col("completedShards").alias("completed"),
+        F.col("failedShards").alias("failed"),
+    )
+
+
+@query(
+    f"SELECT b.shard_id, b.batch_id, e.event_id, e.user_id FROM ({_BATCHED}) b "
+    f"JOIN ({_MANIFEST}) m ON b.shard_id = m.shard_id AND b.batch_id = m.batch_id "
+    "JOIN events e ON e.event_id = b.event_id WHERE m.first_key % 3 = 0"
+)
+def run_batches_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that run could not deliver, as its dead-letter table keeps them."""
+    dead = spark.read.parquet(f"{_batch_run(spark, sf_dir)}/dead_letters")
+    row = F.from_json("row_json", "event_id bigint, user_id bigint")
+    return dead.select(SHARD, BATCH, row["event_id"].alias("event_id"), row["user_id"].alias("user_id"))
 
 
 @query("SELECT event_id, user_id FROM events WHERE value < 5 ORDER BY event_id LIMIT 1000")

@@ -13,6 +13,7 @@ import time
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,12 @@ from rowferry.storage import materialize
 # Delivery code travels with the job, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
+# Helper column that carries the source key next to mapped rows.
+KEY = "_key"
+
 OUTCOME = (
-    "shard_id bigint, batch_id bigint, n_rows bigint, attempts int, retries int, waited_ms bigint, "
+    "shard_id bigint, batch_id bigint, n_rows bigint, first_key bigint, last_key bigint, "
+    "attempts int, retries int, waited_ms bigint, "
     "start_ms bigint, end_ms bigint, delivered boolean, error string"
 )
 
@@ -55,22 +60,26 @@ def call_with_retry(
     return options.max_retries + 1, waited, error
 
 
-def deliver(df: DataFrame, send: Callable[[pa.Table], object], options: SyncOptions) -> DataFrame:
+def deliver(df: DataFrame, send: Callable[[pa.Table], object], options: SyncOptions, *, key: str) -> DataFrame:
     """Send every (shard, batch) of ``df`` and return one outcome row per batch.
 
     ``df`` carries ``shard_id`` and ``batch_id``; ``send`` gets the other columns as
-    an Arrow table of at most ``batch_size`` rows and raises to signal failure.
+    an Arrow table of at most ``batch_size`` rows and raises to signal failure. A key
+    column named ``_key`` is a helper and is not sent.
     """
 
-    def one_batch(key: tuple, table: pa.Table) -> pa.Table:
-        rows = table.drop_columns([SHARD, BATCH])
+    def one_batch(group: tuple, table: pa.Table) -> pa.Table:
+        ends = pc.min_max(table[key])
+        rows = table.drop_columns([c for c in (SHARD, BATCH, KEY) if c in table.column_names])
         start = int(time.time() * 1000)
         attempts, waited, error = call_with_retry(lambda: send(rows), options)
         return pa.table(
             {
-                "shard_id": pa.array([key[0].as_py()], pa.int64()),
-                "batch_id": pa.array([key[1].as_py()], pa.int64()),
+                "shard_id": pa.array([group[0].as_py()], pa.int64()),
+                "batch_id": pa.array([group[1].as_py()], pa.int64()),
                 "n_rows": pa.array([table.num_rows], pa.int64()),
+                "first_key": pa.array([ends["min"].as_py()], pa.int64()),
+                "last_key": pa.array([ends["max"].as_py()], pa.int64()),
                 "attempts": pa.array([attempts], pa.int32()),
                 "retries": pa.array([attempts - 1], pa.int32()),
                 "waited_ms": pa.array([waited], pa.int64()),
@@ -88,7 +97,7 @@ def deliver(df: DataFrame, send: Callable[[pa.Table], object], options: SyncOpti
 def dead_letters(df: DataFrame, outcomes: DataFrame, task_id: str, run_id: str) -> DataFrame:
     """Rows of the batches that stayed undelivered, as JSON, all of them."""
     failed = outcomes.where(~F.col("delivered")).select(SHARD, BATCH, F.col("error").alias("reason"))
-    payload = [F.col(f"`{c}`") for c in df.columns if c not in (SHARD, BATCH)]
+    payload = [F.col(f"`{c}`") for c in df.columns if c not in (SHARD, BATCH, KEY)]
     return df.join(failed, [SHARD, BATCH]).select(
         F.lit(task_id).alias("task_id"),
         F.lit(run_id).alias("run_id"),
@@ -99,18 +108,16 @@ def dead_letters(df: DataFrame, outcomes: DataFrame, task_id: str, run_id: str)
     )
 
 
-def delivered_checkpoints(manifest: DataFrame, outcomes: DataFrame) -> DataFrame:
+def delivered_checkpoints(outcomes: DataFrame) -> DataFrame:
     """Checkpoint per shard: last key before its first undelivered batch.
 
     ``outcome`` is completed or failed. A shard whose first batch failed has a
     NULL checkpoint, so a later run starts it where this one did.
     """
-    first_bad = (
-        outcomes.where(~F.col("delivered")).groupBy(SHARD).agg(F.min(BATCH).alias("_bad"))
-    )
-    seen = manifest.join(first_bad, SHARD, "left")
+    first_bad = outcomes.where(~F.col("delivered")).groupBy(SHARD).agg(F.min(BATCH).alias("_bad"))
+    seen = outcomes.join(first_bad, SHARD, "left")
     done = F.col("_bad").isNull() | (F.col(BATCH) < F.col("_bad"))
     return seen.groupBy(SHARD).agg(
-        F.max(F.when(done, F.col("checkpoint"))).alias("checkpoint"),
+        F.max(F.when(done, F.col("last_key"))).alias("checkpoint"),
         F.when(F.max("_bad").isNull(), F.lit("completed")).otherwise(F.lit("failed")).alias("outcome"),
     )

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowferry.functions import sizing
 from rowferry.functions.convert import DEFAULT_RULES, Rules
-from rowferry.operators.counters import filtered_out, keep_rows, shard_counters
+from rowferry.operators import delivery
+from rowferry.operators.batches import BATCH, assign_batches
+from rowferry.operators.counters import keep_rows, shard_counters, shard_times
+from rowferry.operators.delivery import KEY
 from rowferry.operators.mapping import map_columns, split_bad_rows
+from rowferry.operators.records import capped
 from rowferry.operators.resume import ResumePoint, resume_filter, resume_point
 from rowferry.operators.sharding import SHARD, stride_bounds, with_shards
 from rowferry.sinks.registry import Target, fan_out, find_sink
@@ -168,29 +174,24 @@ def _config_line(task: SyncTask) -> dict[str, Any]:
     }
 
 
-def run(
-    spark: SparkSession,
-    task: SyncTask,
-    state_path: str,
-    *,
-    filter_key: Column | None = None,
-    mode: str = "strict",
-    rules: Rules = DEFAULT_RULES,
-    slices: int = 1,
-    stage: bool | None = None,
-    guard: bool = True,
-    now: datetime | None = None,
-) -> DataFrame:
-    """Run ``task`` and return its statistics, one row.
+@dataclass
+class _Run:
+    """What the steps of one run share."""
 
-    The largest key is fixed before anything is read, so rows that arrive later
-    belong to the next run. Rows are written from natural scan partitions; shards
-    only label checkpoints and counters, so the run needs no shuffle. ``slices``
-    cuts the key range so that a failure costs one slice. ``stage`` lands the mapped
-    rows once for all targets; left open, that is done for several targets fed from
-    a database, while files are simply read again. In ``lenient`` mode rows that
-    cannot be converted go to ``<state>/dead_letters``.
-    """
+    spark: SparkSession
+    task: SyncTask
+    state_path: str
+    log: CheckpointLog
+    stats: dict[str, Any]
+    run_id: str
+    source: DataFrame
+    counts: Counts | None = None
+    result: DataFrame | None = None
+
+
+@contextmanager
+def _recorded(spark: SparkSession, task: SyncTask, state_path: str, guard: bool, now: datetime | None) -> Iterator[_Run]:
+    """Check and guard the task, open its source, and keep the ledger around the run."""
     problem = task.error()
     if problem:
         raise TaskRejected(problem)
@@ -203,23 +204,17 @@ def run(
             raise TaskRejected(f"{reason['reason']}: {task.task_id}")
     for target in task.targets():
         find_sink(target.kind)
-
-    run_id, started = f"{now:%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}", time.time()
-    spec = task.spec
-    key = spec.checkpoint.source
-    source = open_source(spark, task.source_type, spec, task.source_config)
-    if stage is None:
-        stage = len(task.targets()) > 1 and task.source_type.strip().lower() in DATABASES
-    stats = _new_stats(spec, started)
+    started = time.time()
+    source = open_source(spark, task.source_type, task.spec, task.source_config)
+    stats = _new_stats(task.spec, started)
     ledger.append(control_rows(spark, [_config_line(task), _stats_line(task, stats)], LINE), now)
+    run_id = f"{now:%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
+    this = _Run(spark, task, state_path, log, stats, run_id, source)
     try:
-        known = known_counts(spark, task.source_type, spec, task.source_config)
-        counts = Counts(*known) if known else source_counts(source, key)
-        stats["totalRecords"], stats["status"] = counts.total, "COMPLETED"
-        if counts.total:
-            _deliver_slices(
-                spark, task, log, source, counts, stats, run_id, filter_key, mode, rules, slices, stage, state_path
-            )
+        known = known_counts(spark, task.source_type, task.spec, task.source_config)
+        this.counts = Counts(*known) if known else source_counts(source, task.spec.checkpoint.source)
+        stats["totalRecords"], stats["status"] = this.counts.total, "COMPLETED"
+        yield this
     except Exception as e:
         stats["status"] = "FAILED"
         if not stats["failedBatches"]:
@@ -230,24 +225,31 @@ def run(
         stats["duration"], stats["persisted"], stats["version"] = int(took * 1000), True, 1
         line = control_rows(spark, [_stats_line(task, stats)], LINE)
         ledger.append(line, now + timedelta(seconds=took))
-    return line.withColumn("syncStats", F.col("syncStats").dropFields("taskId")).select(
-        "taskId", "taskName", "syncStats.*"
-    )
+        this.result = line.withColumn("syncStats", F.col("syncStats").dropFields("taskId")).select(
+            "taskId", "taskName", "syncStats.*"
+        )
 
 
-def _deliver_slices(
-    spark, task, log, source, counts, stats, run_id, filter_key, mode, rules, slices, stage, state_path
-) -> None:
-    """Write what is pending, slice by slice, and note how far every shard got."""
-    spec = task.spec
-    key = spec.checkpoint.source
-    shards = planned_shards(spark, counts.total, spec)
-    stats["shardCount"] = shards
-    point = resume_point(log.load(task.task_id), shards)
-    pending = resume_filter(source, key, point, high=counts.high)
-    # One pass over key (and filter) columns: what every shard will deliver.
+@dataclass(frozen=True)
+class _Pending:
+    """Rows a run has to deliver, and what every shard will see of them."""
+
+    shards: int
+    point: ResumePoint
+    rows: DataFrame
+    per_shard: list
+
+
+def _pending(this: _Run, filter_key: Column | None) -> _Pending:
+    """Resume every shard after its checkpoint, up to the largest key known."""
+    key = this.task.spec.checkpoint.source
+    shards = planned_shards(this.spark, this.counts.total, this.task.spec)
+    this.stats["shardCount"] = shards
+    point = resume_point(this.log.load(this.task.task_id), shards)
+    rows = resume_filter(this.source, key, point, high=this.counts.high)
+    # One pass over key (and filter) columns: one row per shard.
     per_shard = shard_counters(
-        with_shards(pending, key, shards).select(
+        with_shards(rows, key, shards).select(
             SHARD,
             F.col(f"`{key}`").cast("bigint").alias("_k"),
             (filter_key if filter_key is not None else F.lit("")).alias("_f"),
@@ -255,29 +257,77 @@ def _deliver_slices(
         F.col("_f"),
         key="_k",
     ).collect()
-    if not per_shard:
+    this.stats["scannedRecords"] = sum(r["scanned_records"] for r in per_shard)
+    this.stats["filteredRecords"] = sum(r["filtered_records"] for r in per_shard)
+    return _Pending(shards, point, rows, per_shard)
+
+
+def run(
+    spark: SparkSession,
+    task: SyncTask,
+    state_path: str,
+    *,
+    filter_key: Column | None = None,
+    mode: str = "strict",
+    rules: Rules = DEFAULT_RULES,
+    slices: int = 1,
+    stage: bool | None = None,
+    guard: bool = True,
+    now: datetime | None = None,
+) -> DataFrame:
+    """Run ``task`` and return its statistics, one row.
+
+    The largest key is fixed before anything is read, so rows that arrive later
+    belong to the next run. Rows are written from natural scan partitions; shards
+    only label checkpoints and counters, so the run needs no shuffle. ``slices``
+    cuts the key range so that a failure costs one slice. ``stage`` lands the mapped
+    rows once for all targets; left open, that is done for several targets fed from
+    a database, while files are simply read again. In ``lenient`` mode rows that
+    cannot be converted go to ``<state>/dead_letters``.
+    """
+    with _recorded(spark, task, state_path, guard, now) as this:
+        if stage is None:
+            stage = len(task.targets()) > 1 and _from_database(task)
+        if this.counts.total:
+            _deliver_slices(this, _pending(this, filter_key), filter_key, mode, rules, slices, stage)
+    return this.result
+
+
+def _from_database(task: SyncTask) -> bool:
+    return task.source_type.strip().lower() in DATABASES
+
+
+def _deliver_slices(
+    this: _Run, pending: _Pending, filter_key: Column | None, mode: str, rules: Rules, slices: int, stage: bool
+) -> None:
+    """Write what is pending, slice by slice, and note how far every shard got."""
+    task, spec, stats, shards = this.task, this.task.spec, this.stats, pending.shards
+    key = spec.checkpoint.source
+    if not pending.per_shard:
         stats["completedShards"] = shards
         return
-    low = point.floor + 1 if point.floor is not None else None
-    cuts: list[tuple[int | None, int | None]] = [(None, counts.high)]
-    if slices > 1 and counts.high is not None:
-        first = source.agg(F.min(F.col(f"`{key}`").cast("bigint"))).first()[0] if low is None else low
-        cuts = _slices(first, counts.high, slices)
+    high, floor = this.counts.high, pending.point.floor
+    cuts: list[tuple[int | None, int | None]] = [(None, high)]
+    if slices > 1 and high is not None:
+        low = floor + 1 if floor is not None else None
+        if low is None:
+            low = this.source.agg(F.min(F.col(f"`{key}`").cast("bigint"))).first()[0]
+        cuts = _slices(low, high, slices)
     set_aside = 0
     for number, (after, upto) in enumerate(cuts):
-        k = F.col(f"`{key}`").cast("bigint")
-        part = pending
+        k, last = F.col(f"`{key}`").cast("bigint"), number == len(cuts) - 1
+        part = pending.rows
         if after is not None:
             part = part.where(k > F.lit(after))
-        if upto is not None and number < len(cuts) - 1:
+        if upto is not None and not last:
             part = part.where(k.isNull() | (k <= F.lit(upto)) if after is None else k <= F.lit(upto))
         part = keep_rows(part, filter_key)
-        slice_id = f"{run_id}-{number}"
+        slice_id = f"{this.run_id}-{number}"
         if mode == "lenient":
             good, bad = split_bad_rows(part, spec, rules=rules)
-            folder = f"{state_path}/dead_letters/run_id={slice_id}"
+            folder = f"{this.state_path}/dead_letters/run_id={slice_id}"
             bad.withColumn("task_id", F.lit(task.task_id)).write.mode("overwrite").parquet(folder)
-            set_aside += spark.read.schema(bad.schema).parquet(folder).count()
+            set_aside += this.spark.read.schema(bad.schema).parquet(folder).count()
         else:
             good = map_columns(part, spec, rules=rules)
         if stage:
@@ -289,24 +339,80 @@ def _deliver_slices(
             stats["failedShards"] = shards
             stats["failedBatches"] = [f"{slice_id}: {o.name}: {o.error}"[:2000] for o in failed]
             raise SyncFailed(failed[0].error)
-        last = number == len(cuts) - 1
-        log.save(task.task_id, shards, _progress(point, shards, per_shard, upto, last), slice_id, datetime.now())
+        reached = _progress(pending, None if last else upto)
+        this.log.save(task.task_id, shards, reached, slice_id, datetime.now())
     stats["completedShards"] = shards
-    stats["scannedRecords"] = sum(r["scanned_records"] for r in per_shard)
-    stats["filteredRecords"] = sum(r["filtered_records"] for r in per_shard)
-    stats["processedRecords"] = sum(r["processed_records"] for r in per_shard) - set_aside
+    stats["processedRecords"] = stats["scannedRecords"] - stats["filteredRecords"] - set_aside
 
 
-def _progress(point: ResumePoint, shards: int, per_shard, upto: int | None, last: bool) -> dict[int, int | None]:
-    """Checkpoint of every shard: its own last key at the end of the run, the slice
-    border before that, and the old one where nothing was pending."""
-    seen = {int(r[SHARD]): r["max_key"] for r in per_shard}
+def _progress(pending: _Pending, upto: int | None) -> dict[int, int | None]:
+    """Checkpoint of every shard: its own last key, or the slice border if that comes
+    first, and the old one where nothing was pending."""
+    seen = {int(r[SHARD]): r["max_key"] for r in pending.per_shard}
     out: dict[int, int | None] = {}
-    for shard in range(shards):
-        old = point.bounds.get(shard)
-        new = seen.get(shard)
-        if not last and new is not None and upto is not None:
+    for shard in range(pending.shards):
+        old, new = pending.point.bounds.get(shard), seen.get(shard)
+        if new is not None and upto is not None:
             new = min(new, upto)
         out[shard] = old if new is None else (new if old is None else max(old, new))
     return out
 
+
+def run_batches(
+    spark: SparkSession,
+    task: SyncTask,
+    send: Callable[[pa.Table], object],
+    state_path: str,
+    *,
+    filter_key: Column | None = None,
+    rules: Rules = DEFAULT_RULES,
+    guard: bool = True,
+    now: datetime | None = None,
+) -> DataFrame:
+    """Run ``task`` into a Python target, batch by batch, and return its statistics.
+
+    ``send`` gets every batch of mapped rows as an Arrow table and is retried. Rows of
+    batches that stay undelivered go to ``<state>/dead_letters``; every shard is
+    checkpointed before its first such batch, and the run fails once all are tried.
+    """
+    with _recorded(spark, task, state_path, guard, now) as this:
+        if this.counts.total:
+            _deliver_batches(this, _pending(this, filter_key), send, filter_key, rules)
+    return this.result
+
+
+def _deliver_batches(
+    this: _Run, pending: _Pending, send: Callable[[pa.Table], object], filter_key: Column | None, rules: Rules
+) -> None:
+    task, spec, stats = this.task, this.task.spec, this.stats
+    key = F.col(f"`{spec.checkpoint.source}`").cast("bigint")
+    kept = keep_rows(pending.rows, filter_key).withColumn(KEY, key)
+    mapped = map_columns(with_shards(kept, KEY, pending.shards), spec, keep=(SHARD, KEY), rules=rules)
+    expected = sum(r["processed_records"] for r in pending.per_shard)
+    rows = assign_batches(mapped, KEY, spec.options.batch_size, rows=expected)
+    if _from_database(task):
+        rows = materialize(rows, "batches")
+    outcomes = delivery.deliver(rows, send, spec.options, key=KEY)
+    totals = outcomes.agg(
+        F.coalesce(F.sum(F.when(F.col("delivered"), F.col("n_rows"))), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum("retries"), F.lit(0)).alias("retries"),
+    ).first()
+    reached = {r[SHARD]: r for r in delivery.delivered_checkpoints(outcomes).collect()}
+    times = shard_times(outcomes).collect()
+    failed = [s for s, r in reached.items() if r["outcome"] == "failed"]
+    stats["processedRecords"], stats["retryCount"] = totals["rows"], totals["retries"]
+    stats["failedShards"], stats["completedShards"] = len(failed), pending.shards - len(failed)
+    stats["shardDurations"] = {str(r[SHARD]): r["duration_ms"] for r in times}
+    stats["batchTimes"] = {str(r[SHARD]): r["last_batch_ms"] for r in times}
+    checkpoints = _progress(pending, None)
+    for shard in failed:
+        old, new = pending.point.bounds.get(shard), reached[shard]["checkpoint"]
+        checkpoints[shard] = old if new is None else new
+    if failed:
+        dead = delivery.dead_letters(rows, outcomes, task.task_id, this.run_id)
+        dead.drop("run_id").write.mode("overwrite").parquet(f"{this.state_path}/dead_letters/run_id={this.run_id}")
+        lost = capped(outcomes.where(~F.col("delivered")), spec.options.max_failed_batches, order=[SHARD, BATCH])
+        stats["failedBatches"] = [f"shard {r[SHARD]} batch {r[BATCH]}: {r['error']}"[:2000] for r in lost.collect()]
+    this.log.save(task.task_id, pending.shards, checkpoints, this.run_id, datetime.now())
+    if failed:
+        raise SyncFailed(stats["failedBatches"][0])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rowferry import FieldSpec, SyncOptions, SyncSpec, Target, fan_out, register_sink
 from rowferry.operators import delivery
-from rowferry.operators.batches import assign_batches, batch_manifest
+from rowferry.operators.batches import assign_batches
 from rowferry.operators.sharding import with_shards
 from rowferry.sinks import frames
 from rowferry.sinks.registry import find_sink, index_options, kafka_options, sink_names, write_files
@@ -75,7 +75,7 @@ class Picky:
 
 
 def test_deliver(spark, rows):
-    outcomes = delivery.deliver(rows, Picky(), FAST)
+    outcomes = delivery.deliver(rows, Picky(), FAST, key="id")
     assert outcomes.agg(F.sum("n_rows")).first()[0] == 95
     seen = {(r["shard_id"], r["batch_id"]): r for r in outcomes.collect()}
     assert len(seen) == 10
@@ -83,8 +83,7 @@ def test_deliver(spark, rows):
     assert (seen[1, 1]["attempts"], seen[1, 1]["delivered"], seen[1, 1]["retries"]) == (3, True, 2)
     dead = delivery.dead_letters(rows, outcomes, "t1", "r1").collect()
     assert sorted(json.loads(r["row_json"])["id"] for r in dead) == list(range(40, 60, 2))
-    manifest = batch_manifest(rows, "id", 10)
-    points = {r["shard_id"]: (r["checkpoint"], r["outcome"]) for r in delivery.delivered_checkpoints(manifest, outcomes).collect()}
+    points = {r["shard_id"]: (r["checkpoint"], r["outcome"]) for r in delivery.delivered_checkpoints(outcomes).collect()}
     assert points == {0: (38, "failed"), 1: (93, "completed")}
 
 
@@ -92,8 +91,8 @@ def test_first_batch_failed_has_no_checkpoint(spark, rows):
     def refuse(table) -> None:
         raise ConnectionError("no")
 
-    outcomes = delivery.deliver(rows, refuse, SyncOptions(max_retries=0))
-    points = delivery.delivered_checkpoints(batch_manifest(rows, "id", 10), outcomes).collect()
+    outcomes = delivery.deliver(rows, refuse, SyncOptions(max_retries=0), key="id")
+    points = delivery.delivered_checkpoints(outcomes).collect()
     assert {(r["checkpoint"], r["outcome"]) for r in points} == {(None, "failed")}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -11,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from rowferry import FieldSpec, SyncOptions, SyncSpec, SyncTask, Target, register_sink, run
+from rowferry import FieldSpec, SyncOptions, SyncSpec, SyncTask, Target, register_sink, run, run_batches
 from rowferry.functions import sizing
 from rowferry.functions.encode import redact_url
 from rowferry.operators.counters import shard_tallies
@@ -354,3 +355,45 @@ def test_task_from_request(spark, tmp_path):
     line = ledger.Ledger(spark, str(tmp_path / "state" / "ledger")).tasks().first()
     assert (line["sourceFieldName"], line["targetFieldName"], line["syncConfig"]["batchSize"]) == ("log", "users", 10)
     assert [f["targetField"] for f in line["fields"]] == ["id", "n"]
+
+
+def test_batch_run_retried_after_failure(spark, tmp_path):
+    state, box = str(tmp_path / "state"), str(tmp_path / "box")
+    Path(box).mkdir()
+    spec = SyncSpec(
+        fields=(FieldSpec("id", "Long", checkpoint=True, target="key", target_type="String"),),
+        options=SyncOptions(batch_size=10, max_retries=1, retry_initial_delay_ms=1, min_shards=2, max_shards=2),
+    )
+
+    def sender(refused):
+        def send(table) -> None:
+            keys = table["key"].to_pylist()
+            if refused & set(keys):
+                raise OSError("refused")
+            Path(box, f"{min(keys)}-{uuid.uuid4().hex}").write_text("\n".join(keys))
+
+        return send
+
+    def delivered():
+        return sorted(int(k) for p in Path(box).iterdir() for k in p.read_text().split())
+
+    land(spark, tmp_path / "source", 0, 80)
+    drop = F.when(F.col("id") == 5, F.lit("five")).otherwise(F.lit(""))
+    push = task(tmp_path, spec=spec)
+    with pytest.raises(SyncFailed, match="shard 0 batch 1: OSError: refused"):
+        run_batches(spark, push, sender({"22"}), state, filter_key=drop, now=DAY)
+    # Batch 1 of shard 0 is 20, 22, ..., 38.
+    lost = set(range(20, 40, 2))
+    assert delivered() == [i for i in range(80) if i != 5 and i not in lost]
+    dead = spark.read.parquet(f"{state}/dead_letters").collect()
+    assert {r["row_json"] for r in dead} == {f'{{"key":"{i}"}}' for i in lost}
+    stats = ledger.Ledger(spark, f"{state}/ledger").task_stats("t1").first()
+    assert (stats["status"], stats["failedShards"], stats["completedShards"]) == ("FAILED", 1, 1)
+    assert (stats["scannedRecords"], stats["filteredRecords"], stats["processedRecords"]) == (80, 1, 69)
+    assert (stats["retryCount"], set(stats["shardDurations"])) == (1, {"0", "1"})
+    log = checkpoints.CheckpointLog(spark, f"{state}/checkpoints")
+    assert {(r["shard_id"], r["checkpoint"]) for r in log.load("t1").collect()} == {(0, "18"), (1, "79")}
+    again = run_batches(spark, push, sender(set()), state, filter_key=drop, now=DAY + timedelta(minutes=1)).first()
+    # At least once: what followed the lost batch in its shard is sent again.
+    assert (again["status"], again["scannedRecords"]) == ("COMPLETED", 30)
+    assert set(delivered()) == set(range(80)) - {5}
