@@ -19,6 +19,7 @@ order is free: they are counted, not sorted.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, replace
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -43,17 +44,37 @@ def _div(col: Column, size: int) -> Column:
     return F.call_function("div", col, F.lit(size).cast("bigint"))
 
 
-def key_cuts(df: DataFrame, key: str, rows: int, rows_per_group: int) -> list[int]:
-    """Approximate quantiles of the key, one per ``rows_per_group`` rows."""
+@dataclass(frozen=True)
+class Cuts:
+    """Where the key range is cut: sorted points, and keys that stand alone."""
+
+    points: tuple[int, ...]
+    hot: tuple[int, ...] = ()
+    nulls: bool = False
+
+    def stands_alone(self, key: Column) -> Column:
+        """True for rows of hot segments; a plain filter, so the scan can use it."""
+        missing = key.isNull() if self.nulls else F.lit(False)
+        return missing | key.isin(*self.hot) if self.hot else missing
+
+
+def key_cuts(df: DataFrame, key: str, rows: int, rows_per_group: int) -> Cuts:
+    """Approximate quantiles of the key, one per ``rows_per_group`` rows.
+
+    A key that is two quantiles in a row is hot.
+    """
     steps = min(MAX_CUTS, math.ceil(rows / max(1, rows_per_group)))
-    if steps < 2:
-        return []
-    at = [i / steps for i in range(1, steps)]
-    cuts = df.agg(F.percentile_approx(F.col(f"`{key}`").cast("bigint"), at, max(10_000, 4 * steps))).first()[0]
-    return list(cuts or [])
+    k = F.col(f"`{key}`").cast("bigint")
+    at = [i / steps for i in range(1, steps)] or [0.5]
+    found = df.agg(
+        F.percentile_approx(k, at, max(10_000, 4 * steps)).alias("cuts"), F.count_if(k.isNull()).alias("nulls")
+    ).first()
+    cuts = found["cuts"] or []
+    hot = {a for a, b in zip(cuts, cuts[1:], strict=False) if a == b}
+    return Cuts(tuple(sorted(set(cuts))), tuple(sorted(hot)), found["nulls"] > 0)
 
 
-def with_segments(df: DataFrame, key: str, cuts: list[int]) -> DataFrame:
+def with_segments(df: DataFrame, key: str, cuts: Cuts) -> DataFrame:
     """Add the segment (``_bucket``, ``_place``) of every row; odd places hold one key.
 
     Segments follow key order. ``_bucket`` comes from a binary search over the cuts,
@@ -61,10 +82,9 @@ def with_segments(df: DataFrame, key: str, cuts: list[int]) -> DataFrame:
     come first. Quantiles and search work on doubles, which keep the order of keys;
     beyond 2^53 they tell apart steps of up to 1,024 keys, far less than a group.
     """
-    hot = sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b})
     k = F.col(f"`{key}`").cast("bigint")
-    if cuts:
-        points = sorted({float(c) for c in cuts})
+    if cuts.points:
+        points = sorted({float(c) for c in cuts.points})
         search = Bucketizer(
             splits=[-math.inf, *points, math.inf], inputCol="_double", outputCol="_bucket", handleInvalid="keep"
         )
@@ -72,11 +92,12 @@ def with_segments(df: DataFrame, key: str, cuts: list[int]) -> DataFrame:
     else:
         found = df.withColumn("_bucket", F.lit(0.0))
     found = found.withColumn("_bucket", F.when(k.isNull(), F.lit(-1)).otherwise(F.col("_bucket").cast("int")))
-    if not hot:
+    if not cuts.hot:
         return found.withColumn("_place", F.when(k.isNull(), 1).otherwise(0))
     # One row per cut at most, and there are at most MAX_CUTS cuts.
+    hot = control_rows(df.sparkSession, [{"_hot": h} for h in cuts.hot], "_hot bigint")
     hot_of = (
-        with_segments(control_rows(df.sparkSession, [{"_hot": h} for h in hot], "_hot bigint"), "_hot", sorted(set(cuts)))
+        with_segments(hot, "_hot", replace(cuts, hot=()))
         .groupBy("_bucket")
         .agg(F.sort_array(F.collect_list("_hot")).alias("_hots"))
     )
@@ -139,14 +160,13 @@ def _overlap(start: Column, rows: Column, batch_size: int) -> Column:
     return F.least(start + rows, low + F.lit(batch_size)) - F.greatest(start, low)
 
 
-def _hot_rows(segmented: DataFrame, starts: DataFrame, columns: list[str], batch_size: int, group: int) -> DataFrame:
+def _hot_rows(hot: DataFrame, starts: DataFrame, columns: list[str], batch_size: int, group: int) -> DataFrame:
     """Batches of rows in hot segments, without ever gathering one key in a task.
 
     Equal rows collapse to one row with a count before any shuffle, distinct rows
     spread over sub-groups by hash, and counts are laid end to end. A count is
     then cut along batch borders and expanded to at most ``batch_size`` copies.
     """
-    hot = segmented.where(F.col("_place") % 2 == 1)
     sizes = starts.where(F.col("_place") % 2 == 1)
     subs = sizes.select(SHARD, *_SEGMENT, "_start", F.ceil(F.col("_rows") / F.lit(group)).alias("_subs"))
     held = [c for c in columns if c != SHARD]
@@ -171,7 +191,15 @@ def _hot_rows(segmented: DataFrame, starts: DataFrame, columns: list[str], batch
     return listed.select(*[F.col(f"`{c}`") for c in columns], BATCH)
 
 
-def _plan_cuts(df: DataFrame, key: str, rows: int | None, rows_per_group: int) -> list[int] | None:
+def _hot_pieces(starts: DataFrame, batch_size: int) -> DataFrame:
+    """Rows that hot segments add to every batch: one key each, so size and start say all."""
+    hot = starts.where(F.col("_place") % 2 == 1)
+    start, rows, key = F.col("_start"), F.col("_rows"), F.col("_last_key")
+    cut = _batch_pieces(_div(start, batch_size), _div(start + rows - 1, batch_size), hot)
+    return cut.select(SHARD, BATCH, _overlap(start, rows, batch_size).alias("n"), key.alias("lo"), key.alias("hi"))
+
+
+def _plan_cuts(df: DataFrame, key: str, rows: int | None, rows_per_group: int) -> Cuts | None:
     """None when one window per shard is small enough, else the cut points."""
     total = df.count() if rows is None else rows
     return None if total <= rows_per_group else key_cuts(df, key, total, rows_per_group)
@@ -191,7 +219,10 @@ def assign_batches(
     plain = _sorted_ranks(segmented, starts, key).withColumn(BATCH, _div(F.col("_rank"), batch_size))
     columns = [F.col(f"`{c}`") for c in df.columns]
     out = plain.select(*columns, BATCH)
-    return out.unionByName(_hot_rows(segmented, starts, df.columns, batch_size, rows_per_group))
+    if not cuts.hot and not cuts.nulls:
+        return out
+    alone = with_segments(df.where(cuts.stands_alone(F.col(f"`{key}`"))), key, cuts)
+    return out.unionByName(_hot_rows(alone, starts, df.columns, batch_size, rows_per_group))
 
 
 def batch_manifest(
@@ -215,19 +246,7 @@ def batch_manifest(
             F.col("_k").alias("lo"),
             F.col("_k").alias("hi"),
         )
-        # A hot segment holds one key, so its size and start say all.
-        hot = starts.where(F.col("_place") % 2 == 1)
-        end = F.col("_start") + F.col("_rows") - 1
-        cut = _batch_pieces(_div(F.col("_start"), batch_size), _div(end, batch_size), hot)
-        parts = plain.unionByName(
-            cut.select(
-                SHARD,
-                BATCH,
-                _overlap(F.col("_start"), F.col("_rows"), batch_size).alias("n"),
-                F.col("_last_key").alias("lo"),
-                F.col("_last_key").alias("hi"),
-            )
-        )
+        parts = plain.unionByName(_hot_pieces(starts, batch_size)) if cuts.hot or cuts.nulls else plain
     return parts.groupBy(SHARD, BATCH).agg(
         F.sum("n").alias("n_rows"), F.min("lo").alias("first_key"), F.max("hi").alias("checkpoint")
     )
