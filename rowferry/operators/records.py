@@ -19,7 +19,8 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     latest = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
         F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), rank).alias("_last")
     )
-    return latest.select(*keys, *[F.col(f"_last.`{c}`").alias(c) for c in rest]).select(*df.columns)
+    kept = [F.col(f"`{c}`") if c in keys else F.col(f"_last.`{c}`").alias(c) for c in df.columns]
+    return latest.select(*kept)
 
 
 def page(df: DataFrame, offset: int, limit: int, *, order: Sequence[str]) -> DataFrame:

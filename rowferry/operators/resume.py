@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.operators.sharding import SHARD, shard_of
+from rowferry.storage import control_rows
 
 # Up to this many shards the bounds travel as literals, beyond it as a join.
 LITERAL_SHARDS = 256
@@ -69,9 +70,10 @@ def resume_filter(
     shard = shard_of(key, point.shards, how=how)
     if len(known) <= LITERAL_SHARDS:
         return out.where(_past_literal(shard, k, known))
-    frame = df.sparkSession.createDataFrame(list(known.items()), f"{SHARD} bigint, _bound bigint")
-    joined = out.withColumn(SHARD, shard).join(frame, SHARD, "left")
-    return joined.where(F.col("_bound").isNull() | (k > F.col("_bound"))).select(df.columns)
+    rows = [{"_shard": s, "_bound": b} for s, b in known.items()]
+    frame = control_rows(df.sparkSession, rows, "_shard bigint, _bound bigint")
+    joined = out.withColumn("_shard", shard).join(frame, "_shard", "left")
+    return joined.where(F.col("_bound").isNull() | (k > F.col("_bound"))).drop("_shard", "_bound")
 
 
 def _past_literal(shard: Column, k: Column, known: dict[int, int]) -> Column:

@@ -78,14 +78,16 @@ def redacted(lines: DataFrame) -> DataFrame:
     """Lines with the secrets of both connection configs and of error texts masked."""
     stats = F.col("syncStats")
     failures = F.transform(stats["failedBatches"], redact_url)
-    return (
-        lines.withColumn("sourceConfig", redact_map(F.col("sourceConfig")))
-        .withColumn("desConfig", redact_map(F.col("desConfig")))
-        .withColumn("syncStats", F.when(stats.isNotNull(), stats.withField("failedBatches", failures)))
+    return lines.withColumns(
+        {
+            "sourceConfig": redact_map(F.col("sourceConfig")),
+            "desConfig": redact_map(F.col("desConfig")),
+            "syncStats": F.when(stats.isNotNull(), stats.withField("failedBatches", failures)),
+        }
     )
 
 
-def line_error(lines: DataFrame) -> Column:
+def line_error() -> Column:
     """Why a line may not be stored: stats need a task id, configs four entries."""
     config = F.col("syncStats").isNull()
     return first_failure(
@@ -102,7 +104,7 @@ def checked(lines: DataFrame) -> DataFrame:
     """Add ``error``; a stats line without its own task id gets that of the line."""
     own = F.coalesce(F.nullif(F.col("syncStats.taskId"), F.lit("")), F.col("taskId"))
     stats = F.when(F.col("syncStats").isNotNull(), F.col("syncStats").withField("taskId", own))
-    return lines.withColumn("error", line_error(lines)).withColumn("syncStats", stats)
+    return lines.withColumns({"error": line_error(), "syncStats": stats})
 
 
 def unpersisted(records: DataFrame, flag: str = "persisted") -> DataFrame:

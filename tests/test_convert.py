@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
@@ -189,3 +190,46 @@ def test_independent_of_ansi_flag(spark):
         assert list(row) == [None, None]
     finally:
         spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def wrapped(n: int, bits: int) -> int:
+    n &= (1 << bits) - 1
+    return n - (1 << bits) if n >> (bits - 1) else n
+
+
+def clamped(d: float, bits: int) -> int:
+    if d != d:
+        return 0
+    top = (1 << (bits - 1)) - 1
+    return max(-top - 1, min(top, int(d))) if abs(d) != float("inf") else (top if d > 0 else -top - 1)
+
+
+def test_narrowing_against_plain_integers(spark):
+    rng = random.Random(5)
+    edges = [s * (2**b + d) for b in (7, 8, 15, 16, 31, 32, 62) for d in (-1, 0, 1) for s in (1, -1)]
+    longs = edges + [rng.randrange(-(2**63), 2**63) for _ in range(300)]
+    doubles = [float(n) * f for n in edges for f in (1, 0.3, 1e4)] + [float("nan"), float("inf"), float("-inf"), -0.0, 0.99]
+    exact = [Decimal(n) + Decimal("0.75") * (1 if n >= 0 else -1) for n in longs]
+    targets = {"Byte": 8, "Short": 16, "Integer": 32, "Long": 64}
+    for values, src in [(longs, L), (doubles, D), (exact, T.DecimalType(22, 2))]:
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], T.StructType([T.StructField("i", I), T.StructField("v", src)]))
+        rows = df.select("i", *[convert(F.col("v"), src, t, rules=WRAP).alias(t) for t in targets]).collect()
+        for r in rows:
+            v = values[r["i"]]
+            for t, bits in targets.items():
+                if isinstance(v, float):
+                    want = clamped(v, 64) if bits == 64 else wrapped(clamped(v, 32), bits)
+                else:
+                    want = wrapped(int(v), bits)
+                assert r[t] == want, (v, t)
+
+
+def test_strict_and_lenient_agree_on_good_values(spark):
+    texts = ["1", " 2 ", "3.5", "x", "2024-01-02", "2024-01-02 03:04:05", "2024-01-02T03:04:05", "true", "", "1e3"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    for to in ("Long", "Integer", "Double", "BigDecimal", "Date", "LocalDate", "LocalDateTime", "Boolean", "Byte"):
+        kept = df.where(~is_bad(F.col("c"), S, to))
+        strict = kept.select(convert(F.col("c"), S, to)).collect()
+        lenient = kept.select(convert(F.col("c"), S, to, mode="lenient")).collect()
+        assert [r[0] for r in strict] == [r[0] for r in lenient]
+        assert all(r[0] is not None for r in strict)
