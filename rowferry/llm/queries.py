@@ -77,8 +77,8 @@ SQL: dict[str, str] = {
         with recursive v as (
             select vec_id, label, embedding::double[] as e, (
                 embedding is not null and label is not null and len(embedding) > 0
-                and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-                and len(list_filter(embedding, x -> x <> 0)) > 0) as live
+                and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+                and len(list_filter(embedding, lambda x: x <> 0)) > 0) as live
             from embeddings
         ), links as (
             select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
