@@ -163,20 +163,30 @@ def header_text(value: Column, empty: str) -> Column:
     return F.when(F.coalesce(F.length(clean), F.lit(0)) > 0, clean).otherwise(F.lit(empty))
 
 
-def write_arc(records: DataFrame, path: str, version: int) -> None:
-    """Write ``(url, ip, archive_date, mime, block)`` as gzip ARC files, one per partition.
+def write_records(values: DataFrame, path: str) -> None:
+    """Write finished records as gzip files; the line feed after each value is the record's own last byte."""
+    out = values.write.option("lineSep", "\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+    out.text(path)
+
+
+def write_arc(records: DataFrame, path: str, versions: tuple[int, ...] = (1, 2)) -> None:
+    """Write ``(url, ip, archive_date, mime, block)`` as gzip ARC files, one per partition, versions by turns.
 
     The first row of a partition carries the version block. The text writer ends each row
     with the line feed that separates ARC records, and commits whole files only.
     """
-    fields = ARC_FIELDS[version]
-    intro = f"{version} 0 rowferry\n{fields}\n"
     size = F.octet_length("block").cast("string")
     lead = [header_text(F.col("url"), "urn:none"), header_text(F.col("ip"), "0.0.0.0"), F.col("archive_date"), header_text(F.col("mime"), "no-type")]
-    if version == 2:
-        lead += [F.lit("200"), F.lit("-"), F.lit("-"), F.lit("0"), F.lit("-")]
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
-    block = F.concat(F.lit(f"filedesc://rowferry.arc 0.0.0.0 20000101000000 text/plain {len(intro)}\n{intro}\n"))
-    line = F.concat(F.when(first, block).otherwise(F.lit("")), F.concat_ws(" ", *lead, size), F.lit("\n"))
-    value = F.concat(line.cast("binary"), F.col("block")).cast("string")
-    records.select(value.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    turn = F.pmod(F.spark_partition_id(), F.lit(len(versions)))
+    line, intro = None, None
+    for n, version in enumerate(versions):
+        more = [F.lit("200"), F.lit("-"), F.lit("-"), F.lit("0"), F.lit("-")] if version == 2 else []
+        own = F.concat_ws(" ", *lead, *more, size)
+        body = f"{version} 0 rowferry\n{ARC_FIELDS[version]}\n"
+        block = F.lit(f"filedesc://rowferry.arc 0.0.0.0 20000101000000 text/plain {len(body)}\n{body}\n")
+        line = own if line is None else F.when(turn == n, own).otherwise(line)
+        intro = block if intro is None else F.when(turn == n, block).otherwise(intro)
+    head = F.concat(F.when(first, intro).otherwise(F.lit("")), line, F.lit("\n"))
+    value = F.concat(head.cast("binary"), F.col("block")).cast("string")
+    write_records(records.select(value.alias("value")), path)

@@ -11,6 +11,7 @@ import base64
 import hashlib
 import heapq
 import json
+import re
 from array import array
 from functools import lru_cache
 
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from rowferry.llm.tables import sub_batches
 
 SLOTS = 1 << 17
-CHUNK_BYTES = 32_000_000
+CHUNK_BYTES = 8_000_000
+KNOWN_WORDS = 450_000
+TOGETHER = 64
 FOLDED_BYTES = 64
 PLACE_BITS = 6
 PLACE_MASK = 63
@@ -65,10 +68,22 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
 
 
+def first_merges(ranks: dict[bytes, int], count: int) -> Column:
+    """The ``count`` merges of the smallest ranks, in order, as a literal array of pairs and letters."""
+    rows = []
+    for piece, rank in sorted((x for x in ranks.items() if len(x[0]) > 1), key=lambda x: x[1])[:count]:
+        for cut in range(1, len(piece)):
+            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if left is not None and right is not None:
+                rows.append({"pair": letter(left) + letter(right), "to": letter(rank)})
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<pair:string,to:string>>")
+
+
 def fold_words(words: Column, ranks: dict[bytes, int]) -> Column:
     """Each word of an array, one letter per byte, as its merged pieces, one letter per piece.
 
-    ``aggregate`` folds over as many steps as a word has pairs. A step looks up every pair of
+    First the ``TOGETHER`` merges of the smallest ranks are folded, in order, over all words at once, joined
+    to one string. Then each word goes on by itself: ``aggregate`` folds over as many steps as a word has pairs. A step looks up every pair of
     neighbours, takes the smallest rank with its first place, and merges that pair wherever it
     stands in the word, from the left; without a ranked pair the word stays. Ranks must be in merge
     order, as in any trained rank file: then no merge makes a pair of a smaller rank, and merging a
@@ -79,7 +94,7 @@ def fold_words(words: Column, ranks: dict[bytes, int]) -> Column:
     names = F.split(F.lit(",".join(letter(i) for i in range(max(ranks.values()) + 1))), ",")
 
     def rank(pair: Column) -> Column:
-        return F.element_at(F.get(known, F.pmod(F.xxhash64(pair), F.lit(SLOTS)).cast("int")), pair)
+        return F.element_at(F.get(known, F.xxhash64(pair).bitwiseAND(F.lit(SLOTS - 1)).cast("int")), pair)
 
     def merged(word: Column, best: Column) -> Column:
         pair = F.substring(word, best.bitwiseAND(F.lit(PLACE_MASK)), F.lit(2))
@@ -91,7 +106,9 @@ def fold_words(words: Column, ranks: dict[bytes, int]) -> Column:
         done = F.length(word) < 2
         return F.when(done, word).otherwise(F.get(F.transform(F.array(F.array_min(ranked)), lambda b: merged(word, b)), 0))
 
-    return F.transform(words, lambda w: F.when(F.length(w) < 2, w).otherwise(F.aggregate(F.sequence(F.lit(2), F.length(w)), w, step)))
+    joined = F.aggregate(first_merges(ranks, TOGETHER), F.array_join(words, ","), lambda s, m: F.replace(s, m["pair"], m["to"]))
+    begun = F.when(F.size(words) > 0, F.split(joined, ",")).otherwise(words)
+    return F.transform(begun, lambda w: F.when(F.length(w) < 2, w).otherwise(F.aggregate(F.sequence(F.lit(2), F.length(w)), w, step)))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -128,44 +145,84 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-CHUNK = "doc_ids array<long>, ends array<int>, words array<string>, long_words array<string>, uses array<int>"
+CHUNK = "fresh boolean, doc_ids array<long>, ends array<int>, words array<string>, long_words array<string>, uses array<int>"
+
+
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for, and lists the new ones in ``new``."""
+
+    new: list[str]
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
+
+
+#: ASCII without the separators 1C to 1F, Latin letters with accents, and general punctuation up to the
+#: arrows: here ``re`` and the Unicode properties agree on letters, digits and white space.
+_PLAIN = re.compile(r"[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u017f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2190-\u23ff]*")
+_PROPERTIES = {r"\p{L}": r"[^\W\d_]", r"\p{N}": r"\d", r"[^\s\p{L}\p{N}]": r"(?:[^\s\w]|_)"}
+
+
+def word_finder(pattern: str):
+    """All matches of a pattern in a text; plain texts take the standard module, which is faster."""
+    whole = regex.compile(pattern).findall
+    simple = pattern
+    for name in sorted(_PROPERTIES, key=len, reverse=True):
+        simple = simple.replace(name, _PROPERTIES[name])
+    if r"\p" in simple:
+        return whole
+    quick = re.compile(simple).findall
+    return lambda text: quick(text) if _PLAIN.fullmatch(text) else whole(text)
 
 
 def _splitter(path: str, pattern: str):
-    """Rows ``(doc_id, text)`` to chunks: their words, each once, and each text's word numbers.
+    """Rows ``(doc_id, text)`` to chunks: their new words, and each text's word numbers.
 
-    A word is written with one letter per byte; beyond ``FOLDED_BYTES`` it is null and stands in
-    ``long_words`` as it is, in the same order.
+    A task's chunks share one numbering, so a word is folded once per task; beyond ``KNOWN_WORDS``
+    it starts again, with a ``fresh`` chunk. A word is written with one letter per byte; beyond
+    ``FOLDED_BYTES`` it is empty and stands in ``long_words`` as it is, in the same order.
     """
 
     def run(batches):
         letters = word_letters(read_ranks(path))
-        find = regex.compile(pattern).findall
-        ids, ends, uses, number, size = [], [], array("i"), {}, 0
+        find = word_finder(pattern)
+        number, new = Numbers(), []
+        number.new, fresh = new, True
+        ids, ends, uses, size = [], [], array("i"), 0
 
         def chunk():
-            words = [b.decode("latin-1").translate(letters) if len(b := w.encode()) <= FOLDED_BYTES else None for w in number]
-            long_words = [w for w, coded in zip(number, words, strict=True) if coded is None]
+            words = [b.decode("latin-1").translate(letters) if len(b := w.encode()) <= FOLDED_BYTES else "" for w in new]
+            long_words = [w for w, coded in zip(new, words, strict=True) if not coded]
+            used = pa.array(np.frombuffer(uses, np.int32) if len(uses) else np.zeros(0, np.int32))
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int32())),
+                    pa.array([fresh]), pa.array([ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int32())),
                     pa.array([words], pa.list_(pa.string())), pa.array([long_words], pa.list_(pa.string())),
-                    pa.ListArray.from_arrays(pa.array([0, len(uses)], pa.int32()), pa.array(np.frombuffer(uses, np.int32) if len(uses) else np.zeros(0, np.int32))),
+                    pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), used),
                 ],
-                ["doc_ids", "ends", "words", "long_words", "uses"],
+                ["fresh", "doc_ids", "ends", "words", "long_words", "uses"],
             )
 
         for batch in batches:
             for part in sub_batches(batch, 256):
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
                     value = text.as_py() or ""
-                    uses.extend([number.setdefault(w, len(number)) for w in find(value)])
+                    uses.extend(map(number.__getitem__, find(value)))
                     ids.append(doc_id)
                     ends.append(len(uses))
                     size += len(value) + 16
                     if size >= CHUNK_BYTES:
-                        yield chunk()
-                        ids, ends, uses, number, size = [], [], array("i"), {}, 0
+                        made = chunk()  # the next stages work while this one waits, so its own copies go first
+                        fresh = len(number) > KNOWN_WORDS
+                        if fresh:
+                            number.clear()
+                        new.clear()
+                        ids, ends, uses, size = [], [], array("i"), 0
+                        yield made
+                        del made
+                        pa.default_memory_pool().release_unused()
         if ids:
             yield chunk()
 
@@ -175,7 +232,7 @@ def _splitter(path: str, pattern: str):
 def _letter_ranks(text: str) -> np.ndarray:
     """The ranks of a string of letters."""
     codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
-    return np.where(codes < 0xD800, codes, codes - 0x800) - 0x100
+    return np.where(codes < 0xD800, codes, codes - 0x800).astype(np.int32) - np.int32(0x100)
 
 
 def _assembler(path: str):
@@ -186,36 +243,43 @@ def _assembler(path: str):
         pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, i in ranks.items():
             pieces[i] = piece
+        flat, counts, firsts = (np.zeros(0, np.int32),) * 3
         for batch in batches:
             for row in range(batch.num_rows):
+                if batch.column("fresh")[row].as_py():
+                    flat, counts, firsts = (np.zeros(0, np.int32),) * 3
                 doc_ids, ends = (batch.column(c)[row].values for c in ("doc_ids", "ends"))
                 uses = batch.column("uses")[row].values.to_numpy()
                 coded = batch.column("coded")[row].values
-                counts = pc.utf8_length(coded).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                parts = [_letter_ranks("".join(coded.drop_null().to_pylist()))]
-                firsts = np.cumsum(counts) - counts
+                many = pc.utf8_length(coded).to_numpy(zero_copy_only=False).astype(np.int32)
+                parts = [_letter_ranks("".join(coded.to_pylist()))]
+                starts = np.cumsum(many, dtype=np.int32) - many
                 size = parts[0].size
-                unfolded = np.flatnonzero(coded.is_null().to_numpy(zero_copy_only=False))
-                for at, word in zip(unfolded, batch.column("long_words")[row].as_py(), strict=True):
-                    parts.append(np.array(merge_long(word.encode(), ranks), np.int64))
-                    firsts[at], counts[at] = size, parts[-1].size
+                for at, word in zip(np.flatnonzero(many == 0), batch.column("long_words")[row].as_py(), strict=True):
+                    parts.append(np.array(merge_long(word.encode(), ranks), np.int32))
+                    starts[at], many[at] = size, parts[-1].size
                     size += parts[-1].size
-                flat = np.concatenate(parts)
+                own = np.concatenate(parts)
+                firsts = np.concatenate([firsts, starts + np.int32(flat.size)])
+                counts = np.concatenate([counts, many])
+                flat = np.concatenate([flat, own])
                 out, start = [], 0
                 for end in ends.to_pylist():
                     used = uses[start:end]
                     many = counts[used]
                     total = int(many.sum())
-                    shift = firsts[used] - (np.cumsum(many) - many)
-                    ids = flat[np.repeat(shift, many) + np.arange(total)]
-                    decoded = b"".join([pieces[i] for i in ids.tolist()])
-                    out.append((total, hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+                    shift = firsts[used] - (np.cumsum(many, dtype=np.int32) - many)
+                    ids = flat[np.repeat(shift, many) + np.arange(total, dtype=np.int32)]
+                    text = b"".join(map(pieces.__getitem__, ids.tolist()))
+                    out.append((total, hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()))
                     start = end
                 n, ids_sha, text_sha = zip(*out, strict=True) if out else ((), (), ())
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+                del coded, uses, parts, own
+                pa.default_memory_pool().release_unused()
 
     return run
 
@@ -223,7 +287,7 @@ def _assembler(path: str):
 def encoded_chunks(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Chunks of texts with their distinct words and ``coded``, the pieces of each word as letters.
 
-    Words beyond ``FOLDED_BYTES`` are null in ``coded`` and listed in ``long_words``.
+    Words beyond ``FOLDED_BYTES`` are empty in ``coded`` and listed in ``long_words``.
     """
     chunks = docs.select("doc_id", "text").mapInArrow(_splitter(path, pattern), CHUNK)
     return chunks.withColumn("coded", fold_words(F.col("words"), read_ranks(path))).drop("words")

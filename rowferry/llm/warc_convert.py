@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowferry.llm.arc_files import archive_rows, arrow_schema, http_head, open_archive, read_arc, read_files, write_arc
+from rowferry.llm.arc_files import archive_rows, arrow_schema, http_head, open_archive, read_arc, read_files, write_arc, write_records
 from rowferry.storage import materialize, new_folder
 
 # Fixed value of the format.
@@ -81,8 +81,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         F.lit("\r\n"),
     )
     value = F.concat(head.cast("binary"), body, F.lit(b"\r\n\r")).cast("string")
-    out = records.where(F.col("error").isNull()).select(value.alias("value"))
-    out.write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    write_records(records.where(F.col("error").isNull()).select(value.alias("value")), path)
 
 
 def warc_records(file: str, content: bytes) -> Iterator[dict[str, Any]]:
@@ -165,12 +164,10 @@ def pages_round_trip(pages: DataFrame) -> DataFrame:
         "url", F.lit(None).cast("string").alias("ip"),
         F.date_format(F.timestamp_seconds(second), "yyyyMMddHHmmss").alias("archive_date"),
         F.lit("text/html").alias("mime"), F.concat(head.cast("binary"), payload).alias("block"),
-        F.coalesce(F.pmod("page_id", F.lit(2)), F.lit(0)).alias("half"),
     )
     arc, warc = new_folder(spark, "arc"), new_folder(spark, "warc")
-    for half, version in ((0, 1), (1, 2)):
-        write_arc(rows.where(F.col("half") == half), f"{arc}/v{version}", version)
-    read = materialize(convert_archives(spark, f"{arc}/*", warc, page_header("head")).where("warc_type != 'warcinfo'"), "warc-read")
+    write_arc(rows, arc)
+    read = materialize(convert_archives(spark, arc, warc, page_header("head")).where("warc_type != 'warcinfo'"), "warc-read")
     found = resolve_revisits(read)
     return found.select(
         page_header("head").alias("page_id"), "payload_bytes", "payload_digest",
