@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from rowferry.llm.tables import sub_batches
 
-SLOTS = 1 << 17
+SLOTS = 1 << 16
 CHUNK_BYTES = 8_000_000
 KNOWN_WORDS = 450_000
-TOGETHER = 64
+TOGETHER = 24
 FOLDED_BYTES = 64
 PLACE_BITS = 6
 PLACE_MASK = 63
