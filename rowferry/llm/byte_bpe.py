@@ -13,7 +13,6 @@ import heapq
 import json
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowferry.llm.tables import sub_batches
+from rowferry.llm.tables import small_batches, sub_batches, worker_model
 
 SLOTS = 1 << 16
 CHUNK_BYTES = 8_000_000
@@ -35,13 +34,21 @@ PLACE_MASK = 63
 SEED = 42  # of Spark's xxhash64
 
 
-@lru_cache(maxsize=2)
 def read_ranks(path: str) -> dict[bytes, int]:
     """Byte strings with their merge ranks, from a rank file."""
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def ranks_and_pieces(path: str) -> tuple[dict[bytes, int], list[bytes]]:
+    """The ranks, and each rank's bytes."""
+    ranks = read_ranks(path)
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    return ranks, pieces
+
+
 def letter(rank: int) -> str:
     """One character that stands for a piece in Spark strings: beyond Latin-1, past the surrogates."""
     code = rank + 0x100
@@ -186,7 +193,7 @@ def _splitter(path: str, pattern: str):
     """
 
     def run(batches):
-        letters = word_letters(read_ranks(path))
+        letters = worker_model(("letters", path), lambda: word_letters(read_ranks(path)))
         find = word_finder(pattern)
         number, new = Numbers(), []
         number.new, fresh = new, True
@@ -239,10 +246,7 @@ def _assembler(path: str):
     """Chunks with each word's pieces to one row per text."""
 
     def run(batches):
-        ranks = read_ranks(path)
-        pieces = [b""] * (max(ranks.values(), default=-1) + 1)
-        for piece, i in ranks.items():
-            pieces[i] = piece
+        ranks, pieces = worker_model(("ranks", path), lambda: ranks_and_pieces(path))
         flat, counts, firsts = (np.zeros(0, np.int32),) * 3
         for batch in batches:
             for row in range(batch.num_rows):
@@ -289,7 +293,7 @@ def encoded_chunks(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     Words beyond ``FOLDED_BYTES`` are empty in ``coded`` and listed in ``long_words``.
     """
-    chunks = docs.select("doc_id", "text").mapInArrow(_splitter(path, pattern), CHUNK)
+    chunks = small_batches(docs.select("doc_id", "text")).mapInArrow(_splitter(path, pattern), CHUNK)
     return chunks.withColumn("coded", fold_words(F.col("words"), read_ranks(path))).drop("words")
 
 

@@ -10,14 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowferry.llm.tables import sub_batches
+from rowferry.llm.tables import small_batches, sub_batches, worker_model
 
 Q = 8
 ERROR_RATE = 0.1
@@ -66,7 +65,6 @@ class Index:
     edits: np.ndarray
 
 
-@lru_cache(maxsize=2)
 def build_index(items: tuple[tuple[int, bytes], ...]) -> Index:
     """Of each item the commonest q-grams are left out, as many as its bound can spare.
 
@@ -262,7 +260,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            index = build_index(shared.value)
+            index = worker_model(("benchmark", shared.value), lambda: build_index(shared.value))
             for batch in batches:
                 for part, texts in _pieces(batch):
                     found = list(find_items(index, texts))
@@ -273,7 +271,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                             ["doc_id", "item_id", "edits", "similarity", "start", "end"],
                         )
 
-        hits = docs.select("doc_id", "text").mapInArrow(run, HITS)
+        hits = small_batches(docs.select("doc_id", "text")).mapInArrow(run, HITS)
         out = hits if out is None else out.union(hits)
     return out
 
@@ -285,11 +283,11 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            index = build_index(shared.value)
+            index = worker_model(("benchmark", shared.value), lambda: build_index(shared.value))
             for batch in batches:
                 for part, texts in _pieces(batch):
                     bad = {hit[0] for hit in find_items(index, texts)}
                     yield part.filter(pa.array([i not in bad for i in range(len(texts))]))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs

@@ -10,13 +10,12 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowferry.llm.tables import held_out, sub_batches
+from rowferry.llm.tables import held_out, small_batches, sub_batches, worker_model
 
 UNKNOWN = "und"
 SAMPLE_CHARS = 96_000  # of all languages together
@@ -104,9 +103,8 @@ class Codes(dict):
         return b"\x01" + b"\x01".join(words) + b"\x01" if words else b""
 
 
-@lru_cache(maxsize=2)
 def build(samples: tuple[tuple[str, str], ...]) -> tuple[Codes, list[Automaton]]:
-    """The code table and one automaton per language, once per Python worker."""
+    """The code table and one automaton per language, kept by each worker."""
     seen = Counter(c for _, text in samples for c in text.lower() if c.isalpha())
     letters = {c: BREAK + 1 + i for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])}
     codes, width = Codes(letters), BREAK + 1 + len(letters)
@@ -166,7 +164,7 @@ def _even_cut(parts: list[str], share: int) -> str:
 
 def _predictor(samples: tuple[tuple[str, str], ...], text_at: int, keep_known: bool):
     def run(batches):
-        codes, automata = build(samples)
+        codes, automata = worker_model(("language", samples), lambda: build(samples))
         for batch in batches:
             for part in sub_batches(batch, 256):
                 found = [identify(t, codes, automata) for t in part.column(text_at).to_pylist()]
@@ -190,11 +188,11 @@ def predict_language(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text", "lang")
     samples = language_samples(docs, ~held_out())
-    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    rows = small_batches(docs.select("doc_id", held_out().alias("held_out"), "text"))
     return rows.mapInArrow(_predictor(samples, 2, False), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known_language(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language can be told; ``und`` rows go. All columns stay as they are."""
     samples = language_samples(docs.select("doc_id", "text", "lang"), ~held_out())
-    return docs.mapInArrow(_predictor(samples, docs.columns.index("text"), True), docs.schema)
+    return small_batches(docs).mapInArrow(_predictor(samples, docs.columns.index("text"), True), docs.schema)

@@ -15,11 +15,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.llm.graph import components
-from rowferry.llm.tables import sub_batches
+from rowferry.llm.tables import small_batches, sub_batches
 from rowferry.storage import materialize
 
 BITS = 64
@@ -53,17 +53,25 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int(chosen.view(np.int64)[0])
 
 
-def with_fingerprints(docs: DataFrame, shingle: int, column: str = "fingerprint") -> DataFrame:
-    """``docs`` with one more long column; needs ``text``, keeps every other column as it is."""
-    schema = docs.drop(column).schema.add(column, "long")
+def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, text_hash, fingerprint`` of every row; the texts stay in their tasks."""
 
     def run(batches):
         for batch in batches:
             for part in sub_batches(batch, 1024):
                 values = [fingerprint(t, shingle) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.int64())], [*part.schema.names, column])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(values, pa.int64())],
+                    ["doc_id", "text_hash", "fingerprint"],
+                )
 
-    return docs.drop(column).mapInArrow(run, schema)
+    rows = small_batches(docs.select("doc_id", text_hash().alias("text_hash"), "text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fingerprint long")
+
+
+def text_hash() -> Column:
+    """Tells the rows of one id apart by their texts; null and empty texts count as equal."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _masks(bits: int, most: int) -> list[np.ndarray]:
@@ -208,13 +216,17 @@ def ball_links(fingerprints: DataFrame, distance: int) -> DataFrame:
 
 
 def _fingerprint_groups(rows: DataFrame, distance: int) -> DataFrame:
-    """``(fingerprint, first, root)``: the smallest id of each fingerprint and of its component."""
-    classes = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "simhash-classes")
+    """``(fingerprint, root, head)``: each fingerprint's component, and the row that comes first in it.
+
+    Rows are ordered by id, nulls last, then by the text's hash.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash")
+    classes = materialize(rows.groupBy("fingerprint").agg(F.min(place).alias("first")), "simhash-classes")
     roots = components(ball_links(classes.select("fingerprint"), distance), "a", "b")
     joined = classes.join(roots, classes["fingerprint"] == roots["node"], "left")
     joined = joined.select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
-    names = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    return joined.join(names, "root").select("fingerprint", "first", "component_id")
+    heads = joined.groupBy("root").agg(F.min("first").alias("head"))
+    return joined.select("fingerprint", "root").join(heads, "root")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -224,28 +236,30 @@ def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4) ->
     word has fingerprint zero and links like any other. Repeated rows share a fingerprint. A null
     id belongs to a component, but names one only if it has no other id. An empty table gives no rows.
     """
-    rows = materialize(with_fingerprints(docs.select("doc_id", "text"), shingle).drop("text"), "simhash")
+    rows = materialize(fingerprints(docs, shingle), "simhash")
     groups = _fingerprint_groups(rows, distance)
     return rows.join(groups, "fingerprint").select(
-        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
+        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("head.doc_id").alias("component_id")
     )
 
 
 def keep_one_per_component(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with the smallest id.
+    """The rows of ``docs`` that stay: of each component the row with the smallest id, nulls last.
 
-    All columns are kept as they are. Of repeated rows with that id and fingerprint one stays;
-    a component without any id keeps one of its rows.
+    All columns are kept as they are. Of several rows with that id, one with the smallest text
+    hash stays; only where the row itself is repeated are whole rows grouped.
     """
-    mark = "__simhash_fingerprint"
-    marked = with_fingerprints(docs, shingle, mark)
-    rows = materialize(marked.select("doc_id", F.col(mark).alias("fingerprint")), "simhash")
-    groups = materialize(_fingerprint_groups(rows, distance), "simhash-groups")
-    place = F.struct(F.col("first").isNull(), "first", "fingerprint")
-    heads = groups.groupBy("component_id").agg(F.min(place).alias("p")).where("component_id is not null")
-    heads = heads.select(F.col("p.fingerprint").alias(mark), F.col("p.first").alias("__simhash_first"))
-    # Components of rows without any id can't be told apart by it; each of their fingerprints keeps a row.
-    unnamed = groups.where("component_id is null").select(F.col("fingerprint").alias(mark), F.col("first").alias("__simhash_first"))
-    heads = heads.union(unnamed)
-    kept = marked.join(heads, (marked[mark] == heads[mark]) & marked["doc_id"].eqNullSafe(heads["__simhash_first"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", mark]).drop(mark)
+    rows = materialize(fingerprints(docs, shingle), "simhash")
+    heads = _fingerprint_groups(rows, distance).select("root", "head").distinct()
+    copies = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    head = heads.select(F.col("head.doc_id").alias("__id"), F.col("head.text_hash").alias("__hash"))
+    kept = head.join(copies, head["__id"].eqNullSafe(copies["doc_id"]) & (head["__hash"] == copies["text_hash"]))
+    kept = materialize(kept.select("__id", "__hash", "n"), "simhash-kept")
+    marked = docs.withColumn("__text_hash", text_hash())
+
+    def chosen(keys: DataFrame) -> DataFrame:
+        same = marked["doc_id"].eqNullSafe(keys["__id"]) & (marked["__text_hash"] == keys["__hash"])
+        return marked.join(keys, same, "left_semi")
+
+    once, often = chosen(kept.where("n = 1")), chosen(kept.where("n > 1"))
+    return once.union(often.dropDuplicates(["doc_id", "__text_hash"])).drop("__text_hash")

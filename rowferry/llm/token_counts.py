@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rowferry.llm.tables import sub_batches
+from rowferry.llm.tables import small_batches, sub_batches, worker_model
 
 CACHED = 300_000
 LONG_PIECE = 4_096
@@ -31,7 +30,6 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(spare)) for b in range(256)}
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> Tokenizer:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
@@ -65,7 +63,8 @@ class Counts(dict):
 
     def __init__(self, path: str, proved: frozenset[str]) -> None:
         super().__init__()
-        self.model, self.proved = load(path).model, proved
+        self.tokenizer = load(path)
+        self.model, self.proved = self.tokenizer.model, proved
         self.letters = byte_letters()
         self.update(dict.fromkeys(proved, 1))
 
@@ -88,7 +87,8 @@ class PieceCounter:
     """
 
     def __init__(self, path: str, proved: frozenset[str]) -> None:
-        self.tokenizer, self.counts = load(path), Counts(path, proved)
+        self.counts = Counts(path, proved)
+        self.tokenizer = self.counts.tokenizer
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         # Fixed value: the vocabulary file's pattern, in the classes of this module.
@@ -107,11 +107,6 @@ class PieceCounter:
         return sum(map(self.counts.__getitem__, self.pieces.findall(text.lower())))
 
 
-@lru_cache(maxsize=2)
-def _counter(path: str, proved: frozenset[str]) -> PieceCounter:
-    return PieceCounter(path, proved)
-
-
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``docs``.
 
@@ -123,12 +118,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter: Callable[[Any], int] = _counter(path, shared.value).count
+        counter: Callable[[Any], int] = worker_model(("tokens", path), lambda: PieceCounter(path, shared.value)).count
         for batch in batches:
             for part in sub_batches(batch, 256):
                 counts = [counter(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", size.alias("n_bytes"), "text")
+    rows = small_batches(docs.select("doc_id", size.alias("n_bytes"), "text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -12,7 +12,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowferry.llm.tables import held_out, rows_of, sub_batches
+from rowferry.llm.tables import held_out, rows_of, small_batches, sub_batches, worker_model
 from rowferry.storage import materialize
 
 EXAMPLES = 10_000
@@ -32,7 +31,7 @@ EVIDENCE = 3
 BLOCK = 64
 BLOCKS_AT_ONCE = 8
 NEAR = 0.02  # added to a distance, so an equal example does not outvote all others
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 THRESHOLD = 0.3
 
 _word = re.compile(r"\w+")
@@ -100,7 +99,7 @@ class BlockMaxIndex:
         # Examples with like terms share blocks, so block maxima say more.
         self.order = sorted(range(len(model.ids)), key=lambda i: (model.rows[i][0], model.toxic[i], model.ids[i]))
         blocks = -(-len(self.order) // BLOCK)
-        self.postings = np.zeros((len(model.terms), blocks, BLOCK), np.float64)
+        self.postings = np.zeros((len(model.terms), blocks, BLOCK), np.float32)
         for place, i in enumerate(self.order):
             at, weight = model.rows[i]
             self.postings[list(at), place // BLOCK, place % BLOCK] = weight
@@ -141,9 +140,8 @@ class BlockMaxIndex:
         return float(votes @ self.toxic[places] / votes.sum()), self.ids[places[:EVIDENCE]].tolist()
 
 
-@lru_cache(maxsize=2)
 def _loaded(model: Model) -> tuple[WordTerms, BlockMaxIndex]:
-    return WordTerms(model.terms), BlockMaxIndex(model)
+    return worker_model(("toxicity", model), lambda: (WordTerms(model.terms), BlockMaxIndex(model)))
 
 
 def calibrated(vote: float, curve: tuple[tuple[float, ...], tuple[float, ...]]) -> float:
@@ -253,13 +251,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return model._replace(curve=calibration_curve([r["vote"] for r in own], [r["toxic"] for r in own]))
 
 
-def _scores(model: Model, texts: list[str | None], seen: dict) -> list[tuple[float, list[int]]]:
-    known, index = _loaded(model)
+def _scores(model: Model, loaded: tuple[WordTerms, BlockMaxIndex], texts: list[str | None], seen: dict) -> list[tuple[float, list[int]]]:
+    known, index = loaded
     out = []
     for text in texts:
         key = vector(text, known, model.idf)
         if key not in seen:
-            if len(seen) >= 20_000:
+            if len(seen) >= 5_000:
                 seen.clear()
             vote = index.vote(*key)
             seen[key] = (model.base, []) if vote is None else (calibrated(vote[0], model.curve), vote[1])
@@ -280,9 +278,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         seen: dict = {}
+        model = shared.value
+        loaded = _loaded(model)
         for batch in batches:
             for part in sub_batches(batch, 256):
-                got = _scores(shared.value, part.column("text").to_pylist(), seen)
+                got = _scores(model, loaded, part.column("text").to_pylist(), seen)
                 score = [s for s, _ in got]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -293,7 +293,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                     ["doc_id", "held_out", "score", "predicted", "evidence"],
                 )
 
-    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    rows = small_batches(docs.select("doc_id", held_out().alias("held_out"), "text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
 
 
@@ -303,9 +303,11 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         seen: dict = {}
+        model = shared.value
+        loaded = _loaded(model)
         for batch in batches:
             for part in sub_batches(batch, 256):
-                got = _scores(shared.value, part.column("text").to_pylist(), seen)
+                got = _scores(model, loaded, part.column("text").to_pylist(), seen)
                 yield part.filter(pa.array([s < THRESHOLD for s, _ in got]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
