@@ -76,10 +76,15 @@ def phrases(codes: bytes, moves: list[int]) -> int:
     """Phrases of the greedy parse; a code that the sample lacks is a phrase of its own."""
     count, state = 0, 0
     for code in codes:
-        state = moves[state + code]
-        if not state:
-            count += 1
+        onward = moves[state + code]
+        if onward:
+            state = onward
+        else:
+            if state:
+                count += 1
             state = moves[code]
+            if not state:
+                count += 1
     return count + (state != 0)
 
 
