@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowferry.llm.tables import small_batches, sub_batches, worker_model
+from rowferry.llm.tables import small_batches, sub_batches, tidy, worker_model
 
 SLOTS = 1 << 16
 CHUNK_BYTES = 8_000_000
@@ -293,7 +293,7 @@ def encoded_chunks(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     Words beyond ``FOLDED_BYTES`` are empty in ``coded`` and listed in ``long_words``.
     """
-    chunks = small_batches(docs.select("doc_id", "text")).mapInArrow(_splitter(path, pattern), CHUNK)
+    chunks = small_batches(docs.select("doc_id", "text")).mapInArrow(tidy(_splitter(path, pattern)), CHUNK)
     return chunks.withColumn("coded", fold_words(F.col("words"), read_ranks(path))).drop("words")
 
 
@@ -307,4 +307,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     ``CHUNK_BYTES`` at a time, or one longer text.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return encoded_chunks(docs, path, pattern).mapInArrow(_assembler(path), schema)
+    return encoded_chunks(docs, path, pattern).mapInArrow(tidy(_assembler(path)), schema)

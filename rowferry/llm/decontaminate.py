@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowferry.llm.tables import small_batches, sub_batches, worker_model
+from rowferry.llm.tables import small_batches, sub_batches, tidy, worker_model
 
 Q = 8
 ERROR_RATE = 0.1
 SLOT_BITS = 22
 BLOCK_CHARS = 4_000_000  # of benchmark text per pass over the documents
-TEXT_AT_ONCE = 4_000_000
-HITS_AT_ONCE = 4_000_000
+TEXT_AT_ONCE = 1_000_000
+HITS_AT_ONCE = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -271,7 +271,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                             ["doc_id", "item_id", "edits", "similarity", "start", "end"],
                         )
 
-        hits = small_batches(docs.select("doc_id", "text")).mapInArrow(run, HITS)
+        hits = small_batches(docs.select("doc_id", "text")).mapInArrow(tidy(run), HITS)
         out = hits if out is None else out.union(hits)
     return out
 
@@ -289,5 +289,5 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     bad = {hit[0] for hit in find_items(index, texts)}
                     yield part.filter(pa.array([i not in bad for i in range(len(texts))]))
 
-        docs = small_batches(docs).mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(tidy(run), docs.schema)
     return docs

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowferry.llm.tables import held_out, small_batches, sub_batches, worker_model
+from rowferry.llm.tables import held_out, small_batches, sub_batches, tidy, worker_model
 
 UNKNOWN = "und"
 SAMPLE_CHARS = 96_000  # of all languages together
@@ -194,10 +194,10 @@ def predict_language(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", "lang")
     samples = language_samples(docs, ~held_out())
     rows = small_batches(docs.select("doc_id", held_out().alias("held_out"), "text"))
-    return rows.mapInArrow(_predictor(samples, 2, False), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(_predictor(samples, 2, False)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known_language(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language can be told; ``und`` rows go. All columns stay as they are."""
     samples = language_samples(docs.select("doc_id", "text", "lang"), ~held_out())
-    return small_batches(docs).mapInArrow(_predictor(samples, docs.columns.index("text"), True), docs.schema)
+    return small_batches(docs).mapInArrow(tidy(_predictor(samples, docs.columns.index("text"), True)), docs.schema)

@@ -19,13 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.llm.graph import components
-from rowferry.llm.tables import small_batches, sub_batches
+from rowferry.llm.tables import small_batches, sub_batches, tidy, worker_model
 from rowferry.storage import materialize
 
 BITS = 64
 SEED = 42
 SHINGLES_AT_ONCE = 1 << 16
-VARIANTS_AT_ONCE = 1 << 20
+PREFIX_VARIANTS = 1 << 20
+VARIANTS_AT_ONCE = 1 << 19
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -57,8 +58,9 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """``doc_id, text_hash, fingerprint`` of every row; the texts stay in their tasks."""
 
     def run(batches):
+        worker_model("none", lambda: None)  # an earlier operator's model goes
         for batch in batches:
-            for part in sub_batches(batch, 1024):
+            for part in sub_batches(batch, 256):
                 values = [fingerprint(t, shingle) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("text_hash"), pa.array(values, pa.int64())],
@@ -66,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
                 )
 
     rows = small_batches(docs.select("doc_id", text_hash().alias("text_hash"), "text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fingerprint long")
+    return rows.mapInArrow(tidy(run), "doc_id long, text_hash long, fingerprint long")
 
 
 def text_hash() -> Column:
@@ -97,7 +99,7 @@ def _collisions(low: np.ndarray, budget: np.ndarray, bits: int, masks: dict[int,
     elif len(masks[bits]) <= most:
         masks[bits] = _masks(bits, most)
     made = sum(int((budget == r).sum()) * masks[bits][r].size for r in range(most + 1))
-    if made > 4 * VARIANTS_AT_ONCE and bits > 8:
+    if made > VARIANTS_AT_ONCE and bits > 8:
         step = 4
         head = low >> np.uint64(bits - step)
         rest = low & np.uint64((1 << (bits - step)) - 1)
@@ -204,7 +206,7 @@ def ball_links(fingerprints: DataFrame, distance: int) -> DataFrame:
     radius = distance // 2
     count = fingerprints.count()
     ball = sum(math.comb(BITS, r) for r in range(radius + 1))
-    bits = min(24, max(4, math.ceil(math.log2(max(2, count * ball / VARIANTS_AT_ONCE)))))
+    bits = min(24, max(4, math.ceil(math.log2(max(2, count * ball / PREFIX_VARIANTS)))))
     flips = [(m, radius - m.bit_count()) for m in _masks(bits, radius)[radius].tolist()]
     masks = F.array(*[F.struct(F.lit(m).cast("int").alias("mask"), F.lit(r).cast("byte").alias("budget")) for m, r in flips])
     top = F.shiftrightunsigned("fingerprint", BITS - bits).cast("int")
@@ -212,7 +214,7 @@ def ball_links(fingerprints: DataFrame, distance: int) -> DataFrame:
         F.col("top").bitwiseXOR(F.col("flip.mask")).alias("prefix"), "fingerprint", F.col("flip.budget").alias("budget")
     )
     sorted_rows = spread.repartition("prefix").sortWithinPartitions("prefix")
-    return sorted_rows.mapInArrow(_prefix_links(radius, distance, bits), "a long, b long")
+    return sorted_rows.mapInArrow(tidy(_prefix_links(radius, distance, bits)), "a long, b long")
 
 
 def _fingerprint_groups(rows: DataFrame, distance: int) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rowferry.llm.tables import small_batches, sub_batches, worker_model
+from rowferry.llm.tables import small_batches, sub_batches, tidy, worker_model
 
 CACHED = 300_000
 LONG_PIECE = 4_096
@@ -126,4 +126,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     rows = small_batches(docs.select("doc_id", size.alias("n_bytes"), "text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

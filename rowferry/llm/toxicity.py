@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowferry.llm.tables import held_out, rows_of, small_batches, sub_batches, worker_model
+from rowferry.llm.tables import held_out, rows_of, small_batches, sub_batches, tidy, worker_model
 from rowferry.storage import materialize
 
 EXAMPLES = 10_000
@@ -196,7 +196,7 @@ def _term_counts(batches):
 
 def choose_terms(examples: DataFrame, positives: int, negatives: int) -> list[tuple[str, float]]:
     """At most ``TERMS`` terms with their idf, by chi-squared, ties by term."""
-    sums = examples.select("toxic", "text").mapInArrow(_term_counts, "term string, pos long, neg long")
+    sums = examples.select("toxic", "text").mapInArrow(tidy(_term_counts), "term string, pos long, neg long")
     sums = sums.groupBy("term").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b")).where(f"a + b >= {LEAST_DOCS}")
     n = float(positives + negatives)
     cross = F.col("a") * F.lit(float(negatives)) - F.col("b") * F.lit(float(positives))
@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 [batch.column("toxic"), pa.array([v and v[0] for v in votes], pa.float64())], ["toxic", "vote"]
             )
 
-    own = rows.mapInArrow(left_out, "toxic int, vote double").where("vote is not null").collect()
+    own = rows.mapInArrow(tidy(left_out), "toxic int, vote double").where("vote is not null").collect()
     return model._replace(curve=calibration_curve([r["vote"] for r in own], [r["toxic"] for r in own]))
 
 
@@ -294,7 +294,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 )
 
     rows = small_batches(docs.select("doc_id", held_out().alias("held_out"), "text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -310,4 +310,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 got = _scores(model, loaded, part.column("text").to_pylist(), seen)
                 yield part.filter(pa.array([s < THRESHOLD for s, _ in got]))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(tidy(run), docs.schema)
