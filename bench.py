@@ -66,8 +66,6 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
-        # HotSpot never compiles methods beyond 8,000 bytes; Spark then does better without them.
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="rowferry-bench-"))
     )
     spark = builder.getOrCreate()

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Config keys whose value is never stored, and the mask.
-SECRET_KEYS = r"(?i)password|passwd|secret|token|jaas|credential|apikey|api_key"
+SECRET_KEYS = r"(?i)password|passwd|pwd|passphrase|secret|token|jaas|credential|(api|access|private|account)_?key"
 MASK = "***"
 
 # Fixed value: date-time text used in ledger lines.

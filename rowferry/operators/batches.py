@@ -160,7 +160,9 @@ def _overlap(start: Column, rows: Column, batch_size: int) -> Column:
     return F.least(start + rows, low + F.lit(batch_size)) - F.greatest(start, low)
 
 
-def _hot_rows(hot: DataFrame, starts: DataFrame, columns: list[str], batch_size: int, group: int) -> DataFrame:
+def _hot_rows(
+    hot: DataFrame, starts: DataFrame, columns: list[str], key: str, batch_size: int, group: int
+) -> DataFrame:
     """Batches of rows in hot segments, without ever gathering one key in a task.
 
     Equal rows collapse to one row with a count before any shuffle, distinct rows
@@ -170,11 +172,19 @@ def _hot_rows(hot: DataFrame, starts: DataFrame, columns: list[str], batch_size:
     sizes = starts.where(F.col("_place") % 2 == 1)
     subs = sizes.select(SHARD, *_SEGMENT, "_start", F.ceil(F.col("_rows") / F.lit(group)).alias("_subs"))
     held = [c for c in columns if c != SHARD]
-    distinct = hot.groupBy(SHARD, *_SEGMENT, *[F.col(f"`{c}`") for c in held]).agg(
+    # Grouping takes -0.0 for 0.0, so the sign of a zero is a key of its own.
+    real = [c for c, kind in hot.dtypes if c in held and kind in ("float", "double")]
+    signs = [F.col(f"`{c}`").cast("string").eqNullSafe("-0.0").alias(f"_zero{i}") for i, c in enumerate(real)]
+    distinct = hot.groupBy(SHARD, *_SEGMENT, *[F.col(f"`{c}`") for c in held], *signs).agg(
         F.count(F.lit(1)).alias("_copies")
     )
-    distinct = distinct.withColumn("_tie", _row_hash(distinct, held))
-    spread = distinct.join(subs, [SHARD, *_SEGMENT]).withColumn("_sub", F.pmod("_tie", "_subs"))
+    for i, c in enumerate(real):
+        distinct = distinct.withColumn(c, F.when(F.col(f"_zero{i}"), F.lit(-0.0).cast(hot.schema[c].dataType)).otherwise(F.col(f"`{c}`")))
+    distinct = distinct.withColumn("_tie", _row_hash(distinct, [c for c in held if c != key]))
+    # Ranges of the hash, so that sub-groups one after the other are in the order of the hash; two rows
+    # per cut and shard at most are broadcast.
+    part = F.floor((F.col("_tie").cast("double") / 2.0**64 + 0.5) * F.col("_subs"))
+    spread = distinct.join(F.broadcast(subs), [SHARD, *_SEGMENT]).withColumn("_sub", F.least(part, F.col("_subs") - 1))
     sub_rows = spread.groupBy(SHARD, *_SEGMENT, "_sub").agg(F.sum("_copies").alias("_sub_rows"))
     before = Window.partitionBy(SHARD, *_SEGMENT).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     sub_rows = sub_rows.withColumn("_sub_start", F.coalesce(F.sum("_sub_rows").over(before), F.lit(0)))
@@ -222,7 +232,7 @@ def assign_batches(
     if not cuts.hot and not cuts.nulls:
         return out
     alone = with_segments(df.where(cuts.stands_alone(F.col(f"`{key}`"))), key, cuts)
-    return out.unionByName(_hot_rows(alone, starts, df.columns, batch_size, rows_per_group))
+    return out.unionByName(_hot_rows(alone, starts, df.columns, key, batch_size, rows_per_group))
 
 
 def batch_manifest(

@@ -8,11 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.operators.sharding import SHARD, shard_of
-from rowferry.storage import control_rows
-
-# Up to this many shards the bounds travel as literals, beyond it as a join.
-LITERAL_SHARDS = 256
-
 
 @dataclass(frozen=True)
 class ResumePoint:
@@ -49,6 +44,19 @@ def resume_point(checkpoints: DataFrame, shards: int) -> ResumePoint:
     return ResumePoint(shards, {int(r[SHARD]): parse_checkpoint(r["checkpoint"]) for r in rows})
 
 
+def uneven_shards(checkpoints: DataFrame) -> int | None:
+    """The stored shard count while the shards' checkpoints differ, as after a failed batch run.
+
+    Only under that count do the bounds say which rows were delivered; one row per shard is read.
+    """
+    rows = checkpoints.select("shard_count", "checkpoint").collect()
+    if not rows:
+        return None
+    count = max(r["shard_count"] for r in rows)
+    even = len({r["checkpoint"] for r in rows}) == 1 and len(rows) == count
+    return None if even else int(count)
+
+
 def resume_filter(
     df: DataFrame, key: str, point: ResumePoint, *, high: int | None = None, how: str = "pmod"
 ) -> DataFrame:
@@ -67,13 +75,7 @@ def resume_filter(
     known = {s: b for s, b in point.bounds.items() if b is not None}
     if not known or (point.floor is not None and set(known.values()) == {point.floor}):
         return out
-    shard = shard_of(key, point.shards, how=how)
-    if len(known) <= LITERAL_SHARDS:
-        return out.where(_past_literal(shard, k, known))
-    rows = [{"_shard": s, "_bound": b} for s, b in known.items()]
-    frame = control_rows(df.sparkSession, rows, "_shard bigint, _bound bigint")
-    joined = out.withColumn("_shard", shard).join(frame, "_shard", "left")
-    return joined.where(F.col("_bound").isNull() | (k > F.col("_bound"))).drop("_shard", "_bound")
+    return out.where(_past_literal(shard_of(key, point.shards, how=how), k, known))
 
 
 def _past_literal(shard: Column, k: Column, known: dict[int, int]) -> Column:

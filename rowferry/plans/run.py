@@ -22,7 +22,7 @@ from rowferry.operators.counters import keep_rows, shard_counters, shard_times
 from rowferry.operators.delivery import KEY
 from rowferry.operators.mapping import map_columns, split_bad_rows
 from rowferry.operators.records import capped
-from rowferry.operators.resume import ResumePoint, resume_filter, resume_point
+from rowferry.operators.resume import ResumePoint, resume_filter, resume_point, uneven_shards
 from rowferry.operators.sharding import SHARD, stride_bounds, with_shards
 from rowferry.sinks.registry import Target, fan_out, find_sink
 from rowferry.sources.registry import DATABASES, known_counts, open_source
@@ -218,7 +218,7 @@ def _recorded(spark: SparkSession, task: SyncTask, state_path: str, guard: bool,
     except Exception as e:
         stats["status"] = "FAILED"
         if not stats["failedBatches"]:
-            stats["failedBatches"] = [f"{run_id}: {type(e).__name__}: {e}"[:2000]]
+            stats["failedBatches"] = [f"{run_id}: {type(e).__name__}: {e}"]
         raise
     finally:
         took = time.time() - started
@@ -243,9 +243,10 @@ class _Pending:
 def _pending(this: _Run, filter_key: Column | None) -> _Pending:
     """Resume every shard after its checkpoint, up to the largest key known."""
     key = this.task.spec.checkpoint.source
-    shards = planned_shards(this.spark, this.counts.total, this.task.spec)
+    saved = this.log.load(this.task.task_id)
+    shards = uneven_shards(saved) or planned_shards(this.spark, this.counts.total, this.task.spec)
     this.stats["shardCount"] = shards
-    point = resume_point(this.log.load(this.task.task_id), shards)
+    point = resume_point(saved, shards)
     rows = resume_filter(this.source, key, point, high=this.counts.high)
     # One pass over key (and filter) columns: one row per shard.
     per_shard = shard_counters(
@@ -337,23 +338,33 @@ def _deliver_slices(
         failed = [o for o in outcomes if not o.delivered]
         if failed:
             stats["failedShards"] = shards
-            stats["failedBatches"] = [f"{slice_id}: {o.name}: {o.error}"[:2000] for o in failed]
+            stats["failedBatches"] = [f"{slice_id}: {o.name}: {o.error}"for o in failed]
             raise SyncFailed(failed[0].error)
-        reached = _progress(pending, None if last else upto)
+        reached = _progress(pending, high if last else upto)
         this.log.save(task.task_id, shards, reached, slice_id, datetime.now())
     stats["completedShards"] = shards
     stats["processedRecords"] = stats["scannedRecords"] - stats["filteredRecords"] - set_aside
 
 
 def _progress(pending: _Pending, upto: int | None) -> dict[int, int | None]:
-    """Checkpoint of every shard: its own last key, or the slice border if that comes
-    first, and the old one where nothing was pending."""
+    """Checkpoint of every shard once all keys up to ``upto`` are delivered.
+
+    Shards without rows get it too: then a later run with another number of shards has one
+    bound for all, repeats nothing, and the scan can skip what lies below it.
+    """
+    out: dict[int, int | None] = {}
+    for shard in range(pending.shards):
+        old = pending.point.bounds.get(shard)
+        out[shard] = old if upto is None else upto if old is None else max(old, upto)
+    return out
+
+
+def _last_keys(pending: _Pending) -> dict[int, int | None]:
+    """Each shard's own last key, or its old checkpoint where nothing was pending."""
     seen = {int(r[SHARD]): r["max_key"] for r in pending.per_shard}
     out: dict[int, int | None] = {}
     for shard in range(pending.shards):
         old, new = pending.point.bounds.get(shard), seen.get(shard)
-        if new is not None and upto is not None:
-            new = min(new, upto)
         out[shard] = old if new is None else (new if old is None else max(old, new))
     return out
 
@@ -404,7 +415,7 @@ def _deliver_batches(
     stats["failedShards"], stats["completedShards"] = len(failed), pending.shards - len(failed)
     stats["shardDurations"] = {str(r[SHARD]): r["duration_ms"] for r in times}
     stats["batchTimes"] = {str(r[SHARD]): r["last_batch_ms"] for r in times}
-    checkpoints = _progress(pending, None)
+    checkpoints = _last_keys(pending)
     for shard in failed:
         old, new = pending.point.bounds.get(shard), reached[shard]["checkpoint"]
         checkpoints[shard] = old if new is None else new
@@ -412,7 +423,7 @@ def _deliver_batches(
         dead = delivery.dead_letters(rows, outcomes, task.task_id, this.run_id)
         dead.drop("run_id").write.mode("overwrite").parquet(f"{this.state_path}/dead_letters/run_id={this.run_id}")
         lost = capped(outcomes.where(~F.col("delivered")), spec.options.max_failed_batches, order=[SHARD, BATCH])
-        stats["failedBatches"] = [f"shard {r[SHARD]} batch {r[BATCH]}: {r['error']}"[:2000] for r in lost.collect()]
+        stats["failedBatches"] = [f"shard {r[SHARD]} batch {r[BATCH]}: {r['error']}"for r in lost.collect()]
     this.log.save(task.task_id, pending.shards, checkpoints, this.run_id, datetime.now())
     if failed:
         raise SyncFailed(stats["failedBatches"][0])

@@ -119,3 +119,15 @@ def test_row_number_is_not_global(spark):
 def test_manifest_property(spark, keys, size, group):
     out = batch_manifest(frame(spark, keys), "k", size, rows_per_group=group).collect()
     assert {tuple(r) for r in out} == expected_manifest(keys, 3, size)
+
+
+def test_hot_segments_keep_zero_signs_and_the_plain_order(spark):
+    rows = [(5, -0.0 if i % 2 else 0.0, i % 40) for i in range(400)] + [(k, 1.5, k) for k in range(60)]
+    df = with_shards(spark.createDataFrame(rows, "k bigint, v double, p bigint").repartition(3), "k", 1)
+    one, many = (assign_batches(df, "k", 7, rows_per_group=n).collect() for n in (10**9, 20))
+
+    def seen(found, *names):
+        return Counter(tuple(str(r[n]) for n in names) for r in found)
+
+    assert seen(one, "k", "v", "p") == seen(many, "k", "v", "p")
+    assert seen(one, "k", "p", "batch_id") == seen(many, "k", "p", "batch_id")

@@ -397,3 +397,17 @@ def test_batch_run_retried_after_failure(spark, tmp_path):
     # At least once: what followed the lost batch in its shard is sent again.
     assert (again["status"], again["scannedRecords"]) == ("COMPLETED", 30)
     assert set(delivered()) == set(range(80)) - {5}
+
+
+@pytest.mark.parametrize("step", [1, 2, 7])
+def test_another_shard_count_repeats_and_loses_nothing(spark, tmp_path, step):
+    state = str(tmp_path / "state")
+    keys = spark.range(0, 200 * step, step).select("id", F.col("id").cast("string").alias("text"))
+    keys.write.parquet(str(tmp_path / "source"))
+    for day, (count, first) in enumerate(((4, 0), (6, 200 * step), (5, 210 * step))):
+        if first:
+            land(spark, tmp_path / "source", first, first + 10 * step)
+        spec = SyncSpec(entity="t", fields=SPEC.fields, options=SyncOptions(min_shards=count, max_shards=count))
+        run(spark, task(tmp_path, spec=spec), state, guard=False, now=DAY + timedelta(days=day))
+    source = sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "source")).select("id").collect())
+    assert target_ids(spark, tmp_path) == source
