@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from rowferry.catalog.registry import EVENTS, ORDERS, query, table, table_path
 from rowferry.functions.encode import record_id, record_key
 from rowferry.operators.mapping import map_columns
+from rowferry.plans.run import source_counts
 from rowferry.sources.files import read_files
 from rowferry.sources.registry import open_source, register_source
 from rowferry.spec import FieldSpec, SyncSpec
-from rowferry.storage import new_folder
+from rowferry.storage import control_rows, new_folder
 
 
 @query("SELECT event_id, ts AS event_time, user_id, event_type AS type, value AS amount FROM events")
@@ -139,9 +140,13 @@ def custom_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_columns(open_source(spark, "Parts", spec, {"path": table_path(sf_dir, "part")}), spec)
 
 
-@query("SELECT count(*) AS total_records, max(l_orderkey) AS high FROM lineitem")
+@query(
+    "SELECT count(*) AS total_records, max(k) AS high, count(*) - count(k) AS without_key FROM ("
+    "SELECT CASE WHEN l_linenumber <> 7 THEN l_orderkey END AS k FROM lineitem)"
+)
 def source_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row count and largest key of the whole source, from one column."""
-    return table(spark, sf_dir, "lineitem").agg(
-        F.count(F.lit(1)).alias("total_records"), F.max("l_orderkey").alias("high")
-    )
+    """Row count, largest key and rows without a key of the whole source, as a run counts them."""
+    key = F.when(F.col("l_linenumber") != 7, F.col("l_orderkey"))
+    counts = source_counts(table(spark, sf_dir, "lineitem").select(key.alias("k")), "k")
+    row = {"total_records": counts.total, "high": counts.high, "without_key": counts.nulls}
+    return control_rows(spark, [row], "total_records bigint, high bigint, without_key bigint")

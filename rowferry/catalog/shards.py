@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from rowferry.catalog.registry import query, table
 from rowferry.operators.batches import assign_batches, batch_manifest
 from rowferry.operators.resume import resume_filter, resume_point
-from rowferry.operators.sharding import SHARD, key_order, max_key_per_shard, stride_of, with_shards
+from rowferry.operators.sharding import SHARD, key_order, max_key_per_shard, one_shard, stride_of, with_shards
 from rowferry.state import checkpoints
 from rowferry.storage import new_folder
 
@@ -53,9 +54,10 @@ def shard_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def shard_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All shards together are the source: one scan, shards as a column."""
-    sharded = with_shards(table(spark, sf_dir, "orders"), "o_orderkey", 8)
-    return sharded.where(F.col(SHARD).between(0, 7)).drop(SHARD)
+    """The scans of single shards together are the source."""
+    orders = table(spark, sf_dir, "orders")
+    scans = [one_shard(orders, "o_orderkey", 8, shard).drop(SHARD) for shard in range(8)]
+    return reduce(DataFrame.unionByName, scans)
 
 
 @query(
@@ -133,6 +135,29 @@ def batch_manifest_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_manifest(rows, "k", 700, rows_per_group=2_000)
 
 
+@query(
+    f"SELECT k, l_orderkey, l_linenumber, l_extendedprice, CASE WHEN l_linenumber % 2 = 0 THEN '-0.0' ELSE '0.0' END "
+    "AS zero, CASE WHEN k <> 0 THEN shard_id END AS shard_id, CASE WHEN k <> 0 THEN lo END AS first_batch, "
+    "CASE WHEN k <> 0 THEN hi END AS last_batch FROM (SELECT *, min(b) OVER (PARTITION BY k) AS lo, "
+    "max(b) OVER (PARTITION BY k) AS hi FROM (SELECT *, k % 8 AS shard_id, "
+    "(row_number() OVER (PARTITION BY k % 8 ORDER BY k) - 1) // 700 AS b "
+    f"FROM (SELECT *, {_HOT} AS k FROM lineitem)))"
+)
+def batch_assign_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole rows under a key that holds a third of them: none lost, repeated or rewritten, zeros keep
+    their sign. Rows of one key may be in either of its batches, so the key's first and last are shown."""
+    key = F.when(F.col("l_returnflag") == "R", F.lit(0)).otherwise(F.col("l_orderkey")).cast("bigint")
+    zero = F.when(F.col("l_linenumber") % 2 == 0, F.lit(-0.0)).otherwise(F.lit(0.0))
+    rows = table(spark, sf_dir, "lineitem").select(
+        key.alias("k"), "l_orderkey", "l_linenumber", "l_extendedprice", zero.alias("zero")
+    )
+    batched = assign_batches(with_shards(rows, "k", 8), "k", 700, rows_per_group=2_000)
+    ends = batched.where("k <> 0").groupBy("k").agg(
+        F.min("batch_id").alias("first_batch"), F.max("batch_id").alias("last_batch"), F.max(SHARD).alias(SHARD)
+    )
+    return batched.drop(SHARD, "batch_id").join(ends, "k", "left").withColumn("zero", F.col("zero").cast("string"))
+
+
 # Checkpoint of a shard: the last key of its batch number ``shard_id + 1``.
 _CHECKPOINTS = f"SELECT shard_id, max(event_id) AS cp FROM ({_BATCHED}) WHERE batch_id <= shard_id + 1 GROUP BY shard_id"
 

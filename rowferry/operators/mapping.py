@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowferry.functions.convert import DEFAULT_RULES, Rules, convert, is_bad
-from rowferry.spec import FieldSpec, SpecError, SyncSpec, base_type, spark_type
+from rowferry.spec import FieldSpec, SpecError, SyncSpec, base_type, is_index_type, spark_type
 
 BAD_FIELDS = "_bad_fields"
 
@@ -25,6 +25,8 @@ def _field_type(f: FieldSpec, src: T.DataType) -> str:
 
 
 def _target_type(f: FieldSpec, read_as: str) -> str:
+    if is_index_type(f.target_type):
+        return read_as
     if f.target_type == "BigDecimal" and base_type(read_as) == "BigDecimal":
         return read_as
     return f.target_type
@@ -44,7 +46,7 @@ def field_column(
     if found is None:
         if missing == "error":
             raise SpecError(f"column {f.source!r} is not in the source")
-        return F.lit(None).cast(spark_type(f.target_type if target_cast else f.type))
+        return F.lit(None).cast(spark_type(f.value_type if target_cast else f.type))
     read_as = _field_type(f, found.dataType)
     value = convert(
         F.col(f"`{found.name}`"),

@@ -5,9 +5,10 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from contextlib import contextmanager
-from dataclasses import dataclass, field
+from contextlib import contextmanager, nullcontext
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
+from functools import partial
 from typing import Any
 
 import pyarrow as pa
@@ -23,13 +24,14 @@ from rowferry.operators.delivery import KEY
 from rowferry.operators.mapping import map_columns, split_bad_rows
 from rowferry.operators.records import capped
 from rowferry.operators.resume import ResumePoint, resume_filter, resume_point, uneven_shards
-from rowferry.operators.sharding import SHARD, stride_bounds, with_shards
+from rowferry.operators.sharding import SHARD, with_shards
 from rowferry.sinks.registry import Target, fan_out, find_sink
 from rowferry.sources.registry import DATABASES, known_counts, open_source
-from rowferry.spec import OPTION_NAMES, SyncOptions, SyncSpec
+from rowferry.spec import OPTION_NAMES, SpecError, SyncOptions, SyncSpec, is_index_type
 from rowferry.state.checkpoints import CheckpointLog
 from rowferry.state.ledger import LINE, Ledger
-from rowferry.storage import control_rows, materialize
+from rowferry.state.runs import Intent, RunLog, Slice
+from rowferry.storage import control_rows, staged
 
 # What a task request must bring, and what is said when it does not.
 REQUIRED = (
@@ -42,6 +44,9 @@ REQUIRED = (
 )
 
 
+INDEX = "ELASTICSEARCH"
+
+
 class TaskRejected(ValueError):
     """The task may not start."""
 
@@ -68,6 +73,7 @@ class SyncTask:
         """From the body of a task request (``taskId``, ``sourceConfig``, ``fields``, ...)."""
         spec = SyncSpec.from_fields(
             request.get("fields") or (),
+            any_target_type=(request.get("destinationType") or "").strip().upper() == INDEX,
             source_table=request.get("sourceFieldName") or "",
             target_table=request.get("targetFieldName") or "",
             options=SyncOptions.from_config(request.get("syncConfig")),
@@ -100,12 +106,14 @@ class Counts:
 
     total: int
     high: int | None
+    nulls: int = 0
 
 
 def source_counts(df: DataFrame, key: str) -> Counts:
-    """Row count and largest key, from the key column only."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.col(f"`{key}`").cast("bigint")).alias("high")).first()
-    return Counts(row["n"], row["high"])
+    """Row count, largest key and rows without a key, from the key column only."""
+    k = F.col(f"`{key}`").cast("bigint")
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(k).alias("high"), F.count_if(k.isNull()).alias("nulls")).first()
+    return Counts(row["n"], row["high"], row["nulls"])
 
 
 def machine(spark: SparkSession) -> tuple[int, int]:
@@ -123,10 +131,16 @@ def planned_shards(spark: SparkSession, total: int, spec: SyncSpec) -> int:
     return sizing.shard_count_of(total, spec.options, cores, heap)
 
 
-def _slices(low: int, high: int, parts: int) -> list[tuple[int | None, int]]:
-    """Key ranges ``low < k <= high`` delivered and checkpointed one after the other."""
-    bounds = stride_bounds(low, high, parts)
-    return [(None if a is None else a - 1, high if b is None else b - 1) for a, b in bounds]
+def _slices(rows: DataFrame, key: str, high: int | None, parts: int) -> tuple[Slice, ...]:
+    """Key ranges ``low < k <= high`` of about equal row counts, delivered and checkpointed
+    one after the other. Rows without a key are in the first."""
+    if parts <= 1 or high is None:
+        return ((None, high),)
+    at = [i / parts for i in range(1, parts)]
+    k = F.col(f"`{key}`").cast("bigint")
+    cuts = rows.agg(F.percentile_approx(k, at, max(10_000, 10 * parts))).first()[0] or []
+    upper = sorted({c for c in cuts if c < high}) + [high]
+    return tuple(zip([None, *upper[:-1]], upper, strict=True))
 
 
 def _new_stats(spec: SyncSpec, started: float) -> dict[str, Any]:
@@ -185,7 +199,10 @@ class _Run:
     stats: dict[str, Any]
     run_id: str
     source: DataFrame
+    runs: RunLog
     counts: Counts | None = None
+    late: int = 0
+    lost_shards: set[int] = field(default_factory=set)
     result: DataFrame | None = None
 
 
@@ -204,12 +221,15 @@ def _recorded(spark: SparkSession, task: SyncTask, state_path: str, guard: bool,
             raise TaskRejected(f"{reason['reason']}: {task.task_id}")
     for target in task.targets():
         find_sink(target.kind)
+        named = [f.name for f in task.spec.fields if is_index_type(f.target_type)]
+        if named and target.kind.strip().upper() != INDEX:
+            raise SpecError(f"index field types need an index target: {', '.join(named)}")
     started = time.time()
     source = open_source(spark, task.source_type, task.spec, task.source_config)
     stats = _new_stats(task.spec, started)
     ledger.append(control_rows(spark, [_config_line(task), _stats_line(task, stats)], LINE), now)
     run_id = f"{now:%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
-    this = _Run(spark, task, state_path, log, stats, run_id, source)
+    this = _Run(spark, task, state_path, log, stats, run_id, source, RunLog(spark, f"{state_path}/runs"))
     try:
         known = known_counts(spark, task.source_type, task.spec, task.source_config)
         this.counts = Counts(*known) if known else source_counts(source, task.spec.checkpoint.source)
@@ -232,35 +252,105 @@ def _recorded(spark: SparkSession, task: SyncTask, state_path: str, guard: bool,
 
 @dataclass(frozen=True)
 class _Pending:
-    """Rows a run has to deliver, and what every shard will see of them."""
+    """Rows a run has to deliver, how far it means to go, and what each slice holds of them."""
 
     shards: int
     point: ResumePoint
     rows: DataFrame
-    per_shard: list
-
-
-def _pending(this: _Run, filter_key: Column | None) -> _Pending:
-    """Resume every shard after its checkpoint, up to the largest key known."""
-    key = this.task.spec.checkpoint.source
-    saved = this.log.load(this.task.task_id)
-    shards = uneven_shards(saved) or planned_shards(this.spark, this.counts.total, this.task.spec)
-    this.stats["shardCount"] = shards
-    point = resume_point(saved, shards)
-    rows = resume_filter(this.source, key, point, high=this.counts.high)
-    # One pass over key (and filter) columns: one row per shard.
-    per_shard = shard_counters(
-        with_shards(rows, key, shards).select(
-            SHARD,
-            F.col(f"`{key}`").cast("bigint").alias("_k"),
-            (filter_key if filter_key is not None else F.lit("")).alias("_f"),
-        ),
-        F.col("_f"),
-        key="_k",
-    ).collect()
-    this.stats["scannedRecords"] = sum(r["scanned_records"] for r in per_shard)
-    this.stats["filteredRecords"] = sum(r["filtered_records"] for r in per_shard)
-    return _Pending(shards, point, rows, per_shard)
+    intent: Intent
+    first: int
+    again: bool
+    per_slice: dict[int, dict[str, int]]
+
+    def left(self) -> range:
+        """Slices still to deliver."""
+        return range(self.first, len(self.intent.slices))
+
+    def reached(self, number: int) -> dict[int, int | None]:
+        """Checkpoint of every shard once slice ``number`` is delivered.
+
+        Shards without rows get it too: then a later run with another number of shards has one
+        bound for all, repeats nothing, and the scan can skip what lies below it.
+        """
+        upto, out = self.intent.slices[number][1], {}
+        for shard in range(self.shards):
+            old = self.point.bounds.get(shard)
+            out[shard] = old if upto is None else upto if old is None else max(old, upto)
+        return out
+
+
+def _in_slice(df: DataFrame, key: str, bounds: Slice) -> DataFrame:
+    """Rows of one slice; the open end below takes the rows without a key."""
+    (after, upto), k = bounds, F.col(f"`{key}`").cast("bigint")
+    if after is not None:
+        df = df.where(k > F.lit(after))
+    if upto is not None:
+        df = df.where(k.isNull() | (k <= F.lit(upto)) if after is None else k <= F.lit(upto))
+    return df
+
+
+def _pending(this: _Run, filter_key: Column | None, slices: int) -> _Pending:
+    """What an earlier run left unfinished, under its id and bounds; else everything past the
+    checkpoints up to the largest key known, as a new run.
+
+    Rows without a key belong to the first run of a task. Later ones cannot be told from
+    those; they are counted and reported, not delivered.
+    """
+    task, counts = this.task, this.counts
+    key = task.spec.checkpoint.source
+    seen = this.log.load(task.task_id).select(SHARD, "shard_count", "checkpoint", "run_id").collect()
+    earlier = this.runs.newest(task.task_id)
+    first = earlier.finished_slices({r["run_id"] for r in seen}) if earlier else 0
+    again = earlier is not None and first < len(earlier.slices)
+    if again:
+        with_nulls = earlier.with_nulls and first == 0
+        intent = replace(earlier, nulls=counts.nulls) if with_nulls else earlier
+        point = resume_point(seen, intent.shards)
+        rows = resume_filter(this.source, key, point, high=intent.high, nulls=with_nulls)
+    else:
+        shards = uneven_shards(seen) or planned_shards(this.spark, counts.total, task.spec)
+        point = resume_point(seen, shards)
+        with_nulls = earlier is None and point.floor is None
+        rows = resume_filter(this.source, key, point, high=counts.high, nulls=with_nulls)
+        nulls = counts.nulls if with_nulls else earlier.nulls if earlier else 0
+        cuts = _slices(rows, key, counts.high, slices)
+        intent, first = Intent(this.run_id, counts.high, cuts, shards, nulls, with_nulls), 0
+    this.late = max(0, counts.nulls - intent.nulls)
+    pending = _Pending(intent.shards, point, rows, intent, first, again, _per_slice(rows, key, filter_key, intent))
+    this.stats["shardCount"] = intent.shards
+    this.stats["scannedRecords"] += sum(r["scanned_records"] for r in pending.per_slice.values())
+    this.stats["filteredRecords"] += sum(r["filtered_records"] for r in pending.per_slice.values())
+    if pending.per_slice and (not again or intent != earlier):
+        this.runs.begin(task.task_id, intent)
+    return pending
+
+
+def _per_slice(
+    rows: DataFrame, key: str, filter_key: Column | None, intent: Intent
+) -> dict[int, dict[str, int]]:
+    """Scanned, filtered and processed rows of every slice: one pass over key and filter columns."""
+    k, place = F.col(f"`{key}`").cast("bigint"), F.lit(0)
+    for _, upto in intent.slices[:-1]:
+        place = place + F.when(k > F.lit(upto), 1).otherwise(0)
+    labelled = rows.select(
+        place.alias(SHARD), (filter_key if filter_key is not None else F.lit("")).alias("_f")
+    )
+    return {r[SHARD]: r.asDict() for r in shard_counters(labelled, F.col("_f")).collect()}
+
+
+def _each_pending(this: _Run, filter_key: Column | None, slices: int) -> Iterator[_Pending]:
+    """What an earlier run left, if it did, then what is new."""
+    while this.counts.total:
+        pending = _pending(this, filter_key, slices)
+        yield pending
+        this.stats["completedShards"] = pending.shards
+        if not pending.again:
+            break
+    if this.late:
+        this.stats["status"] = "PARTIAL"
+        this.stats["failedBatches"] += [
+            f"{this.late} rows without a key came after the first run and were not delivered"
+        ]
 
 
 def run(
@@ -289,8 +379,8 @@ def run(
     with _recorded(spark, task, state_path, guard, now) as this:
         if stage is None:
             stage = len(task.targets()) > 1 and _from_database(task)
-        if this.counts.total:
-            _deliver_slices(this, _pending(this, filter_key), filter_key, mode, rules, slices, stage)
+        for pending in _each_pending(this, filter_key, slices):
+            _deliver_slices(this, pending, filter_key, mode, rules, stage)
     return this.result
 
 
@@ -299,74 +389,46 @@ def _from_database(task: SyncTask) -> bool:
 
 
 def _deliver_slices(
-    this: _Run, pending: _Pending, filter_key: Column | None, mode: str, rules: Rules, slices: int, stage: bool
+    this: _Run, pending: _Pending, filter_key: Column | None, mode: str, rules: Rules, stage: bool
 ) -> None:
     """Write what is pending, slice by slice, and note how far every shard got."""
-    task, spec, stats, shards = this.task, this.task.spec, this.stats, pending.shards
-    key = spec.checkpoint.source
-    if not pending.per_shard:
-        stats["completedShards"] = shards
+    if not pending.per_slice and not pending.again:
         return
-    high, floor = this.counts.high, pending.point.floor
-    cuts: list[tuple[int | None, int | None]] = [(None, high)]
-    if slices > 1 and high is not None:
-        low = floor + 1 if floor is not None else None
-        if low is None:
-            low = this.source.agg(F.min(F.col(f"`{key}`").cast("bigint"))).first()[0]
-        cuts = _slices(low, high, slices)
-    set_aside = 0
-    for number, (after, upto) in enumerate(cuts):
-        k, last = F.col(f"`{key}`").cast("bigint"), number == len(cuts) - 1
-        part = pending.rows
-        if after is not None:
-            part = part.where(k > F.lit(after))
-        if upto is not None and not last:
-            part = part.where(k.isNull() | (k <= F.lit(upto)) if after is None else k <= F.lit(upto))
-        part = keep_rows(part, filter_key)
-        slice_id = f"{this.run_id}-{number}"
+    task, spec, stats, intent = this.task, this.task.spec, this.stats, pending.intent
+    targets = task.targets()
+    for number in pending.left():
+        part = keep_rows(_in_slice(pending.rows, spec.checkpoint.source, intent.slices[number]), filter_key)
+        slice_id, set_aside = intent.slice_id(number), 0
         if mode == "lenient":
             good, bad = split_bad_rows(part, spec, rules=rules)
             folder = f"{this.state_path}/dead_letters/run_id={slice_id}"
             bad.withColumn("task_id", F.lit(task.task_id)).write.mode("overwrite").parquet(folder)
-            set_aside += this.spark.read.schema(bad.schema).parquet(folder).count()
+            set_aside = this.spark.read.schema(bad.schema).parquet(folder).count()
         else:
             good = map_columns(part, spec, rules=rules)
-        if stage:
-            good = materialize(good, "stage")
-        outcomes = fan_out(good, spec, task.targets(), run_id=slice_id)
+        with staged(good, "stage") if stage else nullcontext(good) as rows:
+            outcomes = fan_out(
+                rows,
+                spec,
+                targets,
+                run_id=slice_id,
+                done={target for n, target in intent.done if n == number},
+                on_done=partial(_target_done, this, intent, number, len(targets)),
+            )
         stats["retryCount"] += sum(o.attempts - 1 for o in outcomes)
         failed = [o for o in outcomes if not o.delivered]
         if failed:
-            stats["failedShards"] = shards
-            stats["failedBatches"] = [f"{slice_id}: {o.name}: {o.error}"for o in failed]
+            stats["failedShards"] = pending.shards
+            stats["failedBatches"] = [f"{slice_id}: {o.name}: {o.error}" for o in failed]
             raise SyncFailed(failed[0].error)
-        reached = _progress(pending, high if last else upto)
-        this.log.save(task.task_id, shards, reached, slice_id, datetime.now())
-    stats["completedShards"] = shards
-    stats["processedRecords"] = stats["scannedRecords"] - stats["filteredRecords"] - set_aside
-
+        this.log.save(task.task_id, pending.shards, pending.reached(number), slice_id, datetime.now())
+        stats["processedRecords"] += pending.per_slice.get(number, {}).get("processed_records", 0) - set_aside
 
-def _progress(pending: _Pending, upto: int | None) -> dict[int, int | None]:
-    """Checkpoint of every shard once all keys up to ``upto`` are delivered.
-
-    Shards without rows get it too: then a later run with another number of shards has one
-    bound for all, repeats nothing, and the scan can skip what lies below it.
-    """
-    out: dict[int, int | None] = {}
-    for shard in range(pending.shards):
-        old = pending.point.bounds.get(shard)
-        out[shard] = old if upto is None else upto if old is None else max(old, upto)
-    return out
 
-
-def _last_keys(pending: _Pending) -> dict[int, int | None]:
-    """Each shard's own last key, or its old checkpoint where nothing was pending."""
-    seen = {int(r[SHARD]): r["max_key"] for r in pending.per_shard}
-    out: dict[int, int | None] = {}
-    for shard in range(pending.shards):
-        old, new = pending.point.bounds.get(shard), seen.get(shard)
-        out[shard] = old if new is None else (new if old is None else max(old, new))
-    return out
+def _target_done(this: _Run, intent: Intent, number: int, targets: int, target: int) -> None:
+    """Note a target's rows; after the last target the checkpoint says it."""
+    if target < targets - 1:
+        this.runs.target_done(this.task.task_id, intent.run_id, number, target)
 
 
 def run_batches(
@@ -377,53 +439,69 @@ def run_batches(
     *,
     filter_key: Column | None = None,
     rules: Rules = DEFAULT_RULES,
+    slices: int = 1,
     guard: bool = True,
     now: datetime | None = None,
 ) -> DataFrame:
     """Run ``task`` into a Python target, batch by batch, and return its statistics.
 
     ``send`` gets every batch of mapped rows as an Arrow table and is retried. Rows of
-    batches that stay undelivered go to ``<state>/dead_letters``; every shard is
-    checkpointed before its first such batch, and the run fails once all are tried.
+    batches that stay undelivered go to ``<state>/dead_letters``, and the checkpoint passes
+    them: every row is sent or is a dead letter, and the run fails once all are tried.
+    ``slices`` cuts the rows at quantiles of the key and checkpoints after each, so a run
+    that dies sends one slice again at most.
     """
     with _recorded(spark, task, state_path, guard, now) as this:
-        if this.counts.total:
-            _deliver_batches(this, _pending(this, filter_key), send, filter_key, rules)
+        for pending in _each_pending(this, filter_key, slices):
+            _deliver_batches(this, pending, send, filter_key, rules)
+        if this.lost_shards:
+            this.stats["failedShards"] = len(this.lost_shards)
+            this.stats["completedShards"] = this.stats["shardCount"] - len(this.lost_shards)
+            raise SyncFailed(this.stats["failedBatches"][0])
     return this.result
 
 
 def _deliver_batches(
     this: _Run, pending: _Pending, send: Callable[[pa.Table], object], filter_key: Column | None, rules: Rules
 ) -> None:
-    task, spec, stats = this.task, this.task.spec, this.stats
+    task, spec = this.task, this.task.spec
     key = F.col(f"`{spec.checkpoint.source}`").cast("bigint")
-    kept = keep_rows(pending.rows, filter_key).withColumn(KEY, key)
-    mapped = map_columns(with_shards(kept, KEY, pending.shards), spec, keep=(SHARD, KEY), rules=rules)
-    expected = sum(r["processed_records"] for r in pending.per_shard)
-    rows = assign_batches(mapped, KEY, spec.options.batch_size, rows=expected)
-    if _from_database(task):
-        rows = materialize(rows, "batches")
-    outcomes = delivery.deliver(rows, send, spec.options, key=KEY)
+    for number in pending.left() if pending.per_slice or pending.again else ():
+        part = _in_slice(pending.rows, spec.checkpoint.source, pending.intent.slices[number])
+        kept = keep_rows(part, filter_key).withColumn(KEY, key)
+        mapped = map_columns(with_shards(kept, KEY, pending.shards), spec, keep=(SHARD, KEY), rules=rules)
+        expected = pending.per_slice.get(number, {}).get("processed_records", 0)
+        rows = assign_batches(mapped, KEY, spec.options.batch_size, rows=expected)
+        slice_id = pending.intent.slice_id(number)
+        with staged(rows, "batches") if _from_database(task) else nullcontext(rows) as batches:
+            outcomes = delivery.deliver(batches, send, spec.options, key=KEY)
+            if _count_batches(this, outcomes):
+                folder = f"{this.state_path}/dead_letters/run_id={slice_id}"
+                dead = delivery.dead_letters(batches, outcomes, task.task_id, slice_id)
+                dead.drop("run_id").write.mode("overwrite").parquet(folder)
+        this.log.save(task.task_id, pending.shards, pending.reached(number), slice_id, datetime.now())
+
+
+def _count_batches(this: _Run, outcomes: DataFrame) -> bool:
+    """Add the outcomes of a slice to the statistics; True if a batch stayed undelivered."""
+    stats, most = this.stats, this.task.spec.options.max_failed_batches
     totals = outcomes.agg(
         F.coalesce(F.sum(F.when(F.col("delivered"), F.col("n_rows"))), F.lit(0)).alias("rows"),
         F.coalesce(F.sum("retries"), F.lit(0)).alias("retries"),
     ).first()
-    reached = {r[SHARD]: r for r in delivery.delivered_checkpoints(outcomes).collect()}
-    times = shard_times(outcomes).collect()
-    failed = [s for s, r in reached.items() if r["outcome"] == "failed"]
-    stats["processedRecords"], stats["retryCount"] = totals["rows"], totals["retries"]
-    stats["failedShards"], stats["completedShards"] = len(failed), pending.shards - len(failed)
-    stats["shardDurations"] = {str(r[SHARD]): r["duration_ms"] for r in times}
-    stats["batchTimes"] = {str(r[SHARD]): r["last_batch_ms"] for r in times}
-    checkpoints = _last_keys(pending)
-    for shard in failed:
-        old, new = pending.point.bounds.get(shard), reached[shard]["checkpoint"]
-        checkpoints[shard] = old if new is None else new
-    if failed:
-        dead = delivery.dead_letters(rows, outcomes, task.task_id, this.run_id)
-        dead.drop("run_id").write.mode("overwrite").parquet(f"{this.state_path}/dead_letters/run_id={this.run_id}")
-        lost = capped(outcomes.where(~F.col("delivered")), spec.options.max_failed_batches, order=[SHARD, BATCH])
-        stats["failedBatches"] = [f"shard {r[SHARD]} batch {r[BATCH]}: {r['error']}"for r in lost.collect()]
-    this.log.save(task.task_id, pending.shards, checkpoints, this.run_id, datetime.now())
-    if failed:
-        raise SyncFailed(stats["failedBatches"][0])
+    stats["processedRecords"] += totals["rows"]
+    stats["retryCount"] += totals["retries"]
+    durations, last = stats.setdefault("shardDurations", {}), stats.setdefault("batchTimes", {})
+    for r in shard_times(outcomes).collect():
+        durations[str(r[SHARD])] = durations.get(str(r[SHARD]), 0) + r["duration_ms"]
+        last[str(r[SHARD])] = r["last_batch_ms"]
+    lost = outcomes.where(~F.col("delivered"))
+    shards = {r[SHARD] for r in lost.select(SHARD).distinct().collect()}
+    this.lost_shards |= shards
+    room = most - len(stats["failedBatches"])
+    if shards and room > 0:
+        stats["failedBatches"] += [
+            f"shard {r[SHARD]} batch {r[BATCH]}: {r['error']}"
+            for r in capped(lost, room, order=[SHARD, BATCH]).collect()
+        ]
+    return bool(shards)

@@ -8,14 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.functions.encode import json_value, record_key
-from rowferry.spec import SyncSpec
+from rowferry.spec import SyncSpec, is_index_type
 
-# Search-index field types a declared type can name.
-INDEX_TYPES = (
-    "text keyword long integer short byte double float half_float scaled_float date date_nanos boolean binary "
-    "integer_range float_range long_range double_range date_range ip_range object nested ip token_count percolator "
-    "flattened search_as_you_type rank_feature rank_features wildcard dense_vector"
-).split()
+# Date formats and analyzer of index fields.
 INDEX_DATE_FORMATS = "date_hour_minute_second||date_hour_minute_second_millis"
 INDEX_ANALYZER = "ik_max_word"
 
@@ -51,7 +46,7 @@ def index_mapping(spec: SyncSpec) -> dict:
     properties: dict[str, dict] = {}
     for f in spec.fields:
         kind = f.target_type.lower()
-        if kind not in INDEX_TYPES:
+        if not is_index_type(kind):
             continue
         properties[f.target] = {"type": kind}
         if kind == "date":

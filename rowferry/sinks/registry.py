@@ -7,7 +7,7 @@ message, or goes to files when the config names a ``path``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -17,6 +17,7 @@ from rowferry.operators.delivery import call_with_retry
 from rowferry.sinks import frames
 from rowferry.sources.jdbc import jdbc_options
 from rowferry.spec import SyncOptions, SyncSpec
+from rowferry.storage import control_rows
 
 Sink = Callable[[DataFrame, SyncSpec, Mapping[str, Any]], None]
 
@@ -139,9 +140,12 @@ def write_kafka(mapped: DataFrame, spec: SyncSpec, config: Mapping[str, Any]) ->
 
 
 def write_index(mapped: DataFrame, spec: SyncSpec, config: Mapping[str, Any]) -> None:
-    """Documents to a search index through its connector, or as bulk text files."""
+    """Documents to a search index through its connector, or as bulk text files with the
+    index mapping in ``<path>_mapping`` beside them."""
     documents = frames.index_documents(mapped, spec, config.get("index"))
     if config.get("path"):
+        mapping = control_rows(mapped.sparkSession, [{"value": frames.index_mapping_json(spec)}], "value string")
+        mapping.write.mode("overwrite").text(f"{config['path'].rstrip('/')}_mapping")
         frames.bulk_lines(documents).write.mode("append").text(config["path"])
         return
     options = index_options(config)
@@ -154,6 +158,8 @@ def write_index(mapped: DataFrame, spec: SyncSpec, config: Mapping[str, Any]) ->
 register_sink("JDBC", write_jdbc)
 register_sink("KAFKA", write_kafka)
 register_sink("ELASTICSEARCH", write_index)
+
+
 def _owns_folder(config: Mapping[str, Any]) -> bool:
     return bool(config.get("run_id"))
 
@@ -192,17 +198,22 @@ def fan_out(
     options: SyncOptions | None = None,
     *,
     run_id: str | None = None,
+    done: Collection[int] = (),
+    on_done: Callable[[int], None] | None = None,
 ) -> list[TargetOutcome]:
     """Write the same rows to every target in turn, each with its own retries where
     its write can be repeated without leaving rows twice.
 
     A target that fails does not make the ones before it write again, and the ones
     after it are not tried. Sinks are looked up first, so an unknown type fails
-    before anything is written.
+    before anything is written. Targets numbered in ``done`` have the rows already and
+    are passed over; ``on_done`` hears of every other one that gets them.
     """
     writers = [(t, find_sink(t.kind)) for t in targets]
-    done: list[TargetOutcome] = []
-    for target, sink in writers:
+    outcomes: list[TargetOutcome] = []
+    for number, (target, sink) in enumerate(writers):
+        if number in done:
+            continue
         config = dict(target.config)
         if run_id and target.kind.strip().upper() in ("PARQUET", "JSON"):
             config.setdefault("run_id", run_id)
@@ -212,7 +223,9 @@ def fan_out(
         attempts, waited, error = call_with_retry(
             lambda sink=sink, config=config: sink(mapped, spec, config), knobs
         )
-        done.append(TargetOutcome(target.name or target.kind.upper(), attempts, waited, error))
+        outcomes.append(TargetOutcome(target.name or target.kind.upper(), attempts, waited, error))
         if error is not None:
             break
-    return done
+        if on_done is not None:
+            on_done(number)
+    return outcomes

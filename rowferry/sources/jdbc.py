@@ -52,9 +52,9 @@ def jdbc_options(config: Mapping[str, Any], table: str, *, fetch_size: int = DEF
 
 
 def bounds_query(table: str, key: str, url: str = "") -> str:
-    """Row count and key range in one statement."""
+    """Row count, key range and number of rows with a key in one statement."""
     k = quoted(key, url)
-    return f"SELECT COUNT(*) AS n_rows, MIN({k}) AS low, MAX({k}) AS high FROM {table}"
+    return f"SELECT COUNT(*) AS n_rows, MIN({k}) AS low, MAX({k}) AS high, COUNT({k}) AS n_keys FROM {table}"
 
 
 def max_key_query(table: str, key: str, shards: int, url: str = "") -> str:

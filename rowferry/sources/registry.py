@@ -54,7 +54,7 @@ def _database(spark: SparkSession, spec: SyncSpec, config: Mapping[str, Any]) ->
         return jdbc.read_shards(spark, options, jdbc.mod_predicates(key, shards, url=url))
     if partitions <= 1:
         return whole
-    _, low, high = jdbc.query(spark, options, jdbc.bounds_query(table, key, url)).first()
+    _, low, high, _ = jdbc.query(spark, options, jdbc.bounds_query(table, key, url)).first()
     if low is None:
         return whole
     return jdbc.read_ranges(spark, options, key, int(low), int(high), partitions)
@@ -62,15 +62,15 @@ def _database(spark: SparkSession, spec: SyncSpec, config: Mapping[str, Any]) ->
 
 def known_counts(
     spark: SparkSession, kind: str, spec: SyncSpec, config: Mapping[str, Any]
-) -> tuple[int, int | None] | None:
-    """(rows, largest key) as the database itself counts them; None for other sources."""
+) -> tuple[int, int | None, int] | None:
+    """(rows, largest key, rows without a key) as the database itself counts them; None for other sources."""
     if _sources.get(kind.strip().lower()) is not _database:
         return None
     table = spec.source_table
     options = jdbc.jdbc_options({k: v for k, v in config.items() if k not in ("partitions", "shards")}, table)
     key = jdbc.column_name(jdbc.read_table(spark, options), spec.checkpoint.source)
-    rows, _, high = jdbc.query(spark, options, jdbc.bounds_query(table, key, options["url"])).first()
-    return int(rows), None if high is None else int(high)
+    rows, _, high, keys = jdbc.query(spark, options, jdbc.bounds_query(table, key, options["url"])).first()
+    return int(rows), None if high is None else int(high), int(rows) - int(keys)
 
 
 def _files(fmt: str) -> Source:

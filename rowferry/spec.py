@@ -63,6 +63,19 @@ def spark_type(name: str, *, extra: bool = False) -> T.DataType:
     raise SpecError(f"unsupported type: {name}")
 
 
+# Search-index field types a target type can name.
+INDEX_TYPES = (
+    "text keyword long integer short byte double float half_float scaled_float date date_nanos boolean binary "
+    "integer_range float_range long_range double_range date_range ip_range object nested ip token_count percolator "
+    "flattened search_as_you_type rank_feature rank_features wildcard dense_vector"
+).split()
+
+
+def is_index_type(name: str) -> bool:
+    """Whether a target type is a field type of a search index: values then keep their declared type."""
+    return name in INDEX_TYPES
+
+
 def normalize_role(role: str | None) -> str:
     """Case-insensitive role; blank means DATA; anything else is an error."""
     if role is None or not role.strip():
@@ -96,7 +109,13 @@ class FieldSpec:
         object.__setattr__(self, "target_type", self.target_type or self.type)
         object.__setattr__(self, "role", normalize_role(self.role))
         spark_type(self.type)
-        spark_type(self.target_type)
+        if not is_index_type(self.target_type):
+            spark_type(self.target_type)
+
+    @property
+    def value_type(self) -> str:
+        """Type of the mapped value: the target type, or the declared one under an index type."""
+        return self.type if is_index_type(self.target_type) else self.target_type
 
 
 @dataclass(frozen=True)
@@ -179,7 +198,7 @@ class SyncSpec:
             [
                 T.StructField(
                     f.target,
-                    spark_type(f.target_type if target_cast else f.type),
+                    spark_type(f.value_type if target_cast else f.type),
                     metadata={"role": f.role},
                 )
                 for f in self.fields
@@ -190,14 +209,20 @@ class SyncSpec:
         return replace(self, options=replace(self.options, **changes))
 
     @classmethod
-    def from_fields(cls, rows: Iterable[Mapping[str, Any]], **kwargs: Any) -> SyncSpec:
-        """Build from task-request field mappings (``javaField``, ``sourceField``, ...)."""
+    def from_fields(
+        cls, rows: Iterable[Mapping[str, Any]], *, any_target_type: bool = False, **kwargs: Any
+    ) -> SyncSpec:
+        """Build from task-request field mappings (``javaField``, ``sourceField``, ...).
+
+        ``any_target_type`` is for search-index targets: a target type that neither the
+        index nor this library knows is left to the index.
+        """
         return cls(
             fields=tuple(
                 FieldSpec(
                     name=r["javaField"],
                     type=r["sourceType"],
-                    target_type=r.get("targetType") or "",
+                    target_type=_target_name(r.get("targetType") or "", any_target_type),
                     source=r.get("sourceField") or "",
                     target=r.get("targetField") or "",
                     checkpoint=bool(r.get("checkpoint")),
@@ -207,3 +232,10 @@ class SyncSpec:
             ),
             **kwargs,
         )
+
+
+def _target_name(name: str, any_name: bool) -> str:
+    """A requested target type; an index gets its own spelling, and unknown names not at all."""
+    if not any_name or name in TYPE_NAMES or _SIZED_DECIMAL.fullmatch(name):
+        return name
+    return name.lower() if is_index_type(name.lower()) else ""

@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 _local_roots: dict[str, str] = {}
 
 
@@ -50,6 +50,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """``df`` written once, for as long as the block lasts; the folder goes afterwards."""
+    spark = df.sparkSession
+    path = new_folder(spark, label)
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def control_rows(spark: SparkSession, rows: Sequence[Mapping[str, Any]], schema: str) -> DataFrame:
     """A few driver-made rows as one partition, without a Python worker."""
     text = F.lit(json.dumps([dict(r) for r in rows]))

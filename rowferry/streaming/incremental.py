@@ -1,18 +1,28 @@
 """Incremental sync of file tables with Structured Streaming.
 
 Each run takes the files that arrived since the last one, writes them and stops.
-The stream's own checkpoint is the resume point; every micro-batch owns a
-``batch_id`` partition of the target and replaces it when it is replayed, so the
-target holds each source row once. A target belongs to one stream.
+The stream's own checkpoint is the resume point; every micro-batch owns one
+``stream_id``/``batch_id`` partition of the target and replaces it, and nothing else,
+when it is replayed. Beside the target, ``<target>_files`` records which files which
+batch delivered, so a stream that starts over under a new checkpoint passes over
+them. The record is written after the rows: only a stream that loses its checkpoint
+between the two delivers those files again.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
+
+from rowferry.storage import no_rows
+
+FILE = "_file"
+FILES = f"{FILE} string, stream_id string, batch_id bigint"
 
 
 def _pattern(path: str) -> str:
@@ -25,18 +35,46 @@ def _pattern(path: str) -> str:
     return f"{head}[{last}]"
 
 
-def write_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """Sink for ``foreachBatch``: a batch replaces its own partition.
+def _recorded_files(spark: SparkSession, target: str) -> DataFrame:
+    try:
+        return spark.read.schema(FILES).parquet(files_path(target))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return no_rows(spark, FILES)
+
+
+def files_path(target: str) -> str:
+    """Where the delivered files of a target are recorded."""
+    return f"{target.rstrip('/')}_files"
+
+
+def _own_partition(rows: DataFrame, stream_id: str, batch_id: int, path: str) -> None:
+    """Write rows as the batch's partition, in place of what it held."""
+    rows.withColumns({"stream_id": F.lit(stream_id), "batch_id": F.lit(batch_id).cast("bigint")}).write.mode(
+        "overwrite"
+    ).option("partitionOverwriteMode", "dynamic").partitionBy("stream_id", "batch_id").parquet(path)
 
-    Batch 0 replaces the whole target: a stream that starts over delivers every file
-    again, perhaps in other batches than before.
+
+def write_batch(
+    path: str, stream_id: Callable[[], str], transform: Callable[[DataFrame], DataFrame] = lambda rows: rows
+) -> Callable[[DataFrame, int], None]:
+    """Sink for ``foreachBatch``: the batch's files, less those another batch delivered.
+
+    Rows carry their file in ``_file``. Usually no file was seen before and the rows are
+    written as they come, without a join.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        replaced = "static" if batch_id == 0 else "dynamic"
-        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
-            "partitionOverwriteMode", replaced
-        ).partitionBy("batch_id").parquet(path)
+        spark, own = batch.sparkSession, stream_id()
+        others = _recorded_files(spark, path).where(
+            (F.col("stream_id") != own) | (F.col("batch_id") != F.lit(batch_id))
+        )
+        files = batch.select(FILE).distinct()
+        known = files.join(others.select(FILE), FILE, "left_semi")
+        rows = batch if known.isEmpty() else batch.join(known, FILE, "left_anti")
+        _own_partition(transform(rows.drop(FILE)), own, batch_id, path)
+        _own_partition(files.join(others.select(FILE), FILE, "left_anti"), own, batch_id, files_path(path))
 
     return write
 
@@ -53,13 +91,23 @@ def sync_new_files(
     max_files: int | None = None,
     timeout_seconds: int | None = None,
 ) -> None:
-    """Deliver the files of ``source`` that ``checkpoint`` has not seen, then stop."""
+    """Deliver the files of ``source`` that neither ``checkpoint`` nor the target has seen, then stop.
+
+    ``transform`` works on the rows of one micro-batch.
+    """
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    rows = transform(reader.load(_pattern(source)))
+    rows = reader.load(_pattern(source)).withColumn(FILE, F.col("_metadata.file_path"))
+    name = f"sync-{uuid.uuid4().hex}"
+
+    def stream_id() -> str:
+        """The id Spark keeps in the checkpoint: a new checkpoint is a new stream."""
+        return next(str(q.id) for q in spark.streams.active if q.name == name)
+
     query = (
-        rows.writeStream.foreachBatch(write_batch(target))
+        rows.writeStream.queryName(name)
+        .foreachBatch(write_batch(target, stream_id, transform))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -73,5 +121,5 @@ def sync_new_files(
 
 
 def read_target(spark: SparkSession, path: str) -> DataFrame:
-    """Rows the stream has delivered, without the batch column."""
-    return spark.read.parquet(path).drop("batch_id")
+    """Rows the streams have delivered, without the batch columns."""
+    return spark.read.parquet(path).drop("stream_id", "batch_id")

@@ -158,7 +158,7 @@ def test_jdbc_options():
     assert jdbc.range_options("id", 0, 99, 200)["numPartitions"] == "100"
     assert jdbc.quoted('a"b') == '"a""b"'
     assert jdbc.bounds_query("log", "time") == (
-        'SELECT COUNT(*) AS n_rows, MIN("time") AS low, MAX("time") AS high FROM log'
+        'SELECT COUNT(*) AS n_rows, MIN("time") AS low, MAX("time") AS high, COUNT("time") AS n_keys FROM log'
     )
     assert jdbc.max_key_query("log", "id", 3).endswith('GROUP BY MOD("id", 3)')
     assert jdbc.jdbc_options({"url": "jdbc:mysql://h/d"}, "log")["useCursorFetch"] == "true"
