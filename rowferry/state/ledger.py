@@ -41,7 +41,7 @@ LINE = (
     f"fields {FIELDS}, syncStats {STATS}, recordedAt string"
 )
 RECORDED, RECORDED_PY = "yyyy-MM-dd HH:mm:ss.SSSSSS", "%Y-%m-%d %H:%M:%S.%f"
-CONFIG, STATISTICS = "config", "stats"
+CONFIG, STATISTICS, REJECTED = "config", "stats", "rejected"
 
 # How long a finished task stays known and a silent run counts as
 # alive, and the messages of line checks.
@@ -159,19 +159,24 @@ class Ledger:
         self.spark, self.path = spark, path
 
     def append(self, lines: DataFrame, at: datetime | None = None, *, many: bool = False) -> None:
-        """Add the valid lines, masked, recorded ``at`` a time or at their own ``recordedAt``.
+        """Add lines, masked, recorded ``at`` a time or at their own ``recordedAt``. Lines that may
+        not be stored go to a kind of their own, with the reason.
 
         ``many`` rebalances them first, so that a day is a few files and a long day
         more than one task.
         """
         if at is not None:
             lines = lines.withColumn("recordedAt", F.lit(at.strftime(RECORDED_PY)))
-        valid = redacted(checked(lines).where(F.col("error").isNull()).drop("error"))
+        masked = redacted(checked(lines))
         when = F.to_timestamp_ntz("recordedAt", F.lit(RECORDED))
-        placed = valid.select(
+        placed = masked.select(
             *T.StructType.fromDDL(LINE).names,
             F.date_format(when, "yyyyMMdd").alias("dt"),
-            F.when(F.col("syncStats").isNotNull(), F.lit(STATISTICS)).otherwise(F.lit(CONFIG)).alias("kind"),
+            "error",
+            F.when(F.col("error").isNotNull(), F.lit(REJECTED))
+            .when(F.col("syncStats").isNotNull(), F.lit(STATISTICS))
+            .otherwise(F.lit(CONFIG))
+            .alias("kind"),
         )
         if many:
             placed = placed.hint("rebalance", "dt", "kind")
@@ -189,6 +194,16 @@ class Ledger:
                 raise
             return no_rows(self.spark, schema)
 
+    def rejected(self) -> DataFrame:
+        """Lines that could not be stored, and why."""
+        try:
+            lines = self.spark.read.schema(f"{LINE}, error string, dt string, kind string").json(self.path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return no_rows(self.spark, f"{LINE}, error string, dt string, kind string")
+        return lines.where(F.col("kind") == REJECTED)
+
     def _latest(self, kind: str, since: datetime | None) -> DataFrame:
         lines = self.read().where(F.col("kind") == kind)
         if since is not None:

@@ -209,7 +209,11 @@ def test_ledger(spark, tmp_path):
     assert {tuple(r) for r in book.blocked(soon).collect()} == {("c", "already running"), ("d", "already completed")}
     assert book.blocked(later).count() == 0
     parts = {p.parent.parent.name + "/" + p.parent.name for p in Path(tmp_path / "ledger").rglob("*.json")}
-    assert parts == {"dt=20260105/kind=config", "dt=20260105/kind=stats"}
+    assert parts == {f"dt=20260105/kind={kind}" for kind in ("config", "stats", "rejected")}
+    assert {(r["taskId"], r["error"]) for r in book.rejected().collect()} == {
+        ("b", ledger.NO_TARGET),
+        ("", ledger.NO_TASK),
+    }
 
 
 def test_checkpoint_log(spark, tmp_path):
