@@ -26,6 +26,7 @@ from rowferry.llm.tables import small_batches, sub_batches, tidy, worker_model
 
 SLOTS = 1 << 16
 CHUNK_BYTES = 8_000_000
+BATCH_IDS = 250_000  # that go back to Spark at a time, or those of one longer text
 KNOWN_WORDS = 450_000
 TOGETHER = 24
 FOLDED_BYTES = 64
@@ -40,13 +41,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def ranks_and_pieces(path: str) -> tuple[dict[bytes, int], list[bytes]]:
+def ranks_and_pieces(path: str) -> tuple[dict[bytes, int], pa.BinaryArray]:
     """The ranks, and each rank's bytes."""
     ranks = read_ranks(path)
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    return ranks, pieces
+    return ranks, pa.array(pieces, pa.binary())
 
 
 def letter(rank: int) -> str:
@@ -242,6 +243,16 @@ def _letter_ranks(text: str) -> np.ndarray:
     return np.where(codes < 0xD800, codes, codes - 0x800).astype(np.int32) - np.int32(0x100)
 
 
+def _encoded(doc_ids: pa.Array, ends: np.ndarray, ids: np.ndarray, pieces: pa.BinaryArray) -> pa.RecordBatch:
+    """One row per text, of its ids and its decoded bytes; ``ends`` are those of the texts' ids, after a 0."""
+    bytes_of = pieces.take(pa.array(ids))
+    _, offsets, data = bytes_of.buffers()
+    at = np.frombuffer(offsets, np.int32, len(ids) + 1, bytes_of.offset * 4)[ends] if len(ids) else np.zeros(len(ends), np.int32)
+    decoded = pa.BinaryArray.from_buffers(pa.binary(), len(doc_ids), [None, pa.py_buffer(at.tobytes()), data if data is not None else pa.py_buffer(b"")])
+    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+    return pa.RecordBatch.from_arrays([doc_ids, lists, decoded], ["doc_id", "ids", "decoded"])
+
+
 def _assembler(path: str):
     """Chunks with each word's pieces to one row per text."""
 
@@ -267,21 +278,17 @@ def _assembler(path: str):
                 firsts = np.concatenate([firsts, starts + np.int32(flat.size)])
                 counts = np.concatenate([counts, many])
                 flat = np.concatenate([flat, own])
-                out, start = [], 0
-                for end in ends.to_pylist():
-                    used = uses[start:end]
+                word_ends = np.concatenate([[0], ends.to_numpy()])
+                id_ends = np.concatenate([[0], np.cumsum(counts[uses], dtype=np.int32)])[word_ends]
+                first = 0
+                while first < len(ends):
+                    last = max(first + 1, int(np.searchsorted(id_ends, id_ends[first] + BATCH_IDS, "right")) - 1)
+                    used = uses[word_ends[first] : word_ends[last]]
                     many = counts[used]
-                    total = int(many.sum())
                     shift = firsts[used] - (np.cumsum(many, dtype=np.int32) - many)
-                    ids = flat[np.repeat(shift, many) + np.arange(total, dtype=np.int32)]
-                    text = b"".join(map(pieces.__getitem__, ids.tolist()))
-                    out.append((total, hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()))
-                    start = end
-                n, ids_sha, text_sha = zip(*out, strict=True) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                    ids = flat[np.repeat(shift, many) + np.arange(id_ends[last] - id_ends[first], dtype=np.int32)]
+                    yield _encoded(doc_ids.slice(first, last - first), id_ends[first : last + 1] - id_ends[first], ids, pieces)
+                    first = last
                 del coded, uses, parts, own
                 pa.default_memory_pool().release_unused()
 
@@ -297,14 +304,39 @@ def encoded_chunks(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return chunks.withColumn("coded", fold_words(F.col("words"), read_ranks(path))).drop("words")
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row of ``docs``.
+def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``doc_id, ids, decoded`` for every row of ``docs``: its token ids, and the bytes they decode to.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns aren't read. Each match of ``pattern`` is
     encoded by itself with the ranks of the file at ``path``; no special token is added or looked
-    for. A null or empty text has no id; both digests are then those of no bytes. Repeated rows
-    get equal results; an empty table gives no rows. A task holds one chunk of about
-    ``CHUNK_BYTES`` at a time, or one longer text.
+    for. A null or empty text has no id and no byte. Repeated rows get equal results; an empty
+    table gives no rows. A task holds one chunk of about ``CHUNK_BYTES`` at a time, or one longer text.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "doc_id long, ids array<int>, decoded binary"
     return encoded_chunks(docs, path, pattern).mapInArrow(tidy(_assembler(path)), schema)
+
+
+def _id_digests(batches):
+    """Rows ``(doc_id, ids, decoded_sha256)`` with the ids as their number and their digest."""
+    for batch in batches:
+        ids = batch.column("ids")
+        ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4", copy=False)
+        digests = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array(digests, pa.string()), batch.column("decoded_sha256")],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        )
+
+
+def token_digests(encoded: DataFrame) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of the rows of ``encode_texts``.
+
+    Ids are digested as little-endian numbers of four bytes; without ids both digests are those of no bytes.
+    """
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return encoded.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256")).mapInArrow(tidy(_id_digests), schema)
+
+
+def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``token_digests`` of ``encode_texts``: what to compare encodings by without keeping them."""
+    return token_digests(encode_texts(docs, path, pattern))

@@ -19,6 +19,9 @@ BASE_CONFIDENCE = 0.95
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULE = "array<struct<index:int,label:string,priority:int,confidence:double,keyword:string,pattern:string>>"
+PLACES = "array<struct<label:string,start:int,end:int>>"
+MATCHES = "array<struct<start:int,back:int,rank:int,index:int>>"
+BLOCK = 256
 
 
 def rule_literal() -> Column:
@@ -65,35 +68,41 @@ def _matches(line: Column, rule: Column) -> Column:
 
 
 def surviving(found: Column) -> Column:
-    """Distinct indexes of the rules with a match that no better match contains.
+    """The matches that no better match contains, in order of start, longest first.
 
-    In order of start, longest first, every match that contains another comes before it, so it
-    is enough to keep the furthest end so far for each priority and above. The state holds no
-    more than the rules' indexes, so time is linear in the matches.
+    In that order every match that contains another comes before it, so it is enough to keep
+    the furthest end so far for each priority and above. Matches that stay are gathered in blocks
+    of ``BLOCK``, so that a step does not copy all that came before it.
     """
     none = F.lit(-1)
-    empty = F.struct(none.alias("p1"), none.alias("p2"), none.alias("p3"), F.array().cast("array<int>").alias("kept"))
+    some = F.array().cast(MATCHES)
+    empty = F.struct(
+        none.alias("p1"), none.alias("p2"), none.alias("p3"), some.alias("open"), F.array().cast(f"array<{MATCHES}>").alias("full")
+    )
 
     def step(s: Column, m: Column) -> Column:
         end, priority = -m["back"], -m["rank"]
         reach = F.when(priority == 3, s["p3"]).when(priority == 2, s["p2"]).otherwise(s["p1"])
+        gone, whole = reach >= end, F.size(s["open"]) >= BLOCK
         return F.struct(
             F.greatest(s["p1"], end).alias("p1"),
             F.when(priority >= 2, F.greatest(s["p2"], end)).otherwise(s["p2"]).alias("p2"),
             F.when(priority >= 3, F.greatest(s["p3"], end)).otherwise(s["p3"]).alias("p3"),
-            F.when(reach >= end, s["kept"]).otherwise(F.array_union(s["kept"], F.array(m["index"]))).alias("kept"),
+            F.when(gone, s["open"]).when(whole, F.array(m)).otherwise(F.concat(s["open"], F.array(m))).alias("open"),
+            F.when(~gone & whole, F.concat(s["full"], F.array(s["open"]))).otherwise(s["full"]).alias("full"),
         )
 
-    return F.aggregate(F.array_sort(found), empty, step, lambda s: s["kept"])
+    return F.aggregate(F.array_sort(found), empty, step, lambda s: F.concat(F.flatten(s["full"]), s["open"]))
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` of every row.
+def license_matches(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_words, base, matches`` of every row: the places of base phrases and of rules.
 
-    ``docs`` needs ``doc_id`` and ``text``; other columns aren't read. A null text has no word. Base
-    phrases count at every place, and their labels always stay; rules add theirs. ``score`` is
-    the largest confidence of what was found, 0 if nothing was. Repeated rows get equal
-    results; an empty table gives no rows. Rows are independent: nothing is shuffled.
+    ``base`` has ``label, start, end`` of every place of a base phrase, phrase by phrase. ``matches`` has
+    ``label, start, end, priority, confidence`` of every match of a rule that no better one contains, in
+    order of start, longest first. ``start`` and ``end`` are the first and the last word, from 0.
+    ``docs`` needs ``doc_id`` and ``text``; other columns aren't read. A null text has no word. Repeated rows
+    get equal results; an empty table gives no rows. Rows are independent: nothing is shuffled.
     """
     known = rule_literal()
     line = word_text(F.coalesce("text", F.lit("")))
@@ -105,20 +114,40 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     rows = rows.select(
         "doc_id", (F.greatest(blanks - 1, F.lit(0))).cast("long").alias("n_words"), F.when(gate, F.trim("line")).alias("line")
     )
-    no_places = F.array().cast("array<int>")
     rows = rows.withColumn("words", F.when(F.col("line").isNotNull(), F.split("line", " ")))
-    for n, (_, phrase) in enumerate(BASE):
-        rows = rows.withColumn(f"base{n}", F.when(F.contains("line", F.lit(phrase)), phrase_places(F.col("words"), phrase)).otherwise(no_places))
+
+    def placed(label: str, phrase: str) -> Column:
+        last = len(phrase.split(" ")) - 1
+        places = F.transform(phrase_places(F.col("words"), phrase), lambda i: F.struct(
+            F.lit(label).alias("label"), i.alias("start"), (i + last).alias("end"),
+        ))
+        return F.when(F.contains("line", F.lit(phrase)), places).otherwise(F.array().cast(PLACES))
+
+    def named(m: Column, rule: Column) -> Column:
+        return F.struct(
+            rule["label"].alias("label"), m["start"].alias("start"), (-m["back"]).alias("end"),
+            rule["priority"].alias("priority"), rule["confidence"].alias("confidence"),
+        )
+
     hits = F.flatten(F.transform(F.filter(known, lambda r: F.contains("line", r["keyword"])), lambda r: _matches(F.col("line"), r)))
-    kept = F.when(F.col("line").isNotNull(), surviving(hits)).otherwise(no_places)
-    places = F.flatten(F.array("base0", "base1", "base2"))
-    base = F.filter(F.array(*[F.when(F.size(f"base{n}") > 0, F.lit(label)) for n, (label, _) in enumerate(BASE)]), lambda x: x.isNotNull())
-    rows = rows.select("doc_id", "n_words", places.alias("places"), base.alias("base"), F.transform(kept, lambda i: F.get(known, i)).alias("rules"))
-    sure = F.when(F.size("base") > 0, F.lit(BASE_CONFIDENCE)).otherwise(F.lit(0.0))
+    kept = F.when(F.col("line").isNotNull(), surviving(hits)).otherwise(F.array().cast(MATCHES))
     return rows.select(
-        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
-        F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
-        F.array_join(F.array_sort("base"), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("base", F.col("rules.label"))), ",").alias("labels"),
-        F.greatest(sure, F.coalesce(F.array_max("rules.confidence"), F.lit(0.0))).alias("score"),
+        "doc_id", "n_words", F.concat(*[placed(*b) for b in BASE]).alias("base"),
+        F.transform(kept, lambda m: named(m, F.get(known, m["index"]))).alias("matches"),
+    )
+
+
+def scan_licenses(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` of every row.
+
+    A summary of ``license_matches``. Base phrases count at every place, and their labels always
+    stay; rules add theirs. ``score`` is the largest confidence of what was found, 0 if nothing was.
+    """
+    sure = F.when(F.size("base") > 0, F.lit(BASE_CONFIDENCE)).otherwise(F.lit(0.0))
+    return license_matches(docs).select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.start").cast("long").alias("first_word"), F.array_max("base.start").cast("long").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct("base.label")), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union("base.label", "matches.label")), ",").alias("labels"),
+        F.greatest(sure, F.coalesce(F.array_max("matches.confidence"), F.lit(0.0))).alias("score"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowferry.llm.byte_bpe import encode_documents
+from rowferry.llm.byte_bpe import encode_texts, token_digests
 from rowferry.llm.decontaminate import contaminations
 from rowferry.llm.ego_join import near_duplicates
 from rowferry.llm.language import predict_language
@@ -53,7 +53,8 @@ def op7_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
+    encoded = encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
+    return token_digests(encoded)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
