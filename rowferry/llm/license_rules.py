@@ -2,7 +2,7 @@
 
 A line of ``PLAIN`` is ``label; priority; confidence; keyword; pattern``. Priority 3 is a notice or a
 sentence of the license's own text, 2 a full name or an identifier, 1 a bare mention. A rule is
-tried where its keyword occurs; every keyword holds one of ``ANCHORS``. Families add one
+tried where its keyword occurs: part of every match of the pattern, with one of ``ANCHORS`` in it. Families add one
 rule per license version and wording.
 """
 
@@ -13,7 +13,9 @@ from typing import NamedTuple
 
 ANCHORS = (
     "licen", "copyright", "copyleft", "spdx", "gpl", "cc by", "cc0", "creative commons", "public domain",
-    "redistribut", "warrant", "all rights reserved",
+    "redistribut", "warrant", "all rights reserved", "hereby granted", "mit no attribution", "to endorse",
+    "advertising materials", "bsd ", "perl itself", "for good not evil", "commons clause", "publicdomain", "gemma ",
+    "confidential", "distributed",
 )
 
 
@@ -26,7 +28,7 @@ class Rule(NamedTuple):
 
 
 PLAIN = r"""
-mit; 3; 0.99; copyright notice; permission is hereby granted free of charge to any person obtaining a copy of this software
+mit; 3; 0.99; permission is hereby granted; permission is hereby granted free of charge to any person obtaining a copy of this software
 mit; 3; 0.98; warrant; the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
 mit; 3; 0.97; copyright notice; the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies
 mit; 2; 0.95; mit license; (?:released|licensed|distributed|available|published|provided) under (?:the )?(?:terms of the )?mit license
@@ -35,7 +37,7 @@ mit; 2; 0.9; mit license; the mit license(?: mit)?
 mit; 1; 0.8; mit licen; mit licen[sc]ed?
 mit; 2; 0.9; opensource org licenses mit; opensource org licenses mit(?: license php)?
 mit-0; 2; 0.95; spdx; spdx license identifier mit 0
-mit-0; 2; 0.9; licen; mit no attribution(?: license)?
+mit-0; 2; 0.9; mit no attribution; mit no attribution(?: license)?
 x11; 2; 0.9; x11 license; (?:the )?x11 license
 x11; 2; 0.93; spdx; spdx license identifier x11
 expat; 2; 0.9; expat license; (?:the )?expat license
@@ -49,25 +51,25 @@ apache-2; 2; 0.92; apache 2 0 licen; apache 2 0 licen[sc]ed?
 apache-2; 1; 0.85; licen; (?:apl|asl|apache)(?: v)? ?2(?: 0)? licen[sc]ed?
 apache-1.1; 2; 0.9; licen; apache (?:software )?license (?:version )?1 1
 apache-1.1; 2; 0.93; spdx; spdx license identifier apache 1 1
-apache-1.0; 2; 0.9; apache license; apache (?:software )?license (?:version )?1 0
+apache-1.0; 2; 0.9; licen; apache (?:software )?license (?:version )?1 0
 apache; 1; 0.7; licen; apache (?:software )?licen[sc]ed?
-bsd-3-clause; 3; 0.98; copyright; neither the name of .{1,80}? nor the names of (?:its|their) contributors may be used to endorse or promote products
+bsd-3-clause; 3; 0.98; may be used to endorse; neither the name of .{1,80}? nor the names of (?:its|their) contributors may be used to endorse or promote products
 bsd-2-clause; 3; 0.95; redistribut; redistribution and use in source and binary forms with or without modification are permitted
 bsd-2-clause; 3; 0.93; redistribut; redistributions of source code must retain the above copyright notice this list of conditions
 bsd-2-clause; 3; 0.93; redistribut; redistributions in binary form must reproduce the above copyright notice
-bsd-4-clause; 3; 0.97; licen; all advertising materials mentioning features or use of this software must display
+bsd-4-clause; 3; 0.97; all advertising materials; all advertising materials mentioning features or use of this software must display
 bsd-3-clause; 2; 0.93; licen; (?:3|three) clause bsd licen[sc]e
-bsd-3-clause; 2; 0.93; licen; bsd (?:3|three) clause(?: licen[sc]e)?
+bsd-3-clause; 2; 0.93; bsd ; bsd (?:3|three) clause(?: licen[sc]e)?
 bsd-3-clause; 2; 0.9; licen; (?:new|modified|revised) bsd licen[sc]e
 bsd-2-clause; 2; 0.93; licen; (?:2|two) clause bsd licen[sc]e
-bsd-2-clause; 2; 0.93; licen; bsd (?:2|two) clause(?: licen[sc]e)?
+bsd-2-clause; 2; 0.93; bsd ; bsd (?:2|two) clause(?: licen[sc]e)?
 bsd-2-clause; 2; 0.9; licen; (?:simplified|freebsd) (?:bsd )?licen[sc]e
 bsd-4-clause; 2; 0.9; licen; (?:original|old) bsd licen[sc]e
-bsd-4-clause; 2; 0.93; licen; bsd (?:4|four) clause(?: licen[sc]e)?
+bsd-4-clause; 2; 0.93; bsd ; bsd (?:4|four) clause(?: licen[sc]e)?
 bsd-0; 2; 0.93; spdx; spdx license identifier 0bsd
 bsd-0; 2; 0.9; licen; (?:zero|0) clause bsd licen[sc]e
 bsd; 1; 0.75; licen; bsd (?:style )?licen[sc]ed?
-isc; 3; 0.98; copyright; permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+isc; 3; 0.98; is hereby granted; permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 isc; 2; 0.9; isc license; (?:the )?isc license
 isc; 2; 0.93; spdx; spdx license identifier isc
 zlib; 3; 0.97; warrant; this software is provided as is without any express or implied warranty in no event will the authors be held liable
@@ -86,7 +88,7 @@ wtfpl; 2; 0.93; spdx; spdx license identifier wtfpl
 artistic-2.0; 2; 0.95; artistic license; artistic license (?:version )?2(?: 0)?
 artistic-1.0; 2; 0.9; artistic license; artistic license (?:version )?1(?: 0)?
 artistic; 1; 0.8; artistic license; (?:the )?artistic license
-perl; 2; 0.9; licen; (?:under )?the same terms as perl itself
+perl; 2; 0.9; perl itself; (?:under )?the same terms as perl itself
 ruby; 2; 0.85; ruby license; (?:the )?ruby license
 php-3.01; 2; 0.95; php license; php license (?:version )?3 01
 php-3.0; 2; 0.9; php license; php license (?:version )?3(?: 0)?
@@ -98,7 +100,7 @@ ofl-1.1; 2; 0.95; open font license; (?:sil )?open font license(?: (?:version )?
 ofl-1.1; 2; 0.93; spdx; spdx license identifier ofl 1 1
 vim; 2; 0.85; vim license; (?:the )?vim license
 beerware; 2; 0.9; licen; (?:the )?beer ?ware licen[sc]e(?: revision 42)?
-json; 3; 0.93; copyright; the software shall be used for good not evil
+json; 3; 0.93; for good not evil; the software shall be used for good not evil
 curl; 2; 0.9; curl license; (?:the )?curl license
 unicode; 2; 0.9; unicode licen; unicode licen[sc]e(?: v3)?
 upl-1.0; 2; 0.93; universal permissive license; universal permissive license(?: (?:v|version )?1 0)?
@@ -106,26 +108,26 @@ ncsa; 2; 0.9; licen; (?:university of illinois )?ncsa (?:open source )?licen[sc]
 bsl-1.1; 2; 0.93; business source license; business source license(?: 1 1)?
 sspl-1; 2; 0.93; server side public license; server side public license(?: (?:v|version )?1)?
 elastic-2.0; 2; 0.93; elastic license; elastic license(?: (?:v|version )?2(?: 0)?)?
-commons-clause; 2; 0.93; licen; commons clause (?:license )?condition
+commons-clause; 2; 0.93; commons clause; commons clause (?:license )?condition
 gfdl-1.3; 2; 0.95; free documentation license; gnu free documentation license (?:version )?1 3
 gfdl-1.2; 2; 0.95; free documentation license; gnu free documentation license (?:version )?1 2
 gfdl; 1; 0.85; free documentation license; (?:gnu )?free documentation license
 odbl-1.0; 2; 0.95; open database license; open database license(?: odbl)?(?: (?:v|version )?1 0)?
 odc-by; 2; 0.93; licen; open data commons attribution licen[sc]e
-pddl; 2; 0.93; licen; open data commons public domain dedication(?: and licen[sc]e)?
+pddl; 2; 0.93; public domain; open data commons public domain dedication(?: and licen[sc]e)?
 ogl-uk; 2; 0.93; open government licen; open government licen[sc]e(?: v[123](?: 0)?)?
 cc0-1.0; 3; 0.97; cc0; (?:to the extent possible under law .{1,80}? has waived all copyright .{1,60}?)?cc0 1 0(?: universal)?
 cc0-1.0; 2; 0.9; cc0; cc0(?: license| licence)?
-cc0-1.0; 3; 0.97; public domain; creativecommons org publicdomain zero 1 0
+cc0-1.0; 3; 0.97; publicdomain; creativecommons org publicdomain zero 1 0
 cc-pdm; 2; 0.9; public domain; public domain mark(?: 1 0)?
 cc; 1; 0.6; creative commons; (?:a )?creative commons(?: licen[sc]e)?
 openrail; 2; 0.93; licen; (?:creativeml )?open ?rail(?:\+\+)?(?: m)? licen[sc]e
 llama-community; 2; 0.93; community license; llama (?:[23](?: \d)? )?community license(?: agreement)?
-gemma; 2; 0.85; licen; gemma (?:terms of use|licen[sc]e)
+gemma; 2; 0.85; gemma ; gemma (?:terms of use|licen[sc]e)
 copyright-reserved; 2; 0.8; all rights reserved; (?:copyright (?:c )?(?:\d{4} )?.{0,60}?)?all rights reserved
 copyright-notice; 1; 0.4; copyright; copyright (?:c )?\d{4}(?: \d{4})?
-proprietary; 2; 0.85; licen; (?:proprietary and confidential|confidential and proprietary)(?: licen[sc]e)?
-proprietary; 2; 0.85; redistribut; (?:may not be|no part may be) (?:copied|reproduced) (?:or )?(?:redistributed|distributed)
+proprietary; 2; 0.85; confidential; (?:proprietary and confidential|confidential and proprietary)(?: licen[sc]e)?
+proprietary; 2; 0.85; distributed; (?:may not be|no part may be) (?:copied|reproduced) (?:or )?(?:redistributed|distributed)
 proprietary; 2; 0.85; license agreement; end user license agreement
 commercial; 1; 0.6; commercial licen; commercial licen[sc]e
 copyleft; 1; 0.5; copyleft; copyleft(?: licen[sc]e)?
