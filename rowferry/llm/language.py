@@ -135,20 +135,25 @@ def identify(text: str | None, codes: Codes, automata: list[Automaton]) -> tuple
 def language_samples(docs: DataFrame, usable: Column) -> tuple[tuple[str, str], ...]:
     """``(lang, text)`` per labelled language, from ``usable`` rows with a label and a text.
 
-    Of each language about ``SAMPLE_ROWS`` rows with the smallest id hashes, each cut to an
-    even share of the language's part of ``SAMPLE_CHARS``. The driver gets that many characters,
-    whatever the input. Two passes: counts per language, then the chosen rows.
+    Of each language the ``SAMPLE_ROWS`` distinct texts with the smallest hashes: equal texts count once.
+    Each gives a span that starts at a hashed place and goes on from the text's end to its start, so
+    every part of a text is as likely as any other; spans are cut to an even share of the
+    language's part of ``SAMPLE_CHARS``, and shorter texts are whole. Workers learn from that many
+    characters (``LEAST_CHARS`` per language if there are many), whatever the input; the driver
+    gets at most ``SAMPLE_ROWS`` spans of a language's part. Two passes: counts per language, then the chosen texts.
     """
     rows = docs.where(usable & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
-    rows = rows.select("lang", F.abs(F.xxhash64(F.col("doc_id").cast("string"))).alias("draw"), "text")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.select("lang", F.abs(F.xxhash64("text")).alias("draw"), "text")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()}
     if not counts:
         return ()
     share = max(LEAST_CHARS, SAMPLE_CHARS // len(counts))
     limit = F.lit(0).cast("double")
     for lang, n in counts.items():
-        limit = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * SAMPLE_ROWS / n) * 2.0**63)).otherwise(limit)
-    chosen = rows.where(F.col("draw") <= limit).withColumn("text", F.substring("text", 1, share))
+        limit = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * SAMPLE_ROWS / max(1, n)) * 2.0**63)).otherwise(limit)
+    start = F.pmod(F.xxhash64("text", F.lit(1)), F.length("text")).cast("int") + 1
+    span = F.substring(F.concat("text", F.lit("\n"), "text"), start, F.least(F.lit(share), F.length("text") + 1))
+    chosen = rows.where(F.col("draw") <= limit).select("lang", "draw", span.alias("text")).distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
     chosen = chosen.withColumn("place", place).where(F.col("place") <= SAMPLE_ROWS)
     texts: dict[str, list[str]] = {}
@@ -158,7 +163,7 @@ def language_samples(docs: DataFrame, usable: Column) -> tuple[tuple[str, str],
 
 
 def _even_cut(parts: list[str], share: int) -> str:
-    """Prefixes of the texts, all at most as long as fits ``share`` in total."""
+    """The beginnings of the spans, all at most as long as fits ``share`` in total."""
     left, out = share, []
     for i, part in enumerate(sorted(parts, key=len)):
         take = part[: left // (len(parts) - i)]
