@@ -8,7 +8,9 @@ language that needs the fewest phrases, normalised by its sample's length, wins.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -21,23 +23,34 @@ UNKNOWN = "und"
 SAMPLE_CHARS = 96_000  # of all languages together
 SAMPLE_ROWS = 200  # per language
 LEAST_CHARS = 2_000  # per language
-LETTERS = 126  # letters with a code of their own; the rest never match
+LETTERS = 126  # the most frequent letters have dense transitions, all others of the samples sparse ones
+RARE = 256  # first code of the others
 BREAK = 1
 
 
 @dataclass(frozen=True)
 class Automaton:
-    """``moves[state + code]`` is the next state (a multiple of ``width``), 0 if the phrase ends there."""
+    """``moves[state + code]`` is the next state (a multiple of ``width``), 0 if the phrase ends there.
+
+    For codes from ``RARE`` on it is ``rare[state + code * len(moves)]``, if there.
+    """
 
     lang: str
     moves: list[int]
+    rare: dict[int, int]
     weight: float  # bits that name one phrase of the sample
 
 
-def suffix_automaton(text: bytes, width: int) -> list[int]:
-    """The dense transitions of the suffix automaton of ``text``; state 0 is the empty match.
+def suffix_automaton(text: Sequence[int], width: int) -> list[int]:
+    """The dense transitions of the suffix automaton of ``text``, whose codes are below ``width``."""
+    return transitions(text, width)[0]
+
 
-    Codes are below ``width``. The table has at most ``2 * len(text)`` rows of ``width`` entries.
+def transitions(text: Sequence[int], width: int) -> tuple[list[int], dict[int, int]]:
+    """The transitions of the suffix automaton of ``text``; state 0 is the empty match.
+
+    Those of codes below ``width`` are a table of at most ``2 * len(text)`` rows of ``width`` entries, the
+    others, in all less than three for each code of ``text``, are a dict by state and code.
     """
     moves: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
@@ -65,11 +78,14 @@ def suffix_automaton(text: bytes, width: int) -> list[int]:
                     moves[at][code] = copy
                     at = link[at]
         last = now
-    dense = [0] * (len(moves) * width)
+    dense, rare = [0] * (len(moves) * width), {}
     for state, out in enumerate(moves):
         for code, to in out.items():
-            dense[state * width + code] = to * width
-    return dense
+            if code < width:
+                dense[state * width + code] = to * width
+            else:
+                rare[state * width + code * len(dense)] = to * width
+    return dense, rare
 
 
 def phrases(codes: bytes, moves: list[int]) -> int:
@@ -88,8 +104,27 @@ def phrases(codes: bytes, moves: list[int]) -> int:
     return count + (state != 0)
 
 
+def wide_phrases(codes: Sequence[int], moves: list[int], rare: dict[int, int]) -> int:
+    """``phrases`` of a text with codes from ``RARE`` on."""
+    count, state, span = 0, 0, len(moves)
+    for code in codes:
+        onward = moves[state + code] if code < RARE else rare.get(state + code * span, 0)
+        if onward:
+            state = onward
+        else:
+            if state:
+                count += 1
+            state = moves[code] if code < RARE else rare.get(code * span, 0)
+            if not state:
+                count += 1
+    return count + (state != 0)
+
+
 class Codes(dict):
-    """Character to code for ``str.translate``: case is folded, all but letters are breaks."""
+    """Character to code for ``str.translate``: case is folded, all but letters are breaks.
+
+    A letter that no sample has is 0, which never matches.
+    """
 
     def __missing__(self, point: int) -> int:
         char = chr(point)
@@ -101,22 +136,30 @@ class Codes(dict):
         super().__init__()
         self.letters = letters
 
-    def encode(self, text: str) -> bytes:
-        """Letters with single breaks between them and around them; empty if there is no letter."""
-        raw = text.translate(self).encode("latin-1")
-        words = [w for w in raw.split(b"\x01") if w]
-        return b"\x01" + b"\x01".join(words) + b"\x01" if words else b""
+    def encode(self, text: str) -> bytes | array:
+        """Letters with single breaks between them and around them; empty if there is no letter.
+
+        Bytes if all codes are below ``RARE``, else an array of numbers.
+        """
+        words = [w for w in text.translate(self).split("\x01") if w]
+        line = "\x01" + "\x01".join(words) + "\x01" if words else ""
+        try:
+            return line.encode("latin-1")
+        except UnicodeEncodeError:
+            return array("I", line.encode("utf-32-le", "surrogatepass"))
 
 
 def build(samples: tuple[tuple[str, str], ...]) -> tuple[Codes, list[Automaton]]:
     """The code table and one automaton per language, kept by each worker."""
     seen = Counter(c for _, text in samples for c in text.lower() if c.isalpha())
-    letters = {c: BREAK + 1 + i for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])}
-    codes, width = Codes(letters), BREAK + 1 + len(letters)
+    order = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
+    letters = {c: BREAK + 1 + i for i, c in enumerate(order[:LETTERS])}
+    width = BREAK + 1 + len(letters)
+    codes = Codes(letters | {c: RARE + i for i, c in enumerate(order[LETTERS:])})
     out = []
     for lang, text in samples:
         sample = codes.encode(text)
-        out.append(Automaton(lang, suffix_automaton(sample, width), math.log2(len(sample) + 2)))
+        out.append(Automaton(lang, *transitions(sample, width), math.log2(len(sample) + 2)))
     return codes, out
 
 
@@ -125,7 +168,8 @@ def identify(text: str | None, codes: Codes, automata: list[Automaton]) -> tuple
     data = codes.encode(text) if text else b""
     if not data or not automata:
         return UNKNOWN, 0.0
-    costs = sorted((phrases(data, a.moves) * a.weight, a.lang) for a in automata)
+    narrow = isinstance(data, bytes)
+    costs = sorted(((phrases(data, a.moves) if narrow else wide_phrases(data, a.moves, a.rare)) * a.weight, a.lang) for a in automata)
     best = costs[0]
     if len(costs) == 1:
         return best[1], 1.0

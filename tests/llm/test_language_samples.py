@@ -34,3 +34,31 @@ def test_a_long_shared_header_and_copies_do_not_fill_the_sample(spark):
     assert own > 0.4 * len(samples["aa"].split())
     found = {r["doc_id"]: r["lang_pred"] for r in language.predict_language(docs).collect()}
     assert all(found[i] == ("aa" if i < 4_000 else "bb") for i in found if i >= 3_000)
+
+
+def test_every_letter_of_the_samples_counts():
+    common = "".join(map(chr, range(0x4E00, 0x4E00 + 126)))
+    ours, theirs = (made_words("".join(map(chr, range(a, a + 300))), a) for a in (0x5000, 0x6000))
+    samples = (("ja", " ".join([common] * 9 + ours)), ("zh", " ".join([common] * 2 + theirs[:100])))
+    codes, automata = language.build(samples)
+    assert len(codes.letters) > 400
+    for lang, words in (("ja", ours), ("zh", theirs[:100])):
+        for word in words:
+            assert language.identify(word, codes, automata)[0] == lang
+
+    def slow(data, sample):
+        count, at = 0, 0
+        while at < len(data):
+            size = 1
+            while at + size < len(data) and data[at : at + size + 1] in sample:
+                size += 1
+            count, at = count + 1, at + size
+        return count
+
+    rng = random.Random(5)
+    for a, (_, sample) in zip(automata, samples, strict=True):
+        held = "".join(map(chr, codes.encode(sample)))
+        for _ in range(200):
+            text = " ".join(rng.choice(ours + theirs + ["latin", common[:9]])[: rng.randrange(1, 9)] for _ in range(6))
+            data = codes.encode(text)
+            assert language.wide_phrases(data, a.moves, a.rare) == slow("".join(map(chr, data)), held)
