@@ -8,19 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rowferry.llm.byte_bpe import encode_texts, token_digests
+from rowferry.llm.collocations import collocations
 from rowferry.llm.decontaminate import contaminations
 from rowferry.llm.ego_join import near_duplicates
 from rowferry.llm.language import predict_language
 from rowferry.llm.license_scan import scan_licenses
+from rowferry.llm.piece_bpe import encode_pieces, piece_digests
 from rowferry.llm.sharding import shard_documents
 from rowferry.llm.simhash import simhash_components
 from rowferry.llm.tables import table
+from rowferry.llm.token_alignment import align_documents
 from rowferry.llm.token_counts import count_tokens
 from rowferry.llm.toxicity import score_toxicity
 from rowferry.llm.warc_convert import pages_round_trip
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def op1_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,11 +70,25 @@ def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabularies = public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.PATTERN, public_tokenizers.path(PIECE_MODEL)
+    return align_documents(table(spark, sf_dir, "documents"), *vocabularies)
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), first=2_000, fewest=100)
+
+
+def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_epsilon_grid_join, op2_toxicity_neighbours, op3_legacy_archives, op4_simhash_balls, op5_language_cross_parsing,
         op6_qgram_decontamination, op7_whole_token_counts, op8_byte_bpe, op9_license_scan, op10_minimax_shards,
+        op11_token_alignment, op12_phrase_collocations, op13_piece_bpe,
     )
 }
 
@@ -103,4 +122,33 @@ SQL: dict[str, str] = {
             case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
         from f
     """,
+    "op12_phrase_collocations": """
+        with pieces as (
+            select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece
+            from documents
+        ), lists as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from pieces),
+        totals as (select lang, sum(len(w))::bigint as n from lists group by lang),
+        runs as (
+            select lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) as phrase
+            from lists, range(1, 6) as s(size) where len(w) >= size
+        ), f as (select lang, phrase, size, count(*) as n from runs group by lang, phrase, size),
+        candidates as (select lang, phrase, size, n as a, string_split(phrase, ' ') as w from f where size > 1 and n >= 100),
+        inner_runs as (
+            select lang, a, unnest(list_transform(range(1, size - many + 2), lambda i: array_to_string(w[i:i + many - 1], ' '))) as phrase
+            from candidates, range(2, 5) as m(many) where many < size
+        ), around as (select lang, phrase, max(a) as longer from inner_runs group by lang, phrase),
+        cuts as (
+            select c.lang, c.phrase, c.a, k, x.n as l, y.n as r, t.n as n, ((1000::hugeint * c.a * t.n) // (x.n::hugeint * y.n))::bigint as score
+            from candidates c join range(1, 5) as p(k) on k < c.size join totals t on t.lang = c.lang
+            join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:k], ' ')
+            join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[k + 1:], ' ')
+        ), weakest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+        ranked as (
+            select w.*, row_number() over (partition by w.lang order by score desc, a desc, w.phrase) as rank
+            from weakest w left join around o on o.lang = w.lang and o.phrase = w.phrase
+            where o.longer is null or 100 * o.longer < 100 * w.a
+        )
+        select lang, rank::bigint as rank, phrase, a, l, r, n, score from ranked where rank <= 2000
+    """,
 }
