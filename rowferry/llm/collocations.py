@@ -1,15 +1,14 @@
 """Phrases whose words stand together more often than their parts would: mining by fingerprints.
 
-Prefix polynomials over a block's bytes give each word a fingerprint, and prefix polynomials over
-those give one to every run of words. What crosses the network first are fingerprints with counts;
-longer runs are counted only where all shorter runs inside may be frequent. The text of frequent
-runs is written by a last pass, in which every block compares the places of a fingerprint with each
-other and Spark adds the counts up by text: runs that share a fingerprint come apart again.
+Prefix polynomials over a block's bytes give each word two fingerprints, and prefix polynomials over
+those give two to every run of words. What crosses the network are fingerprints with their counts and
+with a pointer to one occurrence; longer runs are counted only where all shorter runs inside may be
+frequent. Inside a block the places of a fingerprint are held against each other; between blocks the
+second one tells runs apart. Text is written once, for frequent runs alone, at the places pointed to.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -30,8 +29,8 @@ FIRST = 2_000
 UNKNOWN = "und"
 BLOCK_BYTES = 4 << 20  # of text; a longer piece without a break is a block of its own
 FILTER_BITS = 27  # of a filter of frequent fingerprints: 16 MB, whatever the corpus
+WRITTEN = 1 << 24  # frequent runs that one pass over the texts writes out
 SALTS = 16
-BASE = np.uint64(0x9E3779B97F4A7C15)
 
 #: Bytes as they are compared: A to Z in lower case, blanks as blanks, breaks as line ends.
 _LETTERS = np.arange(256, dtype=np.uint8)
@@ -51,8 +50,8 @@ def mixed(values: np.ndarray) -> np.ndarray:
 class Powers:
     """Powers of an odd base modulo 2**64 and of its inverse, as far as they were asked for."""
 
-    def __init__(self, base: np.uint64 = BASE) -> None:
-        self.base, self.inverse = base, np.uint64(pow(int(base), -1, 1 << 64))
+    def __init__(self, base: int) -> None:
+        self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
         self.up = self.down = np.ones(1, np.uint64)
 
     def to(self, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,16 +60,18 @@ class Powers:
         return self.up[:size], self.down[:size]
 
 
-POWERS = Powers()
+POWERS = Powers(0x9E3779B97F4A7C15), Powers(0xD6E8FEB86659FD93)
 
 
-def runs_hashed(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial of each run ``letters[start:end]``, from the prefixes of the whole array."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = POWERS.to(len(letters) + 1)
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters.astype(np.uint64) * down[:-1])])
-    return (prefix[ends] - prefix[starts]) * up[ends - 1]
+class Prefixes:
+    """Prefix polynomials of an array, from which any run of it has its own."""
+
+    def __init__(self, values: np.ndarray, powers: Powers) -> None:
+        self.up, down = powers.to(len(values) + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values.astype(np.uint64) * down[:-1])])
+
+    def runs(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.sums[ends] - self.sums[starts]) * self.up[ends - 1]
 
 
 class Words:
@@ -92,44 +93,27 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def fingerprints(self, seeds: np.ndarray) -> np.ndarray:
+    def fingerprints(self, seeds: np.ndarray, powers: Powers) -> np.ndarray:
         """One per word, of its bytes, its length and the seed of its language."""
-        own = runs_hashed(self.letters, self.starts, self.ends) + (self.ends - self.starts).astype(np.uint64)
-        return mixed(mixed(own) ^ seeds[self.lang]) if len(self) else own
+        if not len(self):
+            return np.zeros(0, np.uint64)
+        own = Prefixes(self.letters, powers).runs(self.starts, self.ends) + (self.ends - self.starts).astype(np.uint64)
+        return mixed(mixed(own) ^ seeds[self.lang])
 
     def phrase(self, word: int, size: int) -> bytes:
         at = range(word, word + size)
         return b" ".join(self.letters[self.starts[i] : self.ends[i]].tobytes() for i in at)
 
-    def numbered(self, prints: np.ndarray) -> np.ndarray:
-        """A number per word, equal for equal words of a language alone: fingerprints checked against the bytes."""
-        _, first, number = np.unique(prints, return_index=True, return_inverse=True)
-        model = first[number]
-        sizes = self.ends - self.starts
-        same = (sizes == sizes[model]) & (self.lang == self.lang[model])
-        for at in range(0, len(self), 1 << 18):
-            part = np.flatnonzero(same[at : at + (1 << 18)]) + at
-            many = sizes[part]
-            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            equal = self.letters[np.repeat(self.starts[part], many) + place] == self.letters[np.repeat(self.starts[model[part]], many) + place]
-            if not equal.all():
-                same[np.unique(np.repeat(part, many)[~equal])] = False
-        if not same.all():  # two words, one fingerprint
-            names: dict = {}
-            for i in range(len(self)):
-                number[i] = names.setdefault((int(self.lang[i]), self.phrase(i, 1)), len(names))
-        return number
-
 
 class Block:
     """Words of a block with the fingerprints of every run of up to ``LONGEST`` of them."""
 
-    def __init__(self, data: bytes, text_ends: np.ndarray, langs: np.ndarray, seeds: np.ndarray) -> None:
-        self.words = Words(data, text_ends, langs)
-        self.prints = self.words.fingerprints(seeds)
-        up, down = POWERS.to(len(self.prints) + LONGEST + 1)
-        self.up = up
-        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.prints * down[: len(self.prints)])])
+    def __init__(self, texts: list[bytes], langs: list[int], names: list[str]) -> None:
+        self.names = names
+        self.words = words = Words(b"".join(texts), np.cumsum([len(t) for t in texts]), np.array(langs, np.int64))
+        seeds = np.array([xxhash.xxh64_intdigest(n.encode()) for n in names], np.uint64)
+        self.prefixes = [Prefixes(words.fingerprints(seeds, p), p) for p in POWERS]
+        self.texts = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64)
 
     def places(self, size: int) -> np.ndarray:
         """First words of all runs of ``size`` words inside a piece."""
@@ -137,58 +121,98 @@ class Block:
 
     def runs(self, at: np.ndarray, size: int) -> np.ndarray:
         """Fingerprints of the runs that start at these words, never below zero as signed numbers."""
-        whole = (self.prefix[at + size] - self.prefix[at]) * self.up[at + size - 1]
-        return mixed(whole + np.uint64(size)) >> np.uint64(1)
+        return mixed(self.prefixes[0].runs(at, at + size) + np.uint64(size)) >> np.uint64(1)
+
+    def checks(self, at: np.ndarray, size: int) -> np.ndarray:
+        """The second fingerprints, of 31 bits."""
+        return (mixed(self.prefixes[1].runs(at, at + size) + np.uint64(size)) >> np.uint64(33)).astype(np.int32)
+
+    def pointers(self, at: np.ndarray) -> np.ndarray:
+        """Places of words by the text and the word's number in it: the same however texts are dealt to tasks."""
+        text = self.words.text[at]
+        return mixed(self.texts[text] + (at - np.searchsorted(self.words.text, text)).astype(np.uint64)) >> np.uint64(1)
+
+    def same(self, one: np.ndarray, other: np.ndarray, size: int) -> np.ndarray:
+        """Whether the runs at these words have the same language and text, by their bytes."""
+        words = self.words
+        same = words.lang[one] == words.lang[other]
+        for i in range(size):
+            a, b = one + i, other + i
+            many = words.ends[a] - words.starts[a]
+            same &= many == words.ends[b] - words.starts[b]
+            for first in range(0, len(one), 1 << 18):
+                part = np.flatnonzero(same[first : first + (1 << 18)]) + first
+                sizes = many[part]
+                place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                equal = words.letters[np.repeat(words.starts[a[part]], sizes) + place] == words.letters[np.repeat(words.starts[b[part]], sizes) + place]
+                if not equal.all():
+                    same[np.unique(np.repeat(part, sizes)[~equal])] = False
+        return same
+
+    def counted(self, at: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+        """Fingerprints of the runs at these words, both, with their number and a pointer to one of each.
+
+        Runs with equal fingerprints are compared by their text; where the second fingerprint alone differs, they are
+        counted apart. Two texts with both alike would be an error that ends the task.
+        """
+        prints = self.runs(at, size)
+        order = np.argsort(prints, kind="stable")
+        at, prints = at[order], prints[order]
+        checks = self.checks(at, size)
+        new = np.concatenate([[True], prints[1:] != prints[:-1]]) if len(at) else np.zeros(0, bool)
+        if (~new[1:] & (checks[1:] != checks[:-1])).any():
+            order = np.lexsort((checks, prints))
+            at, prints, checks = at[order], prints[order], checks[order]
+            new[1:] = (prints[1:] != prints[:-1]) | (checks[1:] != checks[:-1])
+        first = np.flatnonzero(new)
+        counts = np.diff(np.append(first, len(at)))
+        again = np.flatnonzero(~new)
+        if not self.same(at[again], np.repeat(at[first], counts)[again], size).all():
+            raise ValueError("two phrases of a block have the same fingerprints")
+        return prints[first].astype(np.int64), checks[first], counts, self.pointers(at[first]).astype(np.int64)
 
 
 class Filter:
-    """Fingerprints that may be frequent, as bits; what isn't in it is rare for certain."""
+    """Numbers that may be wanted, as bits; what isn't in it is not."""
 
     def __init__(self, parts: list[tuple[int, bytes]]) -> None:
         self.bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
         for number, part in parts:
             self.bits[number * len(part) : (number + 1) * len(part)] = np.frombuffer(part, np.uint8)
 
-    def has(self, prints: np.ndarray) -> np.ndarray:
-        at = (prints & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        at = (numbers & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
         return self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
-def filter_of(prints: DataFrame) -> Broadcast:
-    """The filter of the column ``print``, made by Spark: at most 2**27 bits reach the driver."""
+def filter_of(rows: DataFrame, number: Column) -> Broadcast:
+    """The filter of a column of numbers, made by Spark: at most 2**27 bits reach the driver."""
     # Spark's bitmap functions: buckets of 32,768 bits each.
-    place = F.col("print").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    place = number.bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     parts = (
-        prints.groupBy(F.shiftright(place, 15).cast("int").alias("number"))
+        rows.groupBy(F.shiftright(place, 15).cast("int").alias("number"))
         .agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32_767))).alias("bits"))
         .collect()
     )
-    return prints.sparkSession.sparkContext.broadcast([(r["number"], bytes(r["bits"])) for r in parts])
-
+    return rows.sparkSession.sparkContext.broadcast([(r["number"], bytes(r["bits"])) for r in parts])
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list[str]]]:
-    """Blocks of texts, a break after each, with their languages; a text that is longer is cut after a break."""
-    held, ends, langs, names, size = [], [], [], {}, 0
-
-    def block() -> tuple[Block, list[str]]:
-        listed = list(names)
-        seeds = np.array([xxhash.xxh64_intdigest(n.encode()) for n in listed], np.uint64)
-        return Block(b"".join(held), np.cumsum(ends), np.array(langs, np.int64), seeds), listed
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """Blocks of texts, a break after each; a text that is longer is cut after a break."""
+    held, langs, names, size = [], [], {}, 0
     for batch in batches:
         for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
             whole = (text.as_py() or "").encode()
             while whole:
                 part, whole = _cut(whole)
                 held.append(part + b"\n")
-                ends.append(len(part) + 1)
                 langs.append(names.setdefault(lang, len(names)))
                 size += len(part)
                 if size >= BLOCK_BYTES:
-                    yield block()
-                    held, ends, langs, names, size = [], [], [], {}, 0
+                    yield Block(held, langs, list(names))
+                    held, langs, names, size = [], [], {}, 0
     if held:
-        yield block()
+        yield Block(held, langs, list(names))
 
 
 def _cut(text: bytes) -> tuple[bytes, bytes]:
@@ -203,14 +227,15 @@ def _cut(text: bytes) -> tuple[bytes, bytes]:
 
 
 def _counter(sizes: tuple[int, ...], below: Broadcast | None) -> Callable:
-    """Fingerprints of the runs of some sizes with their counts in a block.
+    """Fingerprints of the runs of some sizes with their counts in a block and a pointer.
 
-    With a filter of the frequent runs of ``below`` words, a run is left out if one of those inside it is not in it.
+    With a filter of the frequent runs of one word less than the smallest size, a run is left out if one of those
+    inside it is not in it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = Filter(below.value) if below else None
-        for block, _ in _blocks(batches):
+        for block in _blocks(batches):
             inside = min(sizes) - 1
             known = np.zeros(len(block.words), bool)
             if frequent:
@@ -220,70 +245,76 @@ def _counter(sizes: tuple[int, ...], below: Broadcast | None) -> Callable:
                 at = block.places(size)
                 for shift in range(size - inside + 1) if frequent else ():
                     at = at[known[at + shift]]
-                prints, counts = np.unique(block.runs(at, size), return_counts=True)
-                for first in range(0, len(prints), 100_000):
-                    part = slice(first, first + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(prints[part].astype(np.int64)), pa.array(counts[part])], ["print", "n"])
+                found = block.counted(at, size)
+                for first in range(0, len(found[0]), 100_000):
+                    columns = [pa.array(c[first : first + 100_000]) for c in found]
+                    yield pa.RecordBatch.from_arrays(columns, ["print", "check", "n", "at"])
 
     return run
 
 
-def _writer(frequent: Broadcast) -> Callable:
-    """Texts of the runs that may be frequent with their counts in a block, and the number of words per language."""
+def _writer(wanted: Broadcast, totals: bool) -> Callable:
+    """Texts of the runs that may be pointed to, and the number of words per language if ``totals``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = Filter(frequent.value)
-        for block, names in _blocks(batches):
-            words = block.words
-            number = words.numbered(block.prints) if len(words) else np.zeros(0, np.int64)
-            rows = [(names[i], 0, "", int(n)) for i, n in enumerate(np.bincount(words.lang, minlength=len(names))) if n]
+        kept = Filter(wanted.value)
+        for block in _blocks(batches):
+            words, names = block.words, block.names
+            rows = [(None, None, None, names[i], 0, "", int(n)) for i, n in enumerate(np.bincount(words.lang, minlength=len(names))) if n and totals]
             for size in range(1, LONGEST + 1):
                 at = block.places(size)
-                prints = block.runs(at, size)
-                on = kept.has(prints)
-                at, prints = at[on], prints[on]
-                _, first, group, counts = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
-                model = at[first][group]
-                same = reduce(np.logical_and, (number[at + i] == number[model + i] for i in range(size)), np.ones(len(at), bool))
-                lost = set(group[~same].tolist())  # fingerprints that more than one phrase of the block has
-                rows += [(names[words.lang[at[f]]], size, words.phrase(int(at[f]), size).decode(), int(n)) for g, (f, n) in enumerate(zip(first, counts, strict=True)) if g not in lost]
-                if lost:
-                    apart = Counter((names[words.lang[i]], words.phrase(int(i), size)) for i in at[np.isin(group, list(lost))])
-                    rows += [(lang, size, phrase.decode(), n) for (lang, phrase), n in apart.items()]
+                prints, pointers = block.runs(at, size), block.pointers(at)
+                on = kept.has(prints ^ pointers)
+                at, prints, pointers = at[on], prints[on].tolist(), pointers[on].tolist()
+                checks = block.checks(at, size).tolist()
+                texts = [words.phrase(i, size).decode() for i in at.tolist()]
+                rows += [(*key, names[words.lang[i]], size, text, 0) for *key, i, text in zip(prints, checks, pointers, at, texts, strict=True)]
             for first in range(0, len(rows), 20_000):
-                lang, size, phrase, n = zip(*rows[first : first + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(phrase, pa.string()), pa.array(n, pa.int64())],
-                    ["lang", "size", "phrase", "n"],
-                )
+                columns = zip(*rows[first : first + 20_000], strict=True)
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*KEY, "lang", "size", "phrase", "n"])
 
     return run
 
 
+KEY = ["print", "check", "at"]
+COUNTED = "print long, check int, n long, at long"
+TEXTS = "print long, check int, at long, lang string, size int, phrase string, n long"
+
+
 def frequent_phrases(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
     """``lang, size, phrase, n``: every run of 1 to 5 words that stands at least ``fewest`` times in a language's
     texts, words joined by blanks; with ``size`` 0 each language's number of words.
 
     ``docs`` needs ``text`` and ``lang``; a null language is ``und``. Texts are cut into pieces at ``. , ; : ! ?``
     and line breaks, pieces into words at blanks and tabs; A to Z are lower-cased. No run crosses a
-    piece. Null and empty texts have no words; repeated rows count each time. Four passes over the
-    texts: words, pairs of frequent words, runs of frequent pairs, texts. Between them only filters
-    of 16 MB go to the driver and to the workers; in a larger corpus they let more runs through,
-    which costs time but changes no row.
+    piece. Null and empty texts have no words; repeated rows count each time. Passes over the
+    texts: words, pairs of frequent words, runs of frequent pairs, then texts, one pass for every ``WRITTEN``
+    frequent runs. Between them only filters of 16 MB go to the driver and to the workers; in a larger
+    corpus those of the first passes let more runs through, which costs time but changes no row.
     """
     rows = small_batches(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text"))
 
-    def counted(sizes: tuple[int, ...], below: Broadcast | None) -> DataFrame:
-        runs = rows.mapInArrow(tidy(_counter(sizes, below)), "print long, n long")
-        return runs.groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= fewest).select("print")
-
-    words = materialize(counted((1,), None), "phrases")
-    pairs = materialize(counted((2,), filter_of(words)), "phrases")
-    longer = counted(tuple(range(3, LONGEST + 1)), filter_of(pairs))
-    every = filter_of(words.union(pairs).union(longer))
-    texts = rows.mapInArrow(tidy(_writer(every)), "lang string, size int, phrase string, n long")
-    counts = texts.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
-    return materialize(counts.where((F.col("size") == 0) | (F.col("n") >= fewest)), "phrases")
+    def counted(sizes: tuple[int, ...], below: DataFrame | None) -> DataFrame:
+        runs = rows.mapInArrow(tidy(_counter(sizes, below and filter_of(below, F.col("print")))), COUNTED)
+        totals = runs.groupBy("print", "check").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
+        return materialize(totals.where(F.col("n") >= fewest), "phrases")
+
+    words = counted((1,), None)
+    pairs = counted((2,), words)
+    every = words.union(pairs).union(counted(tuple(range(3, LONGEST + 1)), pairs))
+    passes = max(1, -(-every.count() // WRITTEN))
+    written = []
+    for number in range(passes):
+        wanted = every.where(F.pmod("print", F.lit(passes)) == number)
+        place = F.col("print").bitwiseXOR(F.col("at"))
+        texts = rows.mapInArrow(tidy(_writer(filter_of(wanted, place), number == 0)), TEXTS)
+        written.append(texts.where(f"print is null or pmod(print, {passes}) = {number}"))
+    texts = materialize(reduce(DataFrame.union, written), "phrases")
+    totals = texts.where("print is null").groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    # Copies of a text have the same pointers, so a phrase may have been written more than once.
+    phrases = texts.where("print is not null").drop("n").distinct().join(every, KEY).select("lang", "size", "phrase", "n")
+    return materialize(totals.union(phrases), "phrases")
 
 
 def _words(first: Column, last: Column) -> Column:
@@ -332,7 +363,9 @@ def collocations(docs: DataFrame, first: int = FIRST, fewest: int = FEWEST, perc
     cuts = _with_counts(cuts, counted, "tail", F.col("size") - F.col("k"), "r")
     whole = {c: F.col(c).cast("decimal(19,0)") for c in ("n", "total", "l", "r")}
     over = (whole["n"] * whole["total"]).cast("decimal(34,0)") * F.lit(1000).cast("decimal(4,0)")
-    scored = cuts.join(totals, "lang").withColumn("over", over).withColumn("under", whole["l"] * whole["r"])
+    salted = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS * SALTS - 1))))
+    cuts = cuts.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS * SALTS)).cast("int"))
+    scored = cuts.join(salted, ["lang", "salt"]).withColumn("over", over).withColumn("under", whole["l"] * whole["r"])
     scored = scored.withColumn("score", F.expr("over div under"))
     weakest = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "n", "l", "r", "total")).alias("c"))
     free = weakest.join(around, ["lang", "phrase"], "left").where(

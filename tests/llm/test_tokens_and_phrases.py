@@ -6,7 +6,6 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
-from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -214,21 +213,30 @@ def test_collocations_match_their_sql(spark):
 
 
 def test_phrases_that_share_a_fingerprint_come_apart(monkeypatch):
-    monkeypatch.setattr(collocations, "mixed", lambda values: values & np.uint64(7))
     rng = random.Random(2)
-    rows = [(" ".join(rng.choice("abcdefg") * rng.randrange(1, 3) for _ in range(40)), rng.choice(["x", "y"])) for _ in range(30)]
-    batch = pa.RecordBatch.from_pydict({"text": [t for t, _ in rows], "lang": [g for _, g in rows]})
-    every = [(n, b"\xff" * 4096) for n in range(1 << collocations.FILTER_BITS - 15)]
-    got = Counter()
-    for part in collocations._writer(SimpleNamespace(value=every))([batch]):
-        for r in part.to_pylist():
-            got[r["lang"], r["size"], r["phrase"]] += r["n"]
-    want = Counter()
-    for text, lang in rows:
-        w = text.split()
-        want[lang, 0, ""] += len(w)
-        want.update((lang, k, " ".join(w[i : i + k])) for k in range(1, 6) for i in range(len(w) - k + 1))
-    assert got == want
+    texts = [" ".join(rng.choice("abcdefg") * rng.randrange(1, 3) for _ in range(40)).encode() + b"\n" for _ in range(30)]
+    block = collocations.Block(texts, [i % 2 for i in range(30)], ["x", "y"])
+    whole = collocations.Block.runs
+    for size in (1, 3):
+        at = block.places(size)
+        want = Counter((int(block.words.lang[i]), block.words.phrase(i, size)) for i in at.tolist())
+        for weak in (whole, lambda self, at, size: whole(self, at, size) & np.uint64(7)):
+            monkeypatch.setattr(collocations.Block, "runs", weak)
+            prints, checks, counts, pointers = block.counted(at, size)
+            assert len(set(zip(prints.tolist(), checks.tolist(), strict=True))) == len(prints) == len(set(pointers.tolist()))
+            assert sorted(counts.tolist()) == sorted(want.values())
+            places = {int(p): i for p, i in zip(block.pointers(at), at.tolist(), strict=True)}
+            assert {(int(block.words.lang[i := places[int(p)]]), block.words.phrase(i, size)): int(n) for p, n in zip(pointers, counts, strict=True)} == want
+    monkeypatch.setattr(collocations.Block, "checks", lambda self, at, size: np.zeros(len(at), np.int32))
+    with pytest.raises(ValueError, match="same fingerprints"):
+        block.counted(block.places(1), 1)
+
+
+def test_phrases_are_written_in_passes(spark, monkeypatch):
+    docs = table(spark, SF, "documents")
+    want = {tuple(r) for r in collocations.frequent_phrases(docs, 30).collect()}
+    monkeypatch.setattr(collocations, "WRITTEN", 200)
+    assert {tuple(r) for r in collocations.frequent_phrases(docs.repartition(5), 30).collect()} == want
 
 
 def test_long_texts_are_cut_at_breaks(monkeypatch):
@@ -237,6 +245,6 @@ def test_long_texts_are_cut_at_breaks(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"text": [text, None, ""], "lang": ["a", "a", "a"]})
     blocks = list(collocations._blocks([batch]))
     assert len(blocks) > 5
-    pieces = [[b.words.phrase(i, 1).decode() for i in range(len(b.words))] for b, _ in blocks]
+    pieces = [[b.words.phrase(i, 1).decode() for i in range(len(b.words))] for b in blocks]
     assert [w for p in pieces for w in p] == re.split(r"[ ,.;]+", text)
-    assert sum(len(b.places(3)) for b, _ in blocks) == 20
+    assert sum(len(b.places(3)) for b in blocks) == 20
