@@ -1,17 +1,16 @@
 """Phrases whose words stand together more often than their parts would: mining by fingerprints.
 
 Prefix polynomials over a block's bytes give each word two fingerprints, and prefix polynomials over
-those give two to every run of words. What crosses the network first are fingerprints with counts;
-longer runs are counted only where all shorter runs inside may be frequent. A last pass writes the
-text of frequent runs: a block compares all places of a fingerprint with the first by their bytes, a
-task adds its blocks up by both fingerprints, with a pointer to the first place, whose text it takes,
-and Spark adds tasks up by text, so runs that share a fingerprint come apart again.
+those give two to every run of words. What crosses the network are fingerprints with their counts and
+with a pointer to one occurrence; longer runs are counted only where all shorter runs inside may be
+frequent. Inside a block the places of a fingerprint are held against each other; between blocks the
+second one tells runs apart. Text is written once, for frequent runs alone, at the places pointed to.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,8 @@ FIRST = 2_000
 UNKNOWN = "und"
 BLOCK_BYTES = 4 << 20  # of text; a longer piece without a break is a block of its own
 FILTER_BITS = 27  # of a filter of frequent fingerprints: 16 MB, whatever the corpus
-HELD = 1 << 20  # phrases whose texts a task holds before it hands them on
+WRITTEN = 1 << 24  # frequent runs that one pass over the texts writes out
+POINTER_SHIFT = FILTER_BITS - 16
 SALTS = 16
 
 #: Bytes as they are compared: A to Z in lower case, blanks as blanks, breaks as line ends.
@@ -114,6 +114,7 @@ class Block:
         self.words = words = Words(b"".join(texts), np.cumsum([len(t) for t in texts]), np.array(langs, np.int64))
         seeds = np.array([xxhash.xxh64_intdigest(n.encode()) for n in names], np.uint64)
         self.prefixes = [Prefixes(words.fingerprints(seeds, p), p) for p in POWERS]
+        self.texts = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64)
 
     def places(self, size: int) -> np.ndarray:
         """First words of all runs of ``size`` words inside a piece."""
@@ -127,6 +128,14 @@ class Block:
         """The second fingerprints, of 31 bits."""
         return (mixed(self.prefixes[1].runs(at, at + size) + np.uint64(size)) >> np.uint64(33)).astype(np.int32)
 
+    def pointers(self, at: np.ndarray) -> np.ndarray:
+        """Places of words by the text and the word's number in it: the same however texts are dealt to tasks.
+
+        In 16 bits, as they travel with every run; a phrase is then written at one place or a few.
+        """
+        text = self.words.text[at]
+        return mixed(self.texts[text] + (at - np.searchsorted(self.words.text, text)).astype(np.uint64)) >> np.uint64(48)
+
     def same(self, one: np.ndarray, other: np.ndarray, size: int) -> np.ndarray:
         """Whether the runs at these words have the same language and text, by their bytes."""
         words = self.words
@@ -145,7 +154,7 @@ class Block:
         return same
 
     def counted(self, at: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-        """Fingerprints of the runs at these words, both, with their number and the first place of each.
+        """Fingerprints of the runs at these words, both, with their number and a pointer to one of each.
 
         Runs with equal fingerprints are compared by their text; where the second fingerprint alone differs, they are
         counted apart. Two texts with both alike would be an error that ends the task.
@@ -164,7 +173,7 @@ class Block:
         again = np.flatnonzero(~new)
         if not self.same(at[again], np.repeat(at[first], counts)[again], size).all():
             raise ValueError("two phrases of a block have the same fingerprints")
-        return prints[first].astype(np.int64), checks[first], counts, at[first]
+        return prints[first].astype(np.int64), checks[first], counts, self.pointers(at[first]).astype(np.int64)
 
 
 class Filter:
@@ -180,10 +189,10 @@ class Filter:
         return self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
-def filter_of(rows: DataFrame) -> Broadcast:
-    """The filter of the column ``print``, made by Spark: at most 2**27 bits reach the driver."""
+def filter_of(rows: DataFrame, number: Column) -> Broadcast:
+    """The filter of a column of numbers, made by Spark: at most 2**27 bits reach the driver."""
     # Spark's bitmap functions: buckets of 32,768 bits each.
-    place = F.col("print").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    place = number.bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     parts = (
         rows.groupBy(F.shiftright(place, 15).cast("int").alias("number"))
         .agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32_767))).alias("bits"))
@@ -222,7 +231,7 @@ def _cut(text: bytes) -> tuple[bytes, bytes]:
 
 
 def _counter(sizes: tuple[int, ...], below: Broadcast | None) -> Callable:
-    """Fingerprints of the runs of some sizes with their counts in a block.
+    """Fingerprints of the runs of some sizes with their counts in a block and a pointer.
 
     With a filter of the frequent runs of one word less than the smallest size, a run is left out if one of those
     inside it is not in it.
@@ -240,92 +249,76 @@ def _counter(sizes: tuple[int, ...], below: Broadcast | None) -> Callable:
                 at = block.places(size)
                 for shift in range(size - inside + 1) if frequent else ():
                     at = at[known[at + shift]]
-                prints, counts = np.unique(block.runs(at, size).astype(np.int64), return_counts=True)
-                for first in range(0, len(prints), 100_000):
-                    columns = [pa.array(c[first : first + 100_000]) for c in (prints, counts)]
-                    yield pa.RecordBatch.from_arrays(columns, ["print", "n"])
+                found = block.counted(at, size)
+                for first in range(0, len(found[0]), 100_000):
+                    columns = [pa.array(c[first : first + 100_000]) for c in found]
+                    yield pa.RecordBatch.from_arrays(columns, ["print", "check", "n", "at"])
 
     return run
 
 
-class Phrases:
-    """Texts and counts of the phrases that a task has met, found by their fingerprints."""
-
-    def __init__(self) -> None:
-        self.prints, self.checks, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
-        self.numbers, self.texts = np.zeros(0, np.int64), []
-
-    def add(self, block: Block, at: np.ndarray, size: int) -> None:
-        prints, checks, counts, at = block.counted(at, size)
-        place = np.searchsorted(self.prints, prints)
-        place[place == len(self.prints)] = 0
-        met = (self.prints[place] == prints) & (self.checks[place] == checks) if len(self.prints) else np.zeros(len(prints), bool)
-        self.counts[place[met]] += counts[met]
-        numbers = np.arange(len(self.texts), len(self.texts) + (~met).sum())
-        names, langs = block.names, block.words.lang
-        self.texts += [(names[langs[i]], size, block.words.phrase(i, size).decode()) for i in at[~met].tolist()]
-        order = np.argsort(merged := np.append(self.prints, prints[~met]), kind="stable")
-        self.prints, self.checks = merged[order], np.append(self.checks, checks[~met])[order]
-        self.counts, self.numbers = np.append(self.counts, counts[~met])[order], np.append(self.numbers, numbers)[order]
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        counts = np.empty(len(self.texts), np.int64)
-        counts[self.numbers] = self.counts
-        for first in range(0, len(self.texts), 20_000):
-            part = slice(first, first + 20_000)
-            lang, size, phrase = zip(*self.texts[part], strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(phrase, pa.string()), pa.array(counts[part])],
-                ["lang", "size", "phrase", "n"],
-            )
-
-
-def _writer(frequent: Broadcast) -> Callable:
-    """Texts of the runs that may be frequent with their counts in a task, and the number of words per language."""
+def _writer(frequent: Broadcast, places: Broadcast, totals: bool) -> Callable:
+    """Texts of the runs that may be frequent and pointed to, and the number of words per language if ``totals``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, phrases, words = Filter(frequent.value), Phrases(), Counter()
+        kept, pointed = Filter(frequent.value), Filter(places.value)
         for block in _blocks(batches):
-            words.update(dict(zip(block.names, np.bincount(block.words.lang, minlength=len(block.names)).tolist(), strict=True)))
+            words, names = block.words, block.names
+            rows = [(None, None, None, names[i], 0, "", int(n)) for i, n in enumerate(np.bincount(words.lang, minlength=len(names))) if n and totals]
             for size in range(1, LONGEST + 1):
                 at = block.places(size)
-                phrases.add(block, at[kept.has(block.runs(at, size))], size)
-            if len(phrases.texts) >= HELD:
-                yield from phrases.rows()
-                phrases = Phrases()
-        yield from phrases.rows()
-        totals = [(lang, n) for lang, n in words.items() if n]
-        if totals:
-            rows = [{"lang": lang, "size": 0, "phrase": "", "n": n} for lang, n in totals]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())]))
+                at = at[kept.has(block.runs(at, size))]
+                prints, pointers = block.runs(at, size), block.pointers(at)
+                on = pointed.has(prints ^ pointers << np.uint64(POINTER_SHIFT))
+                at, prints, pointers = at[on], prints[on].tolist(), pointers[on].tolist()
+                one_each = dict(zip(zip(prints, block.checks(at, size).tolist(), pointers, strict=True), at.tolist(), strict=True))
+                rows += [(*key, names[words.lang[i]], size, words.phrase(i, size).decode(), 0) for key, i in one_each.items()]
+            for first in range(0, len(rows), 20_000):
+                columns = zip(*rows[first : first + 20_000], strict=True)
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*KEY, "lang", "size", "phrase", "n"])
 
     return run
 
 
+KEY = ["print", "check", "at"]
+COUNTED = "print long, check int, n long, at long"
+TEXTS = "print long, check int, at long, lang string, size int, phrase string, n long"
+
+
 def frequent_phrases(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
     """``lang, size, phrase, n``: every run of 1 to 5 words that stands at least ``fewest`` times in a language's
     texts, words joined by blanks; with ``size`` 0 each language's number of words.
 
     ``docs`` needs ``text`` and ``lang``; a null language is ``und``. Texts are cut into pieces at ``. , ; : ! ?``
     and line breaks, pieces into words at blanks and tabs; A to Z are lower-cased. No run crosses a
-    piece. Null and empty texts have no words; repeated rows count each time. Four passes over the
-    texts: words, pairs of frequent words, runs of frequent pairs, texts. Between them only filters
-    of 16 MB go to the driver and to the workers; in a larger corpus they let more runs through,
-    which costs time but changes no row.
+    piece. Null and empty texts have no words; repeated rows count each time. Passes over the
+    texts: words, pairs of frequent words, runs of frequent pairs, then texts, one pass for every ``WRITTEN``
+    frequent runs. Between them only filters of 16 MB go to the driver and to the workers; in a larger
+    corpus those of the first passes let more runs through, which costs time but changes no row.
     """
     rows = small_batches(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text"))
 
     def counted(sizes: tuple[int, ...], below: DataFrame | None) -> DataFrame:
-        runs = rows.mapInArrow(tidy(_counter(sizes, filter_of(below) if below else None)), "print long, n long")
-        totals = runs.groupBy("print").agg(F.sum("n").alias("n"))
-        return materialize(totals.where(F.col("n") >= fewest).select("print"), "phrases")
+        runs = rows.mapInArrow(tidy(_counter(sizes, below and filter_of(below, F.col("print")))), COUNTED)
+        totals = runs.groupBy("print", "check").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
+        return materialize(totals.where(F.col("n") >= fewest), "phrases")
 
     words = counted((1,), None)
     pairs = counted((2,), words)
-    every = filter_of(words.union(pairs).union(counted(tuple(range(3, LONGEST + 1)), pairs)))
-    texts = rows.mapInArrow(tidy(_writer(every)), "lang string, size int, phrase string, n long")
-    counts = texts.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
-    return materialize(counts.where((F.col("size") == 0) | (F.col("n") >= fewest)), "phrases")
+    every = words.union(pairs).union(counted(tuple(range(3, LONGEST + 1)), pairs))
+    passes = max(1, -(-every.count() // WRITTEN))
+    written = []
+    for number in range(passes):
+        wanted = every.where(F.pmod("print", F.lit(passes)) == number)
+        place = F.col("print").bitwiseXOR(F.shiftleft("at", POINTER_SHIFT))
+        texts = rows.mapInArrow(tidy(_writer(filter_of(wanted, F.col("print")), filter_of(wanted, place), number == 0)), TEXTS)
+        written.append(texts.where(f"print is null or pmod(print, {passes}) = {number}"))
+    texts = materialize(reduce(DataFrame.union, written), "phrases")
+    totals = texts.where("print is null").groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    # Copies of a text have the same pointers, and others may be alike: a phrase may have been written more than once.
+    phrases = texts.where("print is not null").drop("n").distinct().join(every, KEY).select("lang", "size", "phrase", "n")
+    return materialize(totals.union(phrases), "phrases")
 
 
 def _words(first: Column, last: Column) -> Column:
