@@ -8,7 +8,6 @@ literal rank map; then each text's ids are put together from its words. No stage
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 import json
 import re
@@ -33,6 +32,7 @@ FOLDED_BYTES = 64
 PLACE_BITS = 6
 PLACE_MASK = 63
 SEED = 42  # of Spark's xxhash64
+PLAN_TEXT = 100_000  # characters of a plan's text that Spark keeps
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -243,17 +243,23 @@ def _letter_ranks(text: str) -> np.ndarray:
     return np.where(codes < 0xD800, codes, codes - 0x800).astype(np.int32) - np.int32(0x100)
 
 
-def _encoded(doc_ids: pa.Array, ends: np.ndarray, ids: np.ndarray, pieces: pa.BinaryArray) -> pa.RecordBatch:
+def _encoded(doc_ids: pa.Array, ends: np.ndarray, ids: np.ndarray, pieces: pa.BinaryArray, packed: bool, decoded: bool) -> pa.RecordBatch:
     """One row per text, of its ids and its decoded bytes; ``ends`` are those of the texts' ids, after a 0."""
+    if packed:
+        data = ids.astype("<i4", copy=False).tobytes()
+        rows = pa.BinaryArray.from_buffers(pa.binary(), len(doc_ids), [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), pa.py_buffer(data)])
+    else:
+        rows = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+    if not decoded:
+        return pa.RecordBatch.from_arrays([doc_ids, rows], ["doc_id", "ids"])
     bytes_of = pieces.take(pa.array(ids))
     _, offsets, data = bytes_of.buffers()
     at = np.frombuffer(offsets, np.int32, len(ids) + 1, bytes_of.offset * 4)[ends] if len(ids) else np.zeros(len(ends), np.int32)
-    decoded = pa.BinaryArray.from_buffers(pa.binary(), len(doc_ids), [None, pa.py_buffer(at.tobytes()), data if data is not None else pa.py_buffer(b"")])
-    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-    return pa.RecordBatch.from_arrays([doc_ids, lists, decoded], ["doc_id", "ids", "decoded"])
+    texts = pa.BinaryArray.from_buffers(pa.binary(), len(doc_ids), [None, pa.py_buffer(at.tobytes()), data if data is not None else pa.py_buffer(b"")])
+    return pa.RecordBatch.from_arrays([doc_ids, rows, texts], ["doc_id", "ids", "decoded"])
 
 
-def _assembler(path: str):
+def _assembler(path: str, packed: bool, decoded: bool):
     """Chunks with each word's pieces to one row per text."""
 
     def run(batches):
@@ -287,7 +293,7 @@ def _assembler(path: str):
                     many = counts[used]
                     shift = firsts[used] - (np.cumsum(many, dtype=np.int32) - many)
                     ids = flat[np.repeat(shift, many) + np.arange(id_ends[last] - id_ends[first], dtype=np.int32)]
-                    yield _encoded(doc_ids.slice(first, last - first), id_ends[first : last + 1] - id_ends[first], ids, pieces)
+                    yield _encoded(doc_ids.slice(first, last - first), id_ends[first : last + 1] - id_ends[first], ids, pieces, packed, decoded)
                     first = last
                 del coded, uses, parts, own
                 pa.default_memory_pool().release_unused()
@@ -304,39 +310,44 @@ def encoded_chunks(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return chunks.withColumn("coded", fold_words(F.col("words"), read_ranks(path))).drop("words")
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, pattern: str, *, packed: bool = False, decoded: bool = True) -> DataFrame:
     """``doc_id, ids, decoded`` for every row of ``docs``: its token ids, and the bytes they decode to.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns aren't read. Each match of ``pattern`` is
     encoded by itself with the ranks of the file at ``path``; no special token is added or looked
     for. A null or empty text has no id and no byte. Repeated rows get equal results; an empty
-    table gives no rows. A task holds one chunk of about ``CHUNK_BYTES`` at a time, or one longer text.
+    table gives no rows. ``packed`` gives ids as little-endian numbers of four bytes in one binary
+    value; ``decoded=False`` leaves the decoded bytes out. A task holds one chunk of about
+    ``CHUNK_BYTES`` at a time, or one longer text. The rank map is part of the plan, so the session's
+    limit on the texts that Spark keeps of plans is lowered to ``PLAN_TEXT``.
     """
-    schema = "doc_id long, ids array<int>, decoded binary"
-    return encoded_chunks(docs, path, pattern).mapInArrow(tidy(_assembler(path)), schema)
+    conf = docs.sparkSession.conf
+    if _bytes(conf.get("spark.sql.maxPlanStringLength")) > PLAN_TEXT:
+        conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
+    schema = f"doc_id long, ids {'binary' if packed else 'array<int>'}" + (", decoded binary" if decoded else "")
+    return encoded_chunks(docs, path, pattern).mapInArrow(tidy(_assembler(path, packed, decoded)), schema)
 
 
-def _id_digests(batches):
-    """Rows ``(doc_id, ids, decoded_sha256)`` with the ids as their number and their digest."""
-    for batch in batches:
-        ids = batch.column("ids")
-        ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4", copy=False)
-        digests = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array(digests, pa.string()), batch.column("decoded_sha256")],
-            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+def _bytes(setting: str) -> int:
+    """A setting of a size, with its unit if it has one."""
+    number = setting.lower().rstrip("b")
+    unit = "kmgt".find(number[-1]) + 1
+    return int(number[:-1]) << 10 * unit if unit else int(number)
 
 
 def token_digests(encoded: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of the rows of ``encode_texts``.
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of the ``packed`` rows of ``encode_texts``.
 
     Ids are digested as little-endian numbers of four bytes; without ids both digests are those of no bytes.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return encoded.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256")).mapInArrow(tidy(_id_digests), schema)
+    return encoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``token_digests`` of ``encode_texts``: what to compare encodings by without keeping them."""
-    return token_digests(encode_texts(docs, path, pattern))
+    return token_digests(encode_texts(docs, path, pattern, packed=True))

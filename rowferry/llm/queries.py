@@ -58,8 +58,8 @@ def op7_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
-    return token_digests(encoded)
+    docs = table(spark, sf_dir, "documents")
+    return token_digests(encode_texts(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN, packed=True))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
