@@ -217,8 +217,8 @@ def ball_links(fingerprints: DataFrame, distance: int) -> DataFrame:
     return sorted_rows.mapInArrow(tidy(_prefix_links(radius, distance, bits)), "a long, b long")
 
 
-def _fingerprint_groups(rows: DataFrame, distance: int) -> DataFrame:
-    """``(fingerprint, root, head)``: each fingerprint's component, and the row that comes first in it.
+def _fingerprint_groups(rows: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """``(fingerprint, root)``, each fingerprint's component, and ``(root, head)``, the row that comes first in it.
 
     Rows are ordered by id, nulls last, then by the text's hash.
     """
@@ -227,8 +227,7 @@ def _fingerprint_groups(rows: DataFrame, distance: int) -> DataFrame:
     roots = components(ball_links(classes.select("fingerprint"), distance), "a", "b")
     joined = classes.join(roots, classes["fingerprint"] == roots["node"], "left")
     joined = joined.select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
-    heads = joined.groupBy("root").agg(F.min("first").alias("head"))
-    return joined.select("fingerprint", "root").join(heads, "root")
+    return joined.select("fingerprint", "root"), joined.groupBy("root").agg(F.min("first").alias("head"))
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -239,8 +238,8 @@ def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4) ->
     id belongs to a component, but names one only if it has no other id. An empty table gives no rows.
     """
     rows = materialize(fingerprints(docs, shingle), "simhash")
-    groups = _fingerprint_groups(rows, distance)
-    return rows.join(groups, "fingerprint").select(
+    groups, heads = _fingerprint_groups(rows, distance)
+    return rows.join(groups.join(heads, "root"), "fingerprint").select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("head.doc_id").alias("component_id")
     )
 
@@ -252,7 +251,7 @@ def keep_one_per_component(docs: DataFrame, shingle: int = 4, distance: int = 4)
     hash stays; only where the row itself is repeated are whole rows grouped.
     """
     rows = materialize(fingerprints(docs, shingle), "simhash")
-    heads = _fingerprint_groups(rows, distance).select("root", "head").distinct()
+    _, heads = _fingerprint_groups(rows, distance)
     copies = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
     head = heads.select(F.col("head.doc_id").alias("__id"), F.col("head.text_hash").alias("__hash"))
     kept = head.join(copies, head["__id"].eqNullSafe(copies["doc_id"]) & (head["__hash"] == copies["text_hash"]))
