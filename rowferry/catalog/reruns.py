@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowferry.catalog.registry import query, table
-from rowferry.catalog.targets import _MANIFEST, _RETRY, FaultySend
+from rowferry.catalog.registry import query, table, table_path
+from rowferry.catalog.targets import _BATCHED, _MANIFEST, _RETRY, FaultySend
+from rowferry.operators.batches import BATCH
+from rowferry.operators.delivery import OUTCOME, TargetGone
+from rowferry.operators.sharding import SHARD
 from rowferry.plans.run import SyncFailed, SyncTask, run, run_batches
 from rowferry.sinks.registry import Target, register_sink
 from rowferry.spec import FieldSpec, SyncOptions, SyncSpec
@@ -256,3 +262,46 @@ def es_index_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.join(F.broadcast(mapping), "_index").select(
         F.col("_id").alias("id"), "field", "how.type", "how.analyzer", "how.format"
     )
+
+
+class _GoneForGood:
+    """A target that breaks down at batches whose first key is 0 modulo 3 and takes nothing after that."""
+
+    def __call__(self, rows: pa.Table) -> None:
+        if pc.min(rows["event_id"]).as_py() % 3 == 0:
+            raise TargetGone("connection closed")
+
+
+@query(
+    "SELECT shard_id, batch_id, count(*) AS n_rows, min(event_id) AS first_key, max(event_id) AS last_key, CAST(1 AS BIGINT) AS times "
+    f"FROM ({_BATCHED}) GROUP BY shard_id, batch_id"
+)
+def run_batches_killed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target breaks down for good in the middle of a run, twice; the third run sends what is left: each batch
+    is sent once, and no slices are asked for."""
+    root = new_folder(spark, "killed")
+    spec = SyncSpec(fields=_FIELDS, options=replace(_RETRY, min_shards=4, max_shards=4))
+    task = _task(root, spec=spec, source_config={"path": table_path(sf_dir, "events")})
+    for send in (_GoneForGood(), _GoneForGood(), lambda rows: None):
+        try:
+            run_batches(spark, task, send, f"{root}/state", guard=False)
+        except SyncFailed:
+            continue
+    sent = spark.read.schema(OUTCOME).parquet(f"{root}/state/progress/*/*").where("delivered")
+    return sent.groupBy(SHARD, BATCH, "n_rows", "first_key", "last_key").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query("SELECT 'COMPLETED' AS status, count(*) AS total, count(*) AS processed FROM events")
+def run_batches_killed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the runs around a break-down count: together each row once; the last one is complete."""
+    root = new_folder(spark, "killed")
+    spec = SyncSpec(fields=_FIELDS, options=replace(_RETRY, min_shards=4, max_shards=4))
+    task = _task(root, spec=spec, source_config={"path": table_path(sf_dir, "events")})
+    processed = 0
+    for send in (_GoneForGood(), lambda rows: None):
+        try:
+            out = run_batches(spark, task, send, f"{root}/state", guard=False)
+        except SyncFailed:
+            out = Ledger(spark, f"{root}/state/ledger").task_stats(task.task_id)
+            processed = out.first()["processedRecords"]
+    return out.select("status", F.col("totalRecords").alias("total"), (F.col("processedRecords") + processed).alias("processed"))

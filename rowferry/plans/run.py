@@ -448,8 +448,11 @@ def run_batches(
     ``send`` gets every batch of mapped rows as an Arrow table and is retried. Rows of
     batches that stay undelivered go to ``<state>/dead_letters``, and the checkpoint passes
     them: every row is sent or is a dead letter, and the run fails once all are tried.
-    ``slices`` cuts the rows at quantiles of the key and checkpoints after each, so a run
-    that dies sends one slice again at most.
+    Each task notes what it delivered under ``<state>/progress`` as it commits. A run that
+    dies, or whose target is gone for good (``send`` raises ``TargetGone``), is finished by
+    the next one, which sends what is not noted: the rest of the batches, and again those
+    of tasks that died with their executor. ``slices`` cuts the rows at quantiles of the
+    key and checkpoints after each.
     """
     with _recorded(spark, task, state_path, guard, now) as this:
         for pending in _each_pending(this, filter_key, slices):
@@ -474,28 +477,33 @@ def _deliver_batches(
         rows = assign_batches(mapped, KEY, spec.options.batch_size, rows=expected)
         slice_id = pending.intent.slice_id(number)
         with staged(rows, "batches") if _from_database(task) else nullcontext(rows) as batches:
-            outcomes = delivery.deliver(batches, send, spec.options, key=KEY)
-            if _count_batches(this, outcomes):
+            progress = f"{this.state_path}/progress/run_id={slice_id}"
+            outcomes = delivery.deliver(batches, send, spec.options, key=KEY, progress=progress)
+            left = _count_batches(this, outcomes)
+            if this.lost_shards:
                 folder = f"{this.state_path}/dead_letters/run_id={slice_id}"
                 dead = delivery.dead_letters(batches, outcomes, task.task_id, slice_id)
                 dead.drop("run_id").write.mode("overwrite").parquet(folder)
+        if left:
+            raise SyncFailed(f"the target is gone; {left} batches are left for the next run")
         this.log.save(task.task_id, pending.shards, pending.reached(number), slice_id, datetime.now())
 
 
-def _count_batches(this: _Run, outcomes: DataFrame) -> bool:
-    """Add the outcomes of a slice to the statistics; True if a batch stayed undelivered."""
+def _count_batches(this: _Run, outcomes: DataFrame) -> int:
+    """Add the outcomes of a slice to the statistics; the number of batches left for the next run."""
     stats, most = this.stats, this.task.spec.options.max_failed_batches
     totals = outcomes.agg(
         F.coalesce(F.sum(F.when(F.col("delivered"), F.col("n_rows"))), F.lit(0)).alias("rows"),
         F.coalesce(F.sum("retries"), F.lit(0)).alias("retries"),
+        F.count_if("left_over").alias("left"),
     ).first()
     stats["processedRecords"] += totals["rows"]
     stats["retryCount"] += totals["retries"]
     durations, last = stats.setdefault("shardDurations", {}), stats.setdefault("batchTimes", {})
-    for r in shard_times(outcomes).collect():
+    for r in shard_times(outcomes.where("not left_over")).collect():
         durations[str(r[SHARD])] = durations.get(str(r[SHARD]), 0) + r["duration_ms"]
         last[str(r[SHARD])] = r["last_batch_ms"]
-    lost = outcomes.where(~F.col("delivered"))
+    lost = outcomes.where(~F.col("delivered") & ~F.col("left_over"))
     shards = {r[SHARD] for r in lost.select(SHARD).distinct().collect()}
     this.lost_shards |= shards
     room = most - len(stats["failedBatches"])
@@ -504,4 +512,4 @@ def _count_batches(this: _Run, outcomes: DataFrame) -> bool:
             f"shard {r[SHARD]} batch {r[BATCH]}: {r['error']}"
             for r in capped(lost, room, order=[SHARD, BATCH]).collect()
         ]
-    return bool(shards)
+    return totals["left"]

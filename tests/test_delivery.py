@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import sys
+import time
 
 import pytest
 from pyspark import cloudpickle
@@ -222,3 +223,66 @@ def test_target_options():
         "es.nodes": "a:9200,b:9200",
         "es.net.http.auth.user": "u",
     }
+
+
+def numbered(spark, parts):
+    rows = [(i, i % 3, i // 30, f"v{i}") for i in range(300)]
+    return spark.createDataFrame(rows, "id long, shard_id long, batch_id long, v string").repartition(parts)
+
+
+def sent_files(folder):
+    """Ids that ``keeping`` took, one file per batch."""
+    return sorted(int(i) for f in folder.iterdir() for i in f.read_text().split())
+
+
+def keeping(folder, gone=()):
+    def send(rows):
+        ids = rows["id"].to_pylist()
+        if min(ids) // 30 in gone:
+            raise delivery.TargetGone("closed")
+        (folder / f"{min(ids)}-{time.time_ns()}").write_text(" ".join(map(str, ids)))
+
+    return send
+
+
+def test_a_gone_target_gets_the_rest_later(spark, tmp_path):
+    folder, progress = tmp_path / "sent", str(tmp_path / "progress")
+    folder.mkdir()
+    first = delivery.deliver(numbered(spark, 2), keeping(folder, {4, 7}), FAST, key="id", progress=progress).collect()
+    assert len(first) == 30
+    assert {r["error"] for r in first if r["left_over"]} == {"TargetGone: closed"}
+    assert not any(r["delivered"] for r in first if r["left_over"]) and any(r["left_over"] for r in first)
+    rest = delivery.deliver(numbered(spark, 5), keeping(folder), FAST, key="id", progress=progress).collect()
+    assert all(r["delivered"] and not r["left_over"] for r in rest)
+    assert len(rest) == sum(r["left_over"] for r in first)
+    assert sent_files(folder) == list(range(300))
+    assert delivery.deliver(numbered(spark, 2), keeping(folder), FAST, key="id", progress=progress).count() == 0
+
+
+def test_batches_of_committed_tasks_outlive_a_job_that_dies(spark, tmp_path):
+    folder, progress = tmp_path / "sent", str(tmp_path / "progress")
+    folder.mkdir()
+    keep = keeping(folder)
+
+    def dying(rows):
+        if min(rows["id"].to_pylist()) // 30 == 9 and len(list(folder.iterdir())) < 30:
+            for _ in range(600):  # the other tasks get time to commit
+                if len(list(folder.iterdir())) >= 20:
+                    break
+                time.sleep(0.05)
+            time.sleep(2)
+            raise SystemExit(3)
+        keep(rows)
+
+    # So small a table would be one task otherwise.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        with pytest.raises(Exception, match="SystemExit|exit|Job aborted|Python worker"):
+            delivery.deliver(numbered(spark, 8), dying, FAST, key="id", progress=progress)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    done = delivery.delivered_before(spark, progress).collect()
+    assert 0 < len(done) < 30
+    rest = delivery.deliver(numbered(spark, 8), keep, FAST, key="id", progress=progress).collect()
+    assert len(rest) == 30 - len(done)
+    assert set(sent_files(folder)) == set(range(300))
