@@ -16,7 +16,7 @@ from rowferry.operators.batches import BATCH
 from rowferry.operators.delivery import OUTCOME, TargetGone
 from rowferry.operators.sharding import SHARD
 from rowferry.plans.run import SyncFailed, SyncTask, run, run_batches
-from rowferry.sinks.registry import Target, register_sink
+from rowferry.sinks.registry import Target, register_sender, register_sink
 from rowferry.spec import FieldSpec, SyncOptions, SyncSpec
 from rowferry.state.ledger import Ledger
 from rowferry.storage import new_folder
@@ -305,3 +305,54 @@ def run_batches_killed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = Ledger(spark, f"{root}/state/ledger").task_stats(task.task_id)
             processed = out.first()["processedRecords"]
     return out.select("status", F.col("totalRecords").alias("total"), (F.col("processedRecords") + processed).alias("processed"))
+
+
+class _Stubborn:
+    """A target whose even batches (by first key) need ``tries`` more attempts."""
+
+    def __init__(self, tries: int) -> None:
+        self.tries, self.failed = tries, {}
+
+    def __call__(self, rows: pa.Table) -> None:
+        first = rows["event_id"][0].as_py()
+        if first % 2 == 0 and self.failed.get(first, 0) < self.tries:
+            self.failed[first] = self.failed.get(first, 0) + 1
+            raise ConnectionError("try again")
+
+
+def _sender_task(spark: SparkSession, sf_dir: str, root: str) -> SyncTask:
+    """The events, in keys' order but with odd and even first keys of batches, to the sender ``trial-sender``."""
+    table(spark, sf_dir, "events").where("event_id % 1000 <> 7").select("event_id", "user_id").write.parquet(f"{root}/source")
+    spec = SyncSpec(fields=_FIELDS, options=replace(_RETRY, min_shards=4, max_shards=4))
+    return _task(root, spec=spec, destination_type="trial-sender")
+
+
+@query("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS other_attempts, true AS retried FROM events WHERE event_id % 1000 <> 7")
+def run_task_batch_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A target of its own fails twice for chosen batches: each is retried by itself, where its rows lie."""
+    root = new_folder(spark, "senders")
+    register_sender("trial-sender", lambda config: _Stubborn(2))
+    run(spark, _sender_task(spark, sf_dir, root), f"{root}/state", guard=False)
+    sent = spark.read.schema(OUTCOME).parquet(f"{root}/state/progress/*/*/*")
+    wanted = F.when(F.col("first_key") % 2 == 0, 3).otherwise(1)
+    return sent.where("delivered").agg(
+        F.sum("n_rows").alias("n_rows"),
+        F.count_if(F.col("attempts") != wanted).alias("other_attempts"),
+        F.bool_or(F.col("attempts") == 3).alias("retried"),
+    )
+
+
+@query("SELECT 'COMPLETED' AS status, count(*) AS n_rows, CAST(1 AS BIGINT) AS times FROM events WHERE event_id % 1000 <> 7")
+def run_task_batches_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target refuses chosen batches beyond their retries; the next run sends those alone."""
+    root = new_folder(spark, "senders")
+    task, status = _sender_task(spark, sf_dir, root), None
+    for tries in (9, 0):
+        register_sender("trial-sender", lambda config, tries=tries: _Stubborn(tries))
+        try:
+            status = run(spark, task, f"{root}/state", guard=False).first()["status"]
+        except SyncFailed:
+            continue
+    sent = spark.read.schema(OUTCOME).parquet(f"{root}/state/progress/*/*/*").where("delivered")
+    each = sent.groupBy(SHARD, BATCH).agg(F.count(F.lit(1)).alias("times"), F.sum("n_rows").alias("n"))
+    return each.groupBy("times").agg(F.sum("n").alias("n_rows")).select(F.lit(status).alias("status"), "n_rows", "times")

@@ -12,10 +12,11 @@ delivered, so a job that dies costs the batches of the tasks that were under way
 
 from __future__ import annotations
 
+import bisect
 import sys
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -78,37 +79,8 @@ def call_with_retry(
     return options.max_retries + 1, waited, error
 
 
-def delivered_before(spark: SparkSession, progress: str) -> DataFrame:
-    """``(shard_id, batch_id)`` of the batches that some attempt under ``progress`` delivered."""
-    try:
-        seen = spark.read.schema(f"{OUTCOME}, attempt string").parquet(progress)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        seen = no_rows(spark, OUTCOME)
-    return seen.where("delivered").select(SHARD, BATCH).distinct()
-
-
-def deliver(
-    df: DataFrame,
-    send: Callable[[pa.Table], object],
-    options: SyncOptions,
-    *,
-    key: str,
-    progress: str | None = None,
-) -> DataFrame:
-    """Send every (shard, batch) of ``df`` and return one outcome row per batch.
-
-    ``df`` carries ``shard_id`` and ``batch_id``; ``send`` gets the other columns as
-    an Arrow table of at most ``batch_size`` rows and raises to signal failure. A key
-    column named ``_key`` is a helper and is not sent. ``left_over`` marks the batches
-    that were not sent, or not again, because the target is gone.
-
-    ``progress`` is a folder that outlives the attempt. Batches it knows as delivered are
-    neither sent nor returned; rows and numbering of ``df`` must be those of the first
-    attempt. The join that leaves them out is on the keys the rows are grouped by, so the
-    rows are shuffled once.
-    """
+def _sender(send: Callable[[pa.Table], object], options: SyncOptions, key: str) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Sends one batch and says what became of it; each task has its own copy, which stops once the target is gone."""
     gone: list[str] = []  # each task has its own copy
 
     def one_batch(group: tuple, table: pa.Table) -> pa.Table:
@@ -140,6 +112,41 @@ def deliver(
             }
         )
 
+    return one_batch
+
+
+def delivered_before(spark: SparkSession, progress: str) -> DataFrame:
+    """``(shard_id, batch_id)`` of the batches that some attempt under ``progress`` delivered."""
+    try:
+        seen = spark.read.schema(f"{OUTCOME}, attempt string").parquet(progress)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        seen = no_rows(spark, OUTCOME)
+    return seen.where("delivered").select(SHARD, BATCH).distinct()
+
+
+def deliver(
+    df: DataFrame,
+    send: Callable[[pa.Table], object],
+    options: SyncOptions,
+    *,
+    key: str,
+    progress: str | None = None,
+) -> DataFrame:
+    """Send every (shard, batch) of ``df`` and return one outcome row per batch.
+
+    ``df`` carries ``shard_id`` and ``batch_id``; ``send`` gets the other columns as
+    an Arrow table of at most ``batch_size`` rows and raises to signal failure. A key
+    column named ``_key`` is a helper and is not sent. ``left_over`` marks the batches
+    that were not sent, or not again, because the target is gone.
+
+    ``progress`` is a folder that outlives the attempt. Batches it knows as delivered are
+    neither sent nor returned; rows and numbering of ``df`` must be those of the first
+    attempt. The join that leaves them out is on the keys the rows are grouped by, so the
+    rows are shuffled once.
+    """
+    one_batch = _sender(send, options, key)
     if progress is None:
         return materialize(df.groupBy(SHARD, BATCH).applyInArrow(one_batch, OUTCOME), "delivery")
     spark = df.sparkSession
@@ -149,6 +156,54 @@ def deliver(
     return spark.read.schema(OUTCOME).parquet(path)
 
 
+def deliver_in_place(
+    df: DataFrame,
+    send: Callable[[pa.Table], object],
+    options: SyncOptions,
+    *,
+    key: str,
+    progress: str,
+) -> DataFrame:
+    """``deliver`` for rows as they lie in their partitions: ``batch_size`` rows each, in scan order, without a shuffle.
+
+    ``shard_id`` is then the number of the partition and ``batch_id`` that of the batch in it. A
+    later attempt sends what no earlier one delivered; its rows must lie as in the first, as those of
+    the same files read with the same settings do. Only then are rows shuffled, to leave batches out.
+    """
+    spark, place = df.sparkSession, F.monotonically_increasing_id()
+    # Fixed value: the id has the row's number in its partition in the lower 33 bits.
+    row = place.bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = df.withColumns(
+        {SHARD: F.shiftright(place, 33), BATCH: F.call_function("div", row, F.lit(options.batch_size).cast("bigint"))}
+    )
+    if not delivered_before(spark, progress).isEmpty():
+        return deliver(numbered, send, options, key=key, progress=progress)
+    one_batch = _sender(send, options, key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for rows in batches:
+            numbers = rows.column(BATCH).to_pylist()
+            first = 0
+            while first < rows.num_rows:
+                last = bisect.bisect_right(numbers, numbers[first])
+                if held and held[0].column(BATCH)[0].as_py() != numbers[first]:
+                    yield from outcome(held)
+                    held = []
+                held.append(rows.slice(first, last - first))
+                first = last
+        if held:
+            yield from outcome(held)
+
+    def outcome(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        return one_batch((table[SHARD][0], table[BATCH][0]), table).to_batches()
+
+    path = f"{progress.rstrip('/')}/attempt={uuid.uuid4().hex}"
+    numbered.mapInArrow(run, OUTCOME).write.options(**_AT_TASK_COMMIT).parquet(path)
+    return spark.read.schema(OUTCOME).parquet(path)
+
+
 def dead_letters(df: DataFrame, outcomes: DataFrame, task_id: str, run_id: str) -> DataFrame:
     """Rows of the batches that stayed undelivered, as JSON, all of them; left-over batches are not among them."""
     failed = outcomes.where(~F.col("delivered") & ~F.col("left_over")).select(SHARD, BATCH, F.col("error").alias("reason"))

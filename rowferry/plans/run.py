@@ -412,6 +412,7 @@ def _deliver_slices(
                 spec,
                 targets,
                 run_id=slice_id,
+                progress=f"{this.state_path}/progress/run_id={slice_id}",
                 done={target for n, target in intent.done if n == number},
                 on_done=partial(_target_done, this, intent, number, len(targets)),
             )

@@ -11,18 +11,21 @@ from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from rowferry.operators.delivery import call_with_retry
+from rowferry.operators.delivery import call_with_retry, deliver_in_place
 from rowferry.sinks import frames
 from rowferry.sources.jdbc import jdbc_options
 from rowferry.spec import SyncOptions, SyncSpec
-from rowferry.storage import control_rows
+from rowferry.storage import control_rows, new_folder
 
 Sink = Callable[[DataFrame, SyncSpec, Mapping[str, Any]], None]
 
 _sinks: dict[str, Sink] = {}
 _repeatable: dict[str, Callable[[Mapping[str, Any]], bool]] = {}
+_keep_progress: set[str] = set()
 
 # Config entries that steer the writer and are not passed on as options.
 _OWN = ("path", "index", "topic", "mode", "codec", "run_id")
@@ -37,6 +40,33 @@ def register_sink(
     _repeatable[name.strip().upper()] = repeatable
 
 
+def register_sender(name: str, make: Callable[[Mapping[str, Any]], Callable[[pa.Table], object]]) -> None:
+    """Register a target that takes Arrow tables: ``make(config)`` gives what sends one.
+
+    Rows are sent from the partitions they lie in, ``batch_size`` at a time. Each batch is retried
+    by itself with the options' count and waits; batches that a run delivered are passed over when
+    the run is finished later. A run keeps that record in its state folder.
+    """
+
+    def write(mapped: DataFrame, spec: SyncSpec, config: Mapping[str, Any]) -> None:
+        progress = config.get("progress") or new_folder(mapped.sparkSession, "progress")
+        own = {k: v for k, v in config.items() if k != "progress"}
+        outcomes = deliver_in_place(mapped, make(own), spec.options, key=spec.checkpoint.target, progress=progress)
+        totals = outcomes.agg(
+            F.count_if(~F.col("delivered")).alias("lost"), F.coalesce(F.sum("retries"), F.lit(0)).alias("retries"),
+            F.min(F.when(~F.col("delivered"), F.col("error"))).alias("error"),
+        ).first()
+        if totals["lost"]:
+            raise BatchesLost(f"{totals['lost']} batches were not taken: {totals['error']}")
+
+    register_sink(name, write)
+    _keep_progress.add(name.strip().upper())
+
+
+class BatchesLost(RuntimeError):
+    """Some batches stayed undelivered after their retries; the others have arrived and are on record."""
+
+
 def find_sink(name: str | None) -> Sink:
     """The sink of a target type, regardless of case; an unknown type is an error."""
     sink = _sinks.get((name or "").strip().upper())
@@ -198,6 +228,7 @@ def fan_out(
     options: SyncOptions | None = None,
     *,
     run_id: str | None = None,
+    progress: str | None = None,
     done: Collection[int] = (),
     on_done: Callable[[int], None] | None = None,
 ) -> list[TargetOutcome]:
@@ -217,6 +248,8 @@ def fan_out(
         config = dict(target.config)
         if run_id and target.kind.strip().upper() in ("PARQUET", "JSON"):
             config.setdefault("run_id", run_id)
+        if progress and target.kind.strip().upper() in _keep_progress:
+            config.setdefault("progress", f"{progress}/target={number}")
         knobs = options or spec.options
         if not _repeatable[target.kind.strip().upper()](config):
             knobs = replace(knobs, max_retries=0)

@@ -286,3 +286,22 @@ def test_batches_of_committed_tasks_outlive_a_job_that_dies(spark, tmp_path):
     rest = delivery.deliver(numbered(spark, 8), keep, FAST, key="id", progress=progress).collect()
     assert len(rest) == 30 - len(done)
     assert set(sent_files(folder)) == set(range(300))
+
+
+def test_batches_are_sent_from_their_partitions(spark, tmp_path):
+    rows = spark.range(0, 95, 1, 3).selectExpr("id", "concat('v', id) AS v")
+    folder, progress = tmp_path / "sent", str(tmp_path / "progress")
+    folder.mkdir()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # batches span what Spark hands over
+    try:
+        first = delivery.deliver_in_place(rows, keeping(folder, {1}), FAST, key="id", progress=progress).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(r["n_rows"] for r in first) == 95 and max(r["n_rows"] for r in first) == 10
+    assert len({r["shard_id"] for r in first}) == 3
+    assert any(r["left_over"] for r in first)
+    rest = delivery.deliver_in_place(rows, keeping(folder), FAST, key="id", progress=progress).collect()
+    assert sum(r["n_rows"] for r in rest) == sum(r["n_rows"] for r in first if not r["delivered"])
+    assert sent_files(folder) == list(range(95))
+    empty = delivery.deliver_in_place(rows.limit(0), keeping(folder), FAST, key="id", progress=str(tmp_path / "none"))
+    assert empty.count() == 0
