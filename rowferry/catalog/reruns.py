@@ -19,7 +19,7 @@ from rowferry.plans.run import SyncFailed, SyncTask, run, run_batches
 from rowferry.sinks.registry import Target, register_sender, register_sink
 from rowferry.spec import FieldSpec, SyncOptions, SyncSpec
 from rowferry.state.ledger import Ledger
-from rowferry.storage import new_folder
+from rowferry.storage import control_rows, new_folder
 from rowferry.streaming.incremental import read_target, sync_new_files
 
 _FIELDS = (FieldSpec("event_id", "Long", checkpoint=True, role="id"), FieldSpec("user_id", "Long"))
@@ -356,3 +356,18 @@ def run_task_batches_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = spark.read.schema(OUTCOME).parquet(f"{root}/state/progress/*/*/*").where("delivered")
     each = sent.groupBy(SHARD, BATCH).agg(F.count(F.lit(1)).alias("times"), F.sum("n_rows").alias("n"))
     return each.groupBy("times").agg(F.sum("n").alias("n_rows")).select(F.lit(status).alias("status"), "n_rows", "times")
+
+
+@query("SELECT unnest([1, 2, 3]) AS run, unnest([1, 1, 2]) AS config_lines, (SELECT count(*) FROM events) AS total")
+def run_task_config_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Config lines after a run, after the same again, and after one with another batch size and a new password."""
+    root, out = new_folder(spark, "configs"), None
+    for number, size in enumerate((500, 500, 600), 1):
+        spec = SyncSpec(fields=_FIELDS, options=SyncOptions(batch_size=size))
+        config = {"path": table_path(sf_dir, "events"), "password": f"no. {number}"}
+        task = _task(root, spec=spec, source_config=config)
+        total = run(spark, task, f"{root}/state", guard=False).first()["totalRecords"]
+        lines = Ledger(spark, f"{root}/state/ledger").read().where("kind = 'config'").count()
+        row = control_rows(spark, [{"run": number, "config_lines": lines, "total": total}], "run int, config_lines int, total bigint")
+        out = row if out is None else out.unionByName(row)
+    return out

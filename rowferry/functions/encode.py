@@ -46,6 +46,17 @@ def redact_url(value: Column) -> Column:
     return F.regexp_replace(out, r"([?&;][^=&;?#]+)=[^&;#]*", f"$1={MASK}")
 
 
+def redact_text(value: Column) -> Column:
+    """Mask secrets anywhere in a message: URLs, and values after a secret's name and ``=`` or ``:``.
+
+    The name may be part of a longer one or quoted (``db.password=x``, ``"apiKey": "x"``). A quoted value goes up to
+    its closing quote, any other up to a blank or one of ``, ; & ) ] }``; after ``Bearer`` or ``Basic`` the next word goes too.
+    """
+    name = r"""[\w.\-]*(?:password|passwd|pwd|passphrase|secret|token|jaas|credential|(?:api|access|private|account)[_\-]?key)[\w.\-]*"""
+    said = r"""(?:"[^"]*"|'[^']*'|(?:(?:bearer|basic)\s+)?[^\s,;&)\]}"']+)"""
+    return F.regexp_replace(redact_url(value), rf"""(?i)(\b{name}["']?\s*[=:]\s*){said}""", f"$1{MASK}")
+
+
 def redact_map(config: Column) -> Column:
     """Mask secrets in a map<string,string> of connection options."""
     return F.transform_values(

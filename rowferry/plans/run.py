@@ -227,7 +227,7 @@ def _recorded(spark: SparkSession, task: SyncTask, state_path: str, guard: bool,
     started = time.time()
     source = open_source(spark, task.source_type, task.spec, task.source_config)
     stats = _new_stats(task.spec, started)
-    ledger.append(control_rows(spark, [_config_line(task), _stats_line(task, stats)], LINE), now)
+    ledger.append(control_rows(spark, [_config_line(task), _stats_line(task, stats)], LINE), now, changed_only=True)
     run_id = f"{now:%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
     this = _Run(spark, task, state_path, log, stats, run_id, source, RunLog(spark, f"{state_path}/runs"))
     try:

@@ -52,10 +52,8 @@ def register_sender(name: str, make: Callable[[Mapping[str, Any]], Callable[[pa.
         progress = config.get("progress") or new_folder(mapped.sparkSession, "progress")
         own = {k: v for k, v in config.items() if k != "progress"}
         outcomes = deliver_in_place(mapped, make(own), spec.options, key=spec.checkpoint.target, progress=progress)
-        totals = outcomes.agg(
-            F.count_if(~F.col("delivered")).alias("lost"), F.coalesce(F.sum("retries"), F.lit(0)).alias("retries"),
-            F.min(F.when(~F.col("delivered"), F.col("error"))).alias("error"),
-        ).first()
+        lost = outcomes.where(~F.col("delivered"))
+        totals = lost.agg(F.count(F.lit(1)).alias("lost"), F.min("error").alias("error")).first()
         if totals["lost"]:
             raise BatchesLost(f"{totals['lost']} batches were not taken: {totals['error']}")
 

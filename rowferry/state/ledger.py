@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from rowferry.functions.encode import ledger_time, redact_map, redact_url
+from rowferry.functions.encode import ledger_time, redact_map, redact_text
 from rowferry.operators.records import first_failure, is_empty, is_empty_map, latest_per_key
 from rowferry.storage import no_rows
 
@@ -77,7 +77,7 @@ def as_lines(df: DataFrame, values: Mapping[str, Column], stats: Mapping[str, Co
 def redacted(lines: DataFrame) -> DataFrame:
     """Lines with the secrets of both connection configs and of error texts masked."""
     stats = F.col("syncStats")
-    failures = F.transform(stats["failedBatches"], redact_url)
+    failures = F.transform(stats["failedBatches"], redact_text)
     return lines.withColumns(
         {
             "sourceConfig": redact_map(F.col("sourceConfig")),
@@ -158,16 +158,24 @@ class Ledger:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def append(self, lines: DataFrame, at: datetime | None = None, *, many: bool = False) -> None:
+    def append(
+        self, lines: DataFrame, at: datetime | None = None, *, many: bool = False, changed_only: bool = False
+    ) -> None:
         """Add lines, masked, recorded ``at`` a time or at their own ``recordedAt``. Lines that may
         not be stored go to a kind of their own, with the reason.
 
         ``many`` rebalances them first, so that a day is a few files and a long day
-        more than one task.
+        more than one task. ``changed_only`` leaves out config lines that say, once masked,
+        what the newest one of their task says.
         """
         if at is not None:
             lines = lines.withColumn("recordedAt", F.lit(at.strftime(RECORDED_PY)))
         masked = redacted(checked(lines))
+        if changed_only:
+            said = [F.col(c) for c in T.StructType.fromDDL(LINE).names if c != "recordedAt"]
+            body = F.to_json(F.struct(*said))
+            known = self.tasks().select("taskId", body.alias("_body"))
+            masked = masked.withColumn("_body", body).join(known, ["taskId", "_body"], "left_anti").drop("_body")
         when = F.to_timestamp_ntz("recordedAt", F.lit(RECORDED))
         placed = masked.select(
             *T.StructType.fromDDL(LINE).names,

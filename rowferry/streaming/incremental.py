@@ -1,12 +1,14 @@
 """Incremental sync of file tables with Structured Streaming.
 
-Each run takes the files that arrived since the last one, writes them and stops.
-The stream's own checkpoint is the resume point; every micro-batch owns one
-``stream_id``/``batch_id`` partition of the target and replaces it, and nothing else,
-when it is replayed. Beside the target, ``<target>_files`` records which files which
-batch delivered, so a stream that starts over under a new checkpoint passes over
-them. The record is written after the rows: only a stream that loses its checkpoint
-between the two delivers those files again.
+Each run takes the files that arrived since the last one, writes them and stops. The
+stream's own checkpoint is the resume point. An attempt at a micro-batch writes its rows
+to a partition of its own, ``stream_id``/``batch_id``/``attempt``; then one small file
+beside the target, in ``<target>_files``, commits it: it lists the files whose rows the
+attempt holds. Readers take committed attempts alone, so rows and record become visible
+together. A stream that dies between the two, with or without its checkpoint, leaves rows
+that nobody reads and delivers the files again. A batch that is committed is not written
+again, and files that another batch committed are passed over, so a stream that starts
+over under a new checkpoint repeats nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from pyspark.sql.utils import AnalysisException
 from rowferry.storage import no_rows
 
 FILE = "_file"
-FILES = f"{FILE} string, stream_id string, batch_id bigint"
+OWN = ["stream_id", "batch_id", "attempt"]
+FILES = f"{FILE} string, stream_id string, batch_id bigint, attempt string"
 
 
 def _pattern(path: str) -> str:
@@ -49,32 +52,35 @@ def files_path(target: str) -> str:
     return f"{target.rstrip('/')}_files"
 
 
-def _own_partition(rows: DataFrame, stream_id: str, batch_id: int, path: str) -> None:
-    """Write rows as the batch's partition, in place of what it held."""
-    rows.withColumns({"stream_id": F.lit(stream_id), "batch_id": F.lit(batch_id).cast("bigint")}).write.mode(
-        "overwrite"
-    ).option("partitionOverwriteMode", "dynamic").partitionBy("stream_id", "batch_id").parquet(path)
-
-
 def write_batch(
-    path: str, stream_id: Callable[[], str], transform: Callable[[DataFrame], DataFrame] = lambda rows: rows
+    path: str,
+    stream_id: Callable[[], str],
+    transform: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    before_commit: Callable[[int], None] = lambda batch_id: None,
 ) -> Callable[[DataFrame, int], None]:
     """Sink for ``foreachBatch``: the batch's files, less those another batch delivered.
 
     Rows carry their file in ``_file``. Usually no file was seen before and the rows are
-    written as they come, without a join.
+    written as they come, without a join. ``before_commit`` is called between rows and record.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, own = batch.sparkSession, stream_id()
-        others = _recorded_files(spark, path).where(
-            (F.col("stream_id") != own) | (F.col("batch_id") != F.lit(batch_id))
-        )
+        record = _recorded_files(spark, path)
+        mine = (F.col("stream_id") == own) & (F.col("batch_id") == F.lit(batch_id))
+        if not record.where(mine).isEmpty():
+            return
         files = batch.select(FILE).distinct()
-        known = files.join(others.select(FILE), FILE, "left_semi")
+        known = files.join(record.select(FILE), FILE, "left_semi")
         rows = batch if known.isEmpty() else batch.join(known, FILE, "left_anti")
-        _own_partition(transform(rows.drop(FILE)), own, batch_id, path)
-        _own_partition(files.join(others.select(FILE), FILE, "left_anti"), own, batch_id, files_path(path))
+        # The letter keeps the id text when the folder's name is read.
+        attempt = f"a{uuid.uuid4().hex}"
+        place = {"stream_id": F.lit(own), "batch_id": F.lit(batch_id).cast("bigint"), "attempt": F.lit(attempt)}
+        transform(rows.drop(FILE)).withColumns(place).write.mode("append").partitionBy(*OWN).parquet(path)
+        before_commit(batch_id)
+        # One file, so that the record is there as a whole or not at all; one row per new file.
+        new = files.join(record.select(FILE), FILE, "left_anti").withColumns(place)
+        new.coalesce(1).write.mode("append").parquet(files_path(path))
 
     return write
 
@@ -90,10 +96,12 @@ def sync_new_files(
     fmt: str = "parquet",
     max_files: int | None = None,
     timeout_seconds: int | None = None,
+    before_commit: Callable[[int], None] = lambda batch_id: None,
 ) -> None:
     """Deliver the files of ``source`` that neither ``checkpoint`` nor the target has seen, then stop.
 
-    ``transform`` works on the rows of one micro-batch.
+    ``transform`` works on the rows of one micro-batch; ``before_commit`` hears of each
+    batch whose rows are written and not yet visible.
     """
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files is not None:
@@ -107,7 +115,7 @@ def sync_new_files(
 
     query = (
         rows.writeStream.queryName(name)
-        .foreachBatch(write_batch(target, stream_id, transform))
+        .foreachBatch(write_batch(target, stream_id, transform, before_commit))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -121,5 +129,10 @@ def sync_new_files(
 
 
 def read_target(spark: SparkSession, path: str) -> DataFrame:
-    """Rows the streams have delivered, without the batch columns."""
-    return spark.read.parquet(path).drop("stream_id", "batch_id")
+    """Rows of committed micro-batches, without the columns that name them; an unfinished target may be empty.
+
+    The record names partitions, so what no batch committed is not even opened where Spark prunes by the join.
+    """
+    committed = _recorded_files(spark, path).select(*OWN).distinct()
+    rows = spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("bigint"))
+    return rows.join(committed, OWN, "left_semi").drop(*OWN)

@@ -14,7 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from rowferry import FieldSpec, SyncOptions, SyncSpec, SyncTask, Target, register_sink, run, run_batches
 from rowferry.functions import sizing
-from rowferry.functions.encode import redact_url
+from rowferry.functions.encode import redact_text, redact_url
 from rowferry.operators.counters import shard_tallies
 from rowferry.operators.mapping import map_columns
 from rowferry.operators.resume import ResumePoint, resume_filter
@@ -295,6 +295,25 @@ def test_python_data_source(spark):
     assert map_columns(df, SPEC).agg(F.sum("v")).first()[0] == 180
 
 
+@pytest.mark.parametrize(
+    ("text", "masked"),
+    [
+        ("login failed: password=hunter2", "login failed: password=***"),
+        ("db.password = hunter2, user=me", "db.password = ***, user=me"),
+        ('{"apiKey": "a b c", "n": 1}', '{"apiKey": ***, "n": 1}'),
+        ("secret_token: x;y", "secret_token: ***;y"),
+        ("Authorization token: Bearer abc.def ok", "Authorization token: *** ok"),
+        ("jdbc:x://me:pw@host/db failed, pwd='a b'", "jdbc:x://***@host/db failed, pwd=***"),
+        ("passwords were refused", "passwords were refused"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_secrets_in_messages_are_masked(spark, text, masked):
+    found = spark.createDataFrame([(text,)], "t string").select(redact_text(F.col("t"))).first()[0]
+    assert found == masked
+
+
 def test_stream_two_drops_and_replay(spark, tmp_path):
     source, target = tmp_path / "drops", str(tmp_path / "target")
     spec = SyncSpec(fields=(FieldSpec("id", "Long", checkpoint=True), FieldSpec("text")))
