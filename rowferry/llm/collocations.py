@@ -230,24 +230,28 @@ def _cut(text: bytes) -> tuple[bytes, bytes]:
     return text[:end], text[end:]
 
 
-def _counter(sizes: tuple[int, ...], below: Broadcast | None) -> Callable:
+def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First fingerprints of single words with their counts in a block."""
+    for block in _blocks(batches):
+        prints, counts = np.unique(block.runs(block.places(1), 1).astype(np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(prints), pa.array(counts)], ["print", "n"])
+
+
+def _counter(inside: int, sizes: tuple[int, ...], below: Broadcast) -> Callable:
     """Fingerprints of the runs of some sizes with their counts in a block and a pointer.
 
-    With a filter of the frequent runs of one word less than the smallest size, a run is left out if one of those
-    inside it is not in it.
+    A run is left out if one of the runs of ``inside`` words in it, or it itself, is not in the filter of frequent ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = Filter(below.value) if below else None
+        frequent = Filter(below.value)
         for block in _blocks(batches):
-            inside = min(sizes) - 1
             known = np.zeros(len(block.words), bool)
-            if frequent:
-                at = block.places(inside)
-                known[at] = frequent.has(block.runs(at, inside))
+            at = block.places(inside)
+            known[at] = frequent.has(block.runs(at, inside))
             for size in sizes:
                 at = block.places(size)
-                for shift in range(size - inside + 1) if frequent else ():
+                for shift in range(size - inside + 1):
                     at = at[known[at + shift]]
                 found = block.counted(at, size)
                 for first in range(0, len(found[0]), 100_000):
@@ -293,20 +297,21 @@ def frequent_phrases(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
     ``docs`` needs ``text`` and ``lang``; a null language is ``und``. Texts are cut into pieces at ``. , ; : ! ?``
     and line breaks, pieces into words at blanks and tabs; A to Z are lower-cased. No run crosses a
     piece. Null and empty texts have no words; repeated rows count each time. Passes over the
-    texts: words, pairs of frequent words, runs of frequent pairs, then texts, one pass for every ``WRITTEN``
+    texts: words, frequent words and pairs of them, runs of frequent pairs, then texts, one pass for every ``WRITTEN``
     frequent runs. Between them only filters of 16 MB go to the driver and to the workers; in a larger
     corpus those of the first passes let more runs through, which costs time but changes no row.
     """
     rows = small_batches(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text"))
 
-    def counted(sizes: tuple[int, ...], below: DataFrame | None) -> DataFrame:
-        runs = rows.mapInArrow(tidy(_counter(sizes, below and filter_of(below, F.col("print")))), COUNTED)
+    def counted(inside: int, sizes: tuple[int, ...], below: DataFrame) -> DataFrame:
+        runs = rows.mapInArrow(tidy(_counter(inside, sizes, filter_of(below, F.col("print")))), COUNTED)
         totals = runs.groupBy("print", "check").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
         return materialize(totals.where(F.col("n") >= fewest), "phrases")
 
-    words = counted((1,), None)
-    pairs = counted((2,), words)
-    every = words.union(pairs).union(counted(tuple(range(3, LONGEST + 1)), pairs))
+    words = rows.mapInArrow(tidy(_word_counter), "print long, n long").groupBy("print").agg(F.sum("n").alias("n"))
+    words = materialize(words.where(F.col("n") >= fewest).select("print"), "phrases")
+    short = counted(1, (1, 2), words)
+    every = short.union(counted(2, tuple(range(3, LONGEST + 1)), short))
     passes = max(1, -(-every.count() // WRITTEN))
     written = []
     for number in range(passes):
