@@ -297,8 +297,8 @@ def frequent_phrases(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
     ``docs`` needs ``text`` and ``lang``; a null language is ``und``. Texts are cut into pieces at ``. , ; : ! ?``
     and line breaks, pieces into words at blanks and tabs; A to Z are lower-cased. No run crosses a
     piece. Null and empty texts have no words; repeated rows count each time. Passes over the
-    texts: words, frequent words and pairs of them, runs of frequent pairs, then texts, one pass for every ``WRITTEN``
-    frequent runs. Between them only filters of 16 MB go to the driver and to the workers; in a larger
+    texts: words, frequent words and pairs of them, three words of frequent pairs, longer runs whose every three
+    words are frequent, then texts, one pass for every ``WRITTEN`` frequent runs. Between them only filters of 16 MB go to the driver and to the workers; in a larger
     corpus those of the first passes let more runs through, which costs time but changes no row.
     """
     rows = small_batches(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text"))
@@ -311,7 +311,8 @@ def frequent_phrases(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
     words = rows.mapInArrow(tidy(_word_counter), "print long, n long").groupBy("print").agg(F.sum("n").alias("n"))
     words = materialize(words.where(F.col("n") >= fewest).select("print"), "phrases")
     short = counted(1, (1, 2), words)
-    every = short.union(counted(2, tuple(range(3, LONGEST + 1)), short))
+    three = counted(2, (3,), short)
+    every = short.union(three).union(counted(3, tuple(range(4, LONGEST + 1)), three))
     passes = max(1, -(-every.count() // WRITTEN))
     written = []
     for number in range(passes):
