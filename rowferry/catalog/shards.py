@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from rowferry.catalog.registry import query, table
 from rowferry.operators.batches import assign_batches, batch_manifest
+from rowferry.operators.ranges import bins_of, even_cuts
 from rowferry.operators.resume import resume_filter, resume_point
 from rowferry.operators.sharding import SHARD, key_order, max_key_per_shard, one_shard, stride_of, with_shards
+from rowferry.sources.jdbc import range_predicates
 from rowferry.state import checkpoints
 from rowferry.storage import new_folder
 
@@ -52,6 +54,20 @@ def shard_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.withColumn("range_id", stride_of("o_orderkey", low, high, 24))
 
 
+@query("SELECT l_orderkey * l_orderkey AS k, l_linenumber, true AS even FROM lineitem")
+def shard_ranges_uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 ranges over keys that lie ever farther apart: each row is in one, and none has twice the mean."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    rows = lineitem.select((F.col("l_orderkey") * F.col("l_orderkey")).alias("k"), "l_linenumber")
+    low, high, total = rows.agg(F.min("k"), F.max("k"), F.count("k")).first()
+    cuts = even_cuts(low, high, total, 24, bins_of(rows, "k", low, high)) if total else []
+    scans = [F.when(F.expr(p), F.lit(n)) for n, p in enumerate(range_predicates("k", cuts, "jdbc:mysql:"))]
+    # A row that two ranges want is shown twice, one that none wants not at all.
+    held = rows.withColumn("range_id", F.explode(F.array_compact(F.array(*scans))))
+    sizes = held.groupBy("range_id").agg((F.count(F.lit(1)) * 24 < 2 * total).alias("even"))
+    return held.join(F.broadcast(sizes), "range_id").select("k", "l_linenumber", "even")
+
+
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def shard_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scans of single shards together are the source."""

@@ -12,7 +12,7 @@ from functools import partial
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rowferry.functions import sizing
@@ -402,8 +402,10 @@ def _deliver_slices(
         if mode == "lenient":
             good, bad = split_bad_rows(part, spec, rules=rules)
             folder = f"{this.state_path}/dead_letters/run_id={slice_id}"
-            bad.withColumn("task_id", F.lit(task.task_id)).write.mode("overwrite").parquet(folder)
-            set_aside = this.spark.read.schema(bad.schema).parquet(folder).count()
+            seen = Observation()
+            bad = bad.withColumn("task_id", F.lit(task.task_id)).observe(seen, F.count(F.lit(1)).alias("rows"))
+            bad.write.mode("overwrite").parquet(folder)
+            set_aside = seen.get["rows"]
         else:
             good = map_columns(part, spec, rules=rules)
         with staged(good, "stage") if stage else nullcontext(good) as rows:

@@ -64,6 +64,23 @@ def max_key_query(table: str, key: str, shards: int, url: str = "") -> str:
     return f"SELECT {shard} AS shard_id, MAX({k}) AS max_key FROM {table} GROUP BY {shard}"
 
 
+def bins_query(
+    table: str, key: str, low: int, width: int, parent: int = 0, parents: Sequence[int] = (), url: str = ""
+) -> str:
+    """Rows per bin of the key, a bin being named by its start's distance from ``low``.
+
+    With ``parents`` only keys whose bin of width ``parent`` is among them are counted. Remainders
+    instead of divisions, which databases round in different ways; lists in parts of 1,000 entries.
+    """
+    k = quoted(key, url)
+    place = f"({k} - ({low}))"
+    start, above = (f"({place} - {modulo(place, w, url)})" for w in (width, parent or width))
+    lists = [parents[i : i + 1_000] for i in range(0, len(parents), 1_000)]
+    among = " OR ".join(f"{above} IN ({', '.join(map(str, part))})" for part in lists)
+    where = f"{k} IS NOT NULL" + (f" AND ({among})" if among else "")
+    return f"SELECT {start} AS bin_start, COUNT(*) AS n_rows FROM {table} WHERE {where} GROUP BY {start}"
+
+
 def column_name(df: DataFrame, name: str) -> str:
     """The column's own spelling; names match without regard to case."""
     return next((c for c in df.columns if c.lower() == name.lower()), name)

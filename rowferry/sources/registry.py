@@ -4,11 +4,12 @@ Python ``DataSource`` classes are registered with Spark and read by their own na
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rowferry.operators.ranges import even_cuts, ranges_for
 from rowferry.sources import jdbc
 from rowferry.sources.files import read_files
 from rowferry.spec import SyncSpec
@@ -17,7 +18,6 @@ Source = Callable[[SparkSession, SyncSpec, Mapping[str, Any]], DataFrame]
 
 # Database kinds all read through JDBC.
 DATABASES = ("jdbc", "mysql", "postgresql", "oracle", "sqlserver")
-DEFAULT_PARTITIONS = 64
 FILES = ("parquet", "json", "csv", "orc")
 
 _sources: dict[str, Source] = {}
@@ -43,21 +43,35 @@ def open_source(spark: SparkSession, kind: str, spec: SyncSpec, config: Mapping[
 
 
 def _database(spark: SparkSession, spec: SyncSpec, config: Mapping[str, Any]) -> DataFrame:
-    """Range-strided scan over the key. ``partitions`` sets the number of ranges (one
-    connection each); ``shards`` asks for modulo shards instead."""
+    """Scan in key ranges of about equal row counts, as many as the number of rows asks for.
+
+    The database counts; ranges with too many rows are counted again in smaller steps.
+    ``partitions`` asks for so many even strides without counting, ``shards`` for modulo shards.
+    """
     config, table = dict(config), spec.source_table
-    partitions, shards = int(config.pop("partitions", DEFAULT_PARTITIONS)), int(config.pop("shards", 0))
+    partitions, shards = int(config.pop("partitions", 0)), int(config.pop("shards", 0))
     options = jdbc.jdbc_options(config, table, fetch_size=spec.options.batch_size)
     whole, url = jdbc.read_table(spark, options), options["url"]
     key = jdbc.column_name(whole, spec.checkpoint.source)
     if shards:
         return jdbc.read_shards(spark, options, jdbc.mod_predicates(key, shards, url=url))
-    if partitions <= 1:
+    if partitions == 1:
         return whole
-    _, low, high, _ = jdbc.query(spark, options, jdbc.bounds_query(table, key, url)).first()
+    _, low, high, keys = jdbc.query(spark, options, jdbc.bounds_query(table, key, url)).first()
     if low is None:
         return whole
-    return jdbc.read_ranges(spark, options, key, int(low), int(high), partitions)
+    low, high, keys = int(low), int(high), int(keys)
+    if partitions:
+        return jdbc.read_ranges(spark, options, key, low, high, partitions)
+    if ranges_for(keys) == 1:
+        return whole
+
+    def count(width: int, parent: int, parents: Sequence[int]) -> list[tuple[int, int]]:
+        rows = jdbc.query(spark, options, jdbc.bins_query(table, key, low, width, parent, parents, url)).collect()
+        return [(int(start), int(n)) for start, n in rows]
+
+    cuts = even_cuts(low, high, keys, ranges_for(keys), count)
+    return jdbc.read_shards(spark, options, jdbc.range_predicates(key, cuts, url=url))
 
 
 def known_counts(
