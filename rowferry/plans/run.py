@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Collection, Iterator, Mapping, Sequence
 from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
@@ -14,6 +14,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from rowferry.functions import sizing
 from rowferry.functions.convert import DEFAULT_RULES, Rules
@@ -25,13 +26,14 @@ from rowferry.operators.mapping import map_columns, split_bad_rows
 from rowferry.operators.records import capped
 from rowferry.operators.resume import ResumePoint, resume_filter, resume_point, uneven_shards
 from rowferry.operators.sharding import SHARD, with_shards
+from rowferry.operators.surplus import COUNTS, row_counts, surplus
 from rowferry.sinks.registry import Target, fan_out, find_sink
 from rowferry.sources.registry import DATABASES, known_counts, open_source
 from rowferry.spec import OPTION_NAMES, SpecError, SyncOptions, SyncSpec, is_index_type
 from rowferry.state.checkpoints import CheckpointLog
 from rowferry.state.ledger import LINE, Ledger
 from rowferry.state.runs import Intent, RunLog, Slice
-from rowferry.storage import control_rows, staged
+from rowferry.storage import control_rows, no_rows, staged
 
 # What a task request must bring, and what is said when it does not.
 REQUIRED = (
@@ -202,6 +204,7 @@ class _Run:
     runs: RunLog
     counts: Counts | None = None
     late: int = 0
+    unnoted: bool = False  # whether rows without a key may have been delivered by a version that did not note them
     lost_shards: set[int] = field(default_factory=set)
     result: DataFrame | None = None
 
@@ -293,8 +296,8 @@ def _pending(this: _Run, filter_key: Column | None, slices: int) -> _Pending:
     """What an earlier run left unfinished, under its id and bounds; else everything past the
     checkpoints up to the largest key known, as a new run.
 
-    Rows without a key belong to the first run of a task. Later ones cannot be told from
-    those; they are counted and reported, not delivered.
+    Rows without a key belong to the first run of a task; later ones have deliveries of
+    their own (``_late_rows``).
     """
     task, counts = this.task, this.counts
     key = task.spec.checkpoint.source
@@ -315,6 +318,7 @@ def _pending(this: _Run, filter_key: Column | None, slices: int) -> _Pending:
         nulls = counts.nulls if with_nulls else earlier.nulls if earlier else 0
         cuts = _slices(rows, key, counts.high, slices)
         intent, first = Intent(this.run_id, counts.high, cuts, shards, nulls, with_nulls), 0
+    this.unnoted = not with_nulls and (earlier is None or intent.nulls > 0)
     this.late = max(0, counts.nulls - intent.nulls)
     pending = _Pending(intent.shards, point, rows, intent, first, again, _per_slice(rows, key, filter_key, intent))
     this.stats["shardCount"] = intent.shards
@@ -338,6 +342,70 @@ def _per_slice(
     return {r[SHARD]: r.asDict() for r in shard_counters(labelled, F.col("_f")).collect()}
 
 
+def _keyless_path(this: _Run) -> str:
+    return f"{this.state_path}/keyless"
+
+
+def _note_keyless(this: _Run, rows: DataFrame, run_id: str) -> None:
+    """How often each of these rows without a key occurs: they count as delivered from here on."""
+    counts = row_counts(rows).withColumn("task_id", F.lit(this.task.task_id))
+    counts.write.mode("overwrite").parquet(f"{_keyless_path(this)}/counts/run_id={run_id}")
+
+
+def _keyless_counts(this: _Run) -> DataFrame:
+    try:
+        noted = this.spark.read.schema(f"{COUNTS}, task_id string, run_id string").parquet(f"{_keyless_path(this)}/counts")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        noted = no_rows(this.spark, f"{COUNTS}, task_id string")
+    return noted.where(F.col("task_id") == this.task.task_id)
+
+
+def _late_rows(this: _Run) -> Iterator[tuple[str, DataFrame, frozenset[int]]]:
+    """Deliveries of rows without a key that came after the first run: id, rows, targets that have them.
+
+    New are rows beyond what was noted, by content and number. They are set down in a table, so that a
+    run that dies is finished with the same rows under the same id, and noted once all targets have them.
+    """
+    task, folder = this.task, f"{_keyless_path(this)}/rows"
+
+    def deliveries(open_ids: Mapping[str, frozenset[int]]) -> Iterator[tuple[str, DataFrame, frozenset[int]]]:
+        for run_id, done in open_ids.items():
+            rows = this.spark.read.schema(this.source.schema).parquet(f"{folder}/run_id={run_id}")
+            yield run_id, rows, done
+            _note_keyless(this, rows, run_id)
+            this.runs.late_done(task.task_id, run_id)
+
+    yield from deliveries(this.runs.late_open(task.task_id))
+    if not this.counts.nulls:
+        return
+    noted = _keyless_counts(this)
+    if this.unnoted and noted.isEmpty():
+        # An earlier version delivered rows without a key and noted nothing: which ones are new is unknown.
+        if this.late:
+            this.stats["status"] = "PARTIAL"
+            this.stats["failedBatches"] += [
+                f"{this.late} rows without a key came after the first run and were not delivered"
+            ]
+        return
+    run_id = f"{this.run_id}-late"
+    key = F.col(f"`{task.spec.checkpoint.source}`").cast("bigint")
+    new = surplus(this.source.where(key.isNull()), noted)
+    new.write.mode("overwrite").parquet(f"{folder}/run_id={run_id}")
+    if not this.spark.read.schema(new.schema).parquet(f"{folder}/run_id={run_id}").isEmpty():
+        this.runs.late_begin(task.task_id, run_id)
+        yield from deliveries({run_id: frozenset()})
+
+
+def _count_late(this: _Run, rows: DataFrame, filter_key: Column | None) -> int:
+    """Add the rows of a late delivery to the statistics; the number of those that pass the filter."""
+    counts = _per_slice(rows, this.task.spec.checkpoint.source, filter_key, Intent("", None, ((None, None),), 1))
+    this.stats["scannedRecords"] += sum(r["scanned_records"] for r in counts.values())
+    this.stats["filteredRecords"] += sum(r["filtered_records"] for r in counts.values())
+    return sum(r["processed_records"] for r in counts.values())
+
+
 def _each_pending(this: _Run, filter_key: Column | None, slices: int) -> Iterator[_Pending]:
     """What an earlier run left, if it did, then what is new."""
     while this.counts.total:
@@ -346,11 +414,6 @@ def _each_pending(this: _Run, filter_key: Column | None, slices: int) -> Iterato
         this.stats["completedShards"] = pending.shards
         if not pending.again:
             break
-    if this.late:
-        this.stats["status"] = "PARTIAL"
-        this.stats["failedBatches"] += [
-            f"{this.late} rows without a key came after the first run and were not delivered"
-        ]
 
 
 def run(
@@ -381,6 +444,11 @@ def run(
             stage = len(task.targets()) > 1 and _from_database(task)
         for pending in _each_pending(this, filter_key, slices):
             _deliver_slices(this, pending, filter_key, mode, rules, stage)
+        for late_id, rows, done in _late_rows(this):
+            kept = _count_late(this, rows, filter_key)
+            on_done = partial(this.runs.target_done, task.task_id, late_id, 0)
+            set_aside = _write(this, keep_rows(rows, filter_key), late_id, mode, rules, stage, this.stats["shardCount"], done, on_done)
+            this.stats["processedRecords"] += kept - set_aside
     return this.result
 
 
@@ -394,40 +462,54 @@ def _deliver_slices(
     """Write what is pending, slice by slice, and note how far every shard got."""
     if not pending.per_slice and not pending.again:
         return
-    task, spec, stats, intent = this.task, this.task.spec, this.stats, pending.intent
-    targets = task.targets()
+    task, stats, intent = this.task, this.stats, pending.intent
+    key = task.spec.checkpoint.source
     for number in pending.left():
-        part = keep_rows(_in_slice(pending.rows, spec.checkpoint.source, intent.slices[number]), filter_key)
-        slice_id, set_aside = intent.slice_id(number), 0
-        if mode == "lenient":
-            good, bad = split_bad_rows(part, spec, rules=rules)
-            folder = f"{this.state_path}/dead_letters/run_id={slice_id}"
-            seen = Observation()
-            bad = bad.withColumn("task_id", F.lit(task.task_id)).observe(seen, F.count(F.lit(1)).alias("rows"))
-            bad.write.mode("overwrite").parquet(folder)
-            set_aside = seen.get["rows"]
-        else:
-            good = map_columns(part, spec, rules=rules)
-        with staged(good, "stage") if stage else nullcontext(good) as rows:
-            outcomes = fan_out(
-                rows,
-                spec,
-                targets,
-                run_id=slice_id,
-                progress=f"{this.state_path}/progress/run_id={slice_id}",
-                done={target for n, target in intent.done if n == number},
-                on_done=partial(_target_done, this, intent, number, len(targets)),
-            )
-        stats["retryCount"] += sum(o.attempts - 1 for o in outcomes)
-        failed = [o for o in outcomes if not o.delivered]
-        if failed:
-            stats["failedShards"] = pending.shards
-            stats["failedBatches"] = [f"{slice_id}: {o.name}: {o.error}" for o in failed]
-            raise SyncFailed(failed[0].error)
+        rows = _in_slice(pending.rows, key, intent.slices[number])
+        slice_id = intent.slice_id(number)
+        if intent.with_nulls and number == 0 and intent.nulls:
+            _note_keyless(this, pending.rows.where(F.col(f"`{key}`").cast("bigint").isNull()), slice_id)
+        done = {target for n, target in intent.done if n == number}
+        on_done = partial(_target_done, this, intent, number, len(task.targets()))
+        set_aside = _write(this, keep_rows(rows, filter_key), slice_id, mode, rules, stage, pending.shards, done, on_done)
         this.log.save(task.task_id, pending.shards, pending.reached(number), slice_id, datetime.now())
         stats["processedRecords"] += pending.per_slice.get(number, {}).get("processed_records", 0) - set_aside
 
 
+def _write(
+    this: _Run,
+    part: DataFrame,
+    run_id: str,
+    mode: str,
+    rules: Rules,
+    stage: bool,
+    shards: int,
+    done: Collection[int],
+    on_done: Callable[[int], None],
+) -> int:
+    """Map rows and write them to every target that does not have them; how many were set aside."""
+    task, spec, stats, set_aside = this.task, this.task.spec, this.stats, 0
+    if mode == "lenient":
+        good, bad = split_bad_rows(part, spec, rules=rules)
+        folder = f"{this.state_path}/dead_letters/run_id={run_id}"
+        seen = Observation()
+        bad = bad.withColumn("task_id", F.lit(task.task_id)).observe(seen, F.count(F.lit(1)).alias("rows"))
+        bad.write.mode("overwrite").parquet(folder)
+        set_aside = seen.get["rows"]
+    else:
+        good = map_columns(part, spec, rules=rules)
+    with staged(good, "stage") if stage else nullcontext(good) as rows:
+        progress = f"{this.state_path}/progress/run_id={run_id}"
+        outcomes = fan_out(rows, spec, task.targets(), run_id=run_id, progress=progress, done=done, on_done=on_done)
+    stats["retryCount"] += sum(o.attempts - 1 for o in outcomes)
+    failed = [o for o in outcomes if not o.delivered]
+    if failed:
+        stats["failedShards"] = shards
+        stats["failedBatches"] = [f"{run_id}: {o.name}: {o.error}" for o in failed]
+        raise SyncFailed(failed[0].error)
+    return set_aside
+
+
 def _target_done(this: _Run, intent: Intent, number: int, targets: int, target: int) -> None:
     """Note a target's rows; after the last target the checkpoint says it."""
     if target < targets - 1:
@@ -460,6 +542,9 @@ def run_batches(
     with _recorded(spark, task, state_path, guard, now) as this:
         for pending in _each_pending(this, filter_key, slices):
             _deliver_batches(this, pending, send, filter_key, rules)
+        for late_id, rows, _ in _late_rows(this):
+            kept = _count_late(this, rows, filter_key)
+            _send(this, keep_rows(rows, filter_key), send, late_id, max(1, this.stats["shardCount"]), kept, rules)
         if this.lost_shards:
             this.stats["failedShards"] = len(this.lost_shards)
             this.stats["completedShards"] = this.stats["shardCount"] - len(this.lost_shards)
@@ -470,28 +555,38 @@ def run_batches(
 def _deliver_batches(
     this: _Run, pending: _Pending, send: Callable[[pa.Table], object], filter_key: Column | None, rules: Rules
 ) -> None:
-    task, spec = this.task, this.task.spec
-    key = F.col(f"`{spec.checkpoint.source}`").cast("bigint")
+    task, intent = this.task, pending.intent
+    key = task.spec.checkpoint.source
     for number in pending.left() if pending.per_slice or pending.again else ():
-        part = _in_slice(pending.rows, spec.checkpoint.source, pending.intent.slices[number])
-        kept = keep_rows(part, filter_key).withColumn(KEY, key)
-        mapped = map_columns(with_shards(kept, KEY, pending.shards), spec, keep=(SHARD, KEY), rules=rules)
+        part = _in_slice(pending.rows, key, intent.slices[number])
+        slice_id = intent.slice_id(number)
+        if intent.with_nulls and number == 0 and intent.nulls:
+            _note_keyless(this, pending.rows.where(F.col(f"`{key}`").cast("bigint").isNull()), slice_id)
         expected = pending.per_slice.get(number, {}).get("processed_records", 0)
-        rows = assign_batches(mapped, KEY, spec.options.batch_size, rows=expected)
-        slice_id = pending.intent.slice_id(number)
-        with staged(rows, "batches") if _from_database(task) else nullcontext(rows) as batches:
-            progress = f"{this.state_path}/progress/run_id={slice_id}"
-            outcomes = delivery.deliver(batches, send, spec.options, key=KEY, progress=progress)
-            left = _count_batches(this, outcomes)
-            if this.lost_shards:
-                folder = f"{this.state_path}/dead_letters/run_id={slice_id}"
-                dead = delivery.dead_letters(batches, outcomes, task.task_id, slice_id)
-                dead.drop("run_id").write.mode("overwrite").parquet(folder)
-        if left:
-            raise SyncFailed(f"the target is gone; {left} batches are left for the next run")
+        _send(this, keep_rows(part, filter_key), send, slice_id, pending.shards, expected, rules)
         this.log.save(task.task_id, pending.shards, pending.reached(number), slice_id, datetime.now())
 
 
+def _send(
+    this: _Run, part: DataFrame, send: Callable[[pa.Table], object], run_id: str, shards: int, expected: int, rules: Rules
+) -> None:
+    """Send rows batch by batch and keep those of lost batches; a target that is gone ends the run."""
+    task, spec = this.task, this.task.spec
+    kept = part.withColumn(KEY, F.col(f"`{spec.checkpoint.source}`").cast("bigint"))
+    mapped = map_columns(with_shards(kept, KEY, shards), spec, keep=(SHARD, KEY), rules=rules)
+    rows = assign_batches(mapped, KEY, spec.options.batch_size, rows=expected)
+    with staged(rows, "batches") if _from_database(task) else nullcontext(rows) as batches:
+        progress = f"{this.state_path}/progress/run_id={run_id}"
+        outcomes = delivery.deliver(batches, send, spec.options, key=KEY, progress=progress)
+        left = _count_batches(this, outcomes)
+        if this.lost_shards:
+            folder = f"{this.state_path}/dead_letters/run_id={run_id}"
+            dead = delivery.dead_letters(batches, outcomes, task.task_id, run_id)
+            dead.drop("run_id").write.mode("overwrite").parquet(folder)
+    if left:
+        raise SyncFailed(f"the target is gone; {left} batches are left for the next run")
+
+
 def _count_batches(this: _Run, outcomes: DataFrame) -> int:
     """Add the outcomes of a slice to the statistics; the number of batches left for the next run."""
     stats, most = this.stats, this.task.spec.options.max_failed_batches

@@ -4,6 +4,9 @@ An append-only table with one ``begin`` row per run (upper key, key slices, rows
 and one ``target`` row per finished target of a slice. A slice is over once its checkpoints are
 saved under ``<run id>-<slice>``. A run that died is finished later under its own id and bounds:
 folders it owns replace themselves, finished slices and targets are left alone.
+
+Rows without a key that come later have deliveries of their own: a ``late`` row once they are set
+down in a table, ``target`` rows, and a ``late-done`` row after the last target.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from rowferry.storage import control_rows, no_rows
 
 SCHEMA = "task_id string, run_id string, event string, detail string, ts timestamp_ntz"
 BEGIN, TARGET = "begin", "target"
+LATE, LATE_DONE = "late", "late-done"
 
 # Lower (exclusive) and upper key of a slice; None is an open end.
 Slice = tuple[int | None, int | None]
@@ -74,6 +78,26 @@ class RunLog:
         """Target number ``target`` has all rows of slice ``number``."""
         self._append(task_id, run_id, TARGET, {"slice": number, "target": target})
 
+    def late_begin(self, task_id: str, run_id: str) -> None:
+        """Later rows without a key are set down under ``run_id``."""
+        self._append(task_id, run_id, LATE, {})
+
+    def late_done(self, task_id: str, run_id: str) -> None:
+        """All targets have the rows of a late delivery."""
+        self._append(task_id, run_id, LATE_DONE, {})
+
+    def late_open(self, task_id: str) -> dict[str, frozenset[int]]:
+        """Late deliveries that are not over, with the targets that have their rows; at most one per run that died."""
+        events = self.read().where(F.col("task_id") == task_id)
+        late = events.where(F.col("event").isin(LATE, LATE_DONE)).groupBy("run_id").agg(F.count_if(F.col("event") == LATE_DONE).alias("over"))
+        began = late.where("over = 0").select("run_id")
+        found = events.join(F.broadcast(began), "run_id", "left_semi").select("run_id", "event", "detail").collect()
+        out: dict[str, set[int]] = {r["run_id"]: set() for r in found}
+        for r in found:
+            if r["event"] == TARGET:
+                out[r["run_id"]].add(json.loads(r["detail"])["target"])
+        return {run_id: frozenset(done) for run_id, done in sorted(out.items())}
+
     def read(self) -> DataFrame:
         try:
             return self.spark.read.schema(SCHEMA).parquet(self.path)

@@ -389,10 +389,63 @@ def test_table_without_any_key(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "target")).count() == 50
     keyless.limit(5).write.mode("append").parquet(str(tmp_path / "source"))
     out = run(spark, task(tmp_path), str(tmp_path / "state"), guard=False).first()
+    assert (out["status"], out["processedRecords"], out["failedBatches"]) == ("COMPLETED", 5, [])
+    assert run(spark, task(tmp_path), str(tmp_path / "state"), guard=False).first()["processedRecords"] == 0
+    assert spark.read.parquet(str(tmp_path / "target")).count() == 55
+
+
+def test_later_rows_without_a_key_where_nothing_was_noted(spark, tmp_path):
+    """State of a version that kept no counts: they are reported, not delivered."""
+    keyless = spark.range(50).select(F.lit(None).cast("bigint").alias("id"), F.lit("1").alias("text"))
+    keyless.write.parquet(str(tmp_path / "source"))
+    run(spark, task(tmp_path), str(tmp_path / "state"), guard=False)
+    (tmp_path / "state" / "keyless").rename(tmp_path / "elsewhere")
+    assert run(spark, task(tmp_path), str(tmp_path / "state"), guard=False).first()["status"] == "COMPLETED"
+    keyless.limit(5).write.mode("append").parquet(str(tmp_path / "source"))
+    out = run(spark, task(tmp_path), str(tmp_path / "state"), guard=False).first()
     assert (out["status"], out["processedRecords"]) == ("PARTIAL", 0)
     assert out["failedBatches"] == ["5 rows without a key came after the first run and were not delivered"]
 
 
+def test_a_late_delivery_that_dies_is_finished_with_the_same_rows(spark, tmp_path):
+    state, ids = str(tmp_path / "state"), []
+    land(spark, tmp_path / "source", 0, 10)
+    run(spark, task(tmp_path), state, guard=False)
+    late = spark.range(30).select(F.lit(None).cast("bigint").alias("id"), (F.col("id") % 3).cast("string").alias("text"))
+    late.write.mode("append").parquet(str(tmp_path / "source"))
+
+    def dies(mapped, spec, config) -> None:
+        registry.write_files(mapped, spec, config)
+        ids.append(config["run_id"])
+        if len(ids) == 1:
+            raise KeyboardInterrupt  # after the rows, before they are noted
+
+    from rowferry.sinks import registry
+
+    old = registry._sinks["PARQUET"]
+    register_sink("PARQUET", dies, repeatable=lambda config: True)
+    try:
+        with pytest.raises(KeyboardInterrupt):
+            run(spark, task(tmp_path), state, guard=False)
+        late.limit(3).write.mode("append").parquet(str(tmp_path / "source"))
+        out = run(spark, task(tmp_path), state, guard=False).first()
+    finally:
+        register_sink("PARQUET", old, repeatable=registry._owns_folder)
+    assert ids[0] == ids[1] != ids[2] and len(ids) == 3
+    assert (out["status"], out["processedRecords"]) == ("COMPLETED", 33)
+    assert spark.read.parquet(str(tmp_path / "target")).where("id is null").count() == 33
+
+
+def test_later_rows_without_a_key_as_batches(spark, tmp_path):
+    sent = spark.sparkContext.accumulator(0)
+    rows = spark.range(20).select(F.lit(None).cast("bigint").alias("id"), F.lit("1").alias("text"))
+    for expected in (20, 40, 40):
+        if expected > sent.value:
+            rows.write.mode("append").parquet(str(tmp_path / "source"))
+        out = run_batches(spark, task(tmp_path), lambda t: sent.add(t.num_rows), str(tmp_path / "state"), guard=False)
+        assert out.first()["status"] == "COMPLETED" and sent.value == expected
+
+
 @pytest.mark.parametrize("kind", ["int", "bigint", "decimal(20,0)"])
 def test_both_bounds_reach_the_scan(spark, tmp_path, kind):
     path = str(tmp_path / "keys")
