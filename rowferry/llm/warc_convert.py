@@ -120,17 +120,20 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve_revisits(read: DataFrame) -> DataFrame:
-    """Gives each revisit the payload size and digest of the response it names, and that response's ``head``."""
+    """Gives each revisit the payload size and digest of the response it names, and that response's ``head``.
+
+    Only revisits are joined; all other records name no response and stay where they are. A response that most
+    revisits name is one row of the smaller side, which AQE sends to all, or the split side of its skew join.
+    """
     origin = read.where("warc_type = 'response'").select(
         F.col("record_id").alias("refers_to_id"), F.col("head").alias("origin_head"),
         F.col("payload_bytes").alias("origin_bytes"), F.col("payload_digest").alias("origin_digest"),
     )
-    again = F.col("warc_type") == "revisit"
-    return (
-        read.join(origin, "refers_to_id", "left")
-        .withColumn("payload_bytes", F.when(again, F.col("origin_bytes")).otherwise(F.col("payload_bytes")))
-        .withColumn("payload_digest", F.when(again, F.col("origin_digest")).otherwise(F.col("payload_digest")))
-    )
+    again = F.coalesce(F.col("warc_type") == "revisit", F.lit(False))
+    plain = read.where(~again).withColumn("origin_head", F.lit(None).cast("string"))
+    revisits = read.where(again).drop("payload_bytes", "payload_digest").join(origin, "refers_to_id", "left")
+    revisits = revisits.withColumnsRenamed({"origin_bytes": "payload_bytes", "origin_digest": "payload_digest"})
+    return plain.unionByName(revisits)
 
 
 def convert_archives(spark: SparkSession, arc_path: str, warc_path: str, order: Column, min_bytes: int = 100) -> DataFrame:
