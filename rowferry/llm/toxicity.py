@@ -1,21 +1,26 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and their character 4- and 5-grams; a chi-squared test on the examples picks
-the terms that tell the labels apart. Examples sit in a block-max inverted index: for each
-term, blocks of postings with the largest weight of the block, so that most blocks are
-skipped by an upper bound and the best neighbours are still exact. Votes weighted by
+Terms are all words of the examples, and those of their character 4- and 5-grams that tell the
+labels apart by a chi-squared test. Such terms, words or grams, keep their whole idf, all others
+``WEAK`` of it, so an insult outweighs a topic but every word counts. Examples sit in a block-max
+inverted index: for each term, posting lists in blocks with the largest weight of each block, so
+that blocks are skipped by an upper bound and the best neighbours are still exact. Votes weighted by
 distance are calibrated on the examples themselves, each left out of its own vote.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import uuid
 from collections import Counter
+from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +28,7 @@ from rowferry.llm.tables import held_out, rows_of, small_batches, sub_batches, t
 from rowferry.storage import materialize
 
 EXAMPLES = 10_000
-TERMS = 1_024
+WEAK = 0.02  # weight of terms that don't tell the labels apart
 LEAST_CHI2 = 28.0  # one in ten million by chance, as very many terms are tried
 LEAST_DOCS = 3
 NEIGHBOURS = 15
@@ -49,21 +54,22 @@ def word_terms(word: str) -> set[str]:
 
 
 class Model(NamedTuple):
-    """What a worker needs: terms with their idf, and the examples as (ids, labels, sparse rows)."""
+    """What a worker needs: terms with their weights, and the examples as (ids, labels, sparse rows)."""
 
-    terms: tuple[str, ...]
-    idf: tuple[float, ...]
-    ids: tuple[int, ...]
-    toxic: tuple[int, ...]
-    rows: tuple[tuple[tuple[int, ...], tuple[float, ...]], ...]
+    terms: Sequence[str]  # those that tell the labels apart come first
+    idf: Sequence[float]
+    ids: Sequence[int]
+    toxic: Sequence[int]
+    rows: Sequence[tuple[Sequence[int], Sequence[float]]]
     curve: tuple[tuple[float, ...], tuple[float, ...]]  # vote to probability, as steps
     base: float  # probability of a text without any term
+    key: str = ""  # equal for models with equal terms and rows
 
 
 class WordTerms(dict):
     """Word to the numbers of its terms; memory is bounded by starting anew."""
 
-    def __init__(self, terms: tuple[str, ...]) -> None:
+    def __init__(self, terms: Sequence[str]) -> None:
         super().__init__()
         self.number = {t: i for i, t in enumerate(terms)}
 
@@ -78,12 +84,12 @@ class WordTerms(dict):
         return out
 
 
-def vector(text: str | None, known: WordTerms, idf: tuple[float, ...]) -> tuple[tuple[int, ...], tuple[float, ...]]:
+def vector(text: str | None, known: WordTerms, idf: Sequence[float]) -> tuple[tuple[int, ...], tuple[float, ...]]:
     """Term numbers and unit-length weights ``(1 + ln tf) * idf`` of a whole text."""
-    count: Counter[int] = Counter()
-    for hit in map(known.__getitem__, words(text)):
-        if hit:
-            count.update(hit)
+    count: dict[int, int] = {}
+    for word, times in Counter(words(text)).items():
+        for term in known[word]:
+            count[term] = count.get(term, 0) + times
     if not count:
         return (), ()
     at = tuple(sorted(count))
@@ -92,46 +98,70 @@ def vector(text: str | None, known: WordTerms, idf: tuple[float, ...]) -> tuple[
     return at, tuple(x / norm for x in raw)
 
 
+def spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All positions of the ranges from ``start`` to before ``end``, one range after the other."""
+    size = end - start
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 class BlockMaxIndex:
-    """Postings by term and block of examples, with the largest weight of each block."""
+    """Posting lists by term, cut where a block of examples ends, with the largest weight of each cut."""
 
     def __init__(self, model: Model) -> None:
         # Examples with like terms share blocks, so block maxima say more.
-        self.order = sorted(range(len(model.ids)), key=lambda i: (model.rows[i][0], model.toxic[i], model.ids[i]))
-        blocks = -(-len(self.order) // BLOCK)
-        self.postings = np.zeros((len(model.terms), blocks, BLOCK), np.float32)
-        for place, i in enumerate(self.order):
-            at, weight = model.rows[i]
-            self.postings[list(at), place // BLOCK, place % BLOCK] = weight
-        self.most = self.postings.max(axis=2, initial=0.0)
-        self.ids = np.array([model.ids[i] for i in self.order], np.int64)
-        self.toxic = np.array([model.toxic[i] for i in self.order], np.float64)
-
-    def nearest(self, at: tuple[int, ...], weight: tuple[float, ...], leave: int | None) -> tuple[np.ndarray, np.ndarray]:
+        order = sorted(range(len(model.ids)), key=lambda i: (tuple(model.rows[i][0][:BLOCK]), model.toxic[i], model.ids[i]))
+        sizes = np.array([len(model.rows[i][0]) for i in order], np.int64)
+        term = np.concatenate([np.zeros(0, np.int32), *(np.asarray(model.rows[i][0], np.int32) for i in order)])
+        weight = np.concatenate([np.zeros(0, np.float32), *(np.asarray(model.rows[i][1], np.float32) for i in order)])
+        by_term = np.argsort(term, kind="stable")
+        term = term[by_term]
+        self.weight = weight[by_term]
+        self.place = np.repeat(np.arange(len(order), dtype=np.int32), sizes)[by_term]
+        block = self.place // BLOCK
+        new = np.ones(term.size, bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        self.first = np.append(np.flatnonzero(new), term.size)  # where the postings of a cut begin
+        self.block = block[new]
+        self.most = np.maximum.reduceat(self.weight, self.first[:-1]) if term.size else self.weight
+        self.cuts = np.searchsorted(term[new], np.arange(len(model.terms) + 1))  # the cuts of a term
+        self.blocks = -(-len(order) // BLOCK)
+        self.ids = np.array([model.ids[i] for i in order], np.int64)
+        self.toxic = np.array([model.toxic[i] for i in order], np.float64)
+
+    def nearest(self, at: Sequence[int], weight: Sequence[float], leave: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the ``NEIGHBOURS`` best examples, exact; ties by place; ``leave`` is left out."""
-        t, w = np.array(at), np.array(weight)
-        bound = w @ self.most[t]
+        t, w = np.asarray(at), np.asarray(weight, np.float64)
+        start, end = self.cuts[t], self.cuts[t + 1]
+        cut, w = spans(start, end), np.repeat(w, end - start)
+        block = self.block[cut]
+        bound = np.bincount(block, w * self.most[cut], self.blocks)
         order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         places, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for start in range(0, order.size, BLOCKS_AT_ONCE):
-            some = order[start : start + BLOCKS_AT_ONCE]
-            some = some[bound[some] > 0]
-            if not some.size or (cosines.size == NEIGHBOURS and bound[some[0]] < cosines[-1] - 1e-12):
+        done, many = 0, BLOCKS_AT_ONCE
+        while done < order.size:
+            if cosines.size == NEIGHBOURS:
+                order = order[: done + np.searchsorted(-bound[order[done:]], 1e-6 - cosines[-1], "right")]
+            some, done, many = order[done : done + many], done + many, many * 2
+            if not some.size:
                 break
-            scores = np.tensordot(w, self.postings[t[:, None], some[None, :]], 1).ravel()
-            own = (some[:, None] * BLOCK + np.arange(BLOCK)[None, :]).ravel()
-            keep = (scores > 0) & (own < self.ids.size)
+            wanted = np.zeros(self.blocks, bool)
+            wanted[some] = True
+            use = np.flatnonzero(wanted[block])
+            first, last = self.first[cut[use]], self.first[cut[use] + 1]
+            posting = spans(first, last)
+            score = np.bincount(self.place[posting], np.repeat(w[use], last - first) * self.weight[posting], self.ids.size)
+            own = np.flatnonzero(score)
             if leave is not None:
-                keep &= self.ids[np.minimum(own, self.ids.size - 1)] != leave
-            places = np.concatenate([places, own[keep]])
-            cosines = np.concatenate([cosines, scores[keep]])
+                own = own[self.ids[own] != leave]
+            places, cosines = np.concatenate([places, own]), np.concatenate([cosines, score[own]])
             best = np.lexsort((places, -cosines))[:NEIGHBOURS]
             places, cosines = places[best], cosines[best]
         return places, cosines
 
     def vote(self, at, weight, leave: int | None = None) -> tuple[float, list[int]] | None:
         """Share of toxic votes, weighted by distance, and the nearest ids; None without a neighbour."""
-        if not at or not self.ids.size:
+        if not len(at) or not self.ids.size:
             return None
         places, cosines = self.nearest(at, weight, leave)
         if not places.size:
@@ -141,7 +171,7 @@ class BlockMaxIndex:
 
 
 def _loaded(model: Model) -> tuple[WordTerms, BlockMaxIndex]:
-    return worker_model(("toxicity", model), lambda: (WordTerms(model.terms), BlockMaxIndex(model)))
+    return worker_model(("toxicity", model.key), lambda: (WordTerms(model.terms), BlockMaxIndex(model)))
 
 
 def calibrated(vote: float, curve: tuple[tuple[float, ...], tuple[float, ...]]) -> float:
@@ -194,29 +224,35 @@ def _term_counts(batches):
         )
 
 
-def choose_terms(examples: DataFrame, positives: int, negatives: int) -> list[tuple[str, float]]:
-    """At most ``TERMS`` terms with their idf, by chi-squared, ties by term."""
+def weighted_terms(examples: DataFrame, positives: int, negatives: int) -> list[tuple[str, float]]:
+    """All words of the examples and the grams that tell the labels apart, each with its weight, those that do first."""
     sums = examples.select("toxic", "text").mapInArrow(tidy(_term_counts), "term string, pos long, neg long")
-    sums = sums.groupBy("term").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b")).where(f"a + b >= {LEAST_DOCS}")
+    sums = sums.groupBy("term").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
     n = float(positives + negatives)
     cross = F.col("a") * F.lit(float(negatives)) - F.col("b") * F.lit(float(positives))
     seen = F.col("a") + F.col("b")
     spread = seen * (n - seen) * F.lit(float(positives)) * F.lit(float(negatives))
     chi2 = F.when(spread > 0, n * cross * cross / spread).otherwise(0.0)
-    best = sums.select("term", seen.alias("df"), chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2)
-    rows = best.orderBy(F.desc("chi2"), "term").limit(TERMS).collect()
-    return sorted((r["term"], math.log((1 + n) / (1 + r["df"])) + 1.0) for r in rows)
+    telling = (chi2 >= LEAST_CHI2) & (seen >= LEAST_DOCS)
+    found = sums.select("term", seen.alias("df"), telling.alias("telling")).where(F.col("telling") | F.startswith("term", F.lit("=")))
+    got = found.toArrow().to_pydict()
+    weight = [(math.log((1 + n) / (1 + df)) + 1.0) * (1.0 if tells else WEAK) for df, tells in zip(got["df"], got["telling"], strict=True)]
+    rows = sorted(zip([not t for t in got["telling"]], got["term"], weight, strict=True))
+    return [(term, w) for _, term, w in rows]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Terms, index and calibration from at most ``EXAMPLES`` labelled rows; all on the driver is bounded by that and ``TERMS``."""
+    """Terms, index and calibration from at most ``EXAMPLES`` labelled rows; all on the driver is bounded by them."""
+    spark = docs.sparkSession
     examples = materialize(labelled_examples(docs, labels), "toxic-examples")
     count = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
     positives, negatives = count.get(1, 0), count.get(0, 0)
-    chosen = choose_terms(examples, positives, negatives) if positives and negatives else []
-    terms, idf = tuple(t for t, _ in chosen), tuple(w for _, w in chosen)
+    chosen = weighted_terms(examples, positives, negatives) if positives and negatives else []
+    terms, idf = [t for t, _ in chosen], [w for _, w in chosen]
+    vocabulary = spark.sparkContext.broadcast((terms, idf))
 
     def vectors(batches):
+        terms, idf = vocabulary.value
         known = WordTerms(terms)
         for batch in batches:
             for part in sub_batches(batch, 256):
@@ -226,18 +262,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                     ["doc_id", "toxic", "at", "weight"],
                 )
 
-    rows = examples.mapInArrow(vectors, "doc_id long, toxic int, at array<int>, weight array<double>")
+    rows = examples.mapInArrow(tidy(vectors), "doc_id long, toxic int, at array<int>, weight array<double>")
     rows = materialize(rows, "toxic-vectors")
-    got = sorted(rows.collect(), key=lambda r: r["doc_id"])
-    bare = [r["toxic"] for r in got if not r["at"]]
+    vocabulary.destroy()
+    got = rows.toArrow().combine_chunks().sort_by("doc_id")
+    sizes = pc.list_value_length(got["at"]).to_numpy()
+    toxic, ids = got["toxic"].to_numpy(), got["doc_id"].to_numpy()
+    ends = np.cumsum(sizes)[:-1] if sizes.size else []
+    at = np.split(pc.list_flatten(got["at"]).to_numpy().astype(np.int32), ends)
+    weight = np.split(pc.list_flatten(got["weight"]).to_numpy().astype(np.float32), ends)
     rate = positives / max(1, positives + negatives)
-    base = (sum(bare) + rate) / (len(bare) + 1)
-    got = [r for r in got if r["at"]]
+    bare = toxic[sizes == 0]
+    base = (float(bare.sum()) + rate) / (bare.size + 1)
+    own = np.flatnonzero(sizes).tolist()
     model = Model(
-        terms, idf, tuple(r["doc_id"] for r in got), tuple(r["toxic"] for r in got),
-        tuple((tuple(r["at"]), tuple(r["weight"])) for r in got), ((), ()), base,
+        terms, idf, ids[own].tolist(), toxic[own].tolist(), [(at[i], weight[i]) for i in own], ((), ()), base, uuid.uuid4().hex,
     )
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)
 
     def left_out(batches):
         index = _loaded(shared.value)[1]
@@ -248,6 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             )
 
     own = rows.mapInArrow(tidy(left_out), "toxic int, vote double").where("vote is not null").collect()
+    shared.destroy()
     return model._replace(curve=calibration_curve([r["vote"] for r in own], [r["toxic"] for r in own]))
 
 
@@ -255,11 +297,11 @@ def _scores(model: Model, loaded: tuple[WordTerms, BlockMaxIndex], texts: list[s
     known, index = loaded
     out = []
     for text in texts:
-        key = vector(text, known, model.idf)
+        key = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if key not in seen:
-            if len(seen) >= 5_000:
+            if len(seen) >= 50_000:
                 seen.clear()
-            vote = index.vote(*key)
+            vote = index.vote(*vector(text, known, model.idf))
             seen[key] = (model.base, []) if vote is None else (calibrated(vote[0], model.curve), vote[1])
         out.append(seen[key])
     return out
@@ -269,7 +311,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence`` for every row of ``docs``.
 
     ``docs`` needs ``doc_id`` and ``text``, ``labels`` ``doc_id`` and ``toxic``; other columns aren't read.
-    ``evidence`` holds the ids of the nearest examples. A text without any chosen term (null and
+    ``evidence`` holds the ids of the nearest examples. A text without any word of them (null and
     empty texts too) gets the toxic share of such examples; without labels of both kinds every
     score is the share of toxic labels. Null labels and ids teach nothing. Repeated
     rows get equal scores; an empty table gives no rows.
