@@ -8,6 +8,7 @@ verified by banded alignment. Nothing within the edit budget is missed.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.llm.tables import small_batches, sub_batches, tidy, worker_model
+from rowferry.storage import materialize, no_rows
 
 Q = 8
 ERROR_RATE = 0.1
@@ -222,24 +224,25 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]
             yield part.slice(first), texts
 
 
-def benchmark_blocks(benchmark: DataFrame) -> list[tuple[tuple[int, bytes], ...]]:
-    """The items in blocks of about ``BLOCK_CHARS``; a query set, taken whole and streamed to the driver.
+def benchmark_blocks(benchmark: DataFrame) -> Iterator[tuple[tuple[int, bytes], ...]]:
+    """The items in blocks of about ``BLOCK_CHARS`` bytes; a query set, streamed through the driver block by block.
 
-    Null and blank items are left out; of equal texts the smallest id stays, a null id last.
+    Null and blank items are left out; of equal normalised texts, grouped by Spark, the smallest id stays,
+    a null id last.
     """
-    text = F.trim(F.col("text"))
-    rows = benchmark.where(F.length(text) > 0).select("item_id", "text")
-    blocks, block, size = [], {}, 0
-    for row in rows.orderBy(F.col("item_id").asc_nulls_last(), "text").toLocalIterator():
-        item = normal(row["text"])
-        if not item or item in block:
-            continue
-        if size + len(item) > BLOCK_CHARS and block:
-            blocks.append(tuple((i, t) for t, i in block.items()))
-            block, size = {}, 0
-        block[item] = row["item_id"]
-        size += len(item)
-    return [*blocks, tuple((i, t) for t, i in block.items())] if block else blocks
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    item = F.trim(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " "))
+    rows = benchmark.select("item_id", item.alias("item")).where("item != ''").groupBy("item").agg(F.min("item_id").alias("item_id"))
+    block, size = [], 0
+    for row in rows.orderBy(F.col("item_id").asc_nulls_last(), "item").toLocalIterator():
+        text = normal(row["item"])
+        if block and size + len(text) > BLOCK_CHARS:
+            yield tuple(block)
+            block, size = [], 0
+        block.append((row["item_id"], text))
+        size += len(text)
+    if block:
+        yield tuple(block)
 
 
 HITS = "doc_id long, item_id long, edits int, similarity double, start long, end long"
@@ -253,10 +256,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``end`` are byte offsets in that form, ``similarity`` is one less edits per item byte. Items
     shorter than a q-gram must stand between blanks. Null texts hold nothing. Repeated document
     rows give repeated rows; equal items count once, under the smallest id; empty tables give no rows.
+    Only whole items count: a text that quotes a part of a long item does not hold it.
     Each block of items is one pass over the documents, without a shuffle.
     """
-    spark, out = docs.sparkSession, None
-    for block in benchmark_blocks(benchmark) or [()]:
+    spark, out = docs.sparkSession, no_rows(docs.sparkSession, HITS)
+    for block in benchmark_blocks(benchmark):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
@@ -272,14 +276,20 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         )
 
         hits = small_batches(docs.select("doc_id", "text")).mapInArrow(tidy(run), HITS)
-        out = hits if out is None else out.union(hits)
+        out = out.union(hits)
     return out
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without any benchmark item; all columns stay as they are."""
+    """The rows of ``docs`` without any benchmark item; all columns stay as they are.
+
+    Each block of items is one pass; between two passes the rows that are left are written, so a worker
+    holds one block at a time.
+    """
     spark = docs.sparkSession
-    for block in benchmark_blocks(benchmark):
+    for number, block in enumerate(benchmark_blocks(benchmark)):
+        if number:
+            docs = materialize(docs, "uncontaminated")
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):

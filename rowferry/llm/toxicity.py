@@ -130,7 +130,7 @@ class BlockMaxIndex:
 
     def nearest(self, at: Sequence[int], weight: Sequence[float], leave: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the ``NEIGHBOURS`` best examples, exact; ties by place; ``leave`` is left out."""
-        t, w = np.asarray(at), np.asarray(weight, np.float64)
+        t, w = np.asarray(at, np.int64), np.asarray(weight, np.float64)
         start, end = self.cuts[t], self.cuts[t + 1]
         cut, w = spans(start, end), np.repeat(w, end - start)
         block = self.block[cut]
