@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from rowferry.llm.tables import held_out, rows_of, small_batches, sub_batches, tidy, worker_model
 from rowferry.storage import materialize
 
-EXAMPLES = 10_000
+EXAMPLES = 4_096
 WEAK = 0.02  # weight of terms that don't tell the labels apart
 LEAST_CHI2 = 28.0  # one in ten million by chance, as very many terms are tried
 LEAST_DOCS = 3
