@@ -18,6 +18,7 @@ from collections import Counter
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -57,7 +58,7 @@ class Model(NamedTuple):
     """What a worker needs: terms with their weights, and the examples as (ids, labels, sparse rows)."""
 
     terms: Sequence[str]  # those that tell the labels apart come first
-    idf: Sequence[float]
+    idf: np.ndarray
     ids: Sequence[int]
     toxic: Sequence[int]
     rows: Sequence[tuple[Sequence[int], Sequence[float]]]
@@ -72,30 +73,33 @@ class WordTerms(dict):
     def __init__(self, terms: Sequence[str]) -> None:
         super().__init__()
         self.number = {t: i for i, t in enumerate(terms)}
+        self.grams = ahocorasick.Automaton()
+        for term, i in self.number.items():
+            if term and not term.startswith("="):
+                self.grams.add_word(term, i)
+        self.grams.make_automaton()
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        number, marked = self.number, f"^{word}$"
-        found = {number[g] for n in (4, 5) for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in number}
-        if (whole := f"={word}") in number:
-            found.add(number[whole])
+        found = {i for _, i in self.grams.iter(f"^{word}$")} if len(self.grams) else set()
+        if (whole := self.number.get(f"={word}")) is not None:
+            found.add(whole)
         out = self[word] = tuple(sorted(found))
         return out
 
 
-def vector(text: str | None, known: WordTerms, idf: Sequence[float]) -> tuple[tuple[int, ...], tuple[float, ...]]:
+def vector(text: str | None, known: WordTerms, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Term numbers and unit-length weights ``(1 + ln tf) * idf`` of a whole text."""
     count: dict[int, int] = {}
     for word, times in Counter(words(text)).items():
         for term in known[word]:
             count[term] = count.get(term, 0) + times
-    if not count:
-        return (), ()
-    at = tuple(sorted(count))
-    raw = [(1.0 + math.log(count[t])) * idf[t] for t in at]
-    norm = math.sqrt(sum(x * x for x in raw))
-    return at, tuple(x / norm for x in raw)
+    at = np.fromiter(count, np.int64, len(count))
+    order = np.argsort(at)
+    at, times = at[order], np.fromiter(count.values(), np.float64, len(count))[order]
+    raw = (1.0 + np.log(times)) * idf[at]
+    return at, raw / np.sqrt(raw @ raw) if at.size else raw
 
 
 def spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -248,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     count = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
     positives, negatives = count.get(1, 0), count.get(0, 0)
     chosen = weighted_terms(examples, positives, negatives) if positives and negatives else []
-    terms, idf = [t for t, _ in chosen], [w for _, w in chosen]
+    terms, idf = [t for t, _ in chosen], np.array([w for _, w in chosen], np.float64)
     vocabulary = spark.sparkContext.broadcast((terms, idf))
 
     def vectors(batches):
