@@ -61,7 +61,9 @@ def write_batch(
     """Sink for ``foreachBatch``: the batch's files, less those another batch delivered.
 
     Rows carry their file in ``_file``. Usually no file was seen before and the rows are
-    written as they come, without a join. ``before_commit`` is called between rows and record.
+    written as they come, without a join. Otherwise the names of the batch's delivered files go
+    to the rows: dealt by file, all rows of a large file would meet in one task. The driver lists
+    these names for the batch anyway. ``before_commit`` is called between rows and record.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -72,7 +74,7 @@ def write_batch(
             return
         files = batch.select(FILE).distinct()
         known = files.join(record.select(FILE), FILE, "left_semi")
-        rows = batch if known.isEmpty() else batch.join(known, FILE, "left_anti")
+        rows = batch if known.isEmpty() else batch.join(F.broadcast(known), FILE, "left_anti")
         # The letter keeps the id text when the folder's name is read.
         attempt = f"a{uuid.uuid4().hex}"
         place = {"stream_id": F.lit(own), "batch_id": F.lit(batch_id).cast("bigint"), "attempt": F.lit(attempt)}
@@ -132,7 +134,8 @@ def read_target(spark: SparkSession, path: str) -> DataFrame:
     """Rows of committed micro-batches, without the columns that name them; an unfinished target may be empty.
 
     The record names partitions, so what no batch committed is not even opened where Spark prunes by the join.
+    The names of the attempts go to the rows, one per micro-batch: dealt by attempt, a batch's rows would meet in one task.
     """
     committed = _recorded_files(spark, path).select(*OWN).distinct()
     rows = spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("bigint"))
-    return rows.join(committed, OWN, "left_semi").drop(*OWN)
+    return rows.join(F.broadcast(committed), OWN, "left_semi").drop(*OWN)

@@ -355,6 +355,29 @@ def test_stream_in_small_batches(spark, tmp_path):
     assert spark.read.parquet(target).select("batch_id").distinct().count() == 3
 
 
+def test_replayed_rows_of_a_file_stay_where_they_are(spark, tmp_path):
+    """A file's rows are not dealt by its name, nor a batch's by the attempt: they would meet in one task."""
+    source, target, plans = tmp_path / "drops", str(tmp_path / "target"), []
+
+    def seen(rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return rows
+
+    spark.range(1000).coalesce(1).write.parquet(str(source))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        for checkpoint in ("cp1", "cp2"):
+            sync_new_files(spark, str(source), spark.range(1).schema, seen, target, str(tmp_path / checkpoint))
+        # Below it, file names alone are joined.
+        assert len(plans) == 2 and "BroadcastHashJoin" in next(line for line in plans[1].splitlines() if "Join" in line)
+        rows = read_target(spark, target)
+        assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_run_that_died_is_finished_under_its_own_id(spark, tmp_path):
     state, calls = str(tmp_path / "state"), []
 
