@@ -2,8 +2,8 @@
 
 Prefix polynomials over a block's bytes give each word two fingerprints, and prefix polynomials over
 those give two to every run of words. What crosses the network are fingerprints with their counts and
-with a pointer to one occurrence; longer runs are counted only where all shorter runs inside may be
-frequent. Inside a block the places of a fingerprint are held against each other; between blocks the
+with a pointer to one occurrence, added up and packed per task and group of fingerprints; longer runs are
+counted only where all shorter runs inside may be frequent. Inside a block the places of a fingerprint are held against each other; between blocks the
 second one tells runs apart. Text is written once, for frequent runs alone, at the places pointed to.
 """
 
@@ -32,6 +32,10 @@ FILTER_BITS = 27  # of a filter of frequent fingerprints: 16 MB, whatever the co
 WRITTEN = 1 << 24  # frequent runs that one pass over the texts writes out
 POINTER_SHIFT = FILTER_BITS - 16
 SALTS = 16
+HELD = 1 << 20  # runs that a task adds up before they leave it
+GROUP_WORDS = 1 << 19  # of the corpus for each group of fingerprints, so that a group's runs fit in memory
+LEAST_GROUPS = 9  # as a power of two
+RUN_BYTES = 22  # of a packed run: 8 of the fingerprint, 4 of the second, 8 of the count and 2 of the pointer
 
 #: Bytes as they are compared: A to Z in lower case, blanks as blanks, breaks as line ends.
 _LETTERS = np.arange(256, dtype=np.uint8)
@@ -237,14 +241,57 @@ def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(prints), pa.array(counts)], ["print", "n"])
 
 
-def _counter(inside: int, sizes: tuple[int, ...], below: Broadcast) -> Callable:
-    """Fingerprints of the runs of some sizes with their counts in a block and a pointer.
+def added_up(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Runs of several blocks, one of each by both fingerprints and in their order, with all its places' number and its smallest pointer."""
+    prints, checks, counts, pointers = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.argsort(prints, kind="stable")
+    prints, checks = prints[order], checks[order]
+    if ((prints[1:] == prints[:-1]) & (checks[1:] != checks[:-1])).any():
+        again = np.lexsort((checks, prints))
+        order, prints, checks = order[again], prints[again], checks[again]
+    new = np.concatenate([[True], (prints[1:] != prints[:-1]) | (checks[1:] != checks[:-1])])[: len(prints)]
+    first = np.flatnonzero(new)
+    if not len(first):
+        return prints, checks, counts, pointers
+    return prints[first], checks[first], np.add.reduceat(counts[order], first), np.minimum.reduceat(pointers[order], first)
+
+
+def packed(runs: tuple[np.ndarray, ...]) -> bytes:
+    """Runs in the order of their fingerprints, as gaps, byte by byte: what is zero in all runs is shuffled as good as free."""
+    prints, checks, counts, pointers = runs
+    columns = np.diff(prints, prepend=0).astype("<i8"), checks.astype("<i4"), counts.astype("<i8"), pointers.astype("<u2")
+    return b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, ...]:
+    """What ``packed`` was given."""
+    planes, columns, first = np.frombuffer(data, np.uint8).reshape(RUN_BYTES, -1), [], 0
+    for kind in ("<i8", "<i4", "<i8", "<u2"):
+        last = first + np.dtype(kind).itemsize
+        columns.append(np.ascontiguousarray(planes[first:last].T).view(kind).ravel())
+        first = last
+    gaps, checks, counts, pointers = columns
+    return np.cumsum(gaps), checks, counts, pointers.astype(np.int64)
+
+
+def _grouped(runs: tuple[np.ndarray, ...], bits: int) -> Iterator[pa.RecordBatch]:
+    """Runs packed by the first bits of their fingerprints."""
+    groups = runs[0] >> (63 - bits)
+    edges = np.append(np.flatnonzero(np.diff(groups, prepend=-1)), len(groups)).tolist()
+    for first in range(0, len(edges) - 1, 64):
+        ends = edges[first : first + 65]
+        data = [packed(tuple(c[a:b] for c in runs)) for a, b in zip(ends, ends[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(groups[ends[:-1]].astype(np.int32)), pa.array(data, pa.binary())], ["number", "runs"])
+
+
+def _counter(inside: int, sizes: tuple[int, ...], below: Broadcast, bits: int) -> Callable:
+    """Fingerprints of the runs of some sizes with their counts in a task and a pointer, packed in ``2**bits`` groups.
 
     A run is left out if one of the runs of ``inside`` words in it, or it itself, is not in the filter of frequent ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = Filter(below.value)
+        frequent, held = Filter(below.value), []
         for block in _blocks(batches):
             known = np.zeros(len(block.words), bool)
             at = block.places(inside)
@@ -253,10 +300,24 @@ def _counter(inside: int, sizes: tuple[int, ...], below: Broadcast) -> Callable:
                 at = block.places(size)
                 for shift in range(size - inside + 1):
                     at = at[known[at + shift]]
-                found = block.counted(at, size)
-                for first in range(0, len(found[0]), 100_000):
-                    columns = [pa.array(c[first : first + 100_000]) for c in found]
-                    yield pa.RecordBatch.from_arrays(columns, ["print", "check", "n", "at"])
+                held.append(block.counted(at, size))
+            if sum(len(part[0]) for part in held) >= HELD:
+                held = [added_up(held)]
+                if 2 * len(held[0][0]) >= HELD:
+                    yield from _grouped(held.pop(), bits)
+        if held:
+            yield from _grouped(added_up(held), bits)
+
+    return run
+
+
+def _adder(fewest: int) -> Callable:
+    """A group's packed runs to those that stand at least ``fewest`` times."""
+
+    def run(table: pa.Table) -> pa.Table:
+        prints, checks, counts, pointers = added_up([unpacked(data.as_py()) for data in table.column("runs")])
+        kept = counts >= fewest
+        return pa.table({"print": prints[kept], "check": checks[kept], "n": counts[kept], "at": pointers[kept]})
 
     return run
 
@@ -304,12 +365,13 @@ def frequent_phrases(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
     rows = small_batches(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text"))
 
     def counted(inside: int, sizes: tuple[int, ...], below: DataFrame) -> DataFrame:
-        runs = rows.mapInArrow(tidy(_counter(inside, sizes, filter_of(below, F.col("print")))), COUNTED)
-        totals = runs.groupBy("print", "check").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
-        return materialize(totals.where(F.col("n") >= fewest), "phrases")
+        runs = rows.mapInArrow(tidy(_counter(inside, sizes, filter_of(below, F.col("print")), bits)), "number int, runs binary")
+        return materialize(runs.groupBy("number").applyInArrow(_adder(fewest), COUNTED), "phrases")
 
     words = rows.mapInArrow(tidy(_word_counter), "print long, n long").groupBy("print").agg(F.sum("n").alias("n"))
-    words = materialize(words.where(F.col("n") >= fewest).select("print"), "phrases")
+    words = materialize(words.where(F.col("n") >= fewest), "phrases")
+    # No pass counts more runs of a size than there are frequent words: groups grow in number, not in size.
+    bits = max(LEAST_GROUPS, ((words.agg(F.sum("n")).first()[0] or 0) // GROUP_WORDS).bit_length())
     short = counted(1, (1, 2), words)
     three = counted(2, (3,), short)
     every = short.union(three).union(counted(3, tuple(range(4, LONGEST + 1)), three))

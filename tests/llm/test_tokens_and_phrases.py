@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -233,6 +234,38 @@ def test_phrases_that_share_a_fingerprint_come_apart(monkeypatch):
         block.counted(block.places(1), 1)
 
 
+def test_runs_leave_tasks_added_up_and_packed(monkeypatch):
+    rng = np.random.default_rng(3)
+    prints, checks = rng.integers(0, 1 << 63, 3_000), rng.integers(0, 1 << 31, 3_000).astype(np.int32)
+    prints[:10] = prints[10:20]  # of equal first fingerprints, the second tells them apart
+    parts, want = [], defaultdict(list)
+    for _ in range(4):
+        some = rng.permutation(3_000)[:2_000]
+        some = some[np.lexsort((checks[some], prints[some]))]
+        parts.append((prints[some], checks[some], rng.integers(1, 90, 2_000), rng.integers(0, 1 << 16, 2_000)))
+        for p, c, n, at in zip(*(x.tolist() for x in parts[-1]), strict=True):
+            want[p, c].append((n, at))
+    runs = collocations.added_up(parts)
+    found = {(p, c): (n, at) for p, c, n, at in zip(*(x.tolist() for x in runs), strict=True)}
+    assert found == {k: (sum(n for n, _ in v), min(at for _, at in v)) for k, v in want.items()}
+    data = collocations.packed(runs)
+    assert len(data) == collocations.RUN_BYTES * len(runs[0])
+    assert all((a == b).all() for a, b in zip(collocations.unpacked(data), runs, strict=True))
+    batches = list(collocations._grouped(runs, 9))
+    again = collocations.added_up([collocations.unpacked(d.as_py()) for b in batches for d in b.column("runs")])
+    assert all((a == b).all() for a, b in zip(again, runs, strict=True))
+    words = " ".join("abcdefg"[i] for i in rng.integers(0, 7, 4_000))
+    batches = [pa.RecordBatch.from_pydict({"text": [words[i : i + 400]], "lang": ["a"]}) for i in range(0, len(words), 400)]
+    every, totals = SimpleNamespace(value=[(0, b"\xff" * (1 << collocations.FILTER_BITS - 3))]), []
+    for held, size in ((1 << 20, 4 << 20), (50, 600)):
+        monkeypatch.setattr(collocations, "HELD", held)
+        monkeypatch.setattr(collocations, "BLOCK_BYTES", size)
+        left = [d.as_py() for b in collocations._counter(1, (1, 2), every, 9)(batches) for d in b.column("runs")]
+        totals.append((len(left), [c.tolist() for c in collocations.added_up([collocations.unpacked(d) for d in left])]))
+    # Which place is pointed to depends on the blocks.
+    assert totals[0][1][:3] == totals[1][1][:3] and totals[0][0] < totals[1][0]
+
+
 def test_phrases_are_written_in_passes(spark, monkeypatch):
     docs = table(spark, SF, "documents")
     want = {tuple(r) for r in collocations.frequent_phrases(docs, 30).collect()}
