@@ -1,8 +1,8 @@
 """Training-data pipeline over ``documents``: five stages, each a table of its own.
 
 Documents without a known language go, toxic ones go, one document of each near-duplicate
-group stays, documents with a benchmark item go; what is left is encoded:
-the last table has each document's token ids.
+group stays, documents with a benchmark item go; what is left is encoded and decoded again:
+the last table has each document's token ids and the bytes they decode to.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = encode_texts(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN, decoded=False)
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    encoded = encode_texts(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [

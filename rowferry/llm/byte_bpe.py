@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from rowferry.llm.tables import small_batches, sub_batches, tidy, worker_model
 
 SLOTS = 1 << 16
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 BATCH_IDS = 250_000  # that go back to Spark at a time, or those of one longer text
 KNOWN_WORDS = 450_000
 TOGETHER = 24

@@ -31,6 +31,13 @@ def test_encoding_keeps_ids_and_decoded_bytes(spark, monkeypatch):
     assert all(r["n_tokens"] == len(r["ids"]) for r in last)
 
 
+def test_pipeline_decodes_what_it_encoded(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text").limit(50)
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "a" * 500), (-4, "x\u00e9 \u65e5\u672c")], "doc_id long, text string")
+    last = corpus_pipeline.STAGES[-1][1](spark, docs.union(odd), SF).collect()
+    assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in last} == {r["doc_id"]: r["text"] or "" for r in docs.union(odd).collect()}
+
+
 def test_license_matches_are_places(spark):
     rows = [(1, "Foo: under the MIT License, or the Apache License, Version 2.0; MIT license"), (2, None), (3, "mit license " * 700)]
     found = {r["doc_id"]: r for r in license_scan.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
